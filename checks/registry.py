@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import oracle_features, registry_features
+from checks import oracle_defects, oracle_features, registry_defects, registry_features
 
-QUERIES = {**registry_features.QUERIES}
-ORACLES = {**oracle_features.ORACLES}
+QUERIES = {**registry_features.QUERIES, **registry_defects.QUERIES}
+ORACLES = {**oracle_features.ORACLES, **oracle_defects.ORACLES}
