@@ -216,9 +216,9 @@ feature_set AS (
 
 ORACLES = {
     "centroid": with_([CLOUD, MOMENTS], """
-SELECT snapshot_id, n, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz FROM moments"""),
+SELECT snapshot_id, n, round(cx, 7) AS cx, round(cy, 7) AS cy, round(cz, 7) AS cz FROM moments"""),
     "center": with_([CLOUD, MOMENTS], """
-SELECT snapshot_id, atom_id, round(x - cx, 6) AS x, round(y - cy, 6) AS y, round(z - cz, 6) AS z
+SELECT snapshot_id, atom_id, round(x - cx, 7) AS x, round(y - cy, 7) AS y, round(z - cz, 7) AS z
 FROM cloud JOIN moments USING (snapshot_id)"""),
     "pca_eigenvalues": with_([CLOUD, *_EIG], """
 SELECT snapshot_id, round(l1, 6) AS l1, round(l2, 6) AS l2, round(l3, 6) AS l3 FROM eig"""),

@@ -33,8 +33,8 @@ def _grid(columns: list[str]):
 
 
 QUERIES = {
-    "centroid": lambda s, d: rounded(alignment.centroid(cloud_lineitem(s, d))),
-    "center": lambda s, d: rounded(alignment.center(cloud_lineitem(s, d))),
+    "centroid": lambda s, d: rounded(alignment.centroid(cloud_lineitem(s, d)), 7),
+    "center": lambda s, d: rounded(alignment.center(cloud_lineitem(s, d)), 7),
     "pca_eigenvalues": lambda s, d: rounded(
         alignment.pca(cloud_lineitem(s, d)).select("snapshot_id", "l1", "l2", "l3")),
     "pca_aligned": lambda s, d: rounded(alignment.align(cloud_lineitem(s, d))),

@@ -95,40 +95,46 @@ def radius_pairs(
     """Pairs of points of one snapshot closer than ``radius``: ``atom_id, other_id, distance``.
 
     Each pair appears once with ``atom_id < other_id``, or in both directions with ``both``. With
-    ``boxes`` distances are minimum-image. ``both`` also returns the offset ``dx, dy, dz`` to the other.
+    ``boxes`` distances are minimum-image.
     """
-    if boxes is not None:
-        placed = wrap_points(points, boxes)
-    else:
-        placed = points.select(*POINT, *AXES)
-    reach = F.lit(float(radius))
-    touched = {
-        a: _touched(F.col(a), reach, *((-F.col(f"l{a}") / 2, F.col(f"l{a}") / 2, F.col(f"l{a}"))
-                                       if boxes is not None else (None, None, None)))
-        for a in AXES
-    }
-    others = _in_cells(placed, 2 * reach).select(
+    placed = wrap_points(points, boxes) if boxes is not None else points.select(*POINT, *AXES)
+    close = pairs_within(placed, placed, radius, periodic=boxes is not None)
+    if not both:
+        close = close.filter(F.col("atom_id") < F.col("other_id"))
+    return close.select(*POINT, "other_id", F.sqrt("d2").alias("distance"))
+
+
+def near_cells(placed: DataFrame, radius: float, periodic: bool) -> DataFrame:
+    """Repeat every point into the cells of edge ``2 * radius`` its radius touches."""
+    bounds = {a: (-F.col(f"l{a}") / 2, F.col(f"l{a}") / 2, F.col(f"l{a}")) if periodic else (None, None, None)
+              for a in AXES}
+    return _into_cells(placed, {a: _touched(F.col(a), F.lit(float(radius)), *bounds[a]) for a in AXES})
+
+
+def own_cells(placed: DataFrame, radius: float) -> DataFrame:
+    """Cell of edge ``2 * radius`` that holds the point."""
+    return _in_cells(placed, F.lit(2 * float(radius)))
+
+
+def pairs_within(queries: DataFrame, others: DataFrame, radius: float, periodic: bool) -> DataFrame:
+    """Ordered pairs of different points closer than ``radius``, with the offset ``dx, dy, dz`` and ``d2``."""
+    located = own_cells(others, radius).select(
         "snapshot_id", F.col("atom_id").alias("other_id"), *[F.col(a).alias(f"o{a}") for a in AXES], *CELL)
-    joined = _into_cells(placed, touched).join(others, ["snapshot_id", *CELL])
-    joined = joined.filter(F.col("atom_id") != F.col("other_id") if both
-                           else F.col("atom_id") < F.col("other_id"))
-    offset = {
-        f"d{a}": minimum_image(F.col(f"o{a}") - F.col(a), F.col(f"l{a}")) if boxes is not None
-        else F.col(f"o{a}") - F.col(a)
-        for a in AXES
-    }
-    joined = joined.withColumns(offset)
-    squared = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in AXES), F.lit(0.0))
-    close = joined.withColumn("_d2", squared).filter(F.col("_d2") < float(radius) ** 2)
-    extra = [f"d{a}" for a in AXES] if both else []
-    return close.select(*POINT, "other_id", F.sqrt("_d2").alias("distance"), *extra)
+    joined = near_cells(queries, radius, periodic).join(located, ["snapshot_id", *CELL]).filter(
+        F.col("atom_id") != F.col("other_id"))
+    offset = {a: F.col(f"o{a}") - F.col(a) for a in AXES}
+    if periodic:
+        offset = {a: minimum_image(offset[a], F.col(f"l{a}")) for a in AXES}
+    joined = joined.select(*POINT, "other_id", *[offset[a].alias(f"d{a}") for a in AXES])
+    squared = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
+    return joined.withColumn("d2", squared).filter(F.col("d2") < float(radius) ** 2)
 
 
 # ---------------------------------------------------------------- nearest join
 
 
 @dataclass(frozen=True)
-class _Setting:
+class Setting:
     """How queries (``x, y, z`` [, ``l*`` period][, ``s*`` stretch]) see sites keyed by ``by``."""
 
     by: list[str]
@@ -194,7 +200,7 @@ def _with_grid(df: DataFrame, grid: DataFrame, by: list[str], row_id: str) -> Da
     return joined.withColumnRenamed("atom_id", row_id) if row_id != "atom_id" else joined
 
 
-def _squared(setting: _Setting, prefix: str) -> Column:
+def _squared(setting: Setting, prefix: str) -> Column:
     deltas = [setting.delta(a, F.col(f"{prefix}{a}")) for a in AXES]
     return deltas[0] * deltas[0] + deltas[1] * deltas[1] + deltas[2] * deltas[2]
 
@@ -206,7 +212,7 @@ def _best(pairs: DataFrame) -> DataFrame:
         *POINT, F.col("_b.site_id").alias("site_id"), F.col("_b.d2").alias("d2"))
 
 
-def _reach_round(queries: DataFrame, sites: DataFrame, setting: _Setting, factor: float):
+def _reach_round(queries: DataFrame, sites: DataFrame, setting: Setting, factor: float):
     """One cell join: (point, best site or NULL, certified), and the points next to crowded cells."""
     by = setting.by
     reach = F.col("g_reach") * factor
@@ -246,7 +252,7 @@ def _reach_round(queries: DataFrame, sites: DataFrame, setting: _Setting, factor
     ), beside
 
 
-def _tree_descent(queries: DataFrame, sites: DataFrame, setting: _Setting) -> DataFrame:
+def _tree_descent(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
     """Exact nearest site for the given points by pruning bounding boxes from the root down."""
     by = setting.by
     unique = sites.groupBy(*by, *AXES, *GRID_COLUMNS).agg(F.min("site_id").alias("site_id"))
@@ -314,7 +320,7 @@ def _tree_descent(queries: DataFrame, sites: DataFrame, setting: _Setting) -> Da
     return _best(pairs.withColumn("d2", _squared(setting, "o")))
 
 
-def nearest(queries: DataFrame, sites: DataFrame, setting: _Setting) -> DataFrame:
+def nearest(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
     """Exact nearest site of every query point: ``site_id`` and squared distance ``d2``."""
     grid = _site_grid(sites, setting.by)
     if setting.by:
@@ -377,7 +383,7 @@ def prepare(points, sites, boxes, ref_box, periodic, affine):
     if affine:
         queries = queries.withColumns({
             f"s{a}": F.col(f"l{a}") / (ref_box[f"{a}hi"] - ref_box[f"{a}lo"]) for a in AXES})
-    return queries, sites, _Setting(by, periodic, affine)
+    return queries, sites, Setting(by, periodic, affine)
 
 
 def nearest_other(points: DataFrame) -> DataFrame:
@@ -390,7 +396,7 @@ def nearest_other(points: DataFrame) -> DataFrame:
             F.min("atom_id").alias("atom_id"), F.count("*").alias("copies")), "positions")
     single = positions.filter("copies = 1")
     sites = positions.select("snapshot_id", F.col("atom_id").alias("site_id"), *AXES)
-    setting = _Setting(["snapshot_id"], periodic=False, stretched=False, exclude_self=True)
+    setting = Setting(["snapshot_id"], periodic=False, stretched=False, exclude_self=True)
     found = nearest(single, sites, setting)
     distances = found.select(*POINT, F.sqrt("d2").alias("distance"), F.lit(1).cast("long").alias("copies"))
     repeated = positions.filter("copies > 1").select(*POINT, F.lit(0.0).alias("distance"), "copies")
