@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voidscope.functions.ranking import number_rows
 from voidscope.plans.features import snapshot_features
-from voidscope.session import stage
+from voidscope.session import stage, staging_path
 
 TOTAL_ATOMS = 700
 LATTICE_CELLS = (10, 10, 10)
@@ -16,6 +16,7 @@ LATTICE_SHIFT = (0.7071067811865476, 1.4142135623730951, 0.3141592653589793)
 BOX = (50.0, 105.0, 20.0)
 
 _staged: dict[tuple[str, ...], DataFrame] = {}
+_paths: dict[tuple[str, ...], str] = {}
 
 
 def _once(spark: SparkSession, key: tuple[str, ...], build) -> DataFrame:
@@ -99,3 +100,49 @@ def stand_in_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_vacancies") + (F.col("file") * 37) % 11 - 5).alias("prediction"),
         F.when(F.col("file") % 5 == 0, "test").otherwise("train").alias("split"),
     )
+
+
+def importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in importances: share of the absolute correlation with the target."""
+    features = [c for c in feature_set(spark, sf_dir).columns if c not in ("file", "n_vacancies")]
+    row = feature_set(spark, sf_dir).agg(*[
+        F.abs(F.coalesce(F.nanvl(F.corr(c, "n_vacancies"), F.lit(0.0)), F.lit(0.0))).alias(c) for c in features])
+    long = row.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("weight")) for c in features])).alias("_f")).select("_f.*")
+    total = row.select(sum((F.col(c) for c in features), F.lit(0.0))).first()[0]
+    return long.select("feature", F.round(F.col("weight") / total, 9).alias("importance"))
+
+
+DUMP_NAME = r"snapshot_id=(\d+/piece=\d+)/"
+
+
+def dump_text(spark: SparkSession, sf_dir: str) -> str:
+    """Write :func:`cloud_lineitem` as dump files and return their directory.
+
+    A snapshot is cut into pieces of about a million atoms, each a complete dump. Of the snapshots, id
+    modulo 10 = 3 lack the z column, = 7 have a word among the numbers, = 9 have no atoms section.
+    """
+    key = (spark.sparkContext.applicationId, "dump_text", sf_dir)
+    if key not in _paths:
+        atoms = cloud_lineitem(spark, sf_dir).withColumn("piece", F.shiftright("atom_id", 20))
+        kind = F.col("snapshot_id") % 10
+        z = F.when(kind == 3, "").when((kind == 7) & (F.col("atom_id") % 100 == 5), " oops").otherwise(
+            F.concat(F.lit(" "), F.col("z").cast("string")))
+        body = atoms.filter(kind != 9).select(
+            "snapshot_id", "piece", F.col("atom_id").alias("place"),
+            F.concat(F.concat_ws(" ", (F.col("atom_id") + 1).cast("string"), F.lit("1"),
+                                 F.col("x").cast("string"), F.col("y").cast("string")), z).alias("value"))
+        pieces = atoms.groupBy("snapshot_id", "piece").count().join(boxes_supplier(spark, sf_dir), "snapshot_id")
+        header = F.concat(F.lit("ITEM: ATOMS id type x y"), F.when(kind == 3, "").otherwise(" z"))
+        lines = [F.lit("ITEM: TIMESTEP"), F.lit("0"), F.lit("ITEM: NUMBER OF ATOMS"), F.col("count").cast("string"),
+                 F.lit("ITEM: BOX BOUNDS pp pp pp"),
+                 *[F.concat_ws(" ", F.col(f"{a}lo").cast("string"), F.col(f"{a}hi").cast("string")) for a in "xyz"],
+                 F.when(kind != 9, header)]
+        heads = pieces.select("snapshot_id", "piece", F.posexplode(F.array(*lines)).alias("at", "value")).select(
+            "snapshot_id", "piece", (F.col("at") - len(lines)).cast("long").alias("place"), "value"
+        ).filter(F.col("value").isNotNull())
+        path = staging_path(spark, "dumps")
+        heads.unionByName(body).repartition("snapshot_id", "piece").sortWithinPartitions(
+            "snapshot_id", "piece", "place").drop("place").write.partitionBy("snapshot_id", "piece").text(path)
+        _paths[key] = path
+    return _paths[key]

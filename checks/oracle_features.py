@@ -90,7 +90,7 @@ OCCUPANCY = """
 occupancy AS (
   SELECT snapshot_id, CAST(count(*) AS DOUBLE) AS occupancy_total, count(*) / 1000 AS occupancy_fraction,
          count(*) / 100 AS occupancy_x_mean, count(*) / 100 AS occupancy_y_mean,
-         count(*) / 100 AS occupancy_z_mean, round(-ln(1 / count(*) + 1e-12), 6) AS grid_entropy
+         count(*) / 100 AS occupancy_z_mean, -ln(1 / count(*) + 1e-12) AS grid_entropy
   FROM cells GROUP BY snapshot_id)"""
 
 # a full 0/1 grid per snapshot, then the sum of absolute differences along each axis
@@ -124,19 +124,18 @@ inertia AS (
   FROM cells GROUP BY snapshot_id),
 """ + eigenvalues("inertia", "inertia_eig") + """,
 grid_moi AS (
-  SELECT snapshot_id, round(l1, 6) AS grid_moi_1, round(l2, 6) AS grid_moi_2,
-         round(greatest(l3, 0), 6) AS grid_moi_3 FROM inertia_eig)"""
+  SELECT snapshot_id, l1 AS grid_moi_1, l2 AS grid_moi_2, greatest(l3, 0) AS grid_moi_3 FROM inertia_eig)"""
 
 MOI = """
-moi AS (SELECT snapshot_id, round((n - 1) * (l2 + l3), 4) AS moi_principal_3 FROM eig)"""
+moi AS (SELECT snapshot_id, (n - 1) * (l2 + l3) AS moi_principal_3 FROM eig)"""
 
 RADIAL = """
 radius AS (
   SELECT snapshot_id, sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2)) AS d
   FROM cloud JOIN moments USING (snapshot_id)),
 radial AS (
-  SELECT snapshot_id, round(avg(d), 6) AS rdf_mean,
-         CASE WHEN stddev_pop(d) < 1e-6 THEN 0 ELSE round(kurtosis_pop(d), 6) END AS rdf_kurtosis
+  SELECT snapshot_id, avg(d) AS rdf_mean,
+         CASE WHEN stddev_pop(d) < 1e-6 THEN 0 ELSE kurtosis_pop(d) END AS rdf_kurtosis
   FROM radius GROUP BY snapshot_id)"""
 
 
@@ -150,7 +149,7 @@ span AS (SELECT snapshot_id, {spans} FROM {source} GROUP BY snapshot_id),
 binned AS (SELECT snapshot_id, {bins} FROM {source} JOIN span USING (snapshot_id)),
 bin_counts AS (SELECT snapshot_id, {keys}, count(*) AS k FROM binned GROUP BY ALL),
 entropy AS (
-  SELECT snapshot_id, round(-sum(k / n * ln(k / n)), 6) AS entropy_spatial
+  SELECT snapshot_id, -sum(k / n * ln(k / n)) AS entropy_spatial
   FROM bin_counts JOIN (SELECT snapshot_id, count(*) AS n FROM {source} GROUP BY snapshot_id)
        USING (snapshot_id)
   GROUP BY snapshot_id)"""
@@ -172,6 +171,12 @@ kth AS (SELECT snapshot_id, atom_id, ds[k] AS kth_distance, m FROM knn JOIN samp
 bandwidth AS (SELECT snapshot_id, CASE WHEN max(m) >= 10 THEN avg(kth_distance) END AS bw
               FROM kth GROUP BY snapshot_id)"""
 
+def rounded(columns: str | list[str], digits: int = 6, **overrides: int) -> str:
+    """Select list that rounds each named column."""
+    names = [c.strip() for c in columns.split(",")] if isinstance(columns, str) else columns
+    return ", ".join(f"round({c}, {overrides.get(c, digits)}) AS {c}" for c in names)
+
+
 GRID_COLUMNS = """occupancy_total, occupancy_fraction, occupancy_x_mean, occupancy_y_mean, occupancy_z_mean,
   occupancy_gradient_x, occupancy_gradient_y, occupancy_gradient_z, occupancy_gradient_total,
   occupancy_surface, grid_entropy, grid_moi_1, grid_moi_2, grid_moi_3"""
@@ -197,14 +202,14 @@ _JOINED = """FROM moments JOIN occupancy USING (snapshot_id) JOIN gradients USIN
 def features(mode: str) -> str:
     divisor = "3.532" if mode == "training" else "1"
     return with_(feature_parts(mode), f"""
-SELECT snapshot_id, {GRID_COLUMNS}, moi_principal_3, rdf_mean, rdf_kurtosis, entropy_spatial,
-       round(bw / {divisor}, 6) AS ms_bandwidth, n AS num_points
+SELECT snapshot_id, {rounded(GRID_COLUMNS)}, round(moi_principal_3, 4) AS moi_principal_3,
+       {rounded("rdf_mean, rdf_kurtosis, entropy_spatial")}, round(bw / {divisor}, 6) AS ms_bandwidth, n AS num_points
 {_JOINED} JOIN bandwidth USING (snapshot_id)""")
 
 
 def feature_set(bandwidth: bool = True) -> list[str]:
     """CTEs ending in feature_set(file, features.., n_vacancies)."""
-    bw = ", round(bw, 6) AS ms_bandwidth" if bandwidth else ""
+    bw = ", bw AS ms_bandwidth" if bandwidth else ""
     join = "JOIN bandwidth USING (snapshot_id)" if bandwidth else ""
     return [*feature_parts("extractor", bandwidth), f"""
 feature_set AS (
@@ -233,14 +238,14 @@ SELECT snapshot_id, atom_id, round(p1, 6) AS pc1, round(p2, 6) AS pc2, round(p3,
     "grid_occupancy": with_([CLOUD, *_EIG, AXES, aligned(), boxes("training"), CELLS, OCCUPANCY],
                             "SELECT * EXCLUDE (grid_entropy) FROM occupancy"),
     "grid_entropy": with_([CLOUD, *_EIG, AXES, aligned(), boxes("training"), CELLS, OCCUPANCY],
-                          "SELECT snapshot_id, grid_entropy FROM occupancy"),
+                          "SELECT snapshot_id, round(grid_entropy, 6) AS grid_entropy FROM occupancy"),
     "grid_gradients": with_([CLOUD, *_EIG, AXES, aligned(), boxes("training"), CELLS, GRADIENTS],
                             "SELECT * FROM gradients"),
     "grid_moi": with_([CLOUD, *_EIG, AXES, aligned(), boxes("training"), CELLS, GRID_MOI],
-                      "SELECT * FROM grid_moi"),
-    "moi_principal": with_([CLOUD, *_EIG, MOI], "SELECT * FROM moi"),
-    "radial_stats": with_([CLOUD, MOMENTS, RADIAL], "SELECT * FROM radial"),
-    "spatial_entropy": with_([CLOUD, entropy("cloud", ("x", "y", "z"))], "SELECT * FROM entropy"),
+                      f"SELECT snapshot_id, {rounded('grid_moi_1, grid_moi_2, grid_moi_3')} FROM grid_moi"),
+    "moi_principal": with_([CLOUD, *_EIG, MOI], "SELECT snapshot_id, round(moi_principal_3, 4) AS moi_principal_3 FROM moi"),
+    "radial_stats": with_([CLOUD, MOMENTS, RADIAL], f"SELECT snapshot_id, {rounded('rdf_mean, rdf_kurtosis')} FROM radial"),
+    "spatial_entropy": with_([CLOUD, entropy("cloud", ("x", "y", "z"))], "SELECT snapshot_id, round(entropy_spatial, 6) AS entropy_spatial FROM entropy"),
     "knn_distance": with_([EMBEDDED, KNN], """
 SELECT snapshot_id, atom_id, round(kth_distance, 6) AS kth_distance FROM kth"""),
     "ms_bandwidth": with_([CLOUD, KNN], "SELECT snapshot_id, round(bw, 6) AS ms_bandwidth FROM bandwidth"),

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from checks import oracle_defects, oracle_features, registry_defects, registry_features
+from checks import (
+    oracle_dataset,
+    oracle_defects,
+    oracle_features,
+    registry_dataset,
+    registry_defects,
+    registry_features,
+)
 
-QUERIES = {**registry_features.QUERIES, **registry_defects.QUERIES}
-ORACLES = {**oracle_features.ORACLES, **oracle_defects.ORACLES}
+QUERIES = {**registry_features.QUERIES, **registry_defects.QUERIES, **registry_dataset.QUERIES}
+ORACLES = {**oracle_features.ORACLES, **oracle_defects.ORACLES, **oracle_dataset.ORACLES}
