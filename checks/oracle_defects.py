@@ -51,6 +51,56 @@ OCCUPIED = """
 occupied AS (SELECT snapshot_id, best.site_id AS site_id, count(*) AS k, min(atom_id) AS first_atom
              FROM assigned GROUP BY ALL)"""
 
+# An atom is exposed when a probe ball of radius 6 touching it holds no other atom. Ball centers tried:
+# one on the circle shared with each neighbor, and both crossings of every two circles. v1..v3 are the
+# offsets of an atom's neighbors within 12, nearest first.
+SURFACE = """
+near AS (
+  SELECT a.snapshot_id, a.atom_id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz,
+         power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2) AS dd
+  FROM cloud a JOIN cloud b ON a.snapshot_id = b.snapshot_id AND a.atom_id != b.atom_id
+  WHERE dd < 144 AND dd > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, atom_id ORDER BY dd) AS r FROM near),
+lists AS (
+  SELECT snapshot_id, atom_id, list({'x': dx, 'y': dy, 'z': dz} ORDER BY r) AS others,
+         list({'x': dx, 'y': dy, 'z': dz} ORDER BY r) FILTER (r <= 6) AS first
+  FROM placed GROUP BY ALL),
+circles AS (
+  SELECT snapshot_id, atom_id, dx / 2 + px / l * h AS zx, dy / 2 + py / l * h AS zy, dz / 2 + pz / l * h AS zz
+  FROM (SELECT *, sqrt(px * px + py * py + pz * pz) AS l, sqrt(36 - dd / 4) AS h
+        FROM (SELECT *, CASE WHEN abs(dx) <= abs(dy) THEN 0 ELSE dz END AS px,
+                     CASE WHEN abs(dx) <= abs(dy) THEN -dz ELSE 0 END AS py,
+                     CASE WHEN abs(dx) <= abs(dy) THEN dy ELSE -dx END AS pz FROM placed)) WHERE l > 0),
+crossed AS (
+  SELECT u.snapshot_id, u.atom_id, u.dd AS uu, v.dd AS vv, u.dx AS ux, u.dy AS uy, u.dz AS uz,
+         v.dx AS vx, v.dy AS vy, v.dz AS vz, u.dy * v.dz - u.dz * v.dy AS wx,
+         u.dz * v.dx - u.dx * v.dz AS wy, u.dx * v.dy - u.dy * v.dx AS wz
+  FROM placed u JOIN placed v ON u.snapshot_id = v.snapshot_id AND u.atom_id = v.atom_id AND u.r < v.r),
+feet AS (
+  SELECT *, wx * wx + wy * wy + wz * wz AS ww,
+         ((wy * uz - wz * uy) * vv + (vy * wz - vz * wy) * uu) / (2 * ww) AS fx,
+         ((wz * ux - wx * uz) * vv + (vz * wx - vx * wz) * uu) / (2 * ww) AS fy,
+         ((wx * uy - wy * ux) * vv + (vx * wy - vy * wx) * uu) / (2 * ww) AS fz
+  FROM crossed WHERE wx * wx + wy * wy + wz * wz > 1e-12 * uu * vv),
+rises AS (
+  SELECT *, sqrt((36 - fx * fx - fy * fy - fz * fz) / ww) AS k FROM feet
+  WHERE fx * fx + fy * fy + fz * fz <= 36),
+candidates AS (
+  SELECT snapshot_id, atom_id, fx + wx * k AS zx, fy + wy * k AS zy, fz + wz * k AS zz FROM rises
+  UNION ALL SELECT snapshot_id, atom_id, fx - wx * k, fy - wy * k, fz - wz * k FROM rises
+  UNION ALL SELECT * FROM circles),
+hopeful AS (
+  SELECT snapshot_id, atom_id, zx, zy, zz FROM candidates JOIN lists USING (snapshot_id, atom_id)
+  WHERE list_min([power(zx - n.x, 2) + power(zy - n.y, 2) + power(zz - n.z, 2) FOR n IN first])
+        >= power(6 - 1e-7, 2)),
+exposed AS (
+  SELECT DISTINCT snapshot_id, atom_id FROM hopeful JOIN lists USING (snapshot_id, atom_id)
+  WHERE list_min([power(zx - n.x, 2) + power(zy - n.y, 2) + power(zz - n.z, 2) FOR n IN others])
+        >= power(6 - 1e-7, 2)),
+surface AS (
+  SELECT * FROM exposed
+  UNION ALL SELECT snapshot_id, atom_id FROM cloud ANTI JOIN near USING (snapshot_id, atom_id))"""
+
 _PERIODIC = [CLOUD, SITES, BOXES, WRAPPED, assigned(), OCCUPIED]
 _AFFINE = [CLOUD, SITES, BOXES, WRAPPED, assigned(affine=True), OCCUPIED]
 
@@ -94,6 +144,13 @@ SELECT a.snapshot_id, a.atom_id, b.atom_id AS other_id,
        round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)), 6) AS distance
 FROM cloud a JOIN cloud b ON a.snapshot_id = b.snapshot_id AND a.atom_id < b.atom_id
 WHERE power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) < 0.01"""),
+    "surface_atoms": with_([CLOUD, SURFACE], "SELECT snapshot_id, atom_id FROM surface"),
+    "surface_distance": with_([CLOUD, SURFACE], """
+SELECT a.snapshot_id, a.atom_id, round(min(sqrt(
+         power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))), 6) AS surface_distance
+FROM cloud a JOIN (SELECT * FROM cloud SEMI JOIN surface USING (snapshot_id, atom_id)) b
+     ON a.snapshot_id = b.snapshot_id
+GROUP BY ALL HAVING surface_distance < 4"""),
     "ws_occupancy": with_(_PERIODIC, """
 SELECT s.snapshot_id, site_id, coalesce(k, 0) AS occupancy
 FROM (SELECT DISTINCT snapshot_id FROM wrapped) s CROSS JOIN sites

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from checks.fixtures import boxes_supplier, cloud_embeddings, cloud_lineitem, reference_box, sites_lattice
 from checks.registry_features import rounded
-from voidscope.operators import neighbors
+from voidscope.operators import neighbors, surface
 from voidscope.operators import wigner_seitz as ws
 
 PAIR_RADIUS = 4.0
+PROBE_RADIUS = 6.0
+NEAR_SURFACE = 4.0
 
 
 def analysis(spark, sf_dir, affine: bool = False) -> ws.WignerSeitz:
@@ -38,6 +40,9 @@ QUERIES = {
     "radius_pairs_pbc": lambda s, d: rounded(
         neighbors.radius_pairs(cloud_lineitem(s, d), PAIR_RADIUS, boxes_supplier(s, d))),
     "radius_pairs_embedded": lambda s, d: rounded(neighbors.radius_pairs(cloud_embeddings(s, d), 0.1)),
+    "surface_atoms": lambda s, d: surface.surface_atoms(cloud_lineitem(s, d), PROBE_RADIUS),
+    "surface_distance": lambda s, d: rounded(
+        surface.within_surface(cloud_lineitem(s, d), NEAR_SURFACE, PROBE_RADIUS)),
     "ws_occupancy": lambda s, d: analysis(s, d).occupancy(),
     "ws_vacancies": lambda s, d: rounded(analysis(s, d).vacancies()),
     "ws_vacancies_affine": lambda s, d: rounded(analysis(s, d, affine=True).vacancies()),

@@ -1,7 +1,7 @@
 """Radius and nearest-neighbor joins on a cell grid, open or periodic.
 
-Both joins bucket one side into cells of edge ``2 * reach`` and repeat the other side into the cells its
-reach touches (about eight), so the match is an equi-join on cell keys. The nearest join is exact for
+Both joins bucket one side into cells of one or two reaches and repeat the other side into the cells its
+reach touches (27 or 8), so the match is an equi-join on cell keys. The nearest join is exact for
 any layout:
 
 * a neighbor found within the reach is certified, because every site that close was a candidate;
@@ -23,7 +23,7 @@ from voidscope.session import stage
 
 AXES = "xyz"
 POINT = ["snapshot_id", "atom_id"]
-START_REACH = 0.8  # in mean site spacings: just above the deepest hole of a close-packed lattice
+START_REACH = 1.25  # in mean site spacings; the deepest hole of a close-packed lattice is at 0.8
 REACH_ROUNDS = 2
 CROWDED = 256  # sites per cell beyond which its surroundings go down the tree
 LEAF = 32
@@ -55,9 +55,10 @@ def _steps(start: Column, stop: Column) -> Column:
     return F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<long>"))
 
 
-def _touched(u: Column, reach: Column, low: Column | None, high: Column | None, period: Column | None) -> Column:
-    """Cells of edge ``2 * reach`` on one axis that hold any (image of a) site within ``reach`` of ``u``."""
-    width, reach = 2 * reach, reach * (1 + SLACK)
+def _touched(u: Column, reach: Column, width: Column, low: Column | None, high: Column | None,
+             period: Column | None) -> Column:
+    """Cells of one axis that hold any (image of a) site within ``reach`` of ``u``."""
+    reach = reach * (1 + SLACK)
 
     def around(value: Column) -> Column:
         first, final = F.floor((value - reach) / width), F.floor((value + reach) / width)
@@ -108,7 +109,8 @@ def near_cells(placed: DataFrame, radius: float, periodic: bool) -> DataFrame:
     """Repeat every point into the cells of edge ``2 * radius`` its radius touches."""
     bounds = {a: (-F.col(f"l{a}") / 2, F.col(f"l{a}") / 2, F.col(f"l{a}")) if periodic else (None, None, None)
               for a in AXES}
-    return _into_cells(placed, {a: _touched(F.col(a), F.lit(float(radius)), *bounds[a]) for a in AXES})
+    reach = F.lit(float(radius))
+    return _into_cells(placed, {a: _touched(F.col(a), reach, 2 * reach, *bounds[a]) for a in AXES})
 
 
 def own_cells(placed: DataFrame, radius: float) -> DataFrame:
@@ -216,10 +218,12 @@ def _reach_round(queries: DataFrame, sites: DataFrame, setting: Setting, factor:
     """One cell join: (point, best site or NULL, certified), and the points next to crowded cells."""
     by = setting.by
     reach = F.col("g_reach") * factor
-    placed = _in_cells(sites, 2 * reach).select(
+    # shared sites are usually broadcast, so finer cells cost no shuffle and leave fewer candidates
+    width = 2 * reach if by else reach
+    placed = _in_cells(sites, width).select(
         *by, "site_id", *[F.col(a).alias(f"o{a}") for a in AXES], *CELL)
     touched = {
-        a: _touched(setting.own(a), reach, F.col(f"g_lo{a}"), F.col(f"g_hi{a}"), setting.period(a))
+        a: _touched(setting.own(a), reach, width, F.col(f"g_lo{a}"), F.col(f"g_hi{a}"), setting.period(a))
         for a in AXES
     }
     crowded = stage(

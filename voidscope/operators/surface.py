@@ -31,76 +31,139 @@ PROBE_RADIUS = 2.0
 SURFACE_DISTANCE = 2.0
 TOLERANCE = 1e-7
 CROWDED = 256  # atoms per cell of edge 4R beyond which neighbors are not listed but found on demand
-FIRST_NEIGHBORS = 24
+FIRST_NEIGHBORS = 16
 WITNESSES = 63  # uncovered centers tried per atom and round
 
 
 def _geometry(radius: float):
     """Numpy helpers over one atom's neighbor offsets, shipped to the workers by value."""
 
+    corners = {}
+
+    def pairs(count):
+        if count not in corners:
+            corners[count] = np.triu_indices(count, 1)
+        return corners[count]
+
+    def cross(u, v):
+        return np.stack([u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]])
+
     def centers(near):
         """Ball centers on every neighbor's circle and on every crossing of two circles."""
-        squared = np.einsum("ij,ij->i", near, near)
-        away = np.eye(3)[np.argmin(np.abs(near), axis=1)]
-        side = np.cross(near, away)
-        side /= np.linalg.norm(side, axis=1)[:, None]
-        on_circle = near / 2 + side * np.sqrt(np.maximum(radius**2 - squared / 4, 0))[:, None]
-        i, j = np.triu_indices(len(near), 1)
-        u, v = near[i], near[j]
-        w = np.cross(u, v)
-        ww = np.einsum("ij,ij->i", w, w)
-        keep = ww > 1e-12 * squared[i] * squared[j]
-        u, v, w, ww, uu, vv = u[keep], v[keep], w[keep], ww[keep], squared[i][keep], squared[j][keep]
-        foot = (np.cross(w, u) * vv[:, None] + np.cross(v, w) * uu[:, None]) / (2 * ww)[:, None]
-        left = radius**2 - np.einsum("ij,ij->i", foot, foot)
-        real = left >= 0
-        rise = w[real] * np.sqrt(left[real] / ww[real])[:, None]
-        return np.concatenate([on_circle, foot[real] + rise, foot[real] - rise])
+        near = near.T
+        squared = (near * near).sum(axis=0)
+        away = np.eye(3)[:, np.argmin(np.abs(near), axis=0)]
+        side = cross(near, away)
+        side *= np.sqrt(np.maximum(radius**2 - squared / 4, 0) / (side * side).sum(axis=0))
+        i, j = pairs(near.shape[1])
+        u, v = near[:, i], near[:, j]
+        w = cross(u, v)
+        ww, uu, vv = (w * w).sum(axis=0), squared[i], squared[j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            foot = (cross(w, u) * vv + cross(v, w) * uu) / (2 * ww)
+            left = radius**2 - (foot * foot).sum(axis=0)
+            real = (ww > 1e-12 * uu * vv) & (left >= 0)
+        foot, rise = foot[:, real], w[:, real] * np.sqrt(left[real] / ww[real])
+        return np.concatenate([near / 2 + side, foot + rise, foot - rise], axis=1).T
+
+    def nearest_gap(candidates, near):
+        """Squared distance of every center to every neighbor; centers lie at distance R."""
+        return radius**2 + (near * near).sum(axis=1) - 2 * candidates @ near.T
 
     def uncovered(candidates, near):
-        free = (radius - TOLERANCE) ** 2
-        for n in near:  # nearest first: it covers the most
-            gap = candidates - n
-            candidates = candidates[np.einsum("ij,ij->i", gap, gap) >= free]
-            if not len(candidates):
-                break
-        return candidates
+        return candidates[nearest_gap(candidates, near).min(axis=1) >= (radius - TOLERANCE) ** 2]
 
     def offsets(x, y, z):
         near = np.stack([x, y, z], axis=1)
-        near = near[np.argsort(np.einsum("ij,ij->i", near, near), kind="stable")]
         return near[np.any(near != 0, axis=1)]  # an atom at the same place covers nothing more
 
-    return centers, uncovered, offsets
+    return centers, uncovered, nearest_gap, offsets
+
+
+def _direction_tests(radius: float):
+    """Vectorized shortcuts that settle most atoms from a fixed set of directions."""
+
+    def directions(cells):
+        """Cell centers of a cube's faces, as unit vectors, and a bound on the angle to the nearest one."""
+        steps = (np.arange(cells) + 0.5) / cells * 2 - 1
+        p, q = (g.ravel() for g in np.meshgrid(steps, steps))
+        faces = []
+        for axis in range(3):
+            for sign in (-1.0, 1.0):
+                face = np.empty((len(p), 3))
+                face[:, axis], face[:, (axis + 1) % 3], face[:, (axis + 2) % 3] = sign, p, q
+                faces.append(face)
+        grid = np.concatenate(faces)
+        # projecting the cube onto the sphere shortens chords, so half a cell diagonal bounds them
+        return grid / np.linalg.norm(grid, axis=1)[:, None], 2 * np.arcsin(2**0.5 / cells / 2)
+
+    def settle(near, starts, cells):
+        """(exposed, interior) per atom: some direction touched by no neighbor's cap, or every direction
+        inside a cap with room for the spacing of the directions."""
+        grid, spacing = directions(cells)
+        norm = np.sqrt(np.einsum("ij,ij->i", near, near))
+        cap = np.arccos(np.minimum(norm / (2 * radius), 1.0))
+        along = (near / norm[:, None]) @ grid.T
+        touched = np.logical_or.reduceat(along > np.cos(cap)[:, None], starts, axis=0)
+        safe = np.where(cap > spacing, np.cos(cap - spacing), 2.0)
+        inside = np.logical_or.reduceat(along >= safe[:, None], starts, axis=0)
+        return ~touched.all(axis=1), inside.all(axis=1)
+
+    return settle
 
 
 def _is_exposed(radius: float) -> Column:
-    centers, uncovered, offsets = _geometry(radius)
+    centers, uncovered, nearest_gap, offsets = _geometry(radius)
+    settle = _direction_tests(radius)
+
+    def exactly(near):
+        near = near[np.argsort(np.einsum("ij,ij->i", near, near), kind="stable")]
+        chosen = np.arange(min(FIRST_NEIGHBORS, len(near)))
+        while True:
+            free = uncovered(centers(near[chosen]), near[chosen])
+            if not len(free):
+                return False  # a subset already covers the sphere
+            gaps = nearest_gap(free, near)
+            if len(chosen) == len(near) or np.any(gaps.min(axis=1) >= (radius - TOLERANCE) ** 2):
+                return True
+            chosen = np.union1d(chosen, gaps.argmin(axis=1))
 
     def exposed(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.Series:
-        out = []
-        for x, y, z in zip(xs, ys, zs):
+        answer = np.zeros(len(xs), dtype=bool)
+        pending = []
+        for at, (x, y, z) in enumerate(zip(xs, ys, zs)):
             near = offsets(x, y, z)
-            chosen = np.arange(min(FIRST_NEIGHBORS, len(near)))
-            answer = len(near) == 0
-            while not answer:
-                free = uncovered(centers(near[chosen]), near[chosen])
-                if not len(free):
-                    break  # a subset already covers the sphere
-                gaps = np.linalg.norm(free[:, None, :] - near[None, :, :], axis=2)
-                if len(chosen) == len(near) or np.any(gaps.min(axis=1) >= radius - TOLERANCE):
-                    answer = True
-                else:
-                    chosen = np.union1d(chosen, gaps.argmin(axis=1))
-            out.append(answer)
-        return pd.Series(out, dtype=bool)
+            if len(near):
+                pending.append((at, near))
+            else:
+                answer[at] = True
+        for cells in (3, 10):
+            unsettled, begin = [], 0
+            while begin < len(pending):
+                end, rows = begin, 0  # a slice of atoms with a bounded number of neighbor rows
+                while end < len(pending) and (rows == 0 or rows + len(pending[end][1]) <= 2000):
+                    rows += len(pending[end][1])
+                    end += 1
+                part = pending[begin:end]
+                sizes = np.array([len(n) for _, n in part])
+                free, inside = settle(
+                    np.concatenate([n for _, n in part]), np.concatenate([[0], np.cumsum(sizes)[:-1]]), cells)
+                for (at, near), out, done in zip(part, free, free | inside):
+                    answer[at] = out
+                    if not done:
+                        unsettled.append((at, near))
+                begin = end
+            pending = unsettled
+        for at, near in pending:
+            answer[at] = exactly(near)
+        return pd.Series(answer)
 
     return F.pandas_udf(exposed, BooleanType())("_dx", "_dy", "_dz")
 
 
 def _free_centers(radius: float) -> Column:
     """Up to WITNESSES uncovered centers given the neighbors known so far; eight corners without any."""
-    centers, uncovered, offsets = _geometry(radius)
+    centers, uncovered, _, offsets = _geometry(radius)
 
     def free(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.Series:
         corners = np.array([[a, b, c] for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)]) * radius / 3**0.5
