@@ -20,7 +20,7 @@ def sites(spark, positions):
 def boxes(spark, edges, low=0.0):
     """edges: snapshot -> (lx, ly, lz)"""
     return spark.createDataFrame(
-        [(s, *[v for e in edge for v in (low, low + e)]) for s, edge in edges.items()], BOXES)
+        [(s, *[v for e in edge for v in (float(low), float(low + e))]) for s, edge in edges.items()], BOXES)
 
 
 def ref_box(edge, low=0.0):

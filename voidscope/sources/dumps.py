@@ -22,19 +22,24 @@ COUNT_MARK = "ITEM: NUMBER OF ATOMS"
 BOUNDS_MARK = "ITEM: BOX BOUNDS"
 SKIPPED_ENDING = "_surface_normalized.dump"
 MAX_EXTRA = 7
+FILE_NAME = r"([^/]+)$"
 FALLBACK_COLUMNS = {"x": 2, "y": 3, "z": 4}
 
 OK, NO_ATOMS, NO_COORDINATES, BAD_VALUE = "ok", "no atoms section", "missing x, y or z", "bad value"
 FAILED_NAMES = 10
 
 
-def _name(pattern: str | None) -> Column:
-    path = F.col("_metadata.file_path")
-    return F.col("_metadata.file_name") if pattern is None else F.regexp_extract(path, pattern, 1)
+def _name(path: Column, pattern: str) -> Column:
+    """Snapshot name by the first group of ``pattern``, percent codes undone."""
+    return F.url_decode(F.regexp_replace(F.regexp_extract(path, pattern, 1), r"\+", "%2B"))
+
+
+def _stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r\f\v"))
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(F.trim(line), r"\s+")
+    return F.split(_stripped(line), r"\s+")
 
 
 def _number(parts: Column, position: Column) -> Column:
@@ -49,34 +54,36 @@ class DumpScan:
     file name.
     """
 
-    def __init__(self, spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str = FILE_NAME):
         self.spark, self.path, self.max_extra, self.name_pattern = spark, path, max_extra, name_pattern
 
     @cached_property
     def files(self) -> DataFrame:
-        """Every file, the empty ones too (no content is read)."""
-        listing = self.spark.read.format("binaryFile").load(self.path)
-        return listing.select(_name(self.name_pattern).alias("file")).filter(
-            ~F.col("file").endswith(SKIPPED_ENDING))
+        """Every file by Spark's own listing; empty files have no lines to show up by."""
+        listed = [(path,) for path in self.spark.read.text(self.path).inputFiles()]
+        return self.spark.createDataFrame(listed, "path string").select(
+            _name(F.col("path"), self.name_pattern).alias("file")
+        ).filter(~F.col("file").endswith(SKIPPED_ENDING))
 
     @cached_property
     def _lines(self) -> DataFrame:
         """Lines with what their own block says: the last mark so far and running counts."""
         raw = self.spark.read.text(self.path).select(
-            _name(self.name_pattern).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            _name(F.col("_metadata.file_path"), self.name_pattern).alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("pos"), "value",
         ).filter(~F.col("file").endswith(SKIPPED_ENDING))
         upto = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         mark = F.col("value").startswith(MARK)
-        row = ~mark & (F.length(F.trim("value")) > 0)
+        row = ~mark & (F.length(_stripped(F.col("value"))) > 0)
         counted = raw.withColumns({
             "is_mark": mark,
             "is_row": row,
             "rows": F.sum(row.cast("long")).over(upto),
             "frames": F.sum(F.col("value").startswith(ATOMS_MARK).cast("long")).over(upto),
         })
-        opened = F.when(F.col("is_mark"), F.struct("rows", "frames", F.trim("value").alias("header")))
+        opened = F.when(F.col("is_mark"), F.struct("rows", "frames", _stripped(F.col("value")).alias("header")))
         return stage(
             counted.withColumn("here", F.last(opened, ignorenulls=True).over(upto)), "lines")
 
@@ -179,7 +186,7 @@ class DumpScan:
         per_file = bounds.groupBy("file").agg(
             *[c.alias(n) for n, c in values.items()], F.first(flags).alias("boundary"))
         counts = self._rows(COUNT_MARK).filter("row = 0").select(
-            "file", F.trim("value").try_cast("long").alias("declared_atoms"))
+            "file", _stripped(F.col("value")).try_cast("long").alias("declared_atoms"))
         complete = " and ".join(f"{n} is not null" for n in values)
         return per_file.filter(complete).join(counts, "file", "left").withColumnRenamed("file", "snapshot_id")
 
@@ -210,7 +217,7 @@ class DumpScan:
         return rows.withColumns(out).select("snapshot_id", "atom_id", "x", "y", "z").dropna()
 
 
-def scan_dumps(spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str | None = None) -> DumpScan:
+def scan_dumps(spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str = FILE_NAME) -> DumpScan:
     return DumpScan(spark, path, max_extra, name_pattern)
 
 
