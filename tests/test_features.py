@@ -156,6 +156,19 @@ def test_sampling_is_repeatable_and_capped(spark):
     assert first == {tuple(r) for r in bandwidth.sample_points(table.repartition(7)).collect()}
 
 
+def test_large_snapshots_are_thinned_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    table = points(spark, {0: rng.random((3000, 3)), 1: rng.random((900, 3)), 2: rng.random((70, 3))})
+    # snapshot 3 has ids whose keys are all large, so thinning leaves it short
+    key = lambda i: (i % 2**32) * bandwidth.SCRAMBLE % 2**32
+    high = [i for i in range(9000) if key(i) > 2**32 * 0.7][:1000]
+    table = table.unionByName(spark.createDataFrame([(3, i, 0.0, 1.0, 2.0) for i in high], table.schema))
+    wanted = {tuple(r) for r in bandwidth.sample_points(table, 20).collect()}
+    monkeypatch.setattr(bandwidth, "LARGE", 800)
+    assert {tuple(r) for r in bandwidth.sample_points(table, 20).collect()} == wanted
+    assert len(wanted) == 80
+
+
 def test_knn_rank(spark):
     table = points(spark, {0: [[float(i), 0, 0] for i in range(6)]})
     got = {r["atom_id"]: r["kth_distance"] for r in bandwidth.knn_distance(table, k=2).collect()}

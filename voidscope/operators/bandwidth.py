@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from voidscope.functions.spread import attach, last_chunk
+from voidscope.operators.neighbors import nearest_other
+from voidscope.session import stage
+
 # Sample cap, neighbor share, smallest cloud, sampling multiplier (odd, below 2^31).
 SAMPLE_CAP = 500
 QUANTILE = 0.2
 MIN_POINTS = 10
 SCRAMBLE = 1597334677
+LARGE = 1 << 17  # points from which a snapshot is thinned before sampling
 
 
 def sample_key(atom_id: str = "atom_id") -> Column:
@@ -20,15 +25,33 @@ def sample_key(atom_id: str = "atom_id") -> Column:
     return ((F.col(atom_id) % (1 << 32)) * F.lit(SCRAMBLE)) % (1 << 32)
 
 
-def sample_points(points: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
-    """At most ``cap`` points per snapshot; map tasks keep only their own first ``cap`` before the shuffle."""
+def _first_by_key(points: DataFrame, cap: int) -> DataFrame:
     order = Window.partitionBy("snapshot_id").orderBy(sample_key(), "atom_id")
-    return (
-        points.select("snapshot_id", "atom_id", "x", "y", "z")
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= cap)
-        .drop("_rank")
-    )
+    return points.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
+
+
+def sample_points(points: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
+    """The ``cap`` points of every snapshot with the smallest keys.
+
+    Map tasks keep only their own first ``cap`` before the shuffle. In a large snapshot, points with a
+    key beyond about eight times the expected limit are skipped first, so that the sum of all map tasks'
+    shares stays small too; where fewer than ``cap`` points pass, the snapshot is sampled without it.
+    """
+    points = points.select("snapshot_id", "atom_id", "x", "y", "z")
+    large = stage(
+        points.groupBy("snapshot_id").agg(F.count("*").alias("_n"), last_chunk())
+        .filter(F.col("_n") > LARGE).withColumn("_limit", F.lit(2.0**32 * 8 * cap) / F.col("_n")).drop("_n"),
+        "large")
+    if large.isEmpty():
+        return _first_by_key(points, cap)
+    small = points.join(large.select("snapshot_id"), "snapshot_id", "left_anti")
+    likely = attach(points, large).filter(sample_key() < F.col("_limit")).drop("_limit")
+    sampled = stage(_first_by_key(likely, cap), "sampled")
+    full = sampled.groupBy("snapshot_id").count().filter(F.col("count") == cap).select("snapshot_id")
+    rest = points.join(
+        large.select("snapshot_id").join(full, "snapshot_id", "left_anti"), "snapshot_id", "left_semi")
+    return _first_by_key(small, cap).unionByName(sampled.join(full, "snapshot_id", "left_semi")).unionByName(
+        _first_by_key(rest, cap))
 
 
 def _sampled_clouds(points: DataFrame, cap: int) -> DataFrame:
@@ -88,9 +111,6 @@ def sampled_bandwidth(points: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
 def ms_bandwidth(points: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
     """:func:`sampled_bandwidth`, or twice the mean nearest-neighbor distance of the whole cloud where
     the sample's k-th neighbors all coincide."""
-    from voidscope.operators.neighbors import nearest_other
-    from voidscope.session import stage
-
     sampled = stage(sampled_bandwidth(points, cap), "bandwidth")
     flat = sampled.filter(F.col("ms_bandwidth") <= 0).select("snapshot_id")
     if flat.isEmpty():

@@ -12,7 +12,7 @@ any layout:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ AXES = "xyz"
 POINT = ["snapshot_id", "atom_id"]
 START_REACH = 1.25  # in mean site spacings; the deepest hole of a close-packed lattice is at 0.8
 REACH_ROUNDS = 2
+FEW_SITES = 500_000  # shared sites up to this number (about 30 MB) are broadcast
 CROWDED = 256  # sites per cell beyond which its surroundings go down the tree
 LEAF = 32
 MAX_DEPTH = 30
@@ -119,10 +120,14 @@ def own_cells(placed: DataFrame, radius: float) -> DataFrame:
 
 
 def pairs_within(queries: DataFrame, others: DataFrame, radius: float, periodic: bool) -> DataFrame:
-    """Ordered pairs of different points closer than ``radius``, with the offset ``dx, dy, dz`` and ``d2``."""
-    located = own_cells(others, radius).select(
+    """Ordered pairs of different points closer than ``radius``, with the offset ``dx, dy, dz`` and ``d2``.
+
+    The others are repeated, so all partners of a query point come from one task and a following
+    aggregation per point combines them before its shuffle.
+    """
+    repeated = near_cells(others, radius, periodic).select(
         "snapshot_id", F.col("atom_id").alias("other_id"), *[F.col(a).alias(f"o{a}") for a in AXES], *CELL)
-    joined = near_cells(queries, radius, periodic).join(located, ["snapshot_id", *CELL]).filter(
+    joined = own_cells(queries, radius).join(repeated, ["snapshot_id", *CELL]).filter(
         F.col("atom_id") != F.col("other_id"))
     offset = {a: F.col(f"o{a}") - F.col(a) for a in AXES}
     if periodic:
@@ -143,6 +148,7 @@ class Setting:
     periodic: bool
     stretched: bool
     exclude_self: bool = False
+    few_sites: bool = False
 
     def stretch(self, a: str) -> Column:
         return F.col(f"s{a}") if self.stretched else F.lit(1.0)
@@ -218,10 +224,12 @@ def _reach_round(queries: DataFrame, sites: DataFrame, setting: Setting, factor:
     """One cell join: (point, best site or NULL, certified), and the points next to crowded cells."""
     by = setting.by
     reach = F.col("g_reach") * factor
-    # shared sites are usually broadcast, so finer cells cost no shuffle and leave fewer candidates
-    width = 2 * reach if by else reach
+    # few sites are broadcast, where finer cells cost no shuffle and leave fewer candidates
+    width = reach if setting.few_sites else 2 * reach
     placed = _in_cells(sites, width).select(
         *by, "site_id", *[F.col(a).alias(f"o{a}") for a in AXES], *CELL)
+    if setting.few_sites:
+        placed = F.broadcast(placed)
     touched = {
         a: _touched(setting.own(a), reach, width, F.col(f"g_lo{a}"), F.col(f"g_hi{a}"), setting.period(a))
         for a in AXES
@@ -326,9 +334,12 @@ def _tree_descent(queries: DataFrame, sites: DataFrame, setting: Setting) -> Dat
 
 def nearest(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
     """Exact nearest site of every query point: ``site_id`` and squared distance ``d2``."""
-    grid = _site_grid(sites, setting.by)
     if setting.by:
-        grid = stage(grid, "grid")
+        grid = stage(_site_grid(sites, setting.by), "grid")
+    else:
+        sites = stage(sites.select("site_id", *AXES), "sites")
+        grid = _site_grid(sites, setting.by)
+        setting = replace(setting, few_sites=sites.count() <= FEW_SITES)
     queries = _with_grid(queries.select(*setting.query_columns()), grid, setting.by, "atom_id")
     sites = _with_grid(sites.select(*setting.by, "site_id", *AXES), grid, setting.by, "site_id")
     answers, descending, remaining = [], [], queries

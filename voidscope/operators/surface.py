@@ -192,7 +192,9 @@ def surface_atoms(
     beside = stage(
         near_cells(placed, reach, periodic).join(crowded, ["snapshot_id", *CELL], "left_semi")
         .select(*POINT).distinct(), "beside")
-    sparse = _listed(placed.join(beside, POINT, "left_anti"), placed, probe_radius, periodic)
+    # nothing in a crowded cell is within reach of the points away from them
+    roomy = own_cells(placed, reach).join(crowded, ["snapshot_id", *CELL], "left_anti").drop(*CELL)
+    sparse = _listed(placed.join(beside, POINT, "left_anti"), roomy, probe_radius, periodic)
     dense = _on_demand(placed.join(beside, POINT, "left_semi"), placed, probe_radius, periodic)
     return sparse.unionByName(dense)
 

@@ -120,7 +120,8 @@ class WignerSeitz:
     def interstitials(self) -> DataFrame:
         """Atoms beyond the lowest-numbered one of their site, with their (wrapped) positions."""
         rightful = self._occupied.select("snapshot_id", F.col("first_atom").alias("atom_id"))
-        extra = self.assignment.join(rightful, POINT, "left_anti").select(*POINT, "site_id")
+        # usually few, and staged so that the join below can see that
+        extra = stage(self.assignment.join(rightful, POINT, "left_anti").select(*POINT, "site_id"), "extra")
         placed = pbc_wrap(self.points, self.boxes) if self.periodic else self.points.select(*POINT, *AXES)
         return extra.join(placed, POINT).select(*POINT, "site_id", *AXES)
 
