@@ -43,37 +43,41 @@ def _vec(name: str) -> list[Column]:
     return [F.col(f"{name}_{i}") for i in range(3)]
 
 
-def _named(name: str, parts) -> dict[str, Column]:
-    return {f"{name}_{i}": p for i, p in enumerate(parts)}
+def _add(steps: dict[str, Column], name: str, parts) -> list[Column]:
+    """Name the three parts of a vector as steps and return references to them."""
+    steps.update({f"{name}_{i}": part for i, part in enumerate(parts)})
+    return _vec(name)
 
 
-def with_eigenvalues(df: DataFrame, entries: tuple[str, ...], names: tuple[str, str, str]) -> DataFrame:
-    """Eigenvalues of a symmetric 3x3 matrix, largest first, by the trigonometric closed form.
+def _with_steps(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """One SELECT whose later columns refer to earlier ones; names starting with ``_`` are dropped."""
+    return df.select("*", *[c.alias(name) for name, c in steps.items()]).drop(
+        *[name for name in steps if name.startswith("_")])
 
-    ``entries`` names the columns xx, yy, zz, xy, xz, yz.
-    """
+
+def _eigenvalue_steps(entries: tuple[str, ...], names: tuple[str, str, str]) -> dict[str, Column]:
     xx, yy, zz, xy, xz, yz = (F.col(c) for c in entries)
-    df = df.withColumn("_q", (xx + yy + zz) / 3)
-    q = F.col("_q")
-    square = (
-        (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q)
-        + 2 * (xy * xy + xz * xz + yz * yz)
-    )
-    df = df.withColumn("_p", F.sqrt(square / 6))
+    q, p, phi = F.col("_q"), F.col("_p"), F.col("_phi")
     a, b, c = xx - q, yy - q, zz - q
     determinant = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
-    p = F.col("_p")
-    df = df.withColumn(
-        "_r",
-        F.when(p > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), determinant / (2 * p * p * p))))
+    return {
+        "_q": (xx + yy + zz) / 3,
+        "_p": F.sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6),
+        "_r": F.when(p > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), determinant / (2 * p * p * p))))
         .when(p.isNotNull(), F.lit(0.0)),
-    ).withColumn("_phi", F.acos("_r") / 3)
-    first = q + 2 * p * F.cos("_phi")
-    third = q + 2 * p * F.cos(F.col("_phi") + 2 * math.pi / 3)
-    return df.withColumns({
-        names[0]: first,
-        names[2]: third,
-    }).withColumn(names[1], 3 * q - F.col(names[0]) - F.col(names[2])).drop("_q", "_p", "_phi")
+        "_phi": F.acos("_r") / 3,
+        names[0]: q + 2 * p * F.cos(phi),
+        names[2]: q + 2 * p * F.cos(phi + 2 * math.pi / 3),
+        names[1]: 3 * q - F.col(names[0]) - F.col(names[2]),
+    }
+
+
+def with_eigenvalues(df: DataFrame, entries: tuple[str, ...], names: tuple[str, str, str]) -> DataFrame:
+    """Eigenvalues of a symmetric 3x3 matrix, largest first, by the trigonometric closed form.
+
+    ``entries`` names the columns xx, yy, zz, xy, xz, yz.
+    """
+    return _with_steps(df, _eigenvalue_steps(entries, names))
 
 
 def with_principal_axes(df: DataFrame, entries: tuple[str, ...]) -> DataFrame:
@@ -82,71 +86,63 @@ def with_principal_axes(df: DataFrame, entries: tuple[str, ...]) -> DataFrame:
     The eigenvector of the better separated end of the spectrum comes from a cross product of matrix
     rows; the middle one is solved in the plane orthogonal to it. A triple root keeps the given axes.
     """
-    df = with_eigenvalues(df, entries, ("l1", "l2", "l3"))
+    steps = _eigenvalue_steps(entries, ("l1", "l2", "l3"))
     xx, yy, zz, xy, xz, yz = (F.col(c) for c in entries)
-    top_first = F.col("_r") >= 0
-    df = df.withColumn("_top", top_first).withColumn(
-        "_e", F.when(F.col("_top"), F.col("l1")).otherwise(F.col("l3")))
+    steps["_top"] = F.col("_r") >= 0
+    top = F.col("_top")
+    steps["_e"] = F.when(top, F.col("l1")).otherwise(F.col("l3"))
     e = F.col("_e")
     rows = ([xx - e, xy, xz], [xy, yy - e, yz], [xz, yz, zz - e])
+    crosses = []
     for name, (i, j) in {"_ca": (0, 1), "_cb": (0, 2), "_cc": (1, 2)}.items():
-        df = df.withColumns(_named(name, _cross(rows[i], rows[j])))
-        df = df.withColumn(f"{name}_n", _dot(_vec(name), _vec(name)))
-    na, nb, nc = F.col("_ca_n"), F.col("_cb_n"), F.col("_cc_n")
-    df = df.withColumn("_n", F.greatest(na, nb, nc))
-    unit = [
-        F.when(F.col("_n") <= 0, F.lit(1.0 if i == 0 else 0.0)).otherwise(
-            F.when(na >= F.greatest(nb, nc), F.col(f"_ca_{i}"))
-            .when(nb >= nc, F.col(f"_cb_{i}"))
-            .otherwise(F.col(f"_cc_{i}")) / F.sqrt("_n"))
+        vector = _add(steps, name, _cross(rows[i], rows[j]))
+        steps[f"{name}_n"] = _dot(vector, vector)
+        crosses.append((vector, F.col(f"{name}_n")))
+    (ca, na), (cb, nb), (cc, nc) = crosses
+    steps["_n"] = F.greatest(na, nb, nc)
+    longest = [
+        F.when(na >= F.greatest(nb, nc), ca[i]).when(nb >= nc, cb[i]).otherwise(cc[i]) / F.sqrt("_n")
         for i in range(3)
     ]
-    df = df.withColumns(_named("_v", unit))
-    v = _vec("_v")
+    v = _add(steps, "_v", [
+        F.when(F.col("_n") > 0, longest[i]).otherwise(F.lit(1.0 if i == 0 else 0.0)) for i in range(3)])
     wide = F.abs(v[0]) > F.abs(v[1])
-    df = df.withColumn("_len", F.when(wide, F.sqrt(v[0] * v[0] + v[2] * v[2]))
-                       .otherwise(F.sqrt(v[1] * v[1] + v[2] * v[2])))
+    steps["_len"] = F.sqrt(F.when(wide, v[0] * v[0]).otherwise(v[1] * v[1]) + v[2] * v[2])
     length = F.col("_len")
-    df = df.withColumns(_named("_u", [
+    u = _add(steps, "_u", [
         F.when(wide, -v[2] / length).otherwise(0.0),
         F.when(wide, F.lit(0.0)).otherwise(v[2] / length),
         F.when(wide, v[0] / length).otherwise(-v[1] / length),
-    ]))
-    df = df.withColumns(_named("_w", _cross(_vec("_v"), _vec("_u"))))
-    u, w = _vec("_u"), _vec("_w")
-    applied = lambda t: [  # noqa: E731 - matrix times vector
-        xx * t[0] + xy * t[1] + xz * t[2], xy * t[0] + yy * t[1] + yz * t[2], xz * t[0] + yz * t[1] + zz * t[2]]
-    df = df.withColumns(_named("_au", applied(u))).withColumns(_named("_aw", applied(w)))
-    df = df.withColumns({
-        "_m00": _dot(u, _vec("_au")) - F.col("l2"),
-        "_m01": _dot(u, _vec("_aw")),
-        "_m11": _dot(w, _vec("_aw")) - F.col("l2"),
-    })
+    ])
+    w = _add(steps, "_w", _cross(v, u))
+
+    def applied(t):
+        return [xx * t[0] + xy * t[1] + xz * t[2], xy * t[0] + yy * t[1] + yz * t[2], xz * t[0] + yz * t[1] + zz * t[2]]
+
+    au, aw = _add(steps, "_au", applied(u)), _add(steps, "_aw", applied(w))
+    steps["_m00"] = _dot(u, au) - F.col("l2")
+    steps["_m01"] = _dot(u, aw)
+    steps["_m11"] = _dot(w, aw) - F.col("l2")
     m00, m01, m11 = F.col("_m00"), F.col("_m01"), F.col("_m11")
     left = F.abs(m00) >= F.abs(m11)
-    df = df.withColumns({
-        "_su": F.when(left, m01).otherwise(m11),
-        "_sw": F.when(left, -m00).otherwise(-m01),
-    }).withColumn("_sn", F.sqrt(F.col("_su") * F.col("_su") + F.col("_sw") * F.col("_sw")))
-    middle = [
-        F.when(F.col("_sn") > 0, (F.col("_su") * u[i] + F.col("_sw") * w[i]) / F.col("_sn")).otherwise(u[i])
-        for i in range(3)
-    ]
-    df = df.withColumns(_named("_m", middle))
-    df = df.withColumns(_named("_o", _cross(_vec("_v"), _vec("_m"))))
+    steps["_su"] = F.when(left, m01).otherwise(m11)
+    steps["_sw"] = F.when(left, -m00).otherwise(-m01)
+    su, sw, sn = F.col("_su"), F.col("_sw"), F.col("_sn")
+    steps["_sn"] = F.sqrt(su * su + sw * sw)
+    middle = _add(steps, "_m", [
+        F.when(sn > 0, (su * u[i] + sw * w[i]) / sn).otherwise(u[i]) for i in range(3)])
+    other = _add(steps, "_o", _cross(v, middle))
     axes = {
-        "1": [F.when(F.col("_top"), F.col(f"_v_{i}")).otherwise(F.col(f"_o_{i}")) for i in range(3)],
-        "2": _vec("_m"),
-        "3": [F.when(F.col("_top"), F.col(f"_o_{i}")).otherwise(F.col(f"_v_{i}")) for i in range(3)],
+        1: [F.when(top, v[i]).otherwise(other[i]) for i in range(3)],
+        2: middle,
+        3: [F.when(top, other[i]).otherwise(v[i]) for i in range(3)],
     }
-    df = df.withColumns({f"_a{k}_{i}": axes[k][i] for k in axes for i in range(3)})
-    for k in axes:
-        x, y, z = _vec(f"_a{k}")
+    for k, axis in axes.items():
+        x, y, z = _add(steps, f"_a{k}", axis)
         largest = (
             F.when((F.abs(x) >= F.abs(y)) & (F.abs(x) >= F.abs(z)), x).when(F.abs(y) >= F.abs(z), y).otherwise(z)
         )
-        df = df.withColumn(f"_s{k}", F.when(largest < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
-    df = df.withColumns({
-        f"r{k}{i + 1}": F.col(f"_s{k}") * F.col(f"_a{k}_{i}") for k in axes for i in range(3)
-    })
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+        steps[f"_s{k}"] = F.when(largest < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        for i, part in enumerate((x, y, z)):
+            steps[f"r{k}{i + 1}"] = F.col(f"_s{k}") * part
+    return _with_steps(df, steps)

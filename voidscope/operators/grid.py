@@ -59,35 +59,31 @@ def _adjacent(step: int, axis: int) -> Column:
 
 def grid_columns(totals: DataFrame, epsilon: float = GRID_EPSILON) -> DataFrame:
     """Turn :func:`cell_aggregates` columns into the fourteen grid features."""
-    occupied = F.coalesce(F.col("_n"), F.lit(0)).cast("double")
-    df = totals.withColumn("occupancy_total", occupied)
     total = F.col("occupancy_total")
-    df = df.withColumn("occupancy_fraction", total / GRID**3)
-    for axis in "xyz":
-        df = df.withColumn(f"occupancy_{axis}_mean", total / GRID**2)
+    steps = {
+        "occupancy_total": F.coalesce(F.col("_n"), F.lit(0)).cast("double"),
+        "occupancy_fraction": total / GRID**3,
+        **{f"occupancy_{axis}_mean": total / GRID**2 for axis in "xyz"},
+    }
     for position, axis in enumerate("xyz"):
         changes = F.col(f"_neighbors_{axis}") - 2 * _adjacent(GRID ** (2 - position), position)
-        df = df.withColumn(
-            f"occupancy_gradient_{axis}", F.when(total > 0, changes.cast("double")).otherwise(0.0))
-    df = df.withColumn(
-        "occupancy_gradient_total",
-        F.col("occupancy_gradient_x") + F.col("occupancy_gradient_y") + F.col("occupancy_gradient_z"),
-    ).withColumn("occupancy_surface", F.col("occupancy_gradient_total"))
-    df = df.withColumn("grid_entropy", F.when(total > 0, -F.log(1 / total + epsilon)).otherwise(0.0))
+        steps[f"occupancy_gradient_{axis}"] = F.when(total > 0, changes.cast("double")).otherwise(0.0)
+    steps["occupancy_gradient_total"] = (
+        F.col("occupancy_gradient_x") + F.col("occupancy_gradient_y") + F.col("occupancy_gradient_z"))
+    steps["occupancy_surface"] = F.col("occupancy_gradient_total")
+    steps["grid_entropy"] = F.when(total > 0, -F.log(1 / total + epsilon)).otherwise(0.0)
     for name in _SCATTER:
         a, b = name[2], name[3]
         # integer sums: n * sum(ab) - sum(a) * sum(b) is exact before the one division
-        df = df.withColumn(name, F.when(
+        steps[name] = F.when(
             total > 0, (F.col("_n") * F.col(f"_{a}{b}") - F.col(f"_{a}") * F.col(f"_{b}")) / total
-        ).otherwise(0.0))
+        ).otherwise(0.0)
+    df = totals.select("*", *[c.alias(name) for name, c in steps.items()])
     df = with_eigenvalues(df, _SCATTER, ("_e1", "_e2", "_e3"))
     trace = F.col("_cxx") + F.col("_cyy") + F.col("_czz")
     # a rod of cells has one zero moment; keep rounding from making it negative
     df = df.withColumns({
-        "grid_moi_1": F.greatest(F.lit(0.0), trace - F.col("_e3")),
-        "grid_moi_2": F.greatest(F.lit(0.0), trace - F.col("_e2")),
-        "grid_moi_3": F.greatest(F.lit(0.0), trace - F.col("_e1")),
-    })
+        f"grid_moi_{k}": F.greatest(F.lit(0.0), trace - F.col(f"_e{4 - k}")) for k in (1, 2, 3)})
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 

@@ -125,10 +125,12 @@ def pairs_within(queries: DataFrame, others: DataFrame, radius: float, periodic:
     The others are repeated, so all partners of a query point come from one task and a following
     aggregation per point combines them before its shuffle.
     """
+    lengths = [f"l{a}" for a in AXES] if periodic else []
     repeated = near_cells(others, radius, periodic).select(
-        "snapshot_id", F.col("atom_id").alias("other_id"), *[F.col(a).alias(f"o{a}") for a in AXES], *CELL)
-    joined = own_cells(queries, radius).join(repeated, ["snapshot_id", *CELL]).filter(
-        F.col("atom_id") != F.col("other_id"))
+        "snapshot_id", F.col("atom_id").alias("other_id"), *[F.col(a).alias(f"o{a}") for a in AXES], *lengths, *CELL)
+    # the side that is not repeated comes second and is narrower, so a small cloud is broadcast unrepeated
+    located = own_cells(queries, radius).select(*POINT, *AXES, *CELL)
+    joined = repeated.join(located, ["snapshot_id", *CELL]).filter(F.col("atom_id") != F.col("other_id"))
     offset = {a: F.col(f"o{a}") - F.col(a) for a in AXES}
     if periodic:
         offset = {a: minimum_image(offset[a], F.col(f"l{a}")) for a in AXES}
