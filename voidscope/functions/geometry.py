@@ -50,9 +50,8 @@ def _add(steps: dict[str, Column], name: str, parts) -> list[Column]:
 
 
 def _with_steps(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
-    """One SELECT whose later columns refer to earlier ones; names starting with ``_`` are dropped."""
-    return df.select("*", *[c.alias(name) for name, c in steps.items()]).drop(
-        *[name for name in steps if name.startswith("_")])
+    """One SELECT whose later columns refer to earlier ones."""
+    return df.select("*", *[c.alias(name) for name, c in steps.items()])
 
 
 def _eigenvalue_steps(entries: tuple[str, ...], names: tuple[str, str, str]) -> dict[str, Column]:
@@ -77,7 +76,7 @@ def with_eigenvalues(df: DataFrame, entries: tuple[str, ...], names: tuple[str,
 
     ``entries`` names the columns xx, yy, zz, xy, xz, yz.
     """
-    return _with_steps(df, _eigenvalue_steps(entries, names))
+    return _with_steps(df, _eigenvalue_steps(entries, names)).drop("_q", "_p", "_r", "_phi")
 
 
 def with_principal_axes(df: DataFrame, entries: tuple[str, ...]) -> DataFrame:
@@ -145,4 +144,4 @@ def with_principal_axes(df: DataFrame, entries: tuple[str, ...]) -> DataFrame:
         steps[f"_s{k}"] = F.when(largest < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
         for i, part in enumerate((x, y, z)):
             steps[f"r{k}{i + 1}"] = F.col(f"_s{k}") * part
-    return _with_steps(df, steps)
+    return _with_steps(df, steps).drop(*[name for name in steps if name.startswith("_")])

@@ -73,11 +73,14 @@ def _touched(u: Column, reach: Column, width: Column, low: Column | None, high:
     return F.array_distinct(F.flatten(F.transform(shifts, lambda s: around(u + s * period))))
 
 
-def _into_cells(df: DataFrame, touched: dict[str, Column], outer: bool = False) -> DataFrame:
-    explode = F.explode_outer if outer else F.explode
+def _into_cells(df: DataFrame, touched: dict[str, Column]) -> DataFrame:
+    """One row per touched cell; the cell is NULL (and joins nothing) where none is.
+
+    The outer form of explode keeps the optimizer from computing the cell lists once more in a filter.
+    """
     df = df.withColumns({f"_t{a}": c for a, c in touched.items()})
     for a in AXES:
-        df = df.withColumn(f"c{a}", explode(f"_t{a}")).drop(f"_t{a}")
+        df = df.withColumn(f"c{a}", F.explode_outer(f"_t{a}")).drop(f"_t{a}")
     return df
 
 
@@ -244,26 +247,16 @@ def _reach_round(queries: DataFrame, sites: DataFrame, setting: Setting, factor:
             _into_cells(queries, touched).join(crowded, [*by, *CELL], "left_semi").select(*POINT).distinct(),
             "beside")
         queries = queries.join(beside, POINT, "left_anti")
-    pairs = _into_cells(queries, touched, outer=True)
-    condition = [*by, *CELL]
+    pairs = _into_cells(queries, touched).join(placed, [*by, *CELL])
     if setting.exclude_self:
-        placed = placed.withColumn("_self", F.col("site_id"))
-        renamed = placed.select(*[F.col(c).alias(f"_k_{c}") for c in condition], "site_id", "_self",
-                                *[f"o{a}" for a in AXES])
-        on = F.col("atom_id") != F.col("_self")
-        for c in condition:
-            on = on & (F.col(c) == F.col(f"_k_{c}"))
-        pairs = pairs.join(renamed, on, "left")
-    else:
-        pairs = pairs.join(placed, condition, "left")
-    pairs = pairs.withColumn("d2", _squared(setting, "o")).withColumn(
-        "_sure", reach * reach * setting.least_stretch() * setting.least_stretch())
-    candidate = F.when(F.col("site_id").isNotNull(), F.struct("d2", "site_id"))
-    best = pairs.groupBy(*POINT).agg(F.min(candidate).alias("_b"), F.min("_sure").alias("_sure"))
-    return best.select(
-        *POINT, F.col("_b.site_id").alias("site_id"), F.col("_b.d2").alias("d2"),
-        F.coalesce(F.col("_b.d2") <= F.col("_sure"), F.lit(False)).alias("certified"),
-    ), beside
+        pairs = pairs.filter(F.col("atom_id") != F.col("site_id"))
+    sure = reach * setting.least_stretch()
+    # only sites within reach can be certified; the empty candidate keeps points without any
+    best = F.struct(_squared(setting, "o").alias("d2"), "site_id")
+    close = pairs.select(*POINT, best.alias("best"), (sure * sure).alias("sure")).filter("best.d2 <= sure")
+    alone = queries.select(*POINT).withColumn("best", F.lit(None).cast(close.schema["best"].dataType))
+    return close.drop("sure").unionByName(alone).groupBy(*POINT).agg(F.min("best").alias("best")).select(
+        *POINT, "best.site_id", "best.d2", F.col("best").isNotNull().alias("certified")), beside
 
 
 def _tree_descent(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
