@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from checks.oracle_defects import BOXES, OCCUPIED, SITES, WRAPPED, assigned
-from checks.oracle_features import CLOUD, feature_set, rounded, with_
+from checks.oracle_defects import BOXES, OCCUPIED, SITES, SURFACE, WRAPPED, assigned
+from checks.oracle_features import CLOUD, GRID_COLUMNS, feature_parts, feature_set, rounded, with_
 from voidscope.operators.catalog import CATEGORIES, FEATURES
 from voidscope.operators.evaluation import (
     CATEGORY_LABELS,
@@ -112,6 +112,13 @@ dumped AS (
 
 _FEATURED = feature_set()
 
+# the same texts over the whole cloud, then everything else over the surface of the good dumps
+_WHOLE = [text.replace("cloud", "every") for text in (CLOUD, _DUMPED, SURFACE)]
+_SURFACE_CLOUD = """
+cloud AS (
+  SELECT * FROM every SEMI JOIN surface USING (snapshot_id, atom_id)
+  SEMI JOIN (SELECT snapshot_id FROM dumped WHERE status = 'ok') USING (snapshot_id))"""
+
 ORACLES = {
     "vacancy_target": with_([CLOUD], """
 SELECT snapshot_id, CAST(16384 - count(*) AS DOUBLE) AS n_vacancies FROM cloud GROUP BY snapshot_id"""),
@@ -193,6 +200,13 @@ SELECT file AS snapshot_id, n AS declared_atoms, 0.0::DOUBLE AS xlo, round(lx, 9
     "boxed_scan": with_([CLOUD], """
 SELECT snapshot_id, atom_id, x, y, z FROM cloud
 WHERE snapshot_id % 10 NOT IN (3, 9) AND NOT (snapshot_id % 10 = 7 AND atom_id % 100 = 5)"""),
+    "surface_features": with_([*_WHOLE, _SURFACE_CLOUD, *feature_parts("extractor")[1:]], f"""
+SELECT file, {rounded(GRID_COLUMNS)}, round(moi_principal_3, 4) AS moi_principal_3,
+       {rounded("rdf_mean, rdf_kurtosis, entropy_spatial")}, round(bw, 6) AS ms_bandwidth,
+       CAST(700 - dumped.n AS DOUBLE) AS n_vacancies
+FROM dumped JOIN occupancy USING (snapshot_id) JOIN gradients USING (snapshot_id)
+  JOIN grid_moi USING (snapshot_id) JOIN moi USING (snapshot_id) JOIN radial USING (snapshot_id)
+  JOIN entropy USING (snapshot_id) JOIN bandwidth USING (snapshot_id)"""),
     "run_summary": with_([CLOUD, _DUMPED], "SELECT status, count(*) AS files FROM dumped GROUP BY status"),
     "failed_files": with_([CLOUD, _DUMPED], """
 SELECT file, status FROM dumped WHERE status != 'ok' ORDER BY file LIMIT 10"""),

@@ -60,22 +60,22 @@ near AS (
          power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2) AS dd
   FROM cloud a JOIN cloud b ON a.snapshot_id = b.snapshot_id AND a.atom_id != b.atom_id
   WHERE dd < 144 AND dd > 0),
-placed AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, atom_id ORDER BY dd) AS r FROM near),
+nearby AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, atom_id ORDER BY dd) AS r FROM near),
 lists AS (
   SELECT snapshot_id, atom_id, list({'x': dx, 'y': dy, 'z': dz} ORDER BY r) AS others,
          list({'x': dx, 'y': dy, 'z': dz} ORDER BY r) FILTER (r <= 6) AS first
-  FROM placed GROUP BY ALL),
+  FROM nearby GROUP BY ALL),
 circles AS (
   SELECT snapshot_id, atom_id, dx / 2 + px / l * h AS zx, dy / 2 + py / l * h AS zy, dz / 2 + pz / l * h AS zz
   FROM (SELECT *, sqrt(px * px + py * py + pz * pz) AS l, sqrt(36 - dd / 4) AS h
         FROM (SELECT *, CASE WHEN abs(dx) <= abs(dy) THEN 0 ELSE dz END AS px,
                      CASE WHEN abs(dx) <= abs(dy) THEN -dz ELSE 0 END AS py,
-                     CASE WHEN abs(dx) <= abs(dy) THEN dy ELSE -dx END AS pz FROM placed)) WHERE l > 0),
+                     CASE WHEN abs(dx) <= abs(dy) THEN dy ELSE -dx END AS pz FROM nearby)) WHERE l > 0),
 crossed AS (
   SELECT u.snapshot_id, u.atom_id, u.dd AS uu, v.dd AS vv, u.dx AS ux, u.dy AS uy, u.dz AS uz,
          v.dx AS vx, v.dy AS vy, v.dz AS vz, u.dy * v.dz - u.dz * v.dy AS wx,
          u.dz * v.dx - u.dx * v.dz AS wy, u.dx * v.dy - u.dy * v.dx AS wz
-  FROM placed u JOIN placed v ON u.snapshot_id = v.snapshot_id AND u.atom_id = v.atom_id AND u.r < v.r),
+  FROM nearby u JOIN nearby v ON u.snapshot_id = v.snapshot_id AND u.atom_id = v.atom_id AND u.r < v.r),
 feet AS (
   SELECT *, wx * wx + wy * wy + wz * wz AS ww,
          ((wy * uz - wz * uy) * vv + (vy * wz - vz * wy) * uu) / (2 * ww) AS fx,

@@ -7,16 +7,18 @@ from pyspark.sql.types import StringType
 
 from checks.fixtures import (
     DUMP_NAME,
+    TOTAL_ATOMS,
     cloud_lineitem,
     dump_text,
     feature_set,
     importance_table,
     stand_in_predictions,
 )
-from checks.registry_defects import analysis
+from checks.registry_defects import PROBE_RADIUS, analysis
 from checks.registry_features import rounded
 from voidscope.operators import catalog, dataset, evaluation
 from voidscope.plans import model
+from voidscope.plans.workflows import extract_dataset
 from voidscope.session import staging_path
 from voidscope.sources import datasets, dumps
 
@@ -71,6 +73,12 @@ def _box_scan(spark, sf_dir):
     return rounded(_scan(spark, sf_dir).boxes().drop("boundary"), 9)
 
 
+def _surface_features(spark, sf_dir):
+    dataset_rows, _ = extract_dataset(
+        _scan(spark, sf_dir), mode="extractor", probe_radius=PROBE_RADIUS, total_atoms=TOTAL_ATOMS, periodic=False)
+    return rounded(dataset_rows, moi_principal_3=4)
+
+
 def _forest_predictions(spark, sf_dir):
     return model.train(feature_set(spark, sf_dir), mode="extractor")[1]
 
@@ -123,6 +131,7 @@ QUERIES = {
     "dump_snapshots": _dump_snapshots,
     "box_scan": _box_scan,
     "boxed_scan": lambda s, d: _whole(_scan(s, d).boxed_atoms()),
+    "surface_features": _surface_features,
     "run_summary": lambda s, d: dumps.run_summary(_scan(s, d).status),
     "failed_files": lambda s, d: dumps.failed_files(_scan(s, d).status),
     "forest_predictions": _forest_predictions,
