@@ -117,6 +117,6 @@ def standard_scale(dataset: DataFrame, scaling: dict[str, tuple[float, float]])
 
 
 def fit_preprocessing(train: DataFrame, columns: list[str]):
-    """Medians and scaling of the training rows."""
+    """Medians and scaling of the training rows; columns without a training value get neither."""
     medians = fit_medians(train, columns)
-    return medians, fit_scaling(impute(train, medians), columns)
+    return medians, fit_scaling(impute(train, medians), [c for c in columns if c in medians])

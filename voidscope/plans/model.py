@@ -61,6 +61,7 @@ def fit_forest(
 ) -> Forest:
     """Impute by training medians, scale, and grow the forest on the training rows."""
     medians, scaling = fit_preprocessing(train, names)
+    names = [c for c in names if c in medians]
     prepare = _prepare(names, medians, scaling)
     assemble = VectorAssembler(inputCols=[f"scaled_{c}" for c in names], outputCol="features")
     forest = RandomForestRegressor(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voidscope.functions.ranking import number_rows
 from voidscope.operators.alignment import DEFAULT_A0
 from voidscope.operators.catalog import FAMILIES
 from voidscope.operators.dataset import TOTAL_ATOMS, feature_dataset, vacancy_target
@@ -94,13 +95,14 @@ def geometric_vacancies(
     scan: DumpScan, reference: DumpScan, periodic: bool = True, affine: bool = False
 ) -> WignerSeitz:
     """Wigner-Seitz analysis of every dump of ``scan`` against the one dump of ``reference``."""
-    sites = stage(reference.boxed_atoms(), "reference").select(F.col("atom_id").alias("_at"), "x", "y", "z")
+    # dropped rows leave gaps in the row numbers; sites are numbered without gaps in the same order
+    sites = stage(number_rows(
+        reference.boxed_atoms().select("atom_id", *"xyz"), [], ["atom_id"], "site_id").drop("atom_id"), "reference")
     ref_box = reference.boxes().select(*BOX[1:]).first()
     if ref_box is None:
         raise ValueError("the reference dump has no box bounds")
     return WignerSeitz(
-        scan.boxed_atoms(), sites.withColumnRenamed("_at", "site_id"), scan.boxes().select(*BOX),
-        ref_box.asDict(), periodic, affine)
+        scan.boxed_atoms(), sites, scan.boxes().select(*BOX), ref_box.asDict(), periodic, affine)
 
 
 def compare_methods(

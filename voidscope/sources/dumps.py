@@ -57,10 +57,14 @@ class DumpScan:
     def __init__(self, spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str = FILE_NAME):
         self.spark, self.path, self.max_extra, self.name_pattern = spark, path, max_extra, name_pattern
 
+    @cached_property
+    def _text(self) -> DataFrame:
+        return self.spark.read.text(self.path)  # lists the folder once
+
     @cached_property
     def files(self) -> DataFrame:
         """Every file by Spark's own listing; empty files have no lines to show up by."""
-        listed = [(path,) for path in self.spark.read.text(self.path).inputFiles()]
+        listed = [(path,) for path in self._text.inputFiles()]
         return self.spark.createDataFrame(listed, "path string").select(
             _name(F.col("path"), self.name_pattern).alias("file")
         ).filter(~F.col("file").endswith(SKIPPED_ENDING))
@@ -68,7 +72,7 @@ class DumpScan:
     @cached_property
     def _lines(self) -> DataFrame:
         """Lines with what their own block says: the last mark so far and running counts."""
-        raw = self.spark.read.text(self.path).select(
+        raw = self._text.select(
             _name(F.col("_metadata.file_path"), self.name_pattern).alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("pos"), "value",
@@ -115,8 +119,15 @@ class DumpScan:
             (F.col("rows") + F.col("n0") - F.col("section.rows") - 1).alias("row"), "value",
         ).filter("frame = 1").drop("frame")
 
+    @cached_property
+    def _small(self) -> DataFrame:
+        """Marks and all rows outside the atoms section: a handful per file, staged."""
+        return stage(
+            self._sections.filter(F.col("is_mark") | ~F.col("header").startswith(ATOMS_MARK)), "headers")
+
     def _rows(self, mark: str) -> DataFrame:
-        return self._sections.filter(~F.col("is_mark") & F.col("header").startswith(mark))
+        source = self._sections if mark == ATOMS_MARK else self._small
+        return source.filter(~F.col("is_mark") & F.col("header").startswith(mark))
 
     def _parsed(self) -> DataFrame:
         """Atom rows as numbers; ``bad`` marks a row with a missing or non-numeric value."""
@@ -140,7 +151,7 @@ class DumpScan:
     @cached_property
     def status(self) -> DataFrame:
         """One row per file: ``ok`` or why it was set aside."""
-        heads = self._sections.filter(F.col("is_mark") & F.col("value").startswith(ATOMS_MARK))
+        heads = self._small.filter(F.col("is_mark") & F.col("value").startswith(ATOMS_MARK))
         heads = heads.select(
             "file", F.slice(_tokens(F.col("header")), 3, 1 << 20).alias("columns")
         ).withColumn("complete", F.array_contains("columns", "x") & F.array_contains("columns", "y")
@@ -196,26 +207,32 @@ class DumpScan:
         Rows beyond the declared count and rows too short are dropped; scaled coordinates are unscaled.
         """
         rows = self._rows(ATOMS_MARK).select(
-            F.col("file").alias("snapshot_id"), F.col("row").alias("atom_id"),
-            _tokens(F.col("value")).alias("parts"),
-            F.slice(_tokens(F.col("header")), 3, 1 << 20).alias("columns"))
-        boxes = stage(with_last_chunk(rows, self.boxes().drop("boundary")), "boxes")
-        rows = attach(rows, boxes).filter(
+            F.col("file").alias("snapshot_id"), F.col("row").alias("atom_id"), _tokens(F.col("value")).alias("parts"))
+        boxes = self.boxes().drop("boundary").join(self._coordinate_columns(), "snapshot_id")
+        rows = attach(rows, stage(with_last_chunk(rows, boxes), "boxes")).filter(
             F.col("declared_atoms").isNull() | (F.col("atom_id") < F.col("declared_atoms")))
-        scaled = F.array_contains("columns", "xs") & ~F.array_contains("columns", "x") & ~F.array_contains(
-            "columns", "xu")
-        unnamed = ~F.arrays_overlap("columns", F.array(*[F.lit(c) for c in ("x", "xu", "xs")]))
         out = {}
-        for axis, position in FALLBACK_COLUMNS.items():
-            place = F.coalesce(*[
-                F.when(F.array_contains("columns", c), F.array_position("columns", F.lit(c)))
-                for c in (axis, f"{axis}u", f"{axis}s")])
-            place = F.when(unnamed, F.lit(position + 1)).otherwise(place)
-            value = _number(F.col("parts"), place)
+        for axis in "xyz":
+            value = _number(F.col("parts"), F.col(f"at_{axis}"))
             low, high = F.col(f"{axis}lo"), F.col(f"{axis}hi")
-            out[axis] = F.when(scaled, value * (high - low) + low).otherwise(value)
+            out[axis] = F.when(F.col("scaled"), value * (high - low) + low).otherwise(value)
         return rows.withColumns(out).select("snapshot_id", "atom_id", "x", "y", "z").dropna()
 
+    def _coordinate_columns(self) -> DataFrame:
+        """Per file: the 1-based columns to read coordinates from, and whether they are box fractions."""
+        heads = self._small.filter(F.col("is_mark") & F.col("value").startswith(ATOMS_MARK)).select(
+            F.col("file").alias("snapshot_id"), F.slice(_tokens(F.col("header")), 3, 1 << 20).alias("columns"))
+
+        def at(name: str) -> Column:
+            return F.nullif(F.array_position("columns", F.lit(name)), F.lit(0))
+
+        unnamed = F.coalesce(at("x"), at("xu"), at("xs")).isNull()
+        return heads.select(
+            "snapshot_id",
+            *[F.when(unnamed, F.lit(position + 1)).otherwise(F.coalesce(at(a), at(f"{a}u"), at(f"{a}s")))
+              .alias(f"at_{a}") for a, position in FALLBACK_COLUMNS.items()],
+            (F.coalesce(at("x"), at("xu")).isNull() & at("xs").isNotNull()).alias("scaled"))
+
 
 def scan_dumps(spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str = FILE_NAME) -> DumpScan:
     return DumpScan(spark, path, max_extra, name_pattern)
