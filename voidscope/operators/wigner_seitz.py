@@ -52,7 +52,8 @@ def place_sites(
 
 def affine_map(sites: DataFrame, boxes: DataFrame, ref_box: dict[str, float], count: int) -> DataFrame:
     """Every reference site (``site_id`` 0..count-1) wrapped and scaled into every snapshot's box."""
-    listed = boxes.select("snapshot_id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("site_id"))
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
+    listed = boxes.select("snapshot_id", F.explode(ids).alias("site_id"))
     return place_sites(listed, sites, boxes, ref_box, periodic=True, affine=True).select(
         "snapshot_id", "site_id", *AXES)
 
