@@ -38,10 +38,10 @@ PREFIX = 4  # letters of a word beginning
 PER_CLASS = 3000  # bound of the labelled sample, rows of each label
 UNLABELLED = 3000  # bound of the further sample without labels
 MINED = 150  # mined voters
-VOCABULARY = 40_000  # features of the linear classifier
-MIN_ROWS = 3
+SIGNIFICANT = 30.0  # log-likelihood ratio statistic that a mined voter and a feature of the classifier need
+LIFT = 8.0  # and how much more frequent a mined voter must be in toxic rows
 SMOOTH = 1.0
-ROUNDS, EPOCHS, RATE, RIDGE = 25, 300, 0.5, 1e-3
+ROUNDS, EPOCHS, RATE, RIDGE = 25, 300, 0.3, 0.1
 _WORD = re.compile(r"\w+")
 
 
@@ -71,17 +71,36 @@ class Sample:
         return out
 
 
+def association(on: np.ndarray, rows: np.ndarray, mass: float, total: float) -> np.ndarray:
+    """Log-likelihood ratio statistic of each feature with the class, signed by direction.
+
+    ``on``: weight of the class among the rows with the feature, ``rows``: their number, ``mass`` of ``total``
+    is the weight of the class among all rows.
+    """
+    def part(observed, expected):
+        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    share = mass / max(total, 1e-12)
+    out, rest = total - rows, mass - on
+    g = part(on, rows * share) + part(rows - on, rows * (1 - share)) + part(rest, out * share) + part(out - rest, out * (1 - share))
+    return np.where(on >= rows * share, 2 * g, -2 * g)
+
+
 def mine(sample: Sample) -> np.ndarray:
     """Feature numbers whose presence marks labelled toxic rows, strongest first."""
     known = np.flatnonzero(~np.isnan(sample.labels))
-    toxic = np.zeros(len(sample.names))
-    clean = np.zeros(len(sample.names))
+    if not len(known):
+        return np.zeros(0, np.int64)
+    toxic, rows = np.zeros(len(sample.names)), np.zeros(len(sample.names))
     for i in known:
-        (toxic if sample.labels[i] == 1 else clean)[sample.rows[i]] += 1
-    n1, n0 = max((sample.labels[known] == 1).sum(), 1), max((sample.labels[known] == 0).sum(), 1)
-    lift = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-    good = np.flatnonzero((toxic >= MIN_ROWS) & (lift > np.log(8)))
-    return good[np.argsort(-(lift * np.sqrt(toxic))[good], kind="stable")][:MINED]
+        rows[sample.rows[i]] += 1
+        toxic[sample.rows[i]] += sample.labels[i]
+    n = float(len(known))
+    mass = float(sample.labels[known].sum())
+    strength = association(toxic, rows, mass, n)
+    clean_rate = (rows - toxic + 0.5) / (n - mass + 1)
+    good = np.flatnonzero((strength > SIGNIFICANT) & ((toxic + 0.5) / (mass + 1) > LIFT * clean_rate))
+    return good[np.argsort(-strength[good], kind="stable")][:MINED]
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -135,13 +154,14 @@ def fit(sample: Sample) -> ToxicityModel:
     voters = np.unique(np.concatenate([fixed, mine(sample)]))
     votes = np.concatenate([sample.columns(voters), sample.patterns.astype(bool)], axis=1)
     posterior = label_model(votes, sample.labels)
-    # linear classifier: every feature seen in enough rows, the most frequent ones and all voters
+    # linear classifier: the features that go with the posterior, and all voters
     sizes = np.array([len(r) for r in sample.rows])
     flat = np.concatenate(sample.rows) if sizes.sum() else np.zeros(0, np.int64)
-    seen = np.bincount(flat, minlength=len(sample.names))
-    seen[voters] += len(sample.rows)
-    vocabulary = np.argsort(-seen, kind="stable")[:VOCABULARY]
-    vocabulary = vocabulary[seen[vocabulary] >= MIN_ROWS]
+    seen = np.bincount(flat, minlength=len(sample.names)).astype(float)
+    toxic = np.bincount(flat, np.repeat(posterior, sizes), len(sample.names))
+    wanted = np.abs(association(toxic, seen, posterior.sum(), float(len(sizes)))) > SIGNIFICANT
+    wanted[voters] = True
+    vocabulary = np.flatnonzero(wanted)
     place = np.full(len(sample.names), -1)
     place[vocabulary] = np.arange(len(vocabulary))
     at = place[flat]
