@@ -9,6 +9,7 @@ only, so a lost executor leaves no torn file.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,15 +20,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voidscope.llm.common import SLICE_BYTES, slices
+from voidscope.llm.common import slices
 from voidscope.session import stage
 
 END = 2
 BLOCK_TOKENS = 1 << 18
-_CACHED = 400_000
-_JOINED = 400
-#: One letter run, and a tail of ASCII punctuation without the apostrophe: pre-tokenised one by one.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+_CACHED = 500_000
+_JOINED = 2000
+_PIECE_BYTES = 2 << 20
+#: ASCII punctuation (no apostrophe) between an ASCII or Latin-1 letter and white space or a letter: a token of
+#: its own in any case, so it may stand apart.
+_APART = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)(?=[ \t\n\v\f\ra-z]|\Z)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 
@@ -35,80 +39,74 @@ _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256
 class WordEncoder:
     """Whole texts through the tokenizers library, each distinct word once.
 
-    The vocabulary drops white space and never joins over it, so the ids of a text are those of its words. Simple
-    words are encoded many at a time, joined by spaces; all others one by one.
+    The vocabulary lower-cases, drops white space and never joins over it, so the ids of a text are those of its
+    words. Words of letters are encoded many at a time, joined by spaces; all others one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
 
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
+    def _one(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > _CACHED:
-            self.words.clear()
-        if len(self.pieces) > _CACHED:
-            self.pieces = {"": b""}
-        split, odd, unknown = [], [], set()
+        """Words of letters only are one token word each, and are encoded many at a time."""
+        known = self.words
+        letters, odd = [], []
         for word in words:
-            text = word.decode("utf-8", "replace")
-            simple = _SIMPLE.fullmatch(text)
-            if simple is None:
-                odd.append((word, text))
-                continue
-            core, tail = simple[1].lower(), simple[2]
-            split.append((word, core, tail))
-            unknown.update(p for p in (core, tail) if p not in self.pieces)
-        fresh = sorted(unknown)
-        groups = [fresh[i:i + _JOINED] for i in range(0, len(fresh), _JOINED)]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            places = encoded.word_ids
-            if places and None not in places and places[-1] == len(group) - 1:
-                ids, at = np.array(encoded.ids, "<u4"), np.array(places)
-                cuts = np.searchsorted(at, np.arange(len(group) + 1))
-                for i, piece in enumerate(group):
-                    self.pieces[piece] = ids[cuts[i]:cuts[i + 1]].tobytes()
+            simple = word.isalpha() or _LETTERS.fullmatch(word.decode("utf-8", "replace"))
+            (letters if simple else odd).append(word)
+        for start in range(0, len(letters), _JOINED):
+            group = letters[start:start + _JOINED]
+            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()  # the last token of a word is marked
+            if len(cuts) == len(group):
+                raw = ids.tobytes()
+                known.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
             else:
-                for piece, one in zip(group, self.tokenizer.encode_batch(group, add_special_tokens=False)):
-                    self.pieces[piece] = self._packed(one.ids)
-        for word, core, tail in split:
-            self.words[word] = self.pieces[core] + self.pieces[tail]
-        for (word, _), one in zip(odd, self.tokenizer.encode_batch([t for _, t in odd], add_special_tokens=False)):
-            self.words[word] = self._packed(one.ids)
+                odd += group
+        for word in odd:
+            known[word] = self._one(word)
+
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        if b"<|" not in text:  # the names of special tokens are taken as they stand
+            text = _APART.sub(rb" \1 ", text.lower())
+        return text.split()  # bytes: ASCII white space only
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [t.split() for t in texts]  # bytes: ASCII white space only
+        split = [self._words(t) for t in texts]
         known = self.words
-        new = set().union(*split) - known.keys() if split else set()
-        if new:
-            before = len(known)
-            self._learn(new)
-            if len(known) < before:  # the cache was emptied: words it knew are new again
-                self._learn(set().union(*split) - known.keys())
+        new = set().union(*split) if split else set()
+        if len(known) + len(new) > _CACHED and len(known) > _CACHED // 2:
+            known.clear()
+        self._learn(new - known.keys())
         return [b"".join([known[w] for w in words]) for words in split]
 
 
 def pack(tokens: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     """Ids ranked by frequency (ties: smaller id), control bytes, data bytes."""
-    distinct, place, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -counts))
-    rank = np.empty(len(order), "<u4")
-    rank[order] = np.arange(len(order))
-    values = rank[place]
+    counts = np.bincount(tokens)  # ids are below the size of a vocabulary
+    distinct = np.flatnonzero(counts)
+    ranked = distinct[np.argsort(-counts[distinct], kind="stable")]
+    rank = np.zeros(len(counts), "<u4")
+    rank[ranked] = np.arange(len(ranked))
+    values = rank[tokens]
     extra = (values >= 1 << 8).astype(np.uint8) + (values >= 1 << 16) + (values >= 1 << 24)
     padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     padded[: len(values)] = extra
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     data = values.view(np.uint8).reshape(-1, 4)[np.arange(4)[None, :] <= extra[:, None]]
-    return distinct[order], control.astype(np.uint8).tobytes(), data.tobytes()
+    return ranked, control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(n: int, ranked: np.ndarray, control: bytes, data: bytes) -> np.ndarray:
@@ -128,6 +126,16 @@ def unpack(n: int, ranked: np.ndarray, control: bytes, data: bytes) -> np.ndarra
 BLOCKS = "part int, seq long, doc_ids array<long>, counts array<long>, n long, ranked array<long>, control binary, data binary"
 
 
+_loaded: dict[str, WordEncoder] = {}
+
+
+def load(path: str) -> WordEncoder:
+    """The encoder with the words it knows, kept for the tasks that follow in a worker process."""
+    if path not in _loaded:
+        _loaded[path] = WordEncoder(path)
+    return _loaded[path]
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """Encode ``docs(doc_id, text)``, write the files in ascending ``doc_id`` order, and return them read again.
 
@@ -140,7 +148,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = load(tokenizer)
         part, seq = TaskContext.get().partitionId(), 0
         last = np.array([end], "<u4").tobytes()
         ids: list[int | None] = []
@@ -158,7 +166,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             ], ["part", "seq", "doc_ids", "counts", "n", "ranked", "control", "data"])
 
         for batch in batches:
-            for some in slices(batch, limit=SLICE_BYTES):
+            for some in slices(batch, limit=_PIECE_BYTES):
                 raw = some.column("text").cast(pa.binary()).to_pylist()
                 for doc, tokens in zip(some.column("doc_id").to_pylist(), encoder.encode(raw)):
                     ids.append(doc)
