@@ -28,9 +28,7 @@ BLOCK_TOKENS = 1 << 18
 _CACHED = 500_000
 _JOINED = 2000
 _PIECE_BYTES = 2 << 20
-#: ASCII punctuation (no apostrophe) between an ASCII or Latin-1 letter and white space or a letter: a token of
-#: its own in any case, so it may stand apart.
-_APART = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)(?=[ \t\n\v\f\ra-z]|\Z)")
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -57,14 +55,25 @@ class WordEncoder:
         return np.array(ids, "<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        """Words of letters only are one token word each, and are encoded many at a time."""
+        """Words of letters only are one word of the vocabulary each, and are encoded many at a time; so is a tail
+        of punctuation behind letters, which is always a word of its own."""
         known = self.words
-        letters, odd = [], []
+        letters, tails, odd, joined = set(), set(), [], []
         for word in words:
-            simple = word.isalpha() or _LETTERS.fullmatch(word.decode("utf-8", "replace"))
-            (letters if simple else odd).append(word)
-        for start in range(0, len(letters), _JOINED):
-            group = letters[start:start + _JOINED]
+            core = word.rstrip(_TAIL)
+            if core.isalpha() or core and _LETTERS.fullmatch(core.decode("utf-8", "replace")):
+                if core not in known:
+                    letters.add(core)
+                if len(core) < len(word):
+                    tail = word[len(core):]
+                    joined.append((word, core, tail))
+                    if tail not in known:
+                        tails.add(tail)
+            else:
+                odd.append(word)
+        fresh = list(letters)
+        for start in range(0, len(fresh), _JOINED):
+            group = fresh[start:start + _JOINED]
             ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()  # the last token of a word is marked
             if len(cuts) == len(group):
@@ -72,23 +81,26 @@ class WordEncoder:
                 known.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
             else:
                 odd += group
-        for word in odd:
+        for word in [*odd, *tails]:
             known[word] = self._one(word)
+        for word, core, tail in joined:
+            known[word] = known[core] + known[tail]
 
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
-        if b"<|" not in text:  # the names of special tokens are taken as they stand
-            text = _APART.sub(rb" \1 ", text.lower())
-        return text.split()  # bytes: ASCII white space only
+        """Split at ASCII white space; lower case but for texts that may name a special token."""
+        return (text if b"<|" in text else text.lower()).split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self._words(t) for t in texts]
         known = self.words
         new = set().union(*split) if split else set()
+        new -= known.keys()
         if len(known) + len(new) > _CACHED and len(known) > _CACHED // 2:
             known.clear()
-        self._learn(new - known.keys())
+            new = set().union(*split)
+        self._learn(new)
         return [b"".join([known[w] for w in words]) for words in split]
 
 
