@@ -100,6 +100,7 @@ def fit(found: list[tuple[list[int], np.ndarray]], labels: np.ndarray, prior: fl
         0.0, np.zeros(INPUTS), random.normal(0, 0.02, (INPUTS, FACTORS)),
         np.zeros(STATISTICS + METADATA), np.ones(STATISTICS + METADATA))
     if not found:
+        model.factors[:] = 0
         return model
     dense = np.stack([s for _, s in found])
     model.center, model.scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-3)
