@@ -49,7 +49,20 @@ def test_long_words_and_short_ones_meet():
     pieces = spm.load(registry.PIECE_MODEL)
     words = ["▁understanding", "▁internationalize", "xyzzyplugh", "▁▁▁▁▁▁▁▁▁▁▁▁▁▁▁▁▁▁▁a", "aaaaaaaaaaaaaaaaaaaaaa"]
     for word in words:
-        assert pieces.viterbi([word, word]) == [pieces.merge(word)] * 2
+        assert pieces.viterbi([word, word]) == [pieces._ids(pieces.merge(word))] * 2
+
+
+def test_border_rule_equals_merging():
+    pieces = spm.load(registry.PIECE_MODEL)
+    random = np.random.default_rng(8)
+    plain = sorted(pieces.number.values())
+    pairs = random.choice(plain[:3000], (4000, 2)).tolist() + random.choice(plain, (2000, 2)).tolist()
+    some = ["▁", "▁▁", "▁▁▁▁", "a", "aa", "in", "ing", "▁t", "the", "▁the", "h", "er", "e", "re"]
+    pairs += [[pieces.number[a], pieces.number[b]] for a in some for b in some if a in pieces.number and b in pieces.number]
+    left, right = np.array(pairs).T
+    for _ in range(2):  # computed, then from the table
+        found = pieces.stay_apart(left, right)
+        assert found.tolist() == [pieces.merge(pieces.text[a] + pieces.text[b]) == [pieces.text[a], pieces.text[b]] for a, b in pairs]
 
 
 def test_token_files_equal_the_library(spark, docs, rows):

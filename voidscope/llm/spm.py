@@ -28,6 +28,7 @@ _CACHED = 300_000
 _BITMAP = 18
 _BASE = np.uint64(0x100000001B3)
 _WORDS = 8192  # words advancing together
+_PAIR_SLOTS = 20  # verdicts on pairs of pieces are kept in a table of this many bits
 
 
 class Pieces:
@@ -55,7 +56,9 @@ class Pieces:
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
         self.bytes[model.unk_id()] = " ⁇ ".encode()
-        self.apart: dict[int, bool] = {}
+        self.pair_keys = np.full(1 << _PAIR_SLOTS, -1)
+        self.pair_apart = np.zeros(1 << _PAIR_SLOTS, bool)
+        self.spines: tuple[dict[str, list], dict[str, list]] = {}, {}
         self.words: dict[str, bytes] = {}
 
     @staticmethod
@@ -75,8 +78,9 @@ class Pieces:
         out[some[hit]] = self.numbers[at[hit]]
         return out
 
-    def merge(self, text: str) -> list[str]:
-        """Merging by score, leftmost first among equals; unknown characters stay alone."""
+    def merge(self, text: str, without: str = "") -> list[str]:
+        """Merging by score, leftmost first among equals; unknown characters, and the piece ``without``, are not
+        made."""
         symbols: list[str | None] = list(text)
         after = list(range(1, len(symbols) + 1))
         before = list(range(-1, len(symbols) - 1))
@@ -86,7 +90,7 @@ class Pieces:
             j = after[i]
             if j < len(symbols):
                 joined = number.get(symbols[i] + symbols[j])
-                if joined is not None:
+                if joined is not None and symbols[i] + symbols[j] != without:
                     return -score[joined], i, symbols[i], symbols[j]
             return None
 
@@ -106,24 +110,66 @@ class Pieces:
                     heappush(heap, p)
         return [s for s in symbols if s is not None]
 
+    def spine(self, piece: str, side: int) -> list[tuple[str, float]] | None:
+        """Symbols at one edge of a piece while it is merged, from one character to the piece, each with the score
+        at which it is merged on; None for a piece that merging never makes."""
+        known = self.spines[side]
+        if piece not in known:
+            if len(piece) == 1:
+                known[piece] = [(piece, -np.inf)]
+            else:
+                parts = self.merge(piece, piece)
+                part = self.spine(parts[side], side) if len(parts) == 2 else None
+                if part is None:
+                    known[piece] = None
+                else:
+                    score = self.score[self.number[piece]]
+                    if len(part) > 1:
+                        score = min(score, part[-2][1])  # not before the part itself is there
+                    known[piece] = [*part[:-1], (part[-1][0], score), (piece, -np.inf)]
+        return known[piece]
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether merging ``left + right`` ends with these two pieces: no symbols met at the border may merge
+        before one of them is merged on inside its own piece."""
+        a, b = self.spine(left, 1), self.spine(right, 0)
+        if a is None or b is None:
+            return False
+        number, score = self.number, self.score
+        i = j = 0
+        while True:
+            (x, at_x), (y, at_y) = a[i], b[j]
+            joined = number.get(x + y)
+            if joined is not None:
+                s = score[joined]
+                if s > at_x and s >= at_y:
+                    return False
+            if at_x == -np.inf and at_y == -np.inf:
+                return True
+            if at_x >= at_y:
+                i += 1
+            else:
+                j += 1
+
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of pieces survives merging; unknown characters never merge."""
         out = (left == self.unknown) | (right == self.unknown)
-        open_ = np.flatnonzero(~out)
-        keys, place = np.unique(left[open_] * self.size + right[open_], return_inverse=True)
-        known = self.apart
-        verdicts = np.empty(len(keys), bool)
-        for n, key in enumerate(keys.tolist()):
-            verdict = known.get(key)
-            if verdict is None:
-                a, b = self.text[key // self.size], self.text[key % self.size]
-                verdict = known[key] = self.merge(a + b) == [a, b]
-            verdicts[n] = verdict
-        out[open_] = verdicts[place]
+        keys = left * self.size + right
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PAIR_SLOTS)).astype(np.int64)
+        hit = self.pair_keys[slots] == keys
+        out |= hit & self.pair_apart[slots]
+        miss = np.flatnonzero(~hit & ~out)
+        if len(miss):
+            new, first, place = np.unique(keys[miss], return_index=True, return_inverse=True)
+            text = self.text
+            verdicts = np.array([self._apart(text[k // self.size], text[k % self.size]) for k in new.tolist()])
+            at = slots[miss[first]]
+            self.pair_keys[at], self.pair_apart[at] = new, verdicts
+            out[miss] = verdicts[place]
         return out
 
-    def viterbi(self, words: list[str]) -> list[list[str]]:
-        """Pieces of words of one length: all words advance together."""
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length: all words advance together."""
         m, n = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
         prefix = np.zeros((m, n + 1), np.uint64)
@@ -147,17 +193,19 @@ class Pieces:
                 better = total > best[rows, end]
                 rows, total = rows[better], total[better]
                 best[rows, end], last[rows, end], back[rows, end] = total, piece[rows], start
-        out = []
-        for word, row in zip(words, back.tolist()):
-            if row[n] < 0:  # no path: merge directly
-                out.append(self.merge(word))
-                continue
-            cuts = [n]
-            while cuts[-1] > 0:
-                cuts.append(row[cuts[-1]])
-            cuts.reverse()
-            out.append([word[a:b] for a, b in zip(cuts, cuts[1:])])
-        return out
+        on_path = np.zeros((m, n + 1), bool)
+        at, rows = np.full(m, n), np.flatnonzero(back[:, n] >= 0)
+        whole = back[:, n] >= 0
+        while len(rows):
+            on_path[rows, at[rows]] = True
+            at[rows] = back[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        whole &= ~(on_path & (last == self.unknown)).any(axis=1)
+        ids = last[on_path].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(on_path.sum(axis=1))).tolist()
+        # words with unknown characters are spelled in bytes
+        return [ids[a:b] if ok else self._ids(self.merge(word))
+                for word, ok, a, b in zip(words, whole.tolist(), [0, *ends], ends)]
 
     def _ids(self, pieces: list[str]) -> bytes:
         ids = []
@@ -184,9 +232,7 @@ class Pieces:
         for length, words in by_length.items():
             for at in range(0, len(words), _WORDS):
                 some = words[at:at + _WORDS]
-                found = self.viterbi(some) if length <= LONG else [self.merge(w) for w in some]
-                for word, pieces in zip(some, found):
-                    known[word] = self._ids(pieces)
+                known.update(zip(some, self.viterbi(some) if length <= LONG else [self._ids(self.merge(w)) for w in some]))
         return [b"".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: list[int]) -> str:
