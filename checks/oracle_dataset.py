@@ -197,9 +197,13 @@ SELECT file AS snapshot_id, 'id type x y z' AS columns, n AS num_atoms FROM dump
     "box_scan": with_([CLOUD, _DUMPED, BOXES], """
 SELECT file AS snapshot_id, n AS declared_atoms, 0.0::DOUBLE AS xlo, round(lx, 9) AS xhi, 0.0::DOUBLE AS ylo, round(ly, 9) AS yhi,
        0.0::DOUBLE AS zlo, round(lz, 9) AS zhi FROM dumped JOIN boxes USING (snapshot_id)"""),
-    "boxed_scan": with_([CLOUD], """
+    "boxed_scan": with_([CLOUD, _DUMPED], """
 SELECT snapshot_id, atom_id, x, y, z FROM cloud
-WHERE snapshot_id % 10 NOT IN (3, 9) AND NOT (snapshot_id % 10 = 7 AND atom_id % 100 = 5)"""),
+SEMI JOIN (SELECT snapshot_id FROM dumped WHERE status = 'ok') USING (snapshot_id)"""),
+    "boxed_status": with_([CLOUD, _DUMPED], """
+SELECT file, status, CAST(CASE WHEN status = 'no atoms section' THEN 0 ELSE n END AS BIGINT) AS num_atoms FROM dumped"""),
+    "dump_folders": with_([CLOUD, _DUMPED], """
+SELECT file, status, CAST(CASE WHEN status = 'no atoms section' THEN 0 ELSE n END AS BIGINT) AS num_atoms FROM dumped"""),
     "surface_features": with_([*_WHOLE, _SURFACE_CLOUD, *feature_parts("extractor")[1:]], f"""
 SELECT file, {rounded(GRID_COLUMNS)}, round(moi_principal_3, 4) AS moi_principal_3,
        {rounded("rdf_mean, rdf_kurtosis, entropy_spatial")}, round(bw, 6) AS ms_bandwidth,

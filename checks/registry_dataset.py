@@ -60,6 +60,12 @@ def _whole(pieces):
     })
 
 
+def _dump_folders(spark, sf_dir):
+    """Named by path: one task's files have one name in many folders."""
+    status = dumps.scan_dumps(spark, f"{dump_text(spark, sf_dir)}/*/*/*").status
+    return status.select(F.regexp_extract("file", r"snapshot_id=(\d+/piece=\d+)/", 1).alias("file"), "status", "num_atoms")
+
+
 def _dump_scan(spark, sf_dir):
     atoms = _whole(_scan(spark, sf_dir).atoms())
     return atoms.withColumn("id", F.col("extra")["id"]).drop("extra")
@@ -130,6 +136,8 @@ QUERIES = {
     "dump_scan": _dump_scan,
     "dump_snapshots": _dump_snapshots,
     "box_scan": _box_scan,
+    "boxed_status": lambda s, d: _scan(s, d).boxed_status,
+    "dump_folders": _dump_folders,
     "boxed_scan": lambda s, d: _whole(_scan(s, d).boxed_atoms()),
     "surface_features": _surface_features,
     "run_summary": lambda s, d: dumps.run_summary(_scan(s, d).status),

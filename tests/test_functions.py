@@ -96,3 +96,14 @@ def test_attach_covers_every_chunk(spark):
     joined = attach(base, totals)
     assert totals.first()["last_chunk"] == 3
     assert joined.count() == 6 and joined.filter("n = 6").count() == 6
+
+
+def test_medians_of_an_infinite_column_are_refused(spark):
+    import pytest
+
+    from voidscope.functions.ranking import exact_medians
+
+    rows = spark.createDataFrame([(1.0, float("inf")), (2.0, 3.0), (5.0, 4.0)], "fine double, wild double")
+    with pytest.raises(ValueError, match="wild"):
+        exact_medians(rows, ["fine", "wild"])
+    assert exact_medians(rows, ["fine"]) == {"fine": 2.0}

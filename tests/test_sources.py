@@ -109,6 +109,56 @@ def test_boxed_atoms(spark, tmp_path):
     assert got == {"xu": (1, 2, 3), "xs": (5.0, -2.5, 13.0), "named": (1, 2, 3), "both": (1, 2, 3)}
 
 
+def test_equal_names_in_several_folders(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"run{i}").mkdir()
+        (tmp_path / f"run{i}" / "dump.0").write_text(dump("id x y z", [f"{n + 1} {i} {n} 0" for n in range(i + 1)]))
+    scan = scan_dumps(spark, f"{tmp_path}/*/dump.*")
+    assert {r["file"]: (r["status"], r["num_atoms"]) for r in scan.status.collect()} == {
+        f"run{i}/dump.0": ("ok", i + 1) for i in range(3)}
+    assert sorted((r["snapshot_id"], r["atom_id"], r["x"], r["y"]) for r in scan.atoms().collect()) == [
+        (f"run{i}/dump.0", n, float(i), float(n)) for i in range(3) for n in range(i + 1)]
+    assert scan.boxes().count() == scan.boxed_status.filter("status = 'ok'").count() == 3
+    with pytest.raises(ValueError, match="dump.0"):
+        scan_dumps(spark, f"{tmp_path}/*/dump.*", name_pattern=r"([^/]+)$").status.count()
+
+
+def test_text_is_neither_shuffled_nor_copied(spark, folder):
+    scan = scan_dumps(spark, folder)
+    plan = scan._placed()._jdf.queryExecution().executedPlan().toString()
+    text = next(line for line in plan.splitlines() if "FileScan text" in line)
+    above = plan[:plan.index(text)].splitlines()
+    depth = len(text) - len(text.lstrip(" :+-"))
+    parents = []
+    for line in reversed(above):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if at < depth:
+            parents.append(line)
+            depth = at
+    assert parents and not any("Exchange" in p or "Window" in p or "Sort" in p for p in parents)
+
+
+def test_boxed_status(spark, tmp_path):
+    head = "ITEM: NUMBER OF ATOMS\n2\n"
+    bounds = "ITEM: BOX BOUNDS pp pp pp\n0 1\n0 1\n0 1\n"
+    texts = {
+        "fine": head + bounds + "ITEM: ATOMS id x y z\n1 .1 .2 .3\n2 .4 .5 .6\n3 beyond the count\n",
+        "unboxed": head + "ITEM: ATOMS id x y z\n1 .1 .2 .3\n2 .4 .5 .6\n",
+        "two_bounds": head + "ITEM: BOX BOUNDS pp pp pp\n0 1\n0 1\nITEM: ATOMS id x y z\n1 0 0 0\n2 0 0 0\n",
+        "word": head + bounds + "ITEM: ATOMS id x y z\n1 .1 oops .3\n2 .4 .5 .6\n",
+        "short": head + bounds + "ITEM: ATOMS id x y z\n1 .1 .2 .3\n2 .4\n",
+        "flat": head + bounds + "ITEM: ATOMS id x y\n1 .1 .2\n2 .3 .4\n",
+        "none": head + bounds,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    scan = scan_dumps(spark, str(tmp_path))
+    assert {r["file"]: (r["status"], r["num_atoms"]) for r in scan.boxed_status.collect()} == {
+        "fine": ("ok", 2), "unboxed": ("no box bounds", 0), "two_bounds": ("no box bounds", 0), "word": ("bad value", 2),
+        "short": ("fewer rows than declared", 1), "flat": ("missing x, y or z", 2), "none": ("no atoms section", 0)}
+    assert sorted((r["snapshot_id"], r["atom_id"]) for r in scan.boxed_atoms().collect()) == [("fine", 0), ("fine", 1), ("short", 0)]
+
+
 def test_file_split_over_many_blocks(spark, tmp_path):
     rows = [f"{i + 1} {i}.25 {-i} {i * 2}" for i in range(4000)]
     blanks = [r if i % 97 else r + "\n" for i, r in enumerate(rows)]
@@ -118,7 +168,7 @@ def test_file_split_over_many_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
         scan = scan_dumps(spark, str(tmp_path))
-        assert scan._lines.select("file", "block").distinct().count() > 10
+        assert scan._blocks.count() > 10
         got = scan.atoms().filter("snapshot_id = 'big.dump'").orderBy("atom_id").collect()
         counted = {r["snapshot_id"]: r["num_atoms"] for r in scan.snapshots().collect()}
     finally:

@@ -73,7 +73,10 @@ def test_compare(spark, folder):
     schema = "file string, " + ", ".join(f"{f} double" for f in FEATURES) + ", n_vacancies double"
     forest, _ = model.train(spark.createDataFrame(rows, schema), num_trees=5, mode="extractor")
     table = {r["snapshot_id"]: r for r in compare_methods(spark, path, reference, forest).collect()}
-    assert table.keys() == {*gone, "free.dump"}
+    assert table.keys() == {*gone, "free.dump", "broken.dump"}
+    broken = table["broken.dump"]
+    assert broken["ml_vacancies"] is broken["ws_vacancies"] is broken["verdict"] is None
+    assert broken["ml_status"] != "ok" and broken["ws_status"] != "ok"
     for name, count in gone.items():
         assert table[name]["ws_vacancies"] == count
         assert table[name]["difference"] == pytest.approx(table[name]["ml_vacancies"] - count)

@@ -82,6 +82,8 @@ def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096) -> dict[s
     open_ranks = {}
     found: dict[tuple[str, int], float] = {}
     for row in spans:
+        if row["lo"] == float("-inf") or row["hi"] == float("inf"):
+            raise ValueError(f"column {row['feature']} holds an infinite value, so it has no finite median scale")
         for side, rank in enumerate(((row["n"] - 1) // 2, row["n"] // 2)):
             open_ranks[row["feature"], side] = (row["lo"], row["hi"], rank)
     while open_ranks:
@@ -108,7 +110,11 @@ def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096) -> dict[s
             .filter((F.col("through") > F.col("k")) & (F.col("through") - F.col("n") <= F.col("k")))
             .collect()
         )
+        before = dict(open_ranks)
         for row in chosen:
             open_ranks[row["feature"], row["side"]] = (
                 row["lo"], row["hi"], row["k"] - (row["through"] - row["n"]))
+        stuck = [feature for (feature, side), state in open_ranks.items() if state == before[feature, side]]
+        if stuck:  # a bin that holds its whole range: its two ends differ by less than a bin can tell
+            raise ArithmeticError(f"no progress on the median of {', '.join(sorted(set(stuck)))}")
     return {c: (found[c, 0] + found[c, 1]) / 2 for c in columns if (c, 0) in found}

@@ -166,14 +166,17 @@ def importance_by_category(importance: DataFrame) -> DataFrame:
 
 
 def method_comparison(predictions: DataFrame, ws_summary: DataFrame) -> DataFrame:
-    """Learned against geometric vacancy counts per snapshot, with a verdict on the relative difference."""
+    """Learned against geometric vacancy counts per snapshot, with a verdict on the relative difference.
+
+    A snapshot with only one of the two counts keeps its row, without difference and verdict.
+    """
     joined = predictions.select("snapshot_id", F.col("prediction").alias("ml_vacancies")).join(
-        ws_summary.select("snapshot_id", F.col("n_vacancies").alias("ws_vacancies")), "snapshot_id")
+        ws_summary.select("snapshot_id", F.col("n_vacancies").alias("ws_vacancies")), "snapshot_id", "full")
     difference = F.col("ml_vacancies") - F.col("ws_vacancies")
-    relative = F.when(F.col("ws_vacancies") > 0, difference / F.col("ws_vacancies") * 100).otherwise(0.0)
+    relative = F.when(F.col("ws_vacancies") > 0, difference / F.col("ws_vacancies") * 100).when(difference.isNotNull(), 0.0)
     compared = joined.withColumns({"difference": difference, "relative_percent": relative})
     verdict = None
     for limit, name in VERDICTS:
         close = F.abs("relative_percent") < limit
         verdict = F.when(close, name) if verdict is None else verdict.when(close, name)
-    return compared.withColumn("verdict", verdict.otherwise(OTHER_VERDICT))
+    return compared.withColumn("verdict", verdict.when(F.col("relative_percent").isNotNull(), OTHER_VERDICT))

@@ -50,10 +50,23 @@ def place_sites(
         {a: F.col(a) * F.col(f"_s{a}") for a in AXES}).drop(*[f"_s{a}" for a in AXES])
 
 
+def every_site(snapshots: DataFrame, count: int) -> DataFrame:
+    """All ``site_id`` 0..count-1 for every snapshot, listed block by block: no array, in the plan or in a row,
+    holds more than one block of ids."""
+    size = 1 << SITE_BLOCK_BITS
+    blocks = snapshots.select("snapshot_id", F.explode(F.array(F.lit(count))).alias("_n")).withColumn(
+        "_high", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("_n").cast("long") - 1, 2 * SITE_BLOCK_BITS))))
+    last = F.shiftright(F.col("_n").cast("long") - 1, SITE_BLOCK_BITS)
+    blocks = blocks.withColumn("_block", F.explode(F.sequence(
+        F.col("_high") * size, F.least(F.col("_high") * size + size - 1, last))))
+    start = F.col("_block") * size
+    return blocks.select("snapshot_id", F.explode(F.sequence(
+        start, F.least(start + size - 1, F.col("_n").cast("long") - 1))).alias("site_id"))
+
+
 def affine_map(sites: DataFrame, boxes: DataFrame, ref_box: dict[str, float], count: int) -> DataFrame:
     """Every reference site (``site_id`` 0..count-1) wrapped and scaled into every snapshot's box."""
-    ids = F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
-    listed = boxes.select("snapshot_id", F.explode(ids).alias("site_id"))
+    listed = every_site(boxes.select("snapshot_id"), count)
     return place_sites(listed, sites, boxes, ref_box, periodic=True, affine=True).select(
         "snapshot_id", "site_id", *AXES)
 
@@ -87,9 +100,7 @@ class WignerSeitz:
 
     def occupancy(self) -> DataFrame:
         """Atoms per site, zeros kept."""
-        every = self._snapshots().select(
-            "snapshot_id",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.n_sites - 1).cast("long"))).alias("site_id"))
+        every = every_site(self._snapshots(), self.n_sites)
         counted = self._occupied.drop("first_atom")
         return every.join(counted, ["snapshot_id", "site_id"], "left").select(
             "snapshot_id", "site_id", F.coalesce("occupancy", F.lit(0)).cast("long").alias("occupancy"))

@@ -15,7 +15,7 @@ from voidscope.operators.wigner_seitz import WignerSeitz
 from voidscope.plans.features import snapshot_features
 from voidscope.plans.model import Forest, score
 from voidscope.session import stage
-from voidscope.sources.dumps import FILE_NAME, OK, DumpScan, scan_dumps
+from voidscope.sources.dumps import OK, DumpScan, scan_dumps
 
 NO_SURFACE = "no surface atoms"
 BOX = ["snapshot_id", *[f"{a}{end}" for a in "xyz" for end in ("lo", "hi")]]
@@ -102,7 +102,7 @@ def geometric_vacancies(
     if ref_box is None:
         raise ValueError("the reference dump has no box bounds")
     return WignerSeitz(
-        scan.boxed_atoms(), sites, scan.boxes().select(*BOX), ref_box.asDict(), periodic, affine)
+        stage(scan.boxed_atoms(), "boxed"), sites, scan.boxes().select(*BOX), ref_box.asDict(), periodic, affine)
 
 
 def compare_methods(
@@ -113,10 +113,18 @@ def compare_methods(
     a0: float = DEFAULT_A0,
     periodic: bool = True,
     affine: bool = False,
-    name_pattern: str = FILE_NAME,
+    name_pattern: str | None = None,
 ) -> DataFrame:
-    """Learned and geometric vacancy counts of every dump side by side."""
+    """Learned and geometric vacancy counts of every dump side by side.
+
+    A file that one of the two readers sets aside keeps its row, with NULL counts and the reason in ``ml_status``
+    or ``ws_status``.
+    """
     scan = scan_dumps(spark, path, name_pattern=name_pattern)
     reference = scan_dumps(spark, reference_path, name_pattern=name_pattern)
     summary = geometric_vacancies(scan, reference, periodic, affine).summary()
-    return method_comparison(predict_vacancies(scan.atoms(), forest, a0), summary)
+    points = stage(scan.atoms().select("snapshot_id", "atom_id", *"xyz"), "points")
+    both = method_comparison(predict_vacancies(points, forest, a0), summary)
+    status = scan.status.select(F.col("file").alias("snapshot_id"), F.col("status").alias("ml_status")).join(
+        scan.boxed_status.select(F.col("file").alias("snapshot_id"), F.col("status").alias("ws_status")), "snapshot_id", "full")
+    return status.join(both, "snapshot_id", "left")

@@ -1,12 +1,16 @@
 """Distributed scan of LAMMPS text dumps.
 
-Files are read as splittable text, so one large dump is parsed by many tasks. Lines are numbered inside
-their file block; a small table with one row per block carries the open section and the row count over
-block borders.
+Files are read as splittable text, so one large dump is parsed by many tasks. A first pass keeps only marks and
+blank lines, per file block; from these a small table says which section every block is in and how many lines and
+blanks came before. The second pass joins that table to the lines where they are read, numbers each row from its
+position, parses it once for both readers and writes the numbers. No line of text is shuffled or copied.
+
+Every file is known by its whole path; the name that results carry must be different for each file.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,16 +26,17 @@ COUNT_MARK = "ITEM: NUMBER OF ATOMS"
 BOUNDS_MARK = "ITEM: BOX BOUNDS"
 SKIPPED_ENDING = "_surface_normalized.dump"
 MAX_EXTRA = 7
-FILE_NAME = r"([^/]+)$"
 FALLBACK_COLUMNS = {"x": 2, "y": 3, "z": 4}
 
 OK, NO_ATOMS, NO_COORDINATES, BAD_VALUE = "ok", "no atoms section", "missing x, y or z", "bad value"
+NO_BOUNDS, FEWER_ROWS = "no box bounds", "fewer rows than declared"
 FAILED_NAMES = 10
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
-def _name(path: Column, pattern: str) -> Column:
-    """Snapshot name by the first group of ``pattern``, percent codes undone."""
-    return F.url_decode(F.regexp_replace(F.regexp_extract(path, pattern, 1), r"\+", "%2B"))
+def _decoded(path: Column) -> Column:
+    """Path without scheme and authority, percent codes undone."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(path, _SCHEME, ""), r"\+", "%2B"))
 
 
 def _stripped(line: Column) -> Column:
@@ -50,115 +55,141 @@ def _number(parts: Column, position: Column) -> Column:
 class DumpScan:
     """First frame of every dump below ``path`` (a directory or glob).
 
-    ``name_pattern`` takes the snapshot name from the file path by its first group; the default is the
-    file name.
+    A snapshot is named by its path below the part of ``path`` that has no wildcard (in one flat folder: the file
+    name), or by the first group of ``name_pattern`` in its whole path. Two files of one name are an error.
     """
 
-    def __init__(self, spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str = FILE_NAME):
+    def __init__(self, spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str | None = None):
         self.spark, self.path, self.max_extra, self.name_pattern = spark, path, max_extra, name_pattern
 
+    def _name(self, path: Column) -> Column:
+        if self.name_pattern is not None:
+            return F.regexp_extract(path, self.name_pattern, 1)
+        fixed = re.split(r"[*?\[{]", re.sub(_SCHEME, "", self.path))
+        root = (fixed[0].rpartition("/")[0] if len(fixed) > 1 else fixed[0].rstrip("/")) + "/"
+        at = F.instr(path, root)
+        below = F.substring(path, at + len(root), F.length(path))
+        return F.when(at > 0, below).otherwise(F.regexp_extract(path, r"([^/]+)$", 1))
+
     @cached_property
     def _text(self) -> DataFrame:
         return self.spark.read.text(self.path)  # lists the folder once
 
     @cached_property
     def files(self) -> DataFrame:
-        """Every file by Spark's own listing; empty files have no lines to show up by."""
-        listed = [(path,) for path in self._text.inputFiles()]
-        return self.spark.createDataFrame(listed, "path string").select(
-            _name(F.col("path"), self.name_pattern).alias("file")
-        ).filter(~F.col("file").endswith(SKIPPED_ENDING))
+        """``path, file`` of every file. Spark's own listing, which the driver holds for any read, is written once:
+        empty files have no line, and no source format returns them."""
+        listed = self.spark.createDataFrame([(p,) for p in self._text.inputFiles()], "path string")
+        listed = listed.select(_decoded(F.col("path")).alias("path")).distinct()
+        files = stage(listed.withColumn("file", self._name(F.col("path"))).filter(
+            ~F.col("file").endswith(SKIPPED_ENDING)), "files")
+        twice = files.groupBy("file").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n > 1").first()
+        if twice:
+            raise ValueError(f"{twice['n']} files are named {twice['file']!r}, one of them {twice['path']}")
+        return files
 
-    @cached_property
     def _lines(self) -> DataFrame:
-        """Lines with what their own block says: the last mark so far and running counts."""
-        raw = self._text.select(
-            _name(F.col("_metadata.file_path"), self.name_pattern).alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"), "value",
-        ).filter(~F.col("file").endswith(SKIPPED_ENDING))
-        upto = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        mark = F.col("value").startswith(MARK)
-        row = ~mark & (F.length(_stripped(F.col("value"))) > 0)
-        counted = raw.withColumns({
-            "is_mark": mark,
-            "is_row": row,
-            "rows": F.sum(row.cast("long")).over(upto),
-            "frames": F.sum(F.col("value").startswith(ATOMS_MARK).cast("long")).over(upto),
-        })
-        opened = F.when(F.col("is_mark"), F.struct("rows", "frames", _stripped(F.col("value")).alias("header")))
-        return stage(
-            counted.withColumn("here", F.last(opened, ignorenulls=True).over(upto)), "lines")
+        """Lines as they are read. ``pos`` grows within a block; the file listing is fixed, so a second reading
+        gives the same positions."""
+        return self._text.select(
+            _decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("pos"), "value")
+
+    @cached_property
+    def _blocks(self) -> DataFrame:
+        """Per file block: what to add to ``pos`` for the line number in the file, its blank lines, the blanks of
+        earlier blocks, and its marks."""
+        value = F.col("value")
+        blank = F.length(_stripped(value)) == 0
+        mark = F.when(value.startswith(MARK), F.struct("pos", _stripped(value).alias("header")))
+        found = self._lines().groupBy("path", "block").agg(
+            F.min("pos").alias("first"), F.count("*").alias("n"),
+            F.sort_array(F.collect_list(mark)).alias("marks"),
+            F.sort_array(F.collect_list(F.when(blank, F.col("pos")))).alias("blanks"))
+        earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumns({
+            "shift": F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first"),
+            "before": F.coalesce(F.sum(F.size("blanks")).over(earlier), F.lit(0)),
+        }).withColumn("blanks", F.transform("blanks", lambda p: p + F.col("shift")))
+        return stage(found.join(self.files.select("path"), "path").drop("first", "n"), "blocks")
 
     @cached_property
     def _sections(self) -> DataFrame:
-        """Marks and rows with their section header, frame (from 1) and 0-based row in the section."""
-        blocks = self._lines.groupBy("file", "block").agg(
-            F.max("rows").alias("n"), F.max("frames").alias("f"), F.max_by("here", "pos").alias("last"))
-        in_file = Window.partitionBy("file").orderBy("block")  # one row per file block
-        earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.withColumns({
-            "n0": F.coalesce(F.sum("n").over(earlier), F.lit(0)),
-            "f0": F.coalesce(F.sum("f").over(earlier), F.lit(0)),
-        })
-        shifted = F.struct((F.col("last.rows") + F.col("n0")).alias("rows"),
-                           (F.col("last.frames") + F.col("f0")).alias("frames"), F.col("last.header").alias("header"))
-        blocks = blocks.withColumn("closed", F.when(F.col("last").isNotNull(), shifted)).withColumn(
-            "carried", F.last("closed", ignorenulls=True).over(earlier))
-        blocks = stage(blocks.select("file", "block", "n0", "f0", "carried"), "blocks")
-        own = F.struct((F.col("here.rows") + F.col("n0")).alias("rows"),
-                       (F.col("here.frames") + F.col("f0")).alias("frames"), F.col("here.header").alias("header"))
-        section = F.when(F.col("here").isNotNull(), own).otherwise(F.col("carried"))
-        lines = self._lines.filter(F.col("is_mark") | F.col("is_row")).join(blocks, ["file", "block"])
-        lines = lines.withColumn("section", section).filter(F.col("section").isNotNull())
-        in_atoms = F.col("section.header").startswith(ATOMS_MARK)
+        """Per file the sections of its first frame: marks up to the first atoms section, with the line that ends
+        them (NULL: the end of the file) and the blank lines before them."""
+        marks = self._blocks.select("path", "shift", "blanks", "before", F.explode("marks").alias("m")).select(
+            "path", (F.col("m.pos") + F.col("shift")).alias("line"), F.col("m.header").alias("header"), "blanks", "before")
+        marks = marks.withColumn(
+            "skipped", F.col("before") + F.size(F.filter("blanks", lambda b: b < F.col("line")))).drop("blanks", "before")
+        atoms = marks.filter(F.col("header").startswith(ATOMS_MARK)).groupBy("path").agg(F.min("line").alias("atoms"))
+        joined = marks.join(atoms, "path", "left")
+        close = joined.filter("line > atoms").groupBy("path").agg(F.min("line").alias("close"))
+        frame = joined.filter("atoms is null or line <= atoms").join(close, "path", "left")
+        following = F.lead("line").over(Window.partitionBy("path").orderBy("line"))
+        frame = frame.withColumn("end", F.coalesce(following, "close"))
+        return stage(frame.groupBy("path").agg(
+            F.sort_array(F.collect_list(F.struct("line", "end", "skipped", "header"))).alias("sections")), "sections")
+
+    def _placed(self) -> DataFrame:
+        """Rows of the first frame: ``file, header, row`` (0-based in the section) and the line."""
+        blocks = self._blocks.drop("marks").join(self._sections, "path").join(self.files, "path")
+        lines = self._lines().join(blocks, ["path", "block"]).withColumn("line", F.col("pos") + F.col("shift"))
+        line = F.col("line")
+        here = F.filter("sections", lambda s: (s["line"] < line) & (s["end"].isNull() | (line < s["end"])))
+        lines = lines.withColumn("section", F.get(here, F.lit(0))).filter(
+            F.col("section").isNotNull() & (F.length(_stripped(F.col("value"))) > 0))
+        blanks = F.col("before") + F.size(F.filter("blanks", lambda b: b < line)) - F.col("section.skipped")
         return lines.select(
-            "file", "is_mark", F.col("section.header").alias("header"),
-            (F.col("section.frames") + F.when(in_atoms, 0).otherwise(1)).alias("frame"),
-            (F.col("rows") + F.col("n0") - F.col("section.rows") - 1).alias("row"), "value",
-        ).filter("frame = 1").drop("frame")
+            "file", F.col("section.header").alias("header"),
+            (line - F.col("section.line") - 1 - blanks).alias("row"), "value")
 
     @cached_property
-    def _small(self) -> DataFrame:
-        """Marks and all rows outside the atoms section: a handful per file, staged."""
-        return stage(
-            self._sections.filter(F.col("is_mark") | ~F.col("header").startswith(ATOMS_MARK)), "headers")
-
-    def _rows(self, mark: str) -> DataFrame:
-        source = self._sections if mark == ATOMS_MARK else self._small
-        return source.filter(~F.col("is_mark") & F.col("header").startswith(mark))
-
-    def _parsed(self) -> DataFrame:
-        """Atom rows as numbers; ``bad`` marks a row with a missing or non-numeric value."""
-        rows = self._rows(ATOMS_MARK).select(
-            "file", F.col("row").alias("atom_id"), _tokens(F.col("value")).alias("parts"),
-            F.slice(_tokens(F.col("header")), 3, 1 << 20).alias("columns"))
-        named = F.array_distinct(F.filter("columns", lambda c: ~c.isin("x", "y", "z")))
-        rows = rows.withColumn("names", F.slice(named, 1, self.max_extra))
-        numbers = F.transform(
-            "names", lambda c: _number(F.col("parts"), F.array_position("columns", c)))
+    def _rows(self) -> DataFrame:
+        """Every row parsed once for both readers and written: numbers for atoms, the line for other sections.
+
+        ``x, y, z, numbers`` and ``bad`` (a missing or non-numeric value) are the generic reader's; ``bx, by, bz``,
+        ``short`` (fewer columns than wanted) and ``bad_box`` the boxed reader's.
+        """
+        atoms = F.col("header").startswith(ATOMS_MARK)
+        rows = self._placed().withColumns({
+            "atoms": atoms, "parts": F.when(atoms, _tokens(F.col("value"))), "columns": _columns()})
+        rows = rows.withColumn("names", self._names())
+        at = _coordinate_positions()
+        numbers = F.transform("names", lambda c: _number(F.col("parts"), F.array_position("columns", c)))
         rows = rows.withColumns({
-            **{a: F.when(F.array_contains("columns", a),
-                         _number(F.col("parts"), F.array_position("columns", F.lit(a)))) for a in "xyz"},
+            **{a: F.when(F.array_contains("columns", a), _number(F.col("parts"), F.array_position("columns", F.lit(a))))
+               for a in "xyz"},
             "numbers": numbers,
+            **{f"b{a}": _number(F.col("parts"), at[a]) for a in "xyz"},
+            "short": F.size("parts") < F.greatest(*at.values()),
         })
-        bad = F.exists("numbers", lambda v: v.isNull())
+        bad, bad_box = F.exists("numbers", lambda v: v.isNull()), F.lit(False)
         for a in "xyz":
-            bad = bad | F.col(a).isNull()
-        return rows.withColumn("bad", bad)
+            bad, bad_box = bad | F.col(a).isNull(), bad_box | F.col(f"b{a}").isNull()
+        rows = rows.withColumns({"bad": bad, "bad_box": ~F.col("short") & bad_box})
+        return stage(rows.withColumn("value", F.when(~F.col("atoms"), F.col("value"))).drop("parts", "columns", "names"), "rows")
+
+    def _names(self) -> Column:
+        named = F.array_distinct(F.filter("columns", lambda c: ~c.isin("x", "y", "z")))
+        return F.slice(named, 1, self.max_extra)
+
+    @cached_property
+    def _heads(self) -> DataFrame:
+        """``file, header`` of the atoms section."""
+        marks = self._sections.select("path", F.explode("sections").alias("s")).select("path", F.col("s.header").alias("header"))
+        return marks.filter(F.col("header").startswith(ATOMS_MARK)).join(self.files, "path").select("file", "header")
+
+    def _small(self, mark: str) -> DataFrame:
+        return self._rows.filter(~F.col("atoms") & F.col("header").startswith(mark)).select("file", "header", "row", "value")
 
     @cached_property
     def status(self) -> DataFrame:
         """One row per file: ``ok`` or why it was set aside."""
-        heads = self._small.filter(F.col("is_mark") & F.col("value").startswith(ATOMS_MARK))
-        heads = heads.select(
-            "file", F.slice(_tokens(F.col("header")), 3, 1 << 20).alias("columns")
-        ).withColumn("complete", F.array_contains("columns", "x") & F.array_contains("columns", "y")
-                     & F.array_contains("columns", "z"))
-        rows = self._parsed().groupBy("file").agg(
+        heads = self._heads.withColumn("columns", _columns()).withColumn(
+            "complete", F.forall(F.array(*map(F.lit, "xyz")), lambda a: F.array_contains("columns", a))).drop("header")
+        rows = self._rows.filter("atoms").groupBy("file").agg(
             F.count("*").alias("num_atoms"), F.max("bad").alias("any_bad"))
-        joined = self.files.join(heads, "file", "left").join(rows, "file", "left")
+        joined = self.files.select("file").join(heads, "file", "left").join(rows, "file", "left")
         status = (
             F.when(F.col("complete").isNull(), NO_ATOMS)
             .when(~F.col("complete"), NO_COORDINATES)
@@ -180,14 +211,15 @@ class DumpScan:
 
     def atoms(self) -> DataFrame:
         """``snapshot_id, atom_id, x, y, z, extra`` of the good files."""
-        good = self._parsed().join(self.quarantine().select("file"), "file", "left_anti")
-        return good.select(
-            F.col("file").alias("snapshot_id"), "atom_id", "x", "y", "z",
-            F.map_from_arrays("names", "numbers").alias("extra"))
+        good = self._rows.filter("atoms").join(self.quarantine().select("file"), "file", "left_anti")
+        return good.withColumn("columns", _columns()).select(
+            F.col("file").alias("snapshot_id"), F.col("row").alias("atom_id"), "x", "y", "z",
+            F.map_from_arrays(self._names(), "numbers").alias("extra"))
 
     def boxes(self) -> DataFrame:
-        """Orthogonal bounds, atom count and boundary flags per file; files without three bounds go."""
-        bounds = self._rows(BOUNDS_MARK).filter("row < 3").withColumn("parts", _tokens(F.col("value")))
+        """Orthogonal bounds, atom count and boundary flags of the files with three bounds; ``boxed_status`` names
+        the others."""
+        bounds = self._small(BOUNDS_MARK).filter("row < 3").withColumn("parts", _tokens(F.col("value")))
         values = {}
         for row, axis in enumerate("xyz"):
             for position, end in ((1, "lo"), (2, "hi")):
@@ -196,45 +228,84 @@ class DumpScan:
         flags = F.slice(_tokens(F.col("header")), -3, 3)
         per_file = bounds.groupBy("file").agg(
             *[c.alias(n) for n, c in values.items()], F.first(flags).alias("boundary"))
-        counts = self._rows(COUNT_MARK).filter("row = 0").select(
+        counts = self._small(COUNT_MARK).filter("row = 0").select(
             "file", _stripped(F.col("value")).try_cast("long").alias("declared_atoms"))
         complete = " and ".join(f"{n} is not null" for n in values)
         return per_file.filter(complete).join(counts, "file", "left").withColumnRenamed("file", "snapshot_id")
 
+    def _boxed_rows(self) -> DataFrame:
+        """Atom rows up to the declared count that are long enough, with the columns of their box."""
+        heads = self._heads.select(F.col("file").alias("snapshot_id"), _scaled().alias("scaled"))
+        boxes = self.boxes().drop("boundary").join(heads, "snapshot_id")
+        rows = self._rows.filter("atoms").select(
+            F.col("file").alias("snapshot_id"), F.col("row").alias("atom_id"), "bx", "by", "bz", "short", "bad_box")
+        rows = attach(rows, stage(with_last_chunk(rows, boxes), "boxes"))
+        return rows.filter(~F.col("short") & (F.col("declared_atoms").isNull() | (F.col("atom_id") < F.col("declared_atoms"))))
+
+    @cached_property
+    def boxed_status(self) -> DataFrame:
+        """``file, status, num_atoms`` for the boxed reader, one row per file.
+
+        Files without an atoms section, without three bounds, without coordinate columns or with a non-numeric
+        coordinate are set aside. ``fewer rows than declared`` is a note: short lines are left out, the rest of
+        such a file is used.
+        """
+        heads = self._heads.withColumn("columns", _columns()).select(
+            "file", F.greatest(*_coordinate_positions().values()).alias("last"),
+            F.forall(F.array(*_coordinate_positions().values()), lambda p: p.isNotNull()).alias("complete"))
+        boxes = self.boxes().select(F.col("snapshot_id").alias("file"), "declared_atoms", F.lit(True).alias("boxed"))
+        rows = self._boxed_rows().groupBy(F.col("snapshot_id").alias("file")).agg(
+            F.count("*").alias("n"), F.max("bad_box").alias("any_bad"))
+        joined = self.files.select("file").join(heads, "file", "left").join(boxes, "file", "left").join(rows, "file", "left")
+        n = F.coalesce("n", F.lit(0)).cast("long")
+        status = (
+            F.when(F.col("complete").isNull(), NO_ATOMS)
+            .when(F.col("boxed").isNull(), NO_BOUNDS)
+            .when(~F.col("complete"), NO_COORDINATES)
+            .when(F.coalesce("any_bad", F.lit(False)), BAD_VALUE)
+            .when(n < F.col("declared_atoms"), FEWER_ROWS)
+            .otherwise(OK)
+        )
+        return stage(joined.select("file", status.alias("status"), n.alias("num_atoms")), "boxed-status")
+
     def boxed_atoms(self) -> DataFrame:
         """Positions for the lattice comparison: x, xu or xs columns, else the third to fifth.
 
-        Rows beyond the declared count and rows too short are dropped; scaled coordinates are unscaled.
+        Rows beyond the declared count and rows too short are left out, files that ``boxed_status`` sets aside
+        stay away whole; scaled coordinates are unscaled.
         """
-        rows = self._rows(ATOMS_MARK).select(
-            F.col("file").alias("snapshot_id"), F.col("row").alias("atom_id"), _tokens(F.col("value")).alias("parts"))
-        boxes = self.boxes().drop("boundary").join(self._coordinate_columns(), "snapshot_id")
-        rows = attach(rows, stage(with_last_chunk(rows, boxes), "boxes")).filter(
-            F.col("declared_atoms").isNull() | (F.col("atom_id") < F.col("declared_atoms")))
+        aside = self.boxed_status.filter(~F.col("status").isin(OK, FEWER_ROWS)).select(F.col("file").alias("snapshot_id"))
+        rows = self._boxed_rows().join(aside, "snapshot_id", "left_anti")
         out = {}
         for axis in "xyz":
-            value = _number(F.col("parts"), F.col(f"at_{axis}"))
-            low, high = F.col(f"{axis}lo"), F.col(f"{axis}hi")
+            value, low, high = F.col(f"b{axis}"), F.col(f"{axis}lo"), F.col(f"{axis}hi")
             out[axis] = F.when(F.col("scaled"), value * (high - low) + low).otherwise(value)
-        return rows.withColumns(out).select("snapshot_id", "atom_id", "x", "y", "z").dropna()
+        return rows.withColumns(out).select("snapshot_id", "atom_id", "x", "y", "z")
+
+
+def _columns() -> Column:
+    """Column names of an atoms header."""
+    return F.slice(_tokens(F.col("header")), 3, 1 << 20)
+
+
+def _at(name: str) -> Column:
+    return F.nullif(F.array_position("columns", F.lit(name)), F.lit(0))
+
 
-    def _coordinate_columns(self) -> DataFrame:
-        """Per file: the 1-based columns to read coordinates from, and whether they are box fractions."""
-        heads = self._small.filter(F.col("is_mark") & F.col("value").startswith(ATOMS_MARK)).select(
-            F.col("file").alias("snapshot_id"), F.slice(_tokens(F.col("header")), 3, 1 << 20).alias("columns"))
+def _coordinate_positions() -> dict[str, Column]:
+    """1-based columns of the boxed reader, from ``columns``; NULL where an axis is missing."""
+    unnamed = F.coalesce(_at("x"), _at("xu"), _at("xs")).isNull()
+    return {a: F.when(unnamed, F.lit(position + 1)).otherwise(F.coalesce(_at(a), _at(f"{a}u"), _at(f"{a}s")))
+            for a, position in FALLBACK_COLUMNS.items()}
 
-        def at(name: str) -> Column:
-            return F.nullif(F.array_position("columns", F.lit(name)), F.lit(0))
 
-        unnamed = F.coalesce(at("x"), at("xu"), at("xs")).isNull()
-        return heads.select(
-            "snapshot_id",
-            *[F.when(unnamed, F.lit(position + 1)).otherwise(F.coalesce(at(a), at(f"{a}u"), at(f"{a}s")))
-              .alias(f"at_{a}") for a, position in FALLBACK_COLUMNS.items()],
-            (F.coalesce(at("x"), at("xu")).isNull() & at("xs").isNotNull()).alias("scaled"))
+def _scaled() -> Column:
+    """Whether the header gives box fractions only."""
+    columns = _columns()
+    return F.array_contains(columns, "xs") & ~F.array_contains(columns, "x") & ~F.array_contains(columns, "xu")
 
 
-def scan_dumps(spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str = FILE_NAME) -> DumpScan:
+def scan_dumps(spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str | None = None) -> DumpScan:
     return DumpScan(spark, path, max_extra, name_pattern)
 
 
