@@ -24,7 +24,7 @@ from voidscope.llm.common import slices, texts
 
 SPACE = "▁"
 LONG = 64  # longer words are merged by a heap, which gives the same pieces
-_CACHED = 300_000
+_CACHED = 500_000  # words of a generation; two are kept
 _BITMAP = 18
 _BASE = np.uint64(0x100000001B3)
 _WORDS = 8192  # words advancing together
@@ -60,6 +60,7 @@ class Pieces:
         self.pair_apart = np.zeros(1 << _PAIR_SLOTS, bool)
         self.spines: tuple[dict[str, list], dict[str, list]] = {}, {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -223,9 +224,13 @@ class Pieces:
         split = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in rows]
         known = self.words
         new = set().union(*split) - known.keys() if split else set()
-        if len(known) + len(new) > _CACHED:
-            known.clear()
+        if len(known) + len(new) > _CACHED:  # two generations: frequent words move on to the next one
+            self.older, known = known, {}
+            self.words = known
             new = set().union(*split)
+        again = new & self.older.keys()
+        known.update((w, self.older[w]) for w in again)
+        new -= again
         by_length: dict[int, list[str]] = {}
         for word in new:
             by_length.setdefault(len(word), []).append(word)
