@@ -3,7 +3,8 @@
 Files are read as splittable text, so one large dump is parsed by many tasks. A first pass keeps only marks and
 blank lines, per file block; from these a small table says which section every block is in and how many lines and
 blanks came before. The second pass joins that table to the lines where they are read, numbers each row from its
-position, parses it once for both readers and writes the numbers. No line of text is shuffled or copied.
+position, parses it once for both readers and writes the numbers. No text is copied, and none is shuffled while
+the table (one row per file block) is below the broadcast threshold.
 
 Every file is known by its whole path; the name that results carry must be different for each file.
 """
