@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,19 +27,29 @@ from voidscope.session import stage
 END = 2
 BLOCK_TOKENS = 1 << 18
 _CACHED = 500_000
-_JOINED = 2000
-_PIECE_BYTES = 2 << 20
-_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_JOINED = 500
+_PIECE_BYTES = 4 << 20
+_MARKS = rb"!-&(-/:-@\[-`{-~"  # ASCII punctuation without the apostrophe
+_PARTS = re.compile(rb"[^\s" + _MARKS + rb"]+|[" + _MARKS + rb"]+")
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_TAILED = re.compile(b"(" + _LETTERS.pattern + b")([" + _MARKS + b"]+)")
+_PLAIN = bytes(set(range(32, 127)) - {39} | set(b"\t\n\v\f\r") | {0xC3} | set(range(0x80, 0xC0)))
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 
 
+def _plain(text: bytes) -> bool:
+    """Whether all characters are ASCII (no control character, no apostrophe) or Latin-1 letters, without a special
+    token's mark. The vocabulary then parts the word wherever punctuation starts or ends."""
+    return not (text.translate(None, _PLAIN) or b"<|" in text or b"\xc3\x97" in text or b"\xc3\xb7" in text)
+
+
 class WordEncoder:
     """Whole texts through the tokenizers library, each distinct word once.
 
     The vocabulary lower-cases, drops white space and never joins over it, so the ids of a text are those of its
-    words. Words of letters are encoded many at a time, joined by spaces; all others one by one.
+    words. Words of letters are encoded many at a time, joined by spaces; all others one by one. Plain words
+    are parted at punctuation first, so that a word is known with any mark behind it.
     """
 
     def __init__(self, path: str):
@@ -50,58 +61,70 @@ class WordEncoder:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.words: dict[bytes, bytes] = {}
 
-    def _one(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def _ids(self, text: bytes) -> np.ndarray:
+        found, = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Words of letters only are one word of the vocabulary each, and are encoded many at a time; so is a tail
-        of punctuation behind letters, which is always a word of its own."""
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words. Words of letters only are one word of the vocabulary each, and are encoded many at a time."""
         known = self.words
-        letters, tails, odd, joined = set(), set(), [], []
+        letters, odd, joined = [], set(), []
         for word in words:
-            core = word.rstrip(_TAIL)
-            if core.isalpha() or core and _LETTERS.fullmatch(core.decode("utf-8", "replace")):
-                if core not in known:
-                    letters.add(core)
-                if len(core) < len(word):
-                    tail = word[len(core):]
-                    joined.append((word, core, tail))
-                    if tail not in known:
-                        tails.add(tail)
+            if word.isalpha() or _LETTERS.fullmatch(word):
+                letters.append(word)
+            elif tailed := _TAILED.fullmatch(word):
+                joined.append((word, tailed.groups()))
+            elif _plain(word) and len(parts := _PARTS.findall(word)) > 1:
+                joined.append((word, parts))
             else:
-                odd.append(word)
-        fresh = list(letters)
-        for start in range(0, len(fresh), _JOINED):
-            group = fresh[start:start + _JOINED]
-            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, "<u4")
+                odd.add(word)
+        for part in {p for _, parts in joined for p in parts} - known.keys() - set(words):
+            if _LETTERS.fullmatch(part):
+                letters.append(part)
+            else:
+                odd.add(part)
+        for start in range(0, len(letters), _JOINED):
+            group = letters[start:start + _JOINED]
+            ids = self._ids(b" ".join(group))
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()  # the last token of a word is marked
             if len(cuts) == len(group):
                 raw = ids.tobytes()
                 known.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
             else:
-                odd += group
-        for word in [*odd, *tails]:
-            known[word] = self._one(word)
-        for word, core, tail in joined:
-            known[word] = known[core] + known[tail]
-
-    @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        """Split at ASCII white space; lower case but for texts that may name a special token."""
-        return (text if b"<|" in text else text.lower()).split()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = [self._words(t) for t in texts]
-        known = self.words
-        new = set().union(*split) if split else set()
-        new -= known.keys()
-        if len(known) + len(new) > _CACHED and len(known) > _CACHED // 2:
-            known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        return [b"".join([known[w] for w in words]) for words in split]
+                odd.update(group)
+        for word in odd:
+            known[word] = self._ids(word).tobytes()
+        for word, parts in joined:
+            known[word] = b"".join([known[p] for p in parts])
+
+    def _found(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words; what is known is bounded and starts anew beyond the bound."""
+        if len(self.words) > _CACHED:
+            self.words.clear()
+        found = list(map(self.words.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([words[i] for i in new])
+        for i in new:
+            found[i] = self.words[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (a string column without NULL) as little-endian 32-bit integers.
+
+        Texts are split at ASCII white space, in lower case but for those that may name a special token; every
+        distinct word of the column is looked up once.
+        """
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = split.flatten().dictionary_encode()
+        ids = self._found(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        tokens = pool[np.repeat(starts[at] - ends + counts, counts) + np.arange(counts.sum())]
+        bounds = np.r_[0, ends][np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy()])]
+        return [tokens[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def pack(tokens: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
@@ -179,8 +202,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
         for batch in batches:
             for some in slices(batch, limit=_PIECE_BYTES):
-                raw = some.column("text").cast(pa.binary()).to_pylist()
-                for doc, tokens in zip(some.column("doc_id").to_pylist(), encoder.encode(raw)):
+                for doc, tokens in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text"))):
                     ids.append(doc)
                     found.append(tokens + last)
                     size += len(tokens) // 4 + 1
