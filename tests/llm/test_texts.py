@@ -6,6 +6,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,21 @@ def test_token_files_equal_the_library(spark, docs, rows):
     assert all(whole[i] == tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows)
 
 
+def test_words_of_any_characters_equal_the_library():
+    from tokenizers import Tokenizer
+
+    parts = ["a", "B", "s", "é", "É", "e\u0301", "=\u0338", "ß", "İ", "ﬁ", "日本", "😀", "Ω", "ª", "µ", "½", "²", "1", "'s", "don't",
+             "we'LL", "’", "…", "×", "÷", "_", "-", ",", "###", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\t",
+             "\x0b", "\x1c", "\x00", "\x85", "\xa0", "\u200d"]
+    random = np.random.default_rng(3)
+    texts = ["".join(random.choice(parts, random.integers(0, 30))) for _ in range(3000)]
+    library, encoder = Tokenizer.from_file(registry.WORD_MODEL), tokenfile.WordEncoder(registry.WORD_MODEL)
+    for _ in range(2):  # learned, then known
+        found = encoder.encode(pa.array(texts, pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [
+            library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_of_an_empty_table(spark, docs):
     assert tokenfile.summary(tokenfile.write_tokens(docs.filter("false"), registry.WORD_MODEL)).count() == 0
 
