@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voidscope.session import stage
+from voidscope.session import stage, staging_path
 
 SCALE = 1024
 CELLS = 64
@@ -99,22 +99,27 @@ class ApproximationFile:
         ``queries(vec_id, v)`` with every row of another id; ties go to the smaller ``vec_id``."""
         n = queries.count()
         blocks = max(1, -(-n // QUERY_BLOCK))
-        found = None
-        for b in range(blocks):
-            some = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
-            part = self._search(some, k)
-            found = part if found is None else found.union(part)
+        spark = self.blocks.sparkSession
+        path = staging_path(spark, "va-results")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        return ranked.select("query_id", "rank", "vec_id", "score")
-
-    def _search(self, rows: list, k: int) -> DataFrame:
-        width = self.width
-        q = np.zeros((len(rows), width), np.int64)
+        for b in range(blocks):  # one block's queries are on the driver at a time, its results go to the shared folder
+            some = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
+            shared = spark.sparkContext.broadcast(self._bounds(some))
+            ranked = self._search(shared, k).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+            shared.destroy()
+        return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
+
+    def _bounds(self, rows: list) -> tuple[np.ndarray, ...]:
+        """Ids and vectors of some queries, and the bounds of the cells."""
+        q = np.zeros((len(rows), self.width), np.int64)
         for i, r in enumerate(rows):
             q[i, : len(r["v"])] = r["v"]
-        shared = self.blocks.sparkSession.sparkContext.broadcast(
-            (np.array([r["vec_id"] for r in rows], np.int64), q, self.lower.astype(float), self.upper.astype(float)))
+        return np.array([r["vec_id"] for r in rows], np.int64), q, self.lower.astype(float), self.upper.astype(float)
+
+    def _search(self, shared, k: int) -> DataFrame:
+        """The best ``k`` of each task for the broadcast queries."""
+        width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, lower, upper = shared.value
