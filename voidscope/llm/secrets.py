@@ -1,9 +1,10 @@
 """Secrets in texts: fixed patterns, and character Markov models for what the patterns do not know.
 
 Native: column expressions, joins and aggregates only. Two first-order character models are counted from a
-bounded labelled sample: random strings (values that the patterns found) and ordinary identifiers (long words
-of the same texts that no pattern touches). A run of identifier characters whose log-likelihood ratio is high
-enough is one more secret.
+bounded labelled sample: random strings (values that the patterns found) and ordinary runs (runs of the judged
+characters of the same texts that no pattern touches, also short ones). A run of identifier characters whose
+log-likelihood ratio is high enough is one more secret. Separators part a run: only neighboring letters and
+digits are evidence, so paths, slugs and dates are judged by their words and numbers.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ HEX, HEX_LENGTH = r"[0-9a-f]+", 16
 KINDS = ("assign", "access", "hex", "markov")
 
 RUN = r"[A-Za-z0-9+/_=-]{16,}"  # candidates of the Markov models
-IDENTIFIER = r"[A-Za-z_]{8,}"  # ordinary identifiers, if no pattern touches them
+_OTHER_RUN = "[A-Za-z0-9+/_=\ufffd-]{2,}"  # ordinary runs, if they do not hold the place of a pattern
 SAMPLE_DOCS = 3000  # bound of the labelled sample, documents with and without base secrets each
 THRESHOLD = 12.0  # log-likelihood ratio of a secret
 SMOOTH = 0.5
+MOST = 3.0  # evidence of one pair at most, so that no few unseen pairs make a secret
 _MARK, _OTHER = "\ufdd0", "\ufffd"
 _FIRST, _WIDTH = 32, 96  # printable ASCII
 
@@ -99,29 +101,43 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     rows = stage(rows.withColumn("spans", base_spans(F.col("text"))), "secret-sample")
     values = F.transform("spans", lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["value"], ASSIGN, 1)).otherwise(s["value"]))
     random = rows.select(F.explode(values).alias("word")).distinct()
-    masked = F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), f"{ACCESS}|[0-9a-f]{{{HEX_LENGTH},}}", " ")
-    ordinary = rows.select(F.explode(F.regexp_extract_all(masked, F.lit(IDENTIFIER), 0)).alias("word")).distinct()
+    plain = F.translate("text", _OTHER, " ")
+    masked = F.regexp_replace(F.regexp_replace(plain, ASSIGN, _OTHER), f"{ACCESS}|[0-9a-f]{{{HEX_LENGTH},}}", _OTHER)
+    runs = F.regexp_extract_all(masked, F.lit(_OTHER_RUN), 0)
+    ordinary = rows.select(F.explode(runs).alias("word")).filter(~F.col("word").contains(_OTHER)).distinct()
     found = _pairs(random, "random").union(_pairs(ordinary, "ordinary")).collect()  # at most 2 x 95 x 95 rows
     return ratios([tuple(r) for r in found])
 
 
+def _alphanumeric(code: int) -> bool:
+    return code < 128 and chr(code).isalnum()
+
+
 def ratios(counts: list[tuple[int, int, str, int]]) -> list[float]:
-    """Smoothed conditional log probabilities of the second character, random minus ordinary."""
+    """Smoothed conditional log probabilities of the second character, random minus ordinary.
+
+    Only letters and digits are counted. Pairs with a separator, and pairs after a character that the ordinary
+    runs do not hold, are no evidence; no pair gives more than ``MOST``.
+    """
+    counts = [r for r in counts if _alphanumeric(r[0]) and _alphanumeric(r[1])]
     table = {(a, b, label): n for a, b, label, n in counts}
     sums: dict[tuple[int, str], int] = {}
     for a, _, label, n in counts:
         sums[a, label] = sums.get((a, label), 0) + n
     if len({label for _, _, label, _ in counts}) < 2:
         return [0.0] * (_WIDTH * _WIDTH)
-    alphabet = 66  # characters that a run can hold
+    alphabet = 62  # letters and digits
     out = []
     for a in range(_FIRST, _FIRST + _WIDTH):
         for b in range(_FIRST, _FIRST + _WIDTH):
+            if not (_alphanumeric(a) and _alphanumeric(b) and (a, "ordinary") in sums):
+                out.append(0.0)
+                continue
             # few random samples: pull their model to an even one
             p, q = (
                 (table.get((a, b, label), 0) + smooth) / (sums.get((a, label), 0) + smooth * alphabet)
                 for label, smooth in (("random", 4 * SMOOTH), ("ordinary", SMOOTH)))
-            out.append(round(log(p / q), 4))
+            out.append(min(MOST, round(log(p / q), 4)))
     return out
 
 
