@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voidscope.llm import decontam, langid, quality, secrets, simhash, spm, tokenfile, toxicity, urls, vafile
+from voidscope.llm import (
+    decontam, langid, quality, repeats, secrets, simhash, spm, tokenfile, toxicity, urls, vafile,
+)
 from voidscope.llm.common import fold, held_out, table
 
 #: Folder of the public vocabulary files; a parameter of the deployment, never part of the repository.
@@ -75,9 +77,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents less the bytes of 50-byte strings that an earlier document holds."""
+    return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_langid, op3_quality, op4_sentencepiece, op5_decontaminate, op6_secrets, op7_topk,
-    op8_tokenids, op9_urlfilter, op10_toxicity)}
+    op8_tokenids, op9_urlfilter, op10_toxicity, op13_suffix_dedup)}
 
 ORACLES = {
     "op7_topk": """
