@@ -29,7 +29,7 @@ from voidscope.session import stage
 LENGTH = 50
 MARK = 20  # bytes of the substrings whose least hash marks a window
 BLOCK_BYTES = 4 << 20
-SLICE = 1 << 21  # windows marked at a time
+SLICE = 1 << 17  # windows marked at a time
 MAX_WINDOWS = 64  # windows in one string
 PART_MARKS = 4 << 20  # marks of one part, about
 PART_STRINGS = 40_000  # strings of one part, about
@@ -95,15 +95,16 @@ class Block:
         some = self.ends - begins >= length
         bound[begins[some]] += 1
         bound[self.ends[some] - length + 1] -= 1
-        found = []
+        found, open_ = [], 0
         for a in range(0, len(text) - length + 1, SLICE):
             z = min(a + SLICE, len(text) - length + 1)
             value = _least(_hashes(text[a:z + length - 1], self.mark), length - self.mark + 1)
             # a text that begins right where the windows of the last one end leaves no gap, so bounds cut as well
-            inside = np.cumsum(bound[a:z]) + (int(bound[:a].sum()) if a else 0) > 0
+            depth = np.cumsum(bound[a:z]) + open_
+            open_, inside = int(depth[-1]), depth > 0
             new = np.ones(len(value), bool)
             new[1:] = (value[1:] != value[:-1]) | (inside[1:] != inside[:-1])
-            new[begins[(begins >= a) & (begins < z)] - a] = True
+            new[begins[np.searchsorted(begins, a):np.searchsorted(begins, z)] - a] = True
             start = np.flatnonzero(new)
             count = np.diff(np.append(start, len(value)))
             start, count = start[inside[start]], count[inside[start]]
