@@ -70,7 +70,7 @@ def test_one_sign_for_all_rows(spark):
 def test_repeats_weigh_once_and_bad_rows_are_dropped(spark):
     rows = vectors(4, 60, 6)
     check(spark, rows + [(1000 + i, rows[0][1]) for i in range(300)] + [rows[1], rows[1], (None, rows[2][1])] + [
-        (2000, None), (2001, [1.0, None, 0, 0, 0, 0]), (2002, [float("nan")] * 6), (2003, [float("inf")] + [0.0] * 5),
+        (2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] + [0.0] * 5),
         (2004, [1.0, 2.0]), (2005, [])])
 
 
@@ -81,9 +81,9 @@ def test_few_or_equal_vectors_have_no_component(spark):
 
 
 def test_large_entries(spark):
-    rows = [(i, [c * 1e6 for c in v]) for i, v in vectors(6, 50, 4)]
-    found = check(spark, rows, tolerance=1e-5)
-    assert all(r.deviation is not None for r in found)
+    for size, fits in ((1e4, True), (1e6, False)):
+        found = check(spark, [(i, [c * size for c in v]) for i, v in vectors(6, 50, 4)], tolerance=1e-5)
+        assert all(r.deviation is not None for r in found) == fits
     huge = [(i, [c * 1e30 for c in v]) for i, v in vectors(7, 20, 3)]
     found = whitening.whiten(spark.createDataFrame([(i, v, "n", "c") for i, v in huge], SCHEMA)).collect()
     assert len(found) == 60 and all(r.deviation is None for r in found)

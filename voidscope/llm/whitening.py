@@ -200,11 +200,11 @@ def leading_eigenvectors(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     positive (the first of equal ones)."""
     d = len(a)
     k = min(k, d)
-    if not k:
-        return np.zeros(0), np.zeros((d, 0))
+    if not k or not np.any(a):
+        return np.zeros(k), np.eye(d)[:, :k]
     diagonal, off, reflections = tridiagonal(a)
     values = largest(diagonal, off, k)
-    norm = max(float((np.abs(diagonal) + np.abs(np.append(off, 0)) + np.abs(np.append(0, off))).max()), np.finfo(float).tiny)
+    norm = float((np.abs(diagonal) + np.abs(np.append(off, 0)) + np.abs(np.append(0, off))).max())
     least = np.finfo(float).eps * norm
     start = np.random.default_rng(1)
     vectors = np.zeros((d, k))
