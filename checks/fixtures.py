@@ -55,6 +55,49 @@ def cloud_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").cast("long").alias("snapshot_id"), F.col("vec_id").alias("atom_id"), *component)
 
 
+def cloud_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small clouds by customer: price and order number folded into coordinates between 0 and 10."""
+
+    def build() -> DataFrame:
+        rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+        key = F.col("o_orderkey")
+        return number_rows(rows, ["o_custkey"], ["o_orderkey"], "atom_id").select(
+            F.col("o_custkey").alias("snapshot_id"), "atom_id",
+            (F.col("o_totalprice") % 1000 / 100).alias("x"), (key % 997 / 100).alias("y"), (key * 31 % 1009 / 100).alias("z"))
+
+    return _once(spark, ("cloud_orders", sf_dir), build)
+
+
+def boxes_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of edges between 3 and 8 that repeat along some axes, by customer number."""
+    key = F.col("c_custkey")
+    high = {"xhi": F.lit(3.0) + F.col("c_nationkey") * 0.2, "yhi": F.lit(4.0) + key % 5 * 0.5, "zhi": F.lit(5.0)}
+    flags = {"px": key % 2 == 0, "py": key % 3 == 0, "pz": F.floor(key / 2) % 2 == 0}
+    return table(spark, sf_dir, "customer").select(
+        key.alias("snapshot_id"), *[F.lit(0.0).alias(f"{axis}lo") for axis in "xyz"],
+        *[c.alias(n) for n, c in {**high, **flags}.items()])
+
+
+def boxes_solvent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`boxes_customer` of the customers that owe nothing; the others have no box."""
+    keep = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("snapshot_id"))
+    return boxes_customer(spark, sf_dir).drop("px", "py", "pz").join(keep, "snapshot_id", "left_semi")
+
+
+CUBE_EDGE, CUBE_CELLS = 8.0, 4
+
+
+def sites_cube(spark: SparkSession) -> DataFrame:
+    """4x4x4 reference sites in a cube of edge 8."""
+    index = (F.floor(F.col("id") / 16), F.floor(F.col("id") / 4) % 4, F.col("id") % 4)
+    return spark.range(CUBE_CELLS**3).select(
+        F.col("id").alias("site_id"), *[(i * 2.0 + 0.75).alias(axis) for axis, i in zip("xyz", index)])
+
+
+def cube_box() -> dict[str, float]:
+    return {f"{a}{end}": CUBE_EDGE if end == "hi" else 0.0 for a in "xyz" for end in ("lo", "hi")}
+
+
 def sites_lattice(spark: SparkSession) -> DataFrame:
     """10x10x10 reference sites with a different spacing per axis."""
     i, j, k = F.floor(F.col("id") / 100), F.floor(F.col("id") / 10) % 10, F.col("id") % 10
@@ -146,3 +189,42 @@ def dump_text(spark: SparkSession, sf_dir: str) -> str:
             "snapshot_id", "piece", "place").drop("place").write.partitionBy("snapshot_id", "piece").text(path)
         _paths[key] = path
     return _paths[key]
+
+
+FRAME_NAME = r"nation=(\d+/piece=\d+)/"
+
+
+def frame_text(spark: SparkSession, sf_dir: str) -> str:
+    """Write :func:`cloud_orders` as dump files of many frames and return their directory.
+
+    A file holds the customers of one nation, 16,384 customer numbers to a piece, one frame each, also those without
+    orders; boxes as in :func:`boxes_customer`, tilted for every eleventh customer.
+    """
+    key = (spark.sparkContext.applicationId, "frame_text", sf_dir)
+    if key not in _paths:
+        nations = table(spark, sf_dir, "customer").select(
+            F.col("c_custkey").alias("snapshot_id"), F.col("c_nationkey").alias("nation"),
+            F.shiftright("c_custkey", 14).alias("piece"))
+        atoms = cloud_orders(spark, sf_dir)
+        counts = atoms.groupBy("snapshot_id").count()
+        boxes = nations.join(boxes_customer(spark, sf_dir), "snapshot_id").join(counts, "snapshot_id", "left")
+        tilted = F.col("snapshot_id") % 11 == 0
+        words = F.concat_ws(" ", *[F.when(F.col(f"p{a}"), "pp").otherwise("ff") for a in "xyz"])
+        lines = [F.lit("ITEM: TIMESTEP"), F.col("snapshot_id").cast("string"), F.lit("ITEM: NUMBER OF ATOMS"),
+                 F.coalesce("count", F.lit(0)).cast("string"),
+                 F.concat(F.lit("ITEM: BOX BOUNDS "), F.when(tilted, "xy xz yz ").otherwise(""), words),
+                 *[F.concat(F.col(f"{a}lo").cast("string"), F.lit(" "), F.col(f"{a}hi").cast("string"),
+                            F.when(tilted, " 0.25").otherwise("")) for a in "xyz"],
+                 F.lit("ITEM: ATOMS id type x y z")]
+        heads = boxes.select("nation", "piece", "snapshot_id", F.posexplode(F.array(*lines)).alias("at", "value")).select(
+            "nation", "piece", "snapshot_id", (F.col("at") - len(lines)).cast("long").alias("place"), "value")
+        body = atoms.join(nations, "snapshot_id").select(
+            "nation", "piece", "snapshot_id", F.col("atom_id").alias("place"),
+            F.concat_ws(" ", (F.col("atom_id") + 1).cast("string"), F.lit("1"), *[F.col(a).cast("string") for a in "xyz"]
+                        ).alias("value"))
+        path = staging_path(spark, "frames")
+        heads.unionByName(body).repartition("nation", "piece").sortWithinPartitions(
+            "nation", "piece", "snapshot_id", "place").drop("snapshot_id", "place").write.partitionBy(
+            "nation", "piece").text(path)
+        _paths[key] = path
+    return _paths[key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.oracle_defects import BOXES, OCCUPIED, SITES, SURFACE, WRAPPED, assigned
+from checks.oracle_defects import BOXES, NEAR, OCCUPIED, ORDERED, SITES, SURFACE, WRAPPED, assigned
 from checks.oracle_features import CLOUD, GRID_COLUMNS, feature_parts, feature_set, rounded, with_
 from voidscope.operators.catalog import CATEGORIES, FEATURES
 from voidscope.operators.evaluation import (
@@ -113,13 +113,37 @@ dumped AS (
 _FEATURED = feature_set()
 
 # the same texts over the whole cloud, then everything else over the surface of the good dumps
-_WHOLE = [text.replace("cloud", "every") for text in (CLOUD, _DUMPED, SURFACE)]
+_WHOLE = [text.replace("cloud", "every") for text in (CLOUD, _DUMPED, NEAR, SURFACE)]
 _SURFACE_CLOUD = """
 cloud AS (
   SELECT * FROM every SEMI JOIN surface USING (snapshot_id, atom_id)
   SEMI JOIN (SELECT snapshot_id FROM dumped WHERE status = 'ok') USING (snapshot_id))"""
 
+FRAMES = """
+frames AS (
+  SELECT c_custkey, c_nationkey || '/piece=' || (c_custkey // 16384) || '#' ||
+         (row_number() OVER (PARTITION BY c_nationkey, c_custkey // 16384 ORDER BY c_custkey) - 1) AS snapshot_id,
+         round(3 + c_nationkey * 0.2::DOUBLE, 9) AS xhi, round(4 + c_custkey % 5 * 0.5::DOUBLE, 9) AS yhi,
+         5::DOUBLE AS zhi, c_custkey % 11 = 0 AS tilted,
+         CASE WHEN c_custkey % 2 = 0 THEN 'pp ' ELSE 'ff ' END || CASE WHEN c_custkey % 3 = 0 THEN 'pp ' ELSE 'ff ' END ||
+         CASE WHEN c_custkey // 2 % 2 = 0 THEN 'pp' ELSE 'ff' END AS boundary
+  FROM customer)"""
+
 ORACLES = {
+    "feature_csv_sorted": with_([CLOUD, COUNTED], """
+SELECT file, row_number() OVER (ORDER BY file) - 1 AS position FROM feature_set"""),
+    "dump_frames": with_([ORDERED, FRAMES], """
+SELECT f.snapshot_id, atom_id, x, y, z FROM cloud c JOIN frames f ON c.snapshot_id = f.c_custkey"""),
+    "dump_frames_status": with_([ORDERED, FRAMES], """
+SELECT f.snapshot_id AS file, 'ok' AS status, CAST(count(atom_id) AS BIGINT) AS num_atoms,
+       CASE WHEN any_value(tilted) THEN 'tilted box' ELSE 'ok' END AS boxed,
+       CAST(CASE WHEN any_value(tilted) THEN 0 ELSE count(atom_id) END AS BIGINT) AS boxed_atoms,
+       CASE WHEN NOT any_value(tilted) THEN CAST(count(atom_id) AS BIGINT) END AS declared_atoms,
+       CASE WHEN NOT any_value(tilted) THEN any_value(xhi) END AS xhi,
+       CASE WHEN NOT any_value(tilted) THEN any_value(yhi) END AS yhi,
+       CASE WHEN NOT any_value(tilted) THEN any_value(zhi) END AS zhi,
+       CASE WHEN NOT any_value(tilted) THEN any_value(boundary) END AS boundary
+FROM frames f LEFT JOIN cloud c ON c.snapshot_id = f.c_custkey GROUP BY f.snapshot_id"""),
     "vacancy_target": with_([CLOUD], """
 SELECT snapshot_id, CAST(16384 - count(*) AS DOUBLE) AS n_vacancies FROM cloud GROUP BY snapshot_id"""),
     "missing_count": with_(_FEATURED, "SELECT CAST(" + " + ".join(

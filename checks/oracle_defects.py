@@ -51,15 +51,54 @@ OCCUPIED = """
 occupied AS (SELECT snapshot_id, best.site_id AS site_id, count(*) AS k, min(atom_id) AS first_atom
              FROM assigned GROUP BY ALL)"""
 
-# An atom is exposed when a probe ball of radius 6 touching it holds no other atom. Ball centers tried:
-# one on the circle shared with each neighbor, and both crossings of every two circles. v1..v3 are the
-# offsets of an atom's neighbors within 12, nearest first.
-SURFACE = """
+NEAR = """
 near AS (
   SELECT a.snapshot_id, a.atom_id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz,
          power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2) AS dd
   FROM cloud a JOIN cloud b ON a.snapshot_id = b.snapshot_id AND a.atom_id != b.atom_id
-  WHERE dd < 144 AND dd > 0),
+  WHERE dd < 144 AND dd > 0)"""
+
+ORDERED = """
+cloud AS (
+  SELECT o_custkey AS snapshot_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS atom_id,
+         CAST(o_totalprice AS DOUBLE) % 1000 / 100 AS x, CAST(o_orderkey % 997 AS DOUBLE) / 100 AS y,
+         CAST(o_orderkey * 31 % 1009 AS DOUBLE) / 100 AS z FROM orders)"""
+
+# Every point with every image of itself and of the others, whole boxes -2 to 2 along the axes that repeat.
+IMAGED = """
+flagged AS (
+  SELECT c_custkey AS snapshot_id, 3 + c_nationkey * 0.2::DOUBLE AS lx, 4 + c_custkey % 5 * 0.5::DOUBLE AS ly,
+         5::DOUBLE AS lz, c_custkey % 2 = 0 AS px, c_custkey % 3 = 0 AS py, c_custkey // 2 % 2 = 0 AS pz FROM customer),
+home AS (
+  SELECT snapshot_id, atom_id, lx, ly, lz, px, py, pz,
+         CASE WHEN px THEN x - lx / 2 - lx * round_even((x - lx / 2) / lx, 0) ELSE x END AS x,
+         CASE WHEN py THEN y - ly / 2 - ly * round_even((y - ly / 2) / ly, 0) ELSE y END AS y,
+         CASE WHEN pz THEN z - lz / 2 - lz * round_even((z - lz / 2) / lz, 0) ELSE z END AS z
+  FROM cloud JOIN flagged USING (snapshot_id)),
+images AS (
+  SELECT snapshot_id, atom_id AS other_id, i.range - 2 AS ix, j.range - 2 AS iy, k.range - 2 AS iz,
+         x + (i.range - 2) * lx AS x, y + (j.range - 2) * ly AS y, z + (k.range - 2) * lz AS z
+  FROM home, range(5) i, range(5) j, range(5) k
+  WHERE (px OR i.range = 2) AND (py OR j.range = 2) AND (pz OR k.range = 2)),
+paired AS (
+  SELECT a.snapshot_id, a.atom_id, other_id, ix, iy, iz, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz,
+         power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2) AS dd
+  FROM home a JOIN images b ON a.snapshot_id = b.snapshot_id
+  WHERE dd < 6.25 AND (a.atom_id != other_id OR ix != 0 OR iy != 0 OR iz != 0)),
+near AS (SELECT * FROM paired WHERE dd > 0)"""
+
+
+def surface_text(radius: float) -> str:
+    """Tables from ``near`` to ``surface``.
+
+    An atom is exposed when a probe ball touching it holds no other atom. Ball centers tried: one on the circle
+    shared with each neighbor, and both crossings of every two circles, nearest neighbors first.
+    """
+    square = f"{radius * radius:g}"
+    return SURFACE.replace("36", square).replace("power(6 -", f"power({radius:g} -")
+
+
+SURFACE = """
 nearby AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, atom_id ORDER BY dd) AS r FROM near),
 lists AS (
   SELECT snapshot_id, atom_id, list({'x': dx, 'y': dy, 'z': dz} ORDER BY r) AS others,
@@ -144,13 +183,54 @@ SELECT a.snapshot_id, a.atom_id, b.atom_id AS other_id,
        round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)), 6) AS distance
 FROM cloud a JOIN cloud b ON a.snapshot_id = b.snapshot_id AND a.atom_id < b.atom_id
 WHERE power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) < 0.01"""),
-    "surface_atoms": with_([CLOUD, SURFACE], "SELECT snapshot_id, atom_id FROM surface"),
-    "surface_distance": with_([CLOUD, SURFACE], """
+    "surface_atoms": with_([CLOUD, NEAR, SURFACE], "SELECT snapshot_id, atom_id FROM surface"),
+    "surface_distance": with_([CLOUD, NEAR, SURFACE], """
 SELECT a.snapshot_id, a.atom_id, round(min(sqrt(
          power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))), 6) AS surface_distance
 FROM cloud a JOIN (SELECT * FROM cloud SEMI JOIN surface USING (snapshot_id, atom_id)) b
      ON a.snapshot_id = b.snapshot_id
 GROUP BY ALL HAVING surface_distance < 4"""),
+    "radius_pairs_images": with_([ORDERED, IMAGED], """
+SELECT snapshot_id, atom_id, other_id, ix, iy, iz, round(sqrt(dd), 6) AS distance FROM paired
+WHERE atom_id < other_id OR (atom_id = other_id AND (ix > 0 OR (ix = 0 AND (iy > 0 OR (iy = 0 AND iz > 0)))))"""),
+    "surface_atoms_slab": with_([ORDERED, IMAGED, surface_text(1.25)], "SELECT snapshot_id, atom_id FROM surface"),
+    "surface_distance_slab": with_([ORDERED, IMAGED, surface_text(1.25)], """
+SELECT a.snapshot_id, a.atom_id, round(min(sqrt(
+         power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))), 6) AS surface_distance
+FROM home a JOIN (SELECT * FROM images SEMI JOIN (SELECT snapshot_id, atom_id AS other_id FROM surface)
+                  USING (snapshot_id, other_id)) b ON a.snapshot_id = b.snapshot_id
+GROUP BY ALL HAVING surface_distance < 1"""),
+    "ws_summary_complete": with_([ORDERED], """
+, sized AS (
+  SELECT c_custkey AS snapshot_id, 3 + c_nationkey * 0.2::DOUBLE AS lx, 4 + c_custkey % 5 * 0.5::DOUBLE AS ly,
+         5::DOUBLE AS lz FROM customer WHERE c_acctbal >= 0),
+folded AS (
+  SELECT snapshot_id, atom_id, lx, ly, lz, x - lx / 2 - lx * round_even((x - lx / 2) / lx, 0) AS x,
+         y - ly / 2 - ly * round_even((y - ly / 2) / ly, 0) AS y, z - lz / 2 - lz * round_even((z - lz / 2) / lz, 0) AS z
+  FROM cloud JOIN sized USING (snapshot_id)),
+cube AS (
+  SELECT range AS site_id, (range // 16) * 2.0::DOUBLE + 0.75 - 4 AS x, (range // 4 % 4) * 2.0::DOUBLE + 0.75 - 4 AS y,
+         (range % 4) * 2.0::DOUBLE + 0.75 - 4 AS z FROM range(64)),
+taken AS (
+  SELECT snapshot_id, atom_id,
+         min({'d2': power((s.x * (lx / 8) - f.x) - lx * round_even((s.x * (lx / 8) - f.x) / lx, 0), 2)
+                    + power((s.y * (ly / 8) - f.y) - ly * round_even((s.y * (ly / 8) - f.y) / ly, 0), 2)
+                    + power((s.z * (lz / 8) - f.z) - lz * round_even((s.z * (lz / 8) - f.z) / lz, 0), 2),
+              'site_id': site_id}) AS best
+  FROM folded f, cube s GROUP BY ALL),
+counted AS (SELECT snapshot_id, count(*) AS atoms, count(DISTINCT best.site_id) AS filled FROM taken GROUP BY 1),
+known AS (SELECT snapshot_id FROM cloud UNION SELECT snapshot_id FROM sized),
+judged AS (
+  SELECT k.snapshot_id, s.lx * s.ly * s.lz AS v, coalesce(atoms, 0) AS atoms, coalesce(filled, 0) AS filled,
+         CASE WHEN s.lx IS NULL THEN 'no box' WHEN atoms IS NULL THEN 'no atoms' ELSE 'ok' END AS status
+  FROM known k LEFT JOIN sized s ON k.snapshot_id = s.snapshot_id LEFT JOIN counted c ON k.snapshot_id = c.snapshot_id)
+SELECT snapshot_id, status, CASE WHEN v > 0 THEN 64 - filled END AS n_vacancies,
+       CASE WHEN v > 0 THEN atoms - filled END AS n_interstitials, CAST(64 AS BIGINT) AS n_reference_sites,
+       CASE WHEN v > 0 THEN atoms END AS n_defective_atoms,
+       CASE WHEN v > 0 THEN round((64 - filled) / 64, 6) END AS vacancy_concentration,
+       CASE WHEN v > 0 THEN round((atoms - filled) / 64, 6) END AS interstitial_concentration,
+       round((v - 512) / 512, 6) AS volumetric_strain
+FROM judged"""),
     "ws_occupancy": with_(_PERIODIC, """
 SELECT s.snapshot_id, site_id, coalesce(k, 0) AS occupancy
 FROM (SELECT DISTINCT snapshot_id FROM wrapped) s CROSS JOIN sites

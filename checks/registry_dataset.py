@@ -7,15 +7,18 @@ from pyspark.sql.types import StringType
 
 from checks.fixtures import (
     DUMP_NAME,
+    FRAME_NAME,
     TOTAL_ATOMS,
     cloud_lineitem,
     dump_text,
     feature_set,
+    frame_text,
     importance_table,
     stand_in_predictions,
 )
 from checks.registry_defects import PROBE_RADIUS, analysis
 from checks.registry_features import rounded
+from voidscope.functions.ranking import number_rows
 from voidscope.operators import catalog, dataset, evaluation
 from voidscope.plans import model
 from voidscope.plans.workflows import extract_dataset
@@ -47,6 +50,29 @@ def _csv(spark, sf_dir):
     return rounded(datasets.read_features_csv(spark, path, datasets.feature_schema(StringType())), moi_principal_3=4)
 
 
+def _csv_sorted(spark, sf_dir):
+    """Position of every row in the order in which the files of a sorted write are listed and read."""
+    path = staging_path(spark, "feature-csv-sorted")
+    datasets.write_features(
+        dataset.feature_dataset(feature_set(spark, sf_dir)).repartition(7), path, "csv", ordered=True)
+    rows = spark.read.option("header", True).csv(path).select(
+        F.col("file").cast("long").alias("file"), F.col("_metadata.file_name").alias("part"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return number_rows(rows, [], ["part", "block", "at"], "position").select("file", "position")
+
+
+def _frames(spark, sf_dir) -> dumps.DumpScan:
+    return dumps.scan_dumps(spark, frame_text(spark, sf_dir), name_pattern=FRAME_NAME, first_frame=False)
+
+
+def _frame_status(spark, sf_dir):
+    scan = _frames(spark, sf_dir)
+    boxes = scan.boxes().select(F.col("snapshot_id").alias("file"), "declared_atoms", *[f"{a}hi" for a in "xyz"],
+                                F.concat_ws(" ", "boundary").alias("boundary"))
+    boxed = scan.boxed_status.select("file", F.col("status").alias("boxed"), F.col("num_atoms").alias("boxed_atoms"))
+    return rounded(scan.status.drop("columns").join(boxed, "file").join(boxes, "file", "left"), 9)
+
+
 def _scan(spark, sf_dir) -> dumps.DumpScan:
     return dumps.scan_dumps(spark, dump_text(spark, sf_dir), name_pattern=DUMP_NAME)
 
@@ -118,6 +144,9 @@ QUERIES = {
     "dataset_stats": lambda s, d: rounded(dataset.dataset_stats(feature_set(s, d))),
     "feature_catalog": lambda s, d: rounded(catalog.catalog_statistics(feature_set(s, d)), 4),
     "feature_csv": _csv,
+    "feature_csv_sorted": _csv_sorted,
+    "dump_frames": lambda s, d: _frames(s, d).atoms().drop("extra"),
+    "dump_frames_status": _frame_status,
     "train_test_split": lambda s, d: _marked(s, d).select("file", "is_test"),
     "impute_median": _impute,
     "standard_scale": _scale,

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from checks.fixtures import boxes_supplier, cloud_embeddings, cloud_lineitem, reference_box, sites_lattice
+from checks.fixtures import (
+    boxes_customer,
+    boxes_solvent,
+    boxes_supplier,
+    cloud_embeddings,
+    cloud_lineitem,
+    cloud_orders,
+    cube_box,
+    reference_box,
+    sites_cube,
+    sites_lattice,
+)
 from checks.registry_features import rounded
-from voidscope.operators import neighbors, surface
+from voidscope.operators import images, neighbors, surface
 from voidscope.operators import wigner_seitz as ws
 
 PAIR_RADIUS = 4.0
 PROBE_RADIUS = 6.0
 NEAR_SURFACE = 4.0
+IMAGE_RADIUS = 2.5
+SLAB_RADIUS = 1.25
+NEAR_SLAB = 1.0
 
 
 def analysis(spark, sf_dir, affine: bool = False) -> ws.WignerSeitz:
@@ -43,6 +57,13 @@ QUERIES = {
     "surface_atoms": lambda s, d: surface.surface_atoms(cloud_lineitem(s, d), PROBE_RADIUS),
     "surface_distance": lambda s, d: rounded(
         surface.within_surface(cloud_lineitem(s, d), NEAR_SURFACE, PROBE_RADIUS)),
+    "radius_pairs_images": lambda s, d: rounded(
+        images.radius_pairs_images(cloud_orders(s, d), IMAGE_RADIUS, boxes_customer(s, d))),
+    "surface_atoms_slab": lambda s, d: surface.surface_atoms(cloud_orders(s, d), SLAB_RADIUS, boxes_customer(s, d)),
+    "surface_distance_slab": lambda s, d: rounded(
+        surface.within_surface(cloud_orders(s, d), NEAR_SLAB, SLAB_RADIUS, boxes_customer(s, d))),
+    "ws_summary_complete": lambda s, d: rounded(ws.WignerSeitz(
+        cloud_orders(s, d), sites_cube(s), boxes_solvent(s, d), cube_box(), affine=True).reported()),
     "ws_occupancy": lambda s, d: analysis(s, d).occupancy(),
     "ws_vacancies": lambda s, d: rounded(analysis(s, d).vacancies()),
     "ws_vacancies_affine": lambda s, d: rounded(analysis(s, d, affine=True).vacancies()),

@@ -78,6 +78,24 @@ def test_strained_crystal(spark, affine):
     assert row["volumetric_strain"] == pytest.approx(1.08**3 - 1)
 
 
+def test_every_snapshot_has_a_row(spark):
+    """Snapshots without atoms or without a box, and a reference of sites per snapshot."""
+    lattice = fcc(2)
+    edge = (2 * A0,) * 3
+    table = points(spark, {0: lattice, 1: lattice[1:], 2: lattice})
+    box = boxes(spark, {0: edge, 1: edge, 3: edge})
+    found = WignerSeitz(table, sites(spark, lattice), box, ref_box(edge))
+    rows = {r.snapshot_id: (r.status, r.n_vacancies, r.n_interstitials, r.n_defective_atoms, r.vacancy_concentration)
+            for r in found.reported().collect()}
+    assert rows == {0: ("ok", 0, 0, 32, 0.0), 1: ("ok", 1, 0, 31, 1 / 32), 2: ("no box", None, None, None, None),
+                    3: ("no atoms", 32, 0, 0, 1.0)}
+    assert found.summary().count() == 4 and "status" not in found.summary().columns
+    open_ = WignerSeitz(table, sites(spark, lattice), periodic=False).reported()
+    assert {r.status for r in open_.collect()} == {"ok"} and open_.count() == 3
+    with pytest.raises(ValueError, match="one set of sites"):
+        WignerSeitz(table, sites(spark, lattice).selectExpr("0L as snapshot_id", "*"), box, ref_box(edge))
+
+
 def test_strain_table(spark):
     rows = strain(boxes(spark, {1: (2.0, 3.0, 4.0)}, low=-1.0), ref_box((1.0, 3.0, 4.0))).collect()
     assert rows[0]["volume"] == pytest.approx(24) and rows[0]["volumetric_strain"] == pytest.approx(1.0)

@@ -29,7 +29,7 @@ def rng():
 
 @pytest.mark.parametrize("few", [500_000, 0])
 def test_open_random(spark, rng, monkeypatch, few):
-    monkeypatch.setattr(nb, "FEW_SITES", few)
+    monkeypatch.setattr(nb, "broadcast_bytes", lambda spark: few * nb.SITE_BYTES)
     lattice = rng.random((200, 3)) * [10, 4, 30]
     clouds = {1: rng.random((150, 3)) * [10, 4, 30], 2: rng.normal(size=(50, 3)) * 20}
     _check(nb.nearest_site(points(spark, clouds), sites(spark, lattice), periodic=False), clouds, lattice)
@@ -62,7 +62,7 @@ def test_crowded_periodic(spark, rng, monkeypatch):
 
 @pytest.mark.parametrize("count,few", [(1, 9999), (2, 0), (5, 9999), (60, 0)])
 def test_small_periodic_boxes(spark, rng, monkeypatch, count, few):
-    monkeypatch.setattr(nb, "FEW_SITES", few)
+    monkeypatch.setattr(nb, "broadcast_bytes", lambda spark: few * nb.SITE_BYTES)
     lattice = rng.random((count, 3)) * [3, 1, 2]
     clouds = {0: rng.random((70, 3)) * 6 - 1, 1: rng.random((30, 3)) * 3}
     edges = {0: (3.0, 1.0, 2.0), 1: (3.3, 0.9, 2.0)}

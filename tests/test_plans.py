@@ -65,3 +65,21 @@ def test_results_do_not_depend_on_broadcast(spark, small_sf):
             assert differences(QUERIES[name](spark, small_sf), connect(small_sf), ORACLES[name]) == []
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_nearest_lookup_does_not_shuffle_atoms(spark, small_sf, monkeypatch):
+    """Where the listed sites fit the threshold, atoms look their cell up in the task that reads them."""
+    from checks.fixtures import boxes_supplier, reference_box, sites_lattice
+    from voidscope.operators import neighbors as nb
+
+    plans = []
+    lookup = nb._lookup_round
+    monkeypatch.setattr(nb, "_lookup_round", lambda *a: plans.append(lookup(*a)) or plans[-1])
+    args = (cloud_lineitem(spark, small_sf), sites_lattice(spark), boxes_supplier(spark, small_sf), reference_box())
+    nb.nearest_site(*args).count()
+    nb.nearest_site(*args, affine=True).count()
+    nb.nearest_site(*args[:2], periodic=False).count()
+    for best in plans:
+        plan = plan_of(best)
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert len(plans) == 3

@@ -201,3 +201,55 @@ def test_point_files(spark, tmp_path):
     table = spark.createDataFrame([(1, 0, 1.0, 2.0, 3.0)], POINTS)
     write_points(table, str(tmp_path / "p"))
     assert read_points(spark, str(tmp_path / "p")).collect() == table.collect()
+
+
+@pytest.mark.parametrize("block", [None, 512])
+def test_every_frame(spark, tmp_path, block):
+    """Frames of one file, some empty, over many file blocks and chunks of lines."""
+    counts = [3, 0, 1500, 1, 40, 0, 7]
+    text = "".join(dump("id x y z", [f"{i + 1} {f}.5 {i} 0" + ("\n" if i % 11 == 3 else "") for i in range(n)])
+                   for f, n in enumerate(counts))
+    (tmp_path / "run.dump").write_text(text + "ITEM: TIMESTEP\n9\nITEM: NUMBER OF ATOMS\n4\n")
+    (tmp_path / "bad.dump").write_text(dump("id x y z", ["1 0 0 0"]) + dump("id x y", ["1 0 0"]) + dump("id x y z", ["1 a 0 0"]))
+    (tmp_path / "none.dump").write_text("hello\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        scan = scan_dumps(spark, str(tmp_path), first_frame=False)
+        status = {r.file: (r.status, r.num_atoms) for r in scan.status.collect()}
+        rows = {}
+        for r in scan.atoms().orderBy("snapshot_id", "atom_id").collect():
+            rows.setdefault(r.snapshot_id, []).append((r.atom_id, r.x, r.y))
+        boxed = {r.file: r.status for r in scan.boxed_status.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert status == {
+        **{f"run.dump#{f}": ("ok", n) for f, n in enumerate(counts)}, "run.dump#7": ("no atoms section", 0),
+        "bad.dump#0": ("ok", 1), "bad.dump#1": ("missing x, y or z", 1), "bad.dump#2": ("bad value", 1),
+        "none.dump#0": ("no atoms section", 0)}
+    assert rows == {**{f"run.dump#{f}": [(i, f + 0.5, float(i)) for i in range(n)] for f, n in enumerate(counts) if n},
+                    "bad.dump#0": [(0, 0.0, 0.0)]}
+    # heads declare five rows more or less than written ones, with blank lines counted in
+    assert boxed["run.dump#0"] == "ok" and boxed["run.dump#7"] == "no atoms section"
+
+
+def test_tilted_boxes_are_named(spark, tmp_path):
+    tilted = "ITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS xy xz yz pp pp pp\n0 1 .1\n0 1 0\n0 1 0\nITEM: ATOMS id x y z\n1 0 0 0\n"
+    (tmp_path / "tilted").write_text(tilted)
+    (tmp_path / "straight").write_text(tilted.replace("xy xz yz ", ""))
+    scan = scan_dumps(spark, str(tmp_path))
+    assert {r.file: r.status for r in scan.boxed_status.collect()} == {"tilted": "tilted box", "straight": "ok"}
+    assert [r.snapshot_id for r in scan.boxed_atoms().collect()] == ["straight"]
+    assert [r.snapshot_id for r in scan.boxes().collect()] == ["straight"] and scan.atoms().count() == 2
+
+
+def test_ordered_files(spark, tmp_path):
+    rows = [(f"s{i * 37 % 100:02d}", float(i)) for i in range(100)]
+    table = feature_dataset(spark.createDataFrame(rows, "snapshot_id string, n_vacancies double")).repartition(5)
+    write_features(table, str(tmp_path / "csv"), "csv", ordered=True)
+    read = []
+    for part in sorted((tmp_path / "csv").glob("part-*.csv")):
+        lines = part.read_text().splitlines()
+        read += [line.split(",")[0] for line in lines[1:]]
+    assert read == sorted(r[0] for r in rows)

@@ -4,6 +4,8 @@ Both joins bucket one side into cells of one or two reaches and repeat the other
 reach touches (27 or 8), so the match is an equi-join on cell keys. The nearest join is exact for
 any layout:
 
+* shared sites are first listed, images included, for every cell they can serve; a point looks its own cell up and
+  takes the nearest listed site, without leaving its task where the lists fit the broadcast threshold;
 * a neighbor found within the reach is certified, because every site that close was a candidate;
 * points without certificate repeat with twice the reach;
 * what is left, and points next to crowded cells, descend a tree of bounding boxes level by level and
@@ -16,21 +18,25 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voidscope.functions.geometry import box_lengths, minimum_image, wrapped
 from voidscope.functions.spread import attach, chunk, last_chunk, with_last_chunk
-from voidscope.session import stage
+from voidscope.session import broadcast_bytes, stage
 
 AXES = "xyz"
 POINT = ["snapshot_id", "atom_id"]
 START_REACH = 1.25  # in mean site spacings; the deepest hole of a close-packed lattice is at 0.8
 REACH_ROUNDS = 2
-FEW_SITES = 500_000  # shared sites up to this number (about 30 MB) are broadcast
+SITE_BYTES = 64  # of one site in a broadcast table
+CLASSES = 64  # different box sizes, in steps of half a reach, for which sites are listed with their images
 CROWDED = 256  # sites per cell beyond which its surroundings go down the tree
 LEAF = 32
 MAX_DEPTH = 30
 CHUNKED_DEPTH = 3
 SLACK = 1e-9
+CELL_ROWS = 4096  # rows of one side in one cell of the radius join beyond which the cell is dealt to several tasks
+AROUND = 27  # cells whose points can reach into one cell
 
 
 def wrap_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -122,6 +128,42 @@ def own_cells(placed: DataFrame, radius: float) -> DataFrame:
     return _in_cells(placed, F.lit(2 * float(radius)))
 
 
+def fullest(located: DataFrame) -> int:
+    return located.groupBy("snapshot_id", *CELL).count().agg(F.max("count")).first()[0] or 0
+
+
+def salted_join(repeated: DataFrame, located: DataFrame, most: int) -> DataFrame:
+    """Join of ``repeated`` (with ``other_id``) and ``located`` (with ``atom_id``) on their cells; ``most`` is the
+    largest number of points in one cell before they were repeated.
+
+    Cells with more than ``CELL_ROWS`` rows on a side are cut: each side is dealt into lots by id and repeated for every
+    lot of the other side, so no task pairs more than about ``CELL_ROWS`` rows with as many. All other cells
+    join as they are.
+    """
+    keys = ["snapshot_id", *CELL]
+    if most * AROUND <= CELL_ROWS:
+        return repeated.join(located, keys)
+
+    def full(side: DataFrame, name: str) -> DataFrame:
+        counted = side.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS)
+        return counted.select(*keys, F.ceil(F.col("n") / CELL_ROWS).cast("int").alias(name))
+
+    crowded = stage(full(repeated, "_others").join(full(located, "_own"), keys, "full"), "crowded")
+    if crowded.isEmpty():
+        return repeated.join(located, keys)
+    lots = {n: F.coalesce(F.col(n), F.lit(1)) for n in ("_others", "_own")}
+
+    def dealt(side: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
+        """The side's own lot by id, and one copy of each row for every lot of the other side."""
+        there = side.join(crowded, keys, "left")
+        copies = F.sequence(F.lit(0), lots[other] - 1)
+        return there.withColumn(f"{own}_lot", F.pmod(F.xxhash64(row_id), lots[own]).cast("int")).withColumn(
+            f"{other}_lot", F.explode(copies)).drop("_others", "_own")
+
+    return dealt(repeated, "other_id", "_others", "_own").join(
+        dealt(located, "atom_id", "_own", "_others"), [*keys, "_others_lot", "_own_lot"]).drop("_others_lot", "_own_lot")
+
+
 def pairs_within(queries: DataFrame, others: DataFrame, radius: float, periodic: bool) -> DataFrame:
     """Ordered pairs of different points closer than ``radius``, with the offset ``dx, dy, dz`` and ``d2``.
 
@@ -133,7 +175,8 @@ def pairs_within(queries: DataFrame, others: DataFrame, radius: float, periodic:
         "snapshot_id", F.col("atom_id").alias("other_id"), *[F.col(a).alias(f"o{a}") for a in AXES], *lengths, *CELL)
     # the side that is not repeated comes second and is narrower, so a small cloud is broadcast unrepeated
     located = own_cells(queries, radius).select(*POINT, *AXES, *CELL)
-    joined = repeated.join(located, ["snapshot_id", *CELL]).filter(F.col("atom_id") != F.col("other_id"))
+    most = fullest(located) if others is queries else max(fullest(located), fullest(own_cells(others, radius)))
+    joined = salted_join(repeated, located, most).filter(F.col("atom_id") != F.col("other_id"))
     offset = {a: F.col(f"o{a}") - F.col(a) for a in AXES}
     if periodic:
         offset = {a: minimum_image(offset[a], F.col(f"l{a}")) for a in AXES}
@@ -154,6 +197,7 @@ class Setting:
     stretched: bool
     exclude_self: bool = False
     few_sites: bool = False
+    boxes: DataFrame | None = None  # l* (and s*) per snapshot, where periodic
 
     def stretch(self, a: str) -> Column:
         return F.col(f"s{a}") if self.stretched else F.lit(1.0)
@@ -208,9 +252,12 @@ def _with_grid(df: DataFrame, grid: DataFrame, by: list[str], row_id: str) -> Da
         if row is None:
             raise ValueError("no reference sites")
         return df.withColumns({c: F.lit(row[c]) for c in GRID_COLUMNS})
-    renamed = df.withColumnRenamed(row_id, "atom_id") if row_id != "atom_id" else df
-    joined = attach(renamed, stage(with_last_chunk(renamed, grid), "grid"))
-    return joined.withColumnRenamed("atom_id", row_id) if row_id != "atom_id" else joined
+    if row_id == "atom_id":
+        return attach(df, stage(with_last_chunk(df, grid), "grid"))
+    # the id of an image is a struct that starts with the atom's
+    number = f"{row_id}.atom_id" if isinstance(df.schema[row_id].dataType, StructType) else row_id
+    numbered = df.withColumn("atom_id", F.col(number))
+    return attach(numbered, stage(with_last_chunk(numbered, grid), "grid")).drop("atom_id")
 
 
 def _squared(setting: Setting, prefix: str) -> Column:
@@ -259,6 +306,79 @@ def _reach_round(queries: DataFrame, sites: DataFrame, setting: Setting, factor:
         *POINT, "best.site_id", "best.d2", F.col("best").isNotNull().alias("certified")), beside
 
 
+def _size_classes(setting: Setting, step: float) -> list[tuple[int, ...]] | None:
+    """Periods in site units, in whole steps; None if they are too many or too small to list images for."""
+    if not setting.periodic:
+        return [()]
+    sizes = setting.boxes.select(*[F.floor(setting.period(a) / step).alias(f"k{a}") for a in AXES]).distinct()
+    found = [tuple(r) for r in sizes.limit(CLASSES + 1).collect()]  # at most CLASSES + 1 small rows
+    return None if len(found) > CLASSES or any(k is None or k < 1 for r in found for k in r) else found
+
+
+def _listed_cells(a: str, reach: float, step: float, periodic: bool) -> Column:
+    """Cells of edge ``reach`` along one axis within reach of a site or, for any period of its class, of an image."""
+    far = reach * (1 + SLACK)
+    u = F.col(a)
+
+    def cells(first: Column, final: Column) -> tuple[Column, Column]:
+        return F.floor((first - far) / reach), F.floor((final + far) / reach)
+
+    if not periodic:
+        return _steps(*cells(u, u))
+    least, most = F.col(f"k{a}") * step, (F.col(f"k{a}") + 1) * step
+    shifts = _steps(F.ceil((-most / 2 - far - u) / least), F.floor((most / 2 + far - u) / least))
+
+    def around(n: Column) -> Column:
+        first, final = cells(u + F.least(n * least, n * most), u + F.greatest(n * least, n * most))
+        edge = most / 2 * (1 + SLACK)
+        return _steps(F.greatest(first, F.floor(-edge / reach)), F.least(final, F.floor(edge / reach)))
+
+    return F.array_distinct(F.flatten(F.transform(shifts, around)))
+
+
+def _lookup_round(queries: DataFrame, sites: DataFrame, setting: Setting, reach: float) -> DataFrame | None:
+    """(point, best listed site or NULL, certified) for shared sites, by one lookup of each point's cell.
+
+    None where the boxes have too many sizes. Cells that more than ``CROWDED`` sites serve are not listed.
+    """
+    step = reach / 2
+    classes = _size_classes(setting, step)
+    if classes is None:
+        return None
+    kinds = [f"k{a}" for a in AXES] if setting.periodic else []
+    served = sites.select("site_id", *AXES)
+    if kinds:
+        rows = F.array(*[F.struct(*[F.lit(k).cast("long").alias(n) for n, k in zip(kinds, r)]) for r in classes])
+        served = served.withColumn("_kind", F.explode(rows)).select("site_id", *AXES, "_kind.*")
+    served = _into_cells(served, {a: _listed_cells(a, reach, step, setting.periodic) for a in AXES}).filter(
+        F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("cz").isNotNull())
+    keys = [*kinds, *CELL]
+    served = stage(served, "served")
+    counts = stage(served.groupBy(*keys).count(), "served-counts")
+    crowded = counts.filter(F.col("count") > CROWDED)
+    if not crowded.isEmpty():
+        served = served.join(crowded.select(*keys), keys, "left_anti")
+    entries = counts.filter(F.col("count") <= CROWDED).agg(F.sum("count")).first()[0] or 0
+    lists = served.groupBy(*keys).agg(F.collect_list(F.struct("site_id", *AXES)).alias("_listed"))
+    lists = stage(lists, "listed")
+    spark = sites.sparkSession
+    lists = F.broadcast(lists) if entries * SITE_BYTES <= broadcast_bytes(spark) else lists.hint("merge")
+    located = queries.withColumns({
+        **{f"k{a}": F.floor(setting.period(a) / step) for a in AXES if kinds},
+        **{f"c{a}": F.floor(setting.own(a) / reach) for a in AXES}})
+
+    def measured(site: Column) -> Column:
+        deltas = [setting.delta(a, site[a]) for a in AXES]
+        return F.struct((deltas[0] * deltas[0] + deltas[1] * deltas[1] + deltas[2] * deltas[2]).alias("d2"),
+                        site["site_id"].alias("site_id"))
+
+    sure = F.lit(reach) * setting.least_stretch()
+    best = located.join(lists, keys, "left").select(
+        *POINT, F.array_min(F.transform("_listed", measured)).alias("_best"), (sure * sure).alias("_sure"))
+    return best.select(
+        *POINT, "_best.site_id", "_best.d2", F.coalesce(F.col("_best.d2") <= F.col("_sure"), F.lit(False)).alias("certified"))
+
+
 def _tree_descent(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
     """Exact nearest site for the given points by pruning bounding boxes from the root down."""
     by = setting.by
@@ -334,12 +454,17 @@ def nearest(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame
     else:
         sites = stage(sites.select("site_id", *AXES), "sites")
         grid = _site_grid(sites, setting.by)
-        setting = replace(setting, few_sites=sites.count() <= FEW_SITES)
+        few = sites.count() * SITE_BYTES <= broadcast_bytes(sites.sparkSession)
+        setting = replace(setting, few_sites=few)
     queries = _with_grid(queries.select(*setting.query_columns()), grid, setting.by, "atom_id")
     sites = _with_grid(sites.select(*setting.by, "site_id", *AXES), grid, setting.by, "site_id")
     answers, descending, remaining = [], [], queries
     for turn in range(REACH_ROUNDS):
-        best, beside = _reach_round(remaining, sites, setting, 2.0**turn)
+        best, beside = None, None
+        if turn == 0 and not setting.by:
+            best = _lookup_round(queries, sites, setting, float(grid.first()["g_reach"]))
+        if best is None:
+            best, beside = _reach_round(remaining, sites, setting, 2.0**turn)
         best = stage(best, "nearest")
         answers.append(best.filter("certified"))
         if beside is not None:
@@ -384,16 +509,18 @@ def prepare(points, sites, boxes, ref_box, periodic, affine):
     if (periodic or affine) and (boxes is None or ref_box is None):
         raise ValueError("periodic and affine matching need boxes and ref_box")
     by = ["snapshot_id"] if "snapshot_id" in sites.columns else []
-    queries = points.select(*POINT, *AXES)
+    queries, sized = points.select(*POINT, *AXES), None
     if periodic:
         queries, sites = wrap_points(points, boxes), wrap_sites(sites, ref_box)
+        sized = box_lengths(boxes)
     elif affine:
         sized = stage(with_last_chunk(points, box_lengths(boxes)), "boxes")
         queries = attach(queries, sized).select(*POINT, *AXES, *[f"l{a}" for a in AXES])
     if affine:
-        queries = queries.withColumns({
-            f"s{a}": F.col(f"l{a}") / (ref_box[f"{a}hi"] - ref_box[f"{a}lo"]) for a in AXES})
-    return queries, sites, Setting(by, periodic, affine)
+        stretch = {f"s{a}": F.col(f"l{a}") / (ref_box[f"{a}hi"] - ref_box[f"{a}lo"]) for a in AXES}
+        queries = queries.withColumns(stretch)
+        sized = sized.withColumns(stretch) if periodic else None
+    return queries, sites, Setting(by, periodic, affine, boxes=sized)
 
 
 def nearest_other(points: DataFrame) -> DataFrame:

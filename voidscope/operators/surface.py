@@ -13,18 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
-from voidscope.functions.geometry import minimum_image
-from voidscope.operators.neighbors import (
-    AXES,
-    CELL,
-    POINT,
-    Setting,
-    near_cells,
-    nearest,
-    own_cells,
-    pairs_within,
-    wrap_points,
-)
+from voidscope.operators.images import LENGTHS, SHIFT, folded, offsets_within, with_images
+from voidscope.operators.neighbors import AXES, CELL, POINT, Setting, near_cells, nearest, own_cells
 from voidscope.session import stage
 
 PROBE_RADIUS = 2.0
@@ -180,35 +170,45 @@ def _free_centers(radius: float) -> Column:
 def surface_atoms(
     points: DataFrame, probe_radius: float = PROBE_RADIUS, boxes: DataFrame | None = None
 ) -> DataFrame:
-    """Keys of the atoms on the surface. With ``boxes`` the snapshot is periodic."""
-    periodic = boxes is not None
-    placed = wrap_points(points, boxes) if periodic else points.select(*POINT, *AXES)
+    """Keys of the atoms on the surface. With ``boxes`` the snapshots repeat along the axes their flags say.
+
+    Neighbors are points and images within two radii, so a box of any size and any mix of open and repeating axes
+    is judged as the endless cloud it stands for.
+    """
     reach = 2 * float(probe_radius)
+    home = folded(points, boxes)
+    others = with_images(home, reach)
+    home = home.drop(*LENGTHS)
     crowded = stage(
-        own_cells(placed, reach).groupBy("snapshot_id", *CELL).count()
+        own_cells(others, reach).groupBy("snapshot_id", *CELL).count()
         .filter(F.col("count") > CROWDED).drop("count"), "crowded")
     if crowded.isEmpty():
-        return _listed(placed, placed, probe_radius, periodic)
+        return _listed(home, others, probe_radius)
     beside = stage(
-        near_cells(placed, reach, periodic).join(crowded, ["snapshot_id", *CELL], "left_semi")
+        near_cells(home, reach, False).join(crowded, ["snapshot_id", *CELL], "left_semi")
         .select(*POINT).distinct(), "beside")
     # nothing in a crowded cell is within reach of the points away from them
-    roomy = own_cells(placed, reach).join(crowded, ["snapshot_id", *CELL], "left_anti").drop(*CELL)
-    sparse = _listed(placed.join(beside, POINT, "left_anti"), roomy, probe_radius, periodic)
-    dense = _on_demand(placed.join(beside, POINT, "left_semi"), placed, probe_radius, periodic)
+    roomy = own_cells(others, reach).join(crowded, ["snapshot_id", *CELL], "left_anti").drop(*CELL)
+    sparse = _listed(home.join(beside, POINT, "left_anti"), roomy, probe_radius)
+    dense = _on_demand(home.join(beside, POINT, "left_semi"), others, probe_radius)
     return sparse.unionByName(dense)
 
 
-def _listed(queries: DataFrame, others: DataFrame, radius: float, periodic: bool) -> DataFrame:
+def _listed(queries: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """Decide atoms from their full neighbor list, at most eight uncrowded cells long."""
-    lists = pairs_within(queries, others, 2 * float(radius), periodic).groupBy(*POINT).agg(
+    lists = offsets_within(queries, others, 2 * float(radius), crowded=False).groupBy(*POINT).agg(
         F.collect_list(F.struct("dx", "dy", "dz")).alias("_n"))
     lists = lists.select(*POINT, *[F.col(f"_n.d{a}").alias(f"_d{a}") for a in AXES])
     covered = lists.filter(~_is_exposed(float(radius))).select(*POINT)
     return queries.select(*POINT).join(covered, POINT, "left_anti")
 
 
-def _on_demand(queries: DataFrame, others: DataFrame, radius: float, periodic: bool) -> DataFrame:
+def _image_sites(others: DataFrame) -> DataFrame:
+    """Points and images as sites of a nearest join, one per position; the id says whose image it is."""
+    return others.groupBy("snapshot_id", *AXES).agg(F.min(F.struct("atom_id", *SHIFT)).alias("site_id"))
+
+
+def _on_demand(queries: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """Decide atoms in crowded places without listing their neighbors.
 
     Each round places probe balls at centers not covered by the neighbors known so far. A ball whose
@@ -216,42 +216,36 @@ def _on_demand(queries: DataFrame, others: DataFrame, radius: float, periodic: b
     known neighbors. No uncovered center left proves the atom interior.
     """
     radius = float(radius)
-    lengths = [f"l{a}" for a in AXES] if periodic else []
-    sites = stage(others.groupBy("snapshot_id", *AXES, *lengths).agg(F.min("atom_id").alias("site_id")), "sites")
-    # atoms at the same place share the answer
-    groups = stage(
-        queries.join(sites, ["snapshot_id", *AXES, *lengths]).select(*POINT, "site_id", *AXES, *lengths), "groups")
-    open_atoms = groups.filter("atom_id = site_id").drop("site_id").withColumns(
+    sites = stage(_image_sites(others), "sites")
+    # atoms at the same place share the answer of the first of them
+    place = ["snapshot_id", *AXES]
+    firsts = queries.groupBy(*place).agg(F.min("atom_id").alias("first"))
+    groups = stage(queries.select(*POINT, *AXES).join(firsts, place).select(*POINT, *AXES, "first"), "groups")
+    open_atoms = groups.filter("atom_id = first").select(*POINT, *AXES).withColumns(
         {f"_d{a}": F.array().cast("array<double>") for a in AXES})
-    setting = Setting(["snapshot_id"], periodic, stretched=False)
+    setting = Setting(["snapshot_id"], periodic=False, stretched=False)
     exposed = None
     while True:
         tried = stage(open_atoms.withColumn("_free", _free_centers(radius)), "tried")
         alive = tried.filter(F.size("_free") > 0)
         if alive.isEmpty():
             break
-        probes = alive.select(
-            *POINT, *AXES, *lengths, F.posexplode("_free").alias("_at", "_p")
+        probes = stage(alive.select(
+            *POINT, *AXES, F.posexplode("_free").alias("_at", "_p")
         ).select(
             *POINT,
             (F.col("atom_id") * (WITNESSES + 1) + F.col("_at")).alias("probe_id"),
-            *lengths, *[F.col(a).alias(f"_c{a}") for a in AXES],
-            *[F.col(a) + F.col("_p")[i] for i, a in enumerate(AXES)],
-        ).toDF(*POINT, "probe_id", *lengths, *[f"_c{a}" for a in AXES], *AXES)
-        if periodic:
-            probes = probes.withColumns({a: minimum_image(F.col(a), F.col(f"l{a}")) for a in AXES})
-        probes = stage(probes, "probes")
+            *[F.col(a).alias(f"_c{a}") for a in AXES],
+            *[(F.col(a) + F.col("_p")[i]).alias(a) for i, a in enumerate(AXES)],
+        ), "probes")
         hits = nearest(
             probes.withColumnRenamed("atom_id", "owner").withColumnRenamed("probe_id", "atom_id"), sites, setting
         ).withColumnRenamed("atom_id", "probe_id")
-        hits = probes.select("snapshot_id", "atom_id", "probe_id", *lengths, *[f"_c{a}" for a in AXES]).join(
+        hits = probes.select("snapshot_id", "atom_id", "probe_id", *[f"_c{a}" for a in AXES]).join(
             hits, ["snapshot_id", "probe_id"])
-        located = sites.select("snapshot_id", "site_id", *AXES)
         delta = {a: F.col(a) - F.col(f"_c{a}") for a in AXES}
-        if periodic:
-            delta = {a: minimum_image(delta[a], F.col(f"l{a}")) for a in AXES}
         found = stage(
-            hits.join(located, ["snapshot_id", "site_id"])
+            hits.join(sites, ["snapshot_id", "site_id"])
             .groupBy(*POINT).agg(
                 F.max("d2").alias("_clear"),
                 F.collect_set(F.struct(*[delta[a].alias(a) for a in AXES])).alias("_hit")),
@@ -260,12 +254,11 @@ def _on_demand(queries: DataFrame, others: DataFrame, radius: float, periodic: b
         exposed = clear if exposed is None else exposed.unionByName(clear)
         open_atoms = alive.drop("_free").join(
             found.filter(F.sqrt("_clear") < radius - TOLERANCE), POINT
-        ).select(*POINT, *AXES, *lengths,
-                 *[F.concat(f"_d{a}", F.col(f"_hit.{a}")).alias(f"_d{a}") for a in AXES])
+        ).select(*POINT, *AXES, *[F.concat(f"_d{a}", F.col(f"_hit.{a}")).alias(f"_d{a}") for a in AXES])
     if exposed is None:
         return groups.select(*POINT).limit(0)
-    chosen = exposed.withColumnRenamed("atom_id", "site_id")
-    return groups.join(chosen, ["snapshot_id", "site_id"], "left_semi").select(*POINT)
+    chosen = exposed.withColumnRenamed("atom_id", "first")
+    return groups.join(chosen, ["snapshot_id", "first"], "left_semi").select(*POINT)
 
 
 def keep_selected(points: DataFrame, selected: DataFrame) -> DataFrame:
@@ -279,11 +272,10 @@ def within_surface(
     probe_radius: float = PROBE_RADIUS,
     boxes: DataFrame | None = None,
 ) -> DataFrame:
-    """Atoms nearer than ``distance`` to a surface atom, with that ``surface_distance``."""
-    periodic = boxes is not None
-    placed = wrap_points(points, boxes) if periodic else points.select(*POINT, *AXES)
-    surface = stage(keep_selected(placed, surface_atoms(points, probe_radius, boxes)), "surface")
-    sites = surface.select("snapshot_id", F.col("atom_id").alias("site_id"), *AXES)
-    found = nearest(placed, sites, Setting(["snapshot_id"], periodic, stretched=False))
+    """Atoms nearer than ``distance`` to a surface atom or an image of one, with that ``surface_distance``."""
+    home = folded(points, boxes)
+    chosen = stage(keep_selected(home, surface_atoms(points, probe_radius, boxes)), "surface")
+    sites = _image_sites(with_images(chosen, distance))
+    found = nearest(home.drop(*LENGTHS), sites, Setting(["snapshot_id"], periodic=False, stretched=False))
     return found.select(*POINT, F.sqrt("d2").alias("surface_distance")).filter(
         F.col("surface_distance") < distance)

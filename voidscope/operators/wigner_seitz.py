@@ -12,6 +12,7 @@ from voidscope.functions.geometry import volume
 from voidscope.operators.neighbors import AXES, POINT, nearest_site, wrap_points, wrap_sites
 from voidscope.session import stage
 
+OK, NO_BOX, NO_ATOMS = "ok", "no box", "no atoms"
 SITE_BLOCK_BITS = 12  # vacancies are found per block of 4096 consecutive sites
 
 
@@ -87,6 +88,8 @@ class WignerSeitz:
         periodic: bool = True,
         affine: bool = False,
     ):
+        if "snapshot_id" in sites.columns:
+            raise ValueError("the reference is one set of sites for all snapshots")
         self.points, self.sites, self.boxes, self.ref_box = points, sites, boxes, ref_box
         self.periodic, self.affine = periodic, affine
         self.n_sites = sites.count()
@@ -137,22 +140,38 @@ class WignerSeitz:
         placed = pbc_wrap(self.points, self.boxes) if self.periodic else self.points.select(*POINT, *AXES)
         return extra.join(placed, POINT).select(*POINT, "site_id", *AXES)
 
-    def summary(self) -> DataFrame:
-        """Counts, concentrations and strain, one row per snapshot."""
+    def status(self) -> DataFrame:
+        """``snapshot_id, status`` of every snapshot that has points or a box: ``ok``, ``no box`` where the matching
+        needs one, or ``no atoms``."""
+        filled = self.points.select("snapshot_id").distinct().withColumn("_filled", F.lit(True))
+        if self.boxes is None:
+            return filled.select("snapshot_id", F.lit(OK).alias("status"))
+        sized = self.boxes.select("snapshot_id").distinct().withColumn("_sized", F.lit(True))
+        status = F.when(F.lit(self.periodic or self.affine) & F.col("_sized").isNull(), NO_BOX).when(
+            F.col("_filled").isNull(), NO_ATOMS).otherwise(OK)
+        return filled.join(sized, "snapshot_id", "full").select("snapshot_id", status.alias("status"))
+
+    def reported(self) -> DataFrame:
+        """:meth:`summary` with the ``status`` of each snapshot."""
         n_ref = F.lit(self.n_sites).cast("long")
         totals = self._occupied.groupBy("snapshot_id").agg(
-            F.count("*").alias("_occupied"), F.sum("occupancy").alias("n_defective_atoms"))
-        vacant = n_ref - F.col("_occupied")
-        surplus = F.col("n_defective_atoms") - F.col("_occupied")
-        rows = totals.select(
-            "snapshot_id",
-            vacant.alias("n_vacancies"),
-            surplus.alias("n_interstitials"),
-            n_ref.alias("n_reference_sites"),
-            "n_defective_atoms",
-            F.when(n_ref > 0, vacant / n_ref).otherwise(0.0).alias("vacancy_concentration"),
-            F.when(n_ref > 0, surplus / n_ref).otherwise(0.0).alias("interstitial_concentration"),
-        )
+            F.count("*").alias("_occupied"), F.sum("occupancy").alias("_atoms"))
+        rows = self.status().join(totals, "snapshot_id", "left")
+        known = F.col("status") != NO_BOX
+        occupied, atoms = (F.when(known, F.coalesce(c, F.lit(0)).cast("long")) for c in ("_occupied", "_atoms"))
+        rows = rows.select(
+            "snapshot_id", "status", (n_ref - occupied).alias("n_vacancies"),
+            (atoms - occupied).alias("n_interstitials"), n_ref.alias("n_reference_sites"),
+            atoms.alias("n_defective_atoms"))
+        for count, share in (("n_vacancies", "vacancy_concentration"), ("n_interstitials", "interstitial_concentration")):
+            rows = rows.withColumn(share, F.when(n_ref > 0, F.col(count) / n_ref).when(known, 0.0))
         if self.boxes is None:
             return rows.withColumn("volumetric_strain", F.lit(None).cast("double"))
         return rows.join(strain(self.boxes, self.ref_box).drop("volume"), "snapshot_id", "left")
+
+    def summary(self) -> DataFrame:
+        """Counts, concentrations and strain, one row per snapshot that has points or a box.
+
+        Without any atom all sites are vacant; where the matching needs a box that is missing, counts are NULL.
+        """
+        return self.reported().drop("status")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -86,12 +86,19 @@ def importance(forest: Forest, spark: SparkSession) -> DataFrame:
     return feature_category(spark.createDataFrame(rows, "feature string, importance double"))
 
 
-def train(dataset: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED, **forest_options):
-    """Split, fit and score: the forest and ``snapshot_id, label, prediction, split`` rows."""
+def train(dataset: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED, folds: int = 0, **forest_options):
+    """Split, fit and score: the forest and ``snapshot_id, label, prediction, split`` rows.
+
+    With ``folds`` the forest carries the out-of-fold R² of its training rows, which takes as many more fits.
+    """
     prepared = stage(training_frame(dataset), "training")
     names = [c for c in prepared.columns if c not in ("file", TARGET)]
     marked = stage(split(prepared, test_size, seed), "split")
-    forest = fit_forest(marked.filter(~F.col("is_test")), names, seed=seed, **forest_options)
+    learning = marked.filter(~F.col("is_test"))
+    forest = fit_forest(learning, names, seed=seed, **forest_options)
+    if folds:
+        held = out_of_fold(learning.drop("is_test"), folds, seed, **forest_options)
+        forest = replace(forest, oof_r2=oof_r2(held).first()["oof_r2"])
     predictions = score(forest, marked).select(
         F.col("file").alias("snapshot_id"), F.col(TARGET).alias("label"), "prediction",
         F.when(F.col("is_test"), "test").otherwise("train").alias("split"))

@@ -10,6 +10,7 @@ from voidscope.operators.alignment import DEFAULT_A0
 from voidscope.operators.catalog import FAMILIES
 from voidscope.operators.dataset import TOTAL_ATOMS, feature_dataset, vacancy_target
 from voidscope.operators.evaluation import method_comparison
+from voidscope.operators.images import FLAGS, with_flags
 from voidscope.operators.surface import PROBE_RADIUS, keep_selected, surface_atoms, within_surface
 from voidscope.operators.wigner_seitz import WignerSeitz
 from voidscope.plans.features import snapshot_features
@@ -21,11 +22,6 @@ NO_SURFACE = "no surface atoms"
 BOX = ["snapshot_id", *[f"{a}{end}" for a in "xyz" for end in ("lo", "hi")]]
 
 
-def periodic_boxes(boxes: DataFrame) -> DataFrame:
-    """Boxes whose three boundary flags all start with p."""
-    return boxes.filter(F.forall("boundary", lambda f: f.startswith("p")) & (F.size("boundary") == 3)).select(*BOX)
-
-
 def select_surface(
     points: DataFrame,
     boxes: DataFrame,
@@ -35,25 +31,12 @@ def select_surface(
 ) -> DataFrame:
     """Points on the surface, or nearer to it than ``surface_distance``.
 
-    ``periodic=None`` follows the boundary flags of each snapshot.
+    ``periodic=None`` follows the boundary flags of each snapshot, axis by axis; True and False hold for all axes.
     """
-
-    def selected(part: DataFrame, box: DataFrame | None) -> DataFrame:
-        if surface_distance is None:
-            return surface_atoms(part, probe_radius, box)
-        return within_surface(part, surface_distance, probe_radius, box)
-
-    if periodic is False:
-        return keep_selected(points, selected(points, None))
-    folded = boxes.select(*BOX) if periodic else periodic_boxes(boxes)
-    folded = stage(folded, "periodic")
-    keys = selected(points.join(folded.select("snapshot_id"), "snapshot_id", "left_semi"), folded)
-    if periodic is None:
-        open_points = points.join(folded.select("snapshot_id"), "snapshot_id", "left_anti")
-        if not open_points.isEmpty():
-            keys = keys.select("snapshot_id", "atom_id").unionByName(
-                selected(open_points, None).select("snapshot_id", "atom_id"))
-    return keep_selected(points, keys)
+    sized = None if periodic is False else boxes.select(*BOX) if periodic else with_flags(boxes).select(*BOX, *FLAGS)
+    if surface_distance is None:
+        return keep_selected(points, surface_atoms(points, probe_radius, sized))
+    return keep_selected(points, within_surface(points, surface_distance, probe_radius, sized))
 
 
 def extract_dataset(

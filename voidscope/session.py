@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,3 +35,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; 0 where broadcasts are switched off."""
+    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)(?:i?b)?", text).groups()
+    return max(0, int(number) << 10 * " kmgt".index(unit or " "))

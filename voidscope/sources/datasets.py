@@ -9,8 +9,14 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from voidscope.operators.catalog import FEATURES, TARGET
 
 
-def write_features(dataset: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write ``file`` plus features, one output file per task."""
+def write_features(dataset: DataFrame, path: str, kind: str = "parquet", ordered: bool = False) -> None:
+    """Write ``file`` plus features, one output file per task.
+
+    ``ordered`` cuts the rows into ranges of ``file`` and sorts each, so that the files in the order of their
+    names hold all rows in the order of ``file``.
+    """
+    if ordered:
+        dataset = dataset.repartitionByRange("file").sortWithinPartitions("file")
     writer = dataset.write.mode("overwrite")
     if kind == "csv":
         writer.option("header", True).csv(path)

@@ -6,7 +6,9 @@ blanks came before. The second pass joins that table to the lines where they are
 position, parses it once for both readers and writes the numbers. No text is copied, and none is shuffled while
 the table (one row per file block) is below the broadcast threshold.
 
-Every file is known by its whole path; the name that results carry must be different for each file.
+Every file is known by its whole path; the name that results carry must be different for each file. A file of many
+frames gives its first one, or all of them: the frame of a section is the number of atoms sections before it, counted
+per block and carried over the blocks of a file.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ MAX_EXTRA = 7
 FALLBACK_COLUMNS = {"x": 2, "y": 3, "z": 4}
 
 OK, NO_ATOMS, NO_COORDINATES, BAD_VALUE = "ok", "no atoms section", "missing x, y or z", "bad value"
-NO_BOUNDS, FEWER_ROWS = "no box bounds", "fewer rows than declared"
+NO_BOUNDS, FEWER_ROWS, TILTED = "no box bounds", "fewer rows than declared", "tilted box"
+TILT_WORDS = ("xy", "xz", "yz")
+CHUNK = 10  # bits of the line number inside one chunk of section starts
 FAILED_NAMES = 10
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
@@ -54,14 +58,20 @@ def _number(parts: Column, position: Column) -> Column:
 
 
 class DumpScan:
-    """First frame of every dump below ``path`` (a directory or glob).
+    """First or every frame of every dump below ``path`` (a directory or glob).
 
-    A snapshot is named by its path below the part of ``path`` that has no wildcard (in one flat folder: the file
-    name), or by the first group of ``name_pattern`` in its whole path. Two files of one name are an error.
+    A file is named by its path below the part of ``path`` that has no wildcard (in one flat folder: the file
+    name), or by the first group of ``name_pattern`` in its whole path. Two files of one name are an error. With
+    ``first_frame`` a snapshot has the name of its file, else that name, ``#`` and the number of the frame from 0.
+    Marks after the last atoms section of a file are a frame without atoms.
     """
 
-    def __init__(self, spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str | None = None):
+    def __init__(
+        self, spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str | None = None,
+        first_frame: bool = True,
+    ):
         self.spark, self.path, self.max_extra, self.name_pattern = spark, path, max_extra, name_pattern
+        self.first_frame = first_frame
 
     def _name(self, path: Column) -> Column:
         if self.name_pattern is not None:
@@ -99,7 +109,7 @@ class DumpScan:
     @cached_property
     def _blocks(self) -> DataFrame:
         """Per file block: what to add to ``pos`` for the line number in the file, its blank lines, the blanks of
-        earlier blocks, and its marks."""
+        earlier blocks, and its marks with the blanks before each."""
         value = F.col("value")
         blank = F.length(_stripped(value)) == 0
         mark = F.when(value.startswith(MARK), F.struct("pos", _stripped(value).alias("header")))
@@ -112,36 +122,91 @@ class DumpScan:
             "shift": F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first"),
             "before": F.coalesce(F.sum(F.size("blanks")).over(earlier), F.lit(0)),
         }).withColumn("blanks", F.transform("blanks", lambda p: p + F.col("shift")))
-        return stage(found.join(self.files.select("path"), "path").drop("first", "n"), "blocks")
+        marks = F.transform("marks", lambda m: F.struct(
+            (m["pos"] + F.col("shift")).alias("line"), m["header"].alias("header"),
+            m["header"].startswith(ATOMS_MARK).cast("long").alias("atoms"),
+            (F.col("before") + F.size(F.filter("blanks", lambda p: p < m["pos"] + F.col("shift")))).alias("skipped")))
+        found = found.withColumn("marks", marks).withColumn("start", F.col("first") + F.col("shift"))
+        return stage(found.join(self.files.select("path"), "path").drop("first"), "blocks")
 
     @cached_property
     def _sections(self) -> DataFrame:
-        """Per file the sections of its first frame: marks up to the first atoms section, with the line that ends
-        them (NULL: the end of the file) and the blank lines before them."""
-        marks = self._blocks.select("path", "shift", "blanks", "before", F.explode("marks").alias("m")).select(
-            "path", (F.col("m.pos") + F.col("shift")).alias("line"), F.col("m.header").alias("header"), "blanks", "before")
-        marks = marks.withColumn(
-            "skipped", F.col("before") + F.size(F.filter("blanks", lambda b: b < F.col("line")))).drop("blanks", "before")
-        atoms = marks.filter(F.col("header").startswith(ATOMS_MARK)).groupBy("path").agg(F.min("line").alias("atoms"))
-        joined = marks.join(atoms, "path", "left")
-        close = joined.filter("line > atoms").groupBy("path").agg(F.min("line").alias("close"))
-        frame = joined.filter("atoms is null or line <= atoms").join(close, "path", "left")
-        following = F.lead("line").over(Window.partitionBy("path").orderBy("line"))
-        frame = frame.withColumn("end", F.coalesce(following, "close"))
-        return stage(frame.groupBy("path").agg(
-            F.sort_array(F.collect_list(F.struct("line", "end", "skipped", "header"))).alias("sections")), "sections")
+        """``path, block, sections``: per block the sections its lines belong to, in order: the line of the mark, the
+        line that ends it (NULL: the end of the file), the blank lines before, the header and the frame.
+
+        The first one may have begun in an earlier block. Frames are counted per block, so no task sees the marks of
+        a whole file.
+        """
+        blocks = self._blocks.select("path", "block", "marks")
+        order = Window.partitionBy("path").orderBy("block")
+        earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+        atoms = F.aggregate("marks", F.lit(0).cast("long"), lambda total, m: total + m["atoms"])
+        edge = blocks.select(
+            "path", "block", F.coalesce(F.sum(atoms).over(earlier), F.lit(0)).alias("frames"),
+            F.last(F.try_element_at("marks", F.lit(-1)), ignorenulls=True).over(earlier).alias("open"),
+            F.first(F.get("marks", F.lit(0))["line"], ignorenulls=True).over(later).alias("next"))
+        inside = Window.partitionBy("path", "block").orderBy("line")
+        own = blocks.select("path", "block", F.explode("marks").alias("m")).select("path", "block", "m.*")
+        own = own.withColumns({
+            "end": F.lead("line").over(inside),
+            "frame": F.coalesce(F.sum("atoms").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+        own = own.groupBy("path", "block").agg(
+            F.sort_array(F.collect_list(F.struct("line", "end", "skipped", "header", "frame"))).alias("own"))
+        joined = stage(edge, "edges").join(own, ["path", "block"], "left")
+        empty = F.array().cast("array<struct<line:bigint,end:bigint,skipped:bigint,header:string,frame:bigint>>")
+
+        def section(s: Column, end: Column, frame: Column) -> Column:
+            return F.struct(s["line"].alias("line"), end.alias("end"), s["skipped"].cast("long").alias("skipped"),
+                            s["header"].alias("header"), frame.alias("frame"))
+
+        first = F.coalesce(F.get("own", F.lit(0))["line"], F.col("next"))
+        opened = F.when(F.col("open").isNotNull(), F.array(section(
+            F.col("open"), first, F.col("frames") - F.col("open.atoms")))).otherwise(empty)
+        mine = F.transform(F.coalesce("own", empty), lambda s: section(
+            s, F.coalesce(s["end"], F.col("next")), s["frame"] + F.col("frames")))
+        sections = F.concat(opened, mine)
+        if self.first_frame:
+            sections = F.filter(sections, lambda s: s["frame"] == 0)
+        return stage(joined.select("path", "block", sections.alias("sections")), "sections")
+
+    def _snapshot(self) -> Column:
+        """Name of a snapshot from ``file`` and ``frame``."""
+        return F.col("file") if self.first_frame else F.concat_ws("#", "file", F.col("frame").cast("string"))
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """``path, frame`` replaced by the name of the snapshot."""
+        return rows.join(self.files, "path").withColumn("file", self._snapshot()).drop("path", "frame")
+
+    @cached_property
+    def _snapshots(self) -> DataFrame:
+        """``file`` of every frame; a file without marks has one."""
+        frames = self._sections.select("path", F.explode("sections").alias("s")).select("path", "s.frame").distinct()
+        every = self.files.select("path").join(frames, "path", "left").withColumn("frame", F.coalesce("frame", F.lit(0)))
+        return stage(self._named(every), "snapshots")
 
     def _placed(self) -> DataFrame:
-        """Rows of the first frame: ``file, header, row`` (0-based in the section) and the line."""
-        blocks = self._blocks.drop("marks").join(self._sections, "path").join(self.files, "path")
+        """Rows of all wanted sections: ``file, header, row`` (0-based in the section) and the line.
+
+        ``starts`` holds, for each chunk of lines of a block, how many sections begin before it; a line looks only
+        at the sections around its own chunk.
+        """
+        base = F.shiftright("start", CHUNK)
+        chunks = F.sequence(base, F.shiftright(F.col("start") + F.col("n"), CHUNK) + 1)
+        starts = F.transform(chunks, lambda c: F.size(F.filter("sections", lambda s: s["line"] < F.shiftleft(c, CHUNK))))
+        blocks = self._blocks.select("path", "block", "shift", "start", "n", "blanks", "before").join(
+            self._sections, ["path", "block"]).join(self.files, "path")
+        blocks = stage(blocks.withColumn("starts", starts).withColumn("base", base).drop("start", "n"), "placed")
         lines = self._lines().join(blocks, ["path", "block"]).withColumn("line", F.col("pos") + F.col("shift"))
         line = F.col("line")
-        here = F.filter("sections", lambda s: (s["line"] < line) & (s["end"].isNull() | (line < s["end"])))
+        chunk = (F.shiftright("line", CHUNK) - F.col("base")).cast("int")
+        low, high = F.get("starts", chunk), F.get("starts", chunk + 1)
+        near = F.slice("sections", F.greatest(low, F.lit(1)), high - low + 1)
+        here = F.filter(near, lambda s: (s["line"] < line) & (s["end"].isNull() | (line < s["end"])))
         lines = lines.withColumn("section", F.get(here, F.lit(0))).filter(
             F.col("section").isNotNull() & (F.length(_stripped(F.col("value"))) > 0))
         blanks = F.col("before") + F.size(F.filter("blanks", lambda b: b < line)) - F.col("section.skipped")
-        return lines.select(
-            "file", F.col("section.header").alias("header"),
+        return lines.withColumn("frame", F.col("section.frame")).select(
+            self._snapshot().alias("file"), F.col("section.header").alias("header"),
             (line - F.col("section.line") - 1 - blanks).alias("row"), "value")
 
     @cached_property
@@ -177,20 +242,20 @@ class DumpScan:
     @cached_property
     def _heads(self) -> DataFrame:
         """``file, header`` of the atoms section."""
-        marks = self._sections.select("path", F.explode("sections").alias("s")).select("path", F.col("s.header").alias("header"))
-        return marks.filter(F.col("header").startswith(ATOMS_MARK)).join(self.files, "path").select("file", "header")
+        marks = self._sections.select("path", F.explode("sections").alias("s")).select("path", "s.frame", "s.header")
+        return self._named(marks.filter(F.col("header").startswith(ATOMS_MARK)).distinct()).select("file", "header")
 
     def _small(self, mark: str) -> DataFrame:
         return self._rows.filter(~F.col("atoms") & F.col("header").startswith(mark)).select("file", "header", "row", "value")
 
     @cached_property
     def status(self) -> DataFrame:
-        """One row per file: ``ok`` or why it was set aside."""
+        """One row per snapshot: ``ok`` or why it was set aside."""
         heads = self._heads.withColumn("columns", _columns()).withColumn(
             "complete", F.forall(F.array(*map(F.lit, "xyz")), lambda a: F.array_contains("columns", a))).drop("header")
         rows = self._rows.filter("atoms").groupBy("file").agg(
             F.count("*").alias("num_atoms"), F.max("bad").alias("any_bad"))
-        joined = self.files.select("file").join(heads, "file", "left").join(rows, "file", "left")
+        joined = self._snapshots.join(heads, "file", "left").join(rows, "file", "left")
         status = (
             F.when(F.col("complete").isNull(), NO_ATOMS)
             .when(~F.col("complete"), NO_COORDINATES)
@@ -217,10 +282,18 @@ class DumpScan:
             F.col("file").alias("snapshot_id"), F.col("row").alias("atom_id"), "x", "y", "z",
             F.map_from_arrays(self._names(), "numbers").alias("extra"))
 
+    def _tilted(self) -> DataFrame:
+        """Snapshots whose bounds are those of a tilted box."""
+        words = _tokens(F.col("header"))
+        tilted = F.lit(True)
+        for w in TILT_WORDS:
+            tilted = tilted & F.array_contains(words, w)
+        return self._small(BOUNDS_MARK).filter(tilted).select("file").distinct()
+
     def boxes(self) -> DataFrame:
-        """Orthogonal bounds, atom count and boundary flags of the files with three bounds; ``boxed_status`` names
-        the others."""
-        bounds = self._small(BOUNDS_MARK).filter("row < 3").withColumn("parts", _tokens(F.col("value")))
+        """Orthogonal bounds, atom count and boundary flags of the snapshots with three of them; ``boxed_status`` names
+        the others. A tilted box has no orthogonal bounds."""
+        bounds = self._small(BOUNDS_MARK).filter("row < 3").join(self._tilted(), "file", "left_anti").withColumn("parts", _tokens(F.col("value")))
         values = {}
         for row, axis in enumerate("xyz"):
             for position, end in ((1, "lo"), (2, "hi")):
@@ -245,9 +318,9 @@ class DumpScan:
 
     @cached_property
     def boxed_status(self) -> DataFrame:
-        """``file, status, num_atoms`` for the boxed reader, one row per file.
+        """``file, status, num_atoms`` for the boxed reader, one row per snapshot.
 
-        Files without an atoms section, without three bounds, without coordinate columns or with a non-numeric
+        Those without an atoms section, with a tilted box, without three bounds, without coordinate columns or with a non-numeric
         coordinate are set aside. ``fewer rows than declared`` is a note: short lines are left out, the rest of
         such a file is used.
         """
@@ -257,10 +330,13 @@ class DumpScan:
         boxes = self.boxes().select(F.col("snapshot_id").alias("file"), "declared_atoms", F.lit(True).alias("boxed"))
         rows = self._boxed_rows().groupBy(F.col("snapshot_id").alias("file")).agg(
             F.count("*").alias("n"), F.max("bad_box").alias("any_bad"))
-        joined = self.files.select("file").join(heads, "file", "left").join(boxes, "file", "left").join(rows, "file", "left")
+        tilted = self._tilted().select("file", F.lit(True).alias("tilted"))
+        joined = self._snapshots.join(heads, "file", "left").join(boxes, "file", "left").join(rows, "file", "left").join(
+            tilted, "file", "left")
         n = F.coalesce("n", F.lit(0)).cast("long")
         status = (
             F.when(F.col("complete").isNull(), NO_ATOMS)
+            .when(F.col("tilted").isNotNull(), TILTED)
             .when(F.col("boxed").isNull(), NO_BOUNDS)
             .when(~F.col("complete"), NO_COORDINATES)
             .when(F.coalesce("any_bad", F.lit(False)), BAD_VALUE)
@@ -306,8 +382,10 @@ def _scaled() -> Column:
     return F.array_contains(columns, "xs") & ~F.array_contains(columns, "x") & ~F.array_contains(columns, "xu")
 
 
-def scan_dumps(spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str | None = None) -> DumpScan:
-    return DumpScan(spark, path, max_extra, name_pattern)
+def scan_dumps(
+    spark: SparkSession, path: str, max_extra: int = MAX_EXTRA, name_pattern: str | None = None, first_frame: bool = True
+) -> DumpScan:
+    return DumpScan(spark, path, max_extra, name_pattern, first_frame)
 
 
 def run_summary(status: DataFrame) -> DataFrame:
