@@ -4,8 +4,9 @@ Both joins bucket one side into cells of one or two reaches and repeat the other
 reach touches (27 or 8), so the match is an equi-join on cell keys. The nearest join is exact for
 any layout:
 
-* shared sites are first listed, images included, for every cell they can serve; a point looks its own cell up and
-  takes the nearest listed site, without leaving its task where the lists fit the broadcast threshold;
+* shared sites are first repeated into every cell they can serve; a point, and its images near a face of the box, look
+  up one cell each, in the task that reads them where the cells fit the broadcast threshold, and only the best site
+  of each point is shuffled;
 * a neighbor found within the reach is certified, because every site that close was a candidate;
 * points without certificate repeat with twice the reach;
 * what is left, and points next to crowded cells, descend a tree of bounding boxes level by level and
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,7 +30,6 @@ POINT = ["snapshot_id", "atom_id"]
 START_REACH = 1.25  # in mean site spacings; the deepest hole of a close-packed lattice is at 0.8
 REACH_ROUNDS = 2
 SITE_BYTES = 64  # of one site in a broadcast table
-CLASSES = 64  # different box sizes, in steps of half a reach, for which sites are listed with their images
 CROWDED = 256  # sites per cell beyond which its surroundings go down the tree
 LEAF = 32
 MAX_DEPTH = 30
@@ -197,7 +197,6 @@ class Setting:
     stretched: bool
     exclude_self: bool = False
     few_sites: bool = False
-    boxes: DataFrame | None = None  # l* (and s*) per snapshot, where periodic
 
     def stretch(self, a: str) -> Column:
         return F.col(f"s{a}") if self.stretched else F.lit(1.0)
@@ -239,18 +238,15 @@ def _site_grid(sites: DataFrame, by: list[str]) -> DataFrame:
     safe = [F.greatest(s, F.col("_span") * 1e-3) for s in spans]
     spacing = F.cbrt(safe[0] * safe[1] * safe[2] / F.col("_n"))
     return extents.select(
-        *by, *GRID_COLUMNS[:6],
+        *by, "_n", *GRID_COLUMNS[:6],
         F.when(F.col("_span") > 0, spacing * START_REACH).otherwise(1.0).alias("g_reach"),
         F.when(F.col("_span") > 0, F.col("_span") * (1 + SLACK)).otherwise(1.0).alias("g_edge"),
     )
 
 
-def _with_grid(df: DataFrame, grid: DataFrame, by: list[str], row_id: str) -> DataFrame:
+def _with_grid(df: DataFrame, grid: DataFrame, row: Row | None, row_id: str) -> DataFrame:
     """Attach the grid: one driver row for shared sites, a chunked join for sites per snapshot."""
-    if not by:
-        row = grid.first()
-        if row is None:
-            raise ValueError("no reference sites")
+    if row is not None:
         return df.withColumns({c: F.lit(row[c]) for c in GRID_COLUMNS})
     if row_id == "atom_id":
         return attach(df, stage(with_last_chunk(df, grid), "grid"))
@@ -306,77 +302,40 @@ def _reach_round(queries: DataFrame, sites: DataFrame, setting: Setting, factor:
         *POINT, "best.site_id", "best.d2", F.col("best").isNotNull().alias("certified")), beside
 
 
-def _size_classes(setting: Setting, step: float) -> list[tuple[int, ...]] | None:
-    """Periods in site units, in whole steps; None if they are too many or too small to list images for."""
-    if not setting.periodic:
-        return [()]
-    sizes = setting.boxes.select(*[F.floor(setting.period(a) / step).alias(f"k{a}") for a in AXES]).distinct()
-    found = [tuple(r) for r in sizes.limit(CLASSES + 1).collect()]  # at most CLASSES + 1 small rows
-    return None if len(found) > CLASSES or any(k is None or k < 1 for r in found for k in r) else found
-
-
-def _listed_cells(a: str, reach: float, step: float, periodic: bool) -> Column:
-    """Cells of edge ``reach`` along one axis within reach of a site or, for any period of its class, of an image."""
-    far = reach * (1 + SLACK)
-    u = F.col(a)
-
-    def cells(first: Column, final: Column) -> tuple[Column, Column]:
-        return F.floor((first - far) / reach), F.floor((final + far) / reach)
-
-    if not periodic:
-        return _steps(*cells(u, u))
-    least, most = F.col(f"k{a}") * step, (F.col(f"k{a}") + 1) * step
-    shifts = _steps(F.ceil((-most / 2 - far - u) / least), F.floor((most / 2 + far - u) / least))
-
-    def around(n: Column) -> Column:
-        first, final = cells(u + F.least(n * least, n * most), u + F.greatest(n * least, n * most))
-        edge = most / 2 * (1 + SLACK)
-        return _steps(F.greatest(first, F.floor(-edge / reach)), F.least(final, F.floor(edge / reach)))
-
-    return F.array_distinct(F.flatten(F.transform(shifts, around)))
+def _lookup_round(queries: DataFrame, sites: DataFrame, setting: Setting, grid: Row) -> DataFrame:
+    """(point, best site or NULL, certified) for shared sites: every cell holds the sites that serve it, so a point
+    joins with the cell it lies in and, within reach of a face of its box, with those of its images.
 
-
-def _lookup_round(queries: DataFrame, sites: DataFrame, setting: Setting, reach: float) -> DataFrame | None:
-    """(point, best listed site or NULL, certified) for shared sites, by one lookup of each point's cell.
-
-    None where the boxes have too many sizes. Cells that more than ``CROWDED`` sites serve are not listed.
+    Cells that more than ``CROWDED`` sites serve hold a mark instead, and points that meet one get no certificate.
     """
-    step = reach / 2
-    classes = _size_classes(setting, step)
-    if classes is None:
-        return None
-    kinds = [f"k{a}" for a in AXES] if setting.periodic else []
-    served = sites.select("site_id", *AXES)
-    if kinds:
-        rows = F.array(*[F.struct(*[F.lit(k).cast("long").alias(n) for n, k in zip(kinds, r)]) for r in classes])
-        served = served.withColumn("_kind", F.explode(rows)).select("site_id", *AXES, "_kind.*")
-    served = _into_cells(served, {a: _listed_cells(a, reach, step, setting.periodic) for a in AXES}).filter(
-        F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("cz").isNotNull())
-    keys = [*kinds, *CELL]
-    served = stage(served, "served")
-    counts = stage(served.groupBy(*keys).count(), "served-counts")
-    crowded = counts.filter(F.col("count") > CROWDED)
-    if not crowded.isEmpty():
-        served = served.join(crowded.select(*keys), keys, "left_anti")
-    entries = counts.filter(F.col("count") <= CROWDED).agg(F.sum("count")).first()[0] or 0
-    lists = served.groupBy(*keys).agg(F.collect_list(F.struct("site_id", *AXES)).alias("_listed"))
-    lists = stage(lists, "listed")
-    spark = sites.sparkSession
-    lists = F.broadcast(lists) if entries * SITE_BYTES <= broadcast_bytes(spark) else lists.hint("merge")
-    located = queries.withColumns({
-        **{f"k{a}": F.floor(setting.period(a) / step) for a in AXES if kinds},
-        **{f"c{a}": F.floor(setting.own(a) / reach) for a in AXES}})
-
-    def measured(site: Column) -> Column:
-        deltas = [setting.delta(a, site[a]) for a in AXES]
-        return F.struct((deltas[0] * deltas[0] + deltas[1] * deltas[1] + deltas[2] * deltas[2]).alias("d2"),
-                        site["site_id"].alias("site_id"))
-
+    reach = float(grid["g_reach"])
+    far = reach * (1 + SLACK)
+    served = _into_cells(
+        sites.select("site_id", *[F.col(a).alias(f"o{a}") for a in AXES]),
+        {a: _steps(F.floor((F.col(f"o{a}") - far) / reach), F.floor((F.col(f"o{a}") + far) / reach)) for a in AXES})
+    most, entries = served.groupBy(*CELL).count().agg(F.max("count"), F.sum("count")).first()
+    if most > CROWDED:
+        full = served.groupBy(*CELL).count().filter(F.col("count") > CROWDED).drop("count")
+        served = served.join(full, CELL, "left_anti").unionByName(full, allowMissingColumns=True)
+    if entries * SITE_BYTES <= broadcast_bytes(sites.sparkSession):
+        served = F.broadcast(served)
+
+    def cells(a: str) -> Column:
+        own, period = setting.own(a), setting.period(a)
+        if period is None:
+            return F.array(F.floor(own / reach))
+        low, high = grid[f"g_lo{a}"] - far, grid[f"g_hi{a}"] + far
+        shifts = _steps(F.ceil((low - own) / period), F.floor((high - own) / period))
+        return F.array_distinct(F.transform(shifts, lambda n: F.floor((own + n * period) / reach)))
+
+    pairs = _into_cells(queries, {a: cells(a) for a in AXES}).join(served, CELL)
     sure = F.lit(reach) * setting.least_stretch()
-    best = located.join(lists, keys, "left").select(
-        *POINT, F.array_min(F.transform("_listed", measured)).alias("_best"), (sure * sure).alias("_sure"))
-    return best.select(
-        *POINT, "_best.site_id", "_best.d2", F.coalesce(F.col("_best.d2") <= F.col("_sure"), F.lit(False)).alias("certified"))
+    squared = F.when(F.col("site_id").isNull(), F.lit(-1.0)).otherwise(_squared(setting, "o"))
+    close = pairs.select(*POINT, F.struct(squared.alias("d2"), "site_id").alias("best"),
+                         (sure * sure).alias("sure")).filter("best.d2 <= sure").drop("sure")
+    alone = queries.select(*POINT).withColumn("best", F.lit(None).cast(close.schema["best"].dataType))
+    return close.unionByName(alone).groupBy(*POINT).agg(F.min("best").alias("best")).select(
+        *POINT, "best.site_id", "best.d2", F.col("best.site_id").isNotNull().alias("certified"))
 
 
 def _tree_descent(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
@@ -449,21 +408,24 @@ def _tree_descent(queries: DataFrame, sites: DataFrame, setting: Setting) -> Dat
 
 def nearest(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
     """Exact nearest site of every query point: ``site_id`` and squared distance ``d2``."""
+    row = None
     if setting.by:
-        grid = stage(_site_grid(sites, setting.by), "grid")
+        grid = stage(_site_grid(sites, setting.by).drop("_n"), "grid")
     else:
         sites = stage(sites.select("site_id", *AXES), "sites")
         grid = _site_grid(sites, setting.by)
-        few = sites.count() * SITE_BYTES <= broadcast_bytes(sites.sparkSession)
-        setting = replace(setting, few_sites=few)
-    queries = _with_grid(queries.select(*setting.query_columns()), grid, setting.by, "atom_id")
-    sites = _with_grid(sites.select(*setting.by, "site_id", *AXES), grid, setting.by, "site_id")
+        row = grid.first()
+        if row is None:
+            raise ValueError("no reference sites")
+        setting = replace(setting, few_sites=row["_n"] * SITE_BYTES <= broadcast_bytes(sites.sparkSession))
+    queries = _with_grid(queries.select(*setting.query_columns()), grid, row, "atom_id")
+    sites = _with_grid(sites.select(*setting.by, "site_id", *AXES), grid, row, "site_id")
     answers, descending, remaining = [], [], queries
     for turn in range(REACH_ROUNDS):
-        best, beside = None, None
+        beside = None
         if turn == 0 and not setting.by:
-            best = _lookup_round(queries, sites, setting, float(grid.first()["g_reach"]))
-        if best is None:
+            best = _lookup_round(queries, sites, setting, row)
+        else:
             best, beside = _reach_round(remaining, sites, setting, 2.0**turn)
         best = stage(best, "nearest")
         answers.append(best.filter("certified"))
@@ -509,18 +471,16 @@ def prepare(points, sites, boxes, ref_box, periodic, affine):
     if (periodic or affine) and (boxes is None or ref_box is None):
         raise ValueError("periodic and affine matching need boxes and ref_box")
     by = ["snapshot_id"] if "snapshot_id" in sites.columns else []
-    queries, sized = points.select(*POINT, *AXES), None
+    queries = points.select(*POINT, *AXES)
     if periodic:
         queries, sites = wrap_points(points, boxes), wrap_sites(sites, ref_box)
-        sized = box_lengths(boxes)
     elif affine:
         sized = stage(with_last_chunk(points, box_lengths(boxes)), "boxes")
         queries = attach(queries, sized).select(*POINT, *AXES, *[f"l{a}" for a in AXES])
     if affine:
-        stretch = {f"s{a}": F.col(f"l{a}") / (ref_box[f"{a}hi"] - ref_box[f"{a}lo"]) for a in AXES}
-        queries = queries.withColumns(stretch)
-        sized = sized.withColumns(stretch) if periodic else None
-    return queries, sites, Setting(by, periodic, affine, boxes=sized)
+        queries = queries.withColumns({
+            f"s{a}": F.col(f"l{a}") / (ref_box[f"{a}hi"] - ref_box[f"{a}lo"]) for a in AXES})
+    return queries, sites, Setting(by, periodic, affine)
 
 
 def nearest_other(points: DataFrame) -> DataFrame:
