@@ -81,15 +81,48 @@ def test_long_list_pairs_are_all_but_connected_ones():
     rng = np.random.default_rng(4)
     members = np.tile(rng.integers(0, 256, nearcopies._BYTES, dtype=np.uint8), (100, 1))
     for row in members:
-        row[rng.choice(nearcopies._BYTES, rng.integers(0, 36), replace=False)] += 1
+        row[4 + rng.choice(nearcopies._BYTES - 4, rng.integers(0, 36), replace=False)] += 1
     labels = np.arange(100)
     labels[:40] = 0
     shared = (members[:, None] == members[None]).sum(axis=2)
     expected = {(i, j) for i in range(100) for j in range(i) if labels[i] != labels[j] and shared[i, j] >= nearcopies.MIN_SHARED}
-    found = [(max(x, y), min(x, y)) for i, j in nearcopies.list_pairs(members, labels, True) for x, y in zip(i.tolist(), j.tolist())]
+    least = nearcopies.MIN_SHARED
+    found = [(max(x, y), min(x, y)) for i, j in nearcopies.list_pairs(members, labels, least, 0) for x, y in zip(i.tolist(), j.tolist())]
     assert len(found) == len(set(found)) and set(found) == expected
-    marked = list(nearcopies.list_pairs(members, labels, False))
-    assert len(marked) == 1 and len(set(marked[0][0])) == 1 and len(marked[0][1]) <= 100
+    assert not [i for i, _ in nearcopies.list_pairs(members, labels, least, 3) if len(i)]  # all share band 0
+
+
+def test_lists_over_many_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(0, 30, 500))
+    keys[100:300] = keys[100]
+    nodes = np.arange(500)
+    rows = [bytes(rng.integers(0, 256, 80, dtype=np.uint8)) for _ in nodes]
+    table = pa.record_batch([pa.array(keys), pa.array(nodes), pa.array(nodes), pa.array(rows, pa.binary())], ["key", "node", "label", "sketch"])
+    for size in (1, 7, 64, 1000):
+        got = {k: n.tolist() for k, n, _, _ in nearcopies._lists(table.slice(i, size) for i in range(0, 500, size))}
+        assert got == {int(k): nodes[keys == k].tolist() for k in np.unique(keys) if (keys == k).sum() > 1}
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Ids that stand for several texts, rows without an id and repeated rows."""
+    rng = random.Random(3)
+    base, other, third = (" ".join(f"{w}{rng.randrange(900)}" for _ in range(60)) for w in "abc")
+    rows = [(7, base), (9, base), (9, other), (7, third), (7, third), (None, other), (None, "only here"), (None, "only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.stays, r.component_id) for r in nearcopies.classes(docs).collect())
+    assert got == sorted([("7", True, 7), ("9", False, 7), ("9", True, 9), ("7", True, 7), ("7", True, 7), ("None", False, 9),
+                          ("None", True, None), ("None", True, None)])
+
+
+def test_long_fingerprint_keeps_pairs_at_the_least_similarity():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        common, left, right = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
+        a, b = (np.frombuffer(nearcopies.sketch(np.r_[common, x], nearcopies.LONG), np.uint8) for x in (left, right))
+        assert (a == b).sum() >= nearcopies.LONG_SHARED
 
 
 def test_recall_of_the_index():
