@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voidscope.llm import nearcopies
 
@@ -140,3 +141,23 @@ def test_recall_of_the_index():
 def test_empty_table(spark):
     found = nearcopies.near_copies(spark.createDataFrame([], "doc_id long, text string"))
     assert found.count() == 0 and found.columns == ["doc_id", "component_id"]
+
+
+def test_stages_judge_each_row_by_its_own_text(spark, monkeypatch):
+    """Different texts of one id, rows without an id, repeated rows and clashing columns in the filtering stages."""
+    import corpus_pipeline
+    from voidscope.llm import toxicity
+
+    rng = random.Random(4)
+    base, other, third = (" ".join(f"{w}{rng.randrange(900)}" for _ in range(60)) for w in "abc")
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(7, base, 1), (9, base, 2), (9, other, 3), (7, third, 4), (7, third, 4), (None, item, 5), (None, "only here", 6), (3, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key long").withColumn("_row", F.lit("x"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["_key"] for r in kept.collect()) == [1, 3, 4, 5, 6, 7]
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: spark.createDataFrame([(1, 1, item)], "item_id long, doc_id long, text string"))
+    assert sorted(r["_key"] for r in corpus_pipeline.drop_leaks(spark, docs, "").collect()) == [1, 2, 3, 4, 4, 6, 7]
+    monkeypatch.setattr(corpus_pipeline, "toxicity_model", lambda docs, labels: None)
+    monkeypatch.setattr(toxicity, "score", lambda docs, model: docs.selectExpr("doc_id", "cast(text like 'a%' as int) as predicted"))
+    assert sorted(r["_key"] for r in corpus_pipeline.drop_toxic(spark, docs, "").collect()) == [3, 4, 4, 5, 6, 7]
