@@ -78,6 +78,13 @@ def boxes_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[c.alias(n) for n, c in {**high, **flags}.items()])
 
 
+def boxes_tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`boxes_customer` as tilted cells."""
+    key = F.col("snapshot_id")
+    return boxes_customer(spark, sf_dir).withColumns({
+        "xy": key % 4 * 0.4, "xz": F.lit(-0.3), "yz": key % 3 * 0.5})
+
+
 def boxes_solvent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`boxes_customer` of the customers that owe nothing; the others have no box."""
     keep = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("snapshot_id"))

@@ -130,6 +130,10 @@ frames AS (
   FROM customer)"""
 
 ORACLES = {
+    "points_file": with_([CLOUD], "SELECT snapshot_id, atom_id, x, y, z FROM cloud"),
+    "importance_files": with_([*_FEATURED, IMPORTANCE], """
+SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC, feature) - 1 AS position
+FROM importance"""),
     "feature_csv_sorted": with_([CLOUD, COUNTED], """
 SELECT file, row_number() OVER (ORDER BY file) - 1 AS position FROM feature_set"""),
     "dump_frames": with_([ORDERED, FRAMES], """

@@ -64,7 +64,12 @@ cloud AS (
          CAST(o_totalprice AS DOUBLE) % 1000 / 100 AS x, CAST(o_orderkey % 997 AS DOUBLE) / 100 AS y,
          CAST(o_orderkey * 31 % 1009 AS DOUBLE) / 100 AS z FROM orders)"""
 
-# Every point with every image of itself and of the others, whole boxes -2 to 2 along the axes that repeat.
+def imaged(reach: float) -> str:
+    """Every point with every image of itself and of the others closer than ``reach``."""
+    return IMAGED.replace("6.25", f"{reach * reach:g}")
+
+
+# Whole boxes -2 to 2 along the axes that repeat, which covers a reach of 5 for edges of 3 and more.
 IMAGED = """
 flagged AS (
   SELECT c_custkey AS snapshot_id, 3 + c_nationkey * 0.2::DOUBLE AS lx, 4 + c_custkey % 5 * 0.5::DOUBLE AS ly,
@@ -169,11 +174,16 @@ SELECT snapshot_id, round(lx * ly * lz, 4) AS volume,
     "radius_pairs": with_([CLOUD], """
 SELECT a.snapshot_id, a.atom_id, b.atom_id AS other_id,
        round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)), 6) AS distance
-FROM cloud a JOIN cloud b ON a.snapshot_id = b.snapshot_id AND a.atom_id < b.atom_id
+FROM (SELECT *, floor(y / 4) AS row FROM cloud) a
+JOIN (SELECT *, unnest([floor(y / 4) - 1, floor(y / 4), floor(y / 4) + 1]) AS row FROM cloud) b
+  ON a.snapshot_id = b.snapshot_id AND a.row = b.row AND a.atom_id < b.atom_id
 WHERE power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) < 16"""),
     "radius_pairs_pbc": with_([CLOUD, SITES, BOXES, WRAPPED], """
 SELECT a.snapshot_id, a.atom_id, b.atom_id AS other_id, round(sqrt(d2), 6) AS distance
-FROM wrapped a JOIN wrapped b ON a.snapshot_id = b.snapshot_id AND a.atom_id < b.atom_id,
+FROM (SELECT *, floor(y / 4) AS row FROM wrapped) a
+JOIN (SELECT *, unnest(list_distinct(flatten(
+        [[floor((y + k * ly) / 4) + j FOR j IN [-1, 0, 1]] FOR k IN [-1, 0, 1]]))) AS row FROM wrapped) b
+  ON a.snapshot_id = b.snapshot_id AND a.row = b.row AND a.atom_id < b.atom_id,
      LATERAL (SELECT power((a.x - b.x) - a.lx * round_even((a.x - b.x) / a.lx, 0), 2)
                    + power((a.y - b.y) - a.ly * round_even((a.y - b.y) / a.ly, 0), 2)
                    + power((a.z - b.z) - a.lz * round_even((a.z - b.z) / a.lz, 0), 2) AS d2)
@@ -190,11 +200,35 @@ SELECT a.snapshot_id, a.atom_id, round(min(sqrt(
 FROM cloud a JOIN (SELECT * FROM cloud SEMI JOIN surface USING (snapshot_id, atom_id)) b
      ON a.snapshot_id = b.snapshot_id
 GROUP BY ALL HAVING surface_distance < 4"""),
-    "radius_pairs_images": with_([ORDERED, IMAGED], """
+    "radius_pairs_images": with_([ORDERED, imaged(2.5)], """
 SELECT snapshot_id, atom_id, other_id, ix, iy, iz, round(sqrt(dd), 6) AS distance FROM paired
 WHERE atom_id < other_id OR (atom_id = other_id AND (ix > 0 OR (ix = 0 AND (iy > 0 OR (iy = 0 AND iz > 0)))))"""),
-    "surface_atoms_slab": with_([ORDERED, IMAGED, surface_text(1.25)], "SELECT snapshot_id, atom_id FROM surface"),
-    "surface_distance_slab": with_([ORDERED, IMAGED, surface_text(1.25)], """
+    "radius_pairs_tilted": with_([ORDERED, imaged(2.5).split("home AS (")[0].rstrip().rstrip(",")], """
+, folded_z AS (
+  SELECT snapshot_id, atom_id, lx, ly, lz, px, py, pz, snapshot_id % 4 * 0.4::DOUBLE AS xy, -0.3::DOUBLE AS xz,
+         snapshot_id % 3 * 0.5::DOUBLE AS yz, x, y, z,
+         CASE WHEN pz THEN round_even((z - lz / 2) / lz, 0) ELSE 0 END AS n
+  FROM cloud JOIN flagged USING (snapshot_id)),
+folded_y AS (
+  SELECT * EXCLUDE (n, x, y, z), x - n * xz AS x, y - n * yz AS y, CASE WHEN pz THEN z - lz / 2 - lz * n ELSE z END AS z,
+         CASE WHEN py THEN round_even((y - n * yz - ly / 2) / ly, 0) ELSE 0 END AS n FROM folded_z),
+folded_x AS (
+  SELECT * EXCLUDE (n, x, y), x - n * xy AS x, CASE WHEN py THEN y - ly / 2 - ly * n ELSE y END AS y,
+         CASE WHEN px THEN round_even((x - n * xy - lx / 2) / lx, 0) ELSE 0 END AS n FROM folded_y),
+home AS (SELECT * EXCLUDE (n, x), CASE WHEN px THEN x - lx / 2 - lx * n ELSE x END AS x FROM folded_x),
+images AS (
+  SELECT snapshot_id, atom_id AS other_id, i.range - 3 AS ix, j.range - 3 AS iy, k.range - 3 AS iz,
+         x + (i.range - 3) * lx + (j.range - 3) * xy + (k.range - 3) * xz AS x,
+         y + (j.range - 3) * ly + (k.range - 3) * yz AS y, z + (k.range - 3) * lz AS z
+  FROM home, range(7) i, range(7) j, range(7) k
+  WHERE (px OR i.range = 3) AND (py OR j.range = 3) AND (pz OR k.range = 3))
+SELECT a.snapshot_id, a.atom_id, other_id, ix, iy, iz, round(sqrt(dd), 6) AS distance
+FROM home a JOIN images b ON a.snapshot_id = b.snapshot_id,
+     LATERAL (SELECT power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2) AS dd)
+WHERE dd < 6.25 AND (a.atom_id < other_id OR (a.atom_id = other_id AND
+      (ix > 0 OR (ix = 0 AND (iy > 0 OR (iy = 0 AND iz > 0))))))"""),
+    "surface_atoms_slab": with_([ORDERED, imaged(5), surface_text(2.5)], "SELECT snapshot_id, atom_id FROM surface"),
+    "surface_distance_slab": with_([ORDERED, imaged(5), surface_text(2.5)], """
 SELECT a.snapshot_id, a.atom_id, round(min(sqrt(
          power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))), 6) AS surface_distance
 FROM home a JOIN (SELECT * FROM images SEMI JOIN (SELECT snapshot_id, atom_id AS other_id FROM surface)

@@ -251,4 +251,8 @@ SELECT snapshot_id, atom_id, round(kth_distance, 6) AS kth_distance FROM kth""")
     "ms_bandwidth": with_([CLOUD, KNN], "SELECT snapshot_id, round(bw, 6) AS ms_bandwidth FROM bandwidth"),
     "features_training": features("training"),
     "features_extractor": features("extractor"),
+    "features_families": with_(feature_parts("extractor", bandwidth=False), f"""
+SELECT snapshot_id, {rounded(GRID_COLUMNS)}, CAST(NULL AS DOUBLE) AS moi_principal_3, {rounded("rdf_mean, rdf_kurtosis")},
+       CAST(NULL AS DOUBLE) AS entropy_spatial, CAST(NULL AS DOUBLE) AS ms_bandwidth, n AS num_points
+{_JOINED}"""),
 }

@@ -61,6 +61,22 @@ def _csv_sorted(spark, sf_dir):
     return number_rows(rows, [], ["part", "block", "at"], "position").select("file", "position")
 
 
+def _points_file(spark, sf_dir):
+    path = staging_path(spark, "points")
+    datasets.write_points(cloud_lineitem(spark, sf_dir), path)
+    return datasets.read_points(spark, path)
+
+
+def _importance_files(spark, sf_dir):
+    """The importance sink read back in the order of its files."""
+    path = staging_path(spark, "importance")
+    model.write_importance(importance_table(spark, sf_dir), path)
+    rows = spark.read.option("header", True).csv(f"{path}/feature_importance").select(
+        "feature", F.col("importance").cast("double").alias("importance"), F.col("_metadata.file_name").alias("part"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return rounded(number_rows(rows, [], ["part", "block", "at"], "position").select("feature", "importance", "position"))
+
+
 def _frames(spark, sf_dir) -> dumps.DumpScan:
     return dumps.scan_dumps(spark, frame_text(spark, sf_dir), name_pattern=FRAME_NAME, first_frame=False)
 
@@ -145,6 +161,8 @@ QUERIES = {
     "feature_catalog": lambda s, d: rounded(catalog.catalog_statistics(feature_set(s, d)), 4),
     "feature_csv": _csv,
     "feature_csv_sorted": _csv_sorted,
+    "points_file": _points_file,
+    "importance_files": _importance_files,
     "dump_frames": lambda s, d: _frames(s, d).atoms().drop("extra"),
     "dump_frames_status": _frame_status,
     "train_test_split": lambda s, d: _marked(s, d).select("file", "is_test"),

@@ -6,6 +6,7 @@ from checks.fixtures import (
     boxes_customer,
     boxes_solvent,
     boxes_supplier,
+    boxes_tilted,
     cloud_embeddings,
     cloud_lineitem,
     cloud_orders,
@@ -22,7 +23,7 @@ PAIR_RADIUS = 4.0
 PROBE_RADIUS = 6.0
 NEAR_SURFACE = 4.0
 IMAGE_RADIUS = 2.5
-SLAB_RADIUS = 1.25
+SLAB_RADIUS = 2.5
 NEAR_SLAB = 1.0
 
 
@@ -59,6 +60,8 @@ QUERIES = {
         surface.within_surface(cloud_lineitem(s, d), NEAR_SURFACE, PROBE_RADIUS)),
     "radius_pairs_images": lambda s, d: rounded(
         images.radius_pairs_images(cloud_orders(s, d), IMAGE_RADIUS, boxes_customer(s, d))),
+    "radius_pairs_tilted": lambda s, d: rounded(
+        images.radius_pairs_images(cloud_orders(s, d), IMAGE_RADIUS, boxes_tilted(s, d))),
     "surface_atoms_slab": lambda s, d: surface.surface_atoms(cloud_orders(s, d), SLAB_RADIUS, boxes_customer(s, d)),
     "surface_distance_slab": lambda s, d: rounded(
         surface.within_surface(cloud_orders(s, d), NEAR_SLAB, SLAB_RADIUS, boxes_customer(s, d))),

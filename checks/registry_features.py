@@ -52,6 +52,8 @@ QUERIES = {
     "ms_bandwidth": lambda s, d: rounded(bandwidth.ms_bandwidth(cloud_lineitem(s, d))),
     "features_training": lambda s, d: rounded(
         snapshot_features(cloud_lineitem(s, d), mode="training"), moi_principal_3=4),
+    "features_families": lambda s, d: rounded(
+        snapshot_features(cloud_lineitem(s, d), mode="extractor", families=("grid", "radial"))),
     "features_extractor": lambda s, d: rounded(
         snapshot_features(cloud_lineitem(s, d), mode="extractor"), moi_principal_3=4),
 }

@@ -121,3 +121,29 @@ def test_crowded_cell_is_dealt_to_many_tasks(spark, monkeypatch):
     assert lots and max(lots) <= 200
     gap = np.linalg.norm(cloud[:, None] - cloud[None], axis=2)
     assert plain == {(i, j) for i, j in zip(*np.nonzero(gap < 0.2)) if i < j}
+
+
+def test_pairs_in_tilted_cells(spark):
+    rng = np.random.default_rng(12)
+    edge, tilt = np.array([3.0, 4.0, 5.0]), {"xy": 1.3, "xz": -0.7, "yz": 2.9}
+    cell = np.array([[3.0, 0, 0], [1.3, 4.0, 0], [-0.7, 2.9, 5.0]])
+    cloud = rng.random((20, 3)) * 9 - 2
+    for flags in ("ppp", "ppf", "pfp", "fff"):
+        box = flagged(spark, {0: tuple(edge)}, {0: flags}).selectExpr("*", *[f"{v}D as {k}" for k, v in tilt.items()])
+        found = radius_pairs_images(points(spark, {0: cloud}), 2.4, box, both=True).collect()
+        got = sorted((r.atom_id, r.other_id, round(r.distance, 7)) for r in found)
+        wanted = []
+        for shift in itertools.product(*[range(-6, 7) if f == "p" else [0] for f in flags]):
+            gap = np.linalg.norm(cloud[None] + np.array(shift) @ cell - cloud[:, None], axis=2)
+            wanted += [(int(i), int(j), round(float(gap[i, j]), 7)) for i, j in zip(*np.nonzero(gap < 2.4)) if i != j or any(shift)]
+        assert got == sorted(wanted)
+
+
+def test_tilted_crystal(spark):
+    """A crystal sheared by one lattice step across the box is the same crystal."""
+    lattice, edge = fcc(3), (3 * A0,) * 3
+    for flags, count in (("ppp", 0), ("ppf", 36)):
+        box = flagged(spark, {0: edge}, {0: flags}).selectExpr("*", f"{A0}D as xy", f"{A0}D as xz", f"{-A0}D as yz")
+        assert surface.surface_atoms(points(spark, {0: lattice}), 2.0, box).count() == count
+        wrong = box.selectExpr("snapshot_id", "xlo", "xhi", "ylo", "yhi", "zlo", "zhi", "px", "py", "pz", "1.7D as xy")
+        assert surface.surface_atoms(points(spark, {0: lattice}), 2.0, wrong).count() >= count

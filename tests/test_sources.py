@@ -242,6 +242,8 @@ def test_tilted_boxes_are_named(spark, tmp_path):
     assert {r.file: r.status for r in scan.boxed_status.collect()} == {"tilted": "tilted box", "straight": "ok"}
     assert [r.snapshot_id for r in scan.boxed_atoms().collect()] == ["straight"]
     assert [r.snapshot_id for r in scan.boxes().collect()] == ["straight"] and scan.atoms().count() == 2
+    cells = {r.snapshot_id: (r.xlo, round(r.xhi, 9), r.xy, r.xz, r.yz, r.boundary) for r in scan.cells().collect()}
+    assert cells == {"tilted": (0.0, 0.9, 0.1, 0.0, 0.0, ["pp"] * 3), "straight": (0.0, 1.0, 0.0, 0.0, 0.0, ["pp"] * 3)}
 
 
 def test_ordered_files(spark, tmp_path):

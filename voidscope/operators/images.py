@@ -1,7 +1,9 @@
 """Periodic images as rows, for boxes that repeat along some axes only.
 
-Boxes may carry three flags ``px, py, pz``; without them every axis repeats. A folded cloud has the box length of each
-repeating axis in ``l*`` and NULL along open ones. Its images within a reach of the box are rows of their own, with the
+Boxes may carry three flags ``px, py, pz``; without them every axis repeats. They may also be tilted, with ``xy, xz, yz``:
+the second cell vector is (xy, ly, 0), the third (xz, yz, lz). A folded cloud has the box length of each repeating axis
+in ``l*`` and NULL along open ones, and the tilts in ``t*``; folding along z, then y, then x takes a tilted cell to the
+straight box of its three lengths, which repeats by the same vectors. Its images within a reach of the box are rows of their own, with the
 shift ``ix, iy, iz`` in whole boxes. Joins with such rows are plain open ones: no minimum image is taken, and a box
 smaller than the reach shows a neighbor as often as it is there.
 """
@@ -11,14 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voidscope.functions.geometry import box_lengths, minimum_image
+from voidscope.functions.geometry import box_lengths
 from voidscope.functions.spread import attach, last_chunk
 from voidscope.operators.neighbors import AXES, POINT, SLACK, fullest, near_cells, own_cells, salted_join
 from voidscope.session import stage
 
 FLAGS = [f"p{a}" for a in AXES]
-LENGTHS = [f"l{a}" for a in AXES]
+TILTS = ["xy", "xz", "yz"]
+LENGTHS = [*[f"l{a}" for a in AXES], *[f"t{t}" for t in TILTS]]
 SHIFT = [f"i{a}" for a in AXES]
+#: Axes in the order of folding, each with the others that its cell vector moves along.
+VECTORS = {"z": ("x", "y"), "y": ("x",), "x": ()}
 
 
 def with_flags(boxes: DataFrame, boundary: str = "boundary") -> DataFrame:
@@ -28,41 +33,52 @@ def with_flags(boxes: DataFrame, boundary: str = "boundary") -> DataFrame:
 
 
 def _periods(boxes: DataFrame) -> DataFrame:
-    """``snapshot_id, l*`` and the box centers; the length is NULL along an open axis or an empty one."""
+    """``snapshot_id, l*, t*`` and the box centers; the length is NULL along an open axis or an empty one."""
     sized = box_lengths(boxes)
     flags = {f: F.col(f) if f in boxes.columns else F.lit(True) for f in FLAGS}
     return sized.select(
         "snapshot_id", *[((F.col(f"{a}hi") + F.col(f"{a}lo")) / 2).alias(f"m{a}") for a in AXES],
-        *[F.when(flags[f"p{a}"] & (F.col(f"l{a}") > 0), F.col(f"l{a}")).alias(f"l{a}") for a in AXES])
+        *[F.when(flags[f"p{a}"] & (F.col(f"l{a}") > 0), F.col(f"l{a}")).alias(f"l{a}") for a in AXES],
+        *[(F.coalesce(t, F.lit(0.0)) if t in boxes.columns else F.lit(0.0)).alias(f"t{t}") for t in TILTS])
+
+
+def _moved(df: DataFrame, a: str, own: Column, boxes: Column) -> DataFrame:
+    """``own`` as the new coordinate along ``a``, and the others moved by so many cell vectors of that axis."""
+    return df.withColumns({a: own, **{o: F.col(o) + boxes * F.col(f"t{o}{a}") for o in VECTORS[a]}})
 
 
 def folded(points: DataFrame, boxes: DataFrame | None) -> DataFrame:
-    """``snapshot_id, atom_id, x, y, z, lx, ly, lz``: points relative to the box center and folded along the axes that
+    """``snapshot_id, atom_id, x, y, z, l*, t*``: points relative to the box center and folded along the axes that
     repeat, unchanged along the others. Snapshots without a box are open."""
     if boxes is None:
-        return points.select(*POINT, *AXES, *[F.lit(None).cast("double").alias(n) for n in LENGTHS])
+        none = {n: F.lit(None).cast("double") if n.startswith("l") else F.lit(0.0) for n in LENGTHS}
+        return points.select(*POINT, *AXES, *[c.alias(n) for n, c in none.items()])
     sizes = points.groupBy("snapshot_id").agg(last_chunk())
     placed = attach(points.select(*POINT, *AXES), stage(sizes.join(_periods(boxes), "snapshot_id", "left"), "periods"))
-    return placed.select(*POINT, *[
-        F.when(F.col(f"l{a}").isNull(), F.col(a))
-        .otherwise(minimum_image(F.col(a) - F.col(f"m{a}"), F.col(f"l{a}"))).alias(a) for a in AXES], *LENGTHS)
+    placed = placed.withColumns({f"t{t}": F.coalesce(f"t{t}", F.lit(0.0)) for t in TILTS})
+    for a in VECTORS:
+        length, apart = F.col(f"l{a}"), F.col(a) - F.col(f"m{a}")
+        whole = F.when(length.isNull(), F.lit(0.0)).otherwise(F.rint(apart / length))
+        placed = _moved(placed.withColumn("_whole", whole), a, F.when(length.isNull(), F.col(a)).otherwise(
+            apart - length * F.col("_whole")), -F.col("_whole"))
+    return placed.select(*POINT, *AXES, *LENGTHS)
 
 
 def _shifts(a: str, reach: float) -> Column:
     """Whole boxes by which a point comes within ``reach`` of its box."""
     length, far = F.col(f"l{a}"), F.col(f"l{a}") / 2 + reach * (1 + SLACK)
     first, final = F.ceil((-far - F.col(a)) / length), F.floor((far - F.col(a)) / length)
-    return F.when(length.isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.sequence(F.least(first, F.lit(0).cast("long")), F.greatest(final, F.lit(0).cast("long"))))
+    # a tilted neighbor box may lie wholly to one side, so the range need not hold 0; it is never empty
+    return F.when(length.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, F.greatest(first, final)))
 
 
 def with_images(home: DataFrame, reach: float) -> DataFrame:
     """The rows of :func:`folded` and their images within ``reach`` of the box, with ``ix, iy, iz``."""
-    for a in AXES:
+    for a in VECTORS:
         home = home.withColumn(f"i{a}", F.explode(_shifts(a, float(reach))))
-    return home.withColumns({
-        a: F.when(F.col(f"l{a}").isNull(), F.col(a)).otherwise(F.col(a) + F.col(f"i{a}") * F.col(f"l{a}"))
-        for a in AXES}).drop(*LENGTHS)
+        there = F.when(F.col(f"l{a}").isNull(), F.col(a)).otherwise(F.col(a) + F.col(f"i{a}") * F.col(f"l{a}"))
+        home = _moved(home, a, there, F.col(f"i{a}"))
+    return home.select(*POINT, *AXES, *SHIFT)
 
 
 def offsets_within(queries: DataFrame, others: DataFrame, radius: float, crowded: bool = True) -> DataFrame:

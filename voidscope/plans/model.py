@@ -140,12 +140,16 @@ def model_info(forest: Forest, spark: SparkSession, metrics: DataFrame | None =
         "forbidden_features array<string>, random_state int, mode string, oof_r2 double, metrics string")
 
 
+def write_importance(ranked: DataFrame, path: str) -> None:
+    """Importances, largest first over the files in the order of their names, below ``path``."""
+    ranked.orderBy(F.desc("importance"), "feature").write.mode("overwrite").option("header", True).csv(f"{path}/feature_importance")
+
+
 def save_model(forest: Forest, path: str, spark: SparkSession, metrics: DataFrame | None = None) -> None:
     """Store the pipeline, its metadata, importances and feature names below ``path``."""
     forest.pipeline.write().overwrite().save(f"{path}/pipeline")
     model_info(forest, spark, metrics).write.mode("overwrite").json(f"{path}/metadata")
-    ranked = importance(forest, spark).orderBy(F.desc("importance"))
-    ranked.write.mode("overwrite").option("header", True).csv(f"{path}/feature_importance")
+    write_importance(importance(forest, spark), path)
     names = spark.createDataFrame([(n,) for n in forest.feature_names], "value string").coalesce(1)
     names.write.mode("overwrite").text(f"{path}/feature_names")
 

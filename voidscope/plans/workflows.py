@@ -10,7 +10,7 @@ from voidscope.operators.alignment import DEFAULT_A0
 from voidscope.operators.catalog import FAMILIES
 from voidscope.operators.dataset import TOTAL_ATOMS, feature_dataset, vacancy_target
 from voidscope.operators.evaluation import method_comparison
-from voidscope.operators.images import FLAGS, with_flags
+from voidscope.operators.images import FLAGS, TILTS, with_flags
 from voidscope.operators.surface import PROBE_RADIUS, keep_selected, surface_atoms, within_surface
 from voidscope.operators.wigner_seitz import WignerSeitz
 from voidscope.plans.features import snapshot_features
@@ -33,7 +33,8 @@ def select_surface(
 
     ``periodic=None`` follows the boundary flags of each snapshot, axis by axis; True and False hold for all axes.
     """
-    sized = None if periodic is False else boxes.select(*BOX) if periodic else with_flags(boxes).select(*BOX, *FLAGS)
+    cell = [*BOX, *[t for t in TILTS if t in boxes.columns]]
+    sized = None if periodic is False else boxes.select(*cell) if periodic else with_flags(boxes).select(*cell, *FLAGS)
     if surface_distance is None:
         return keep_selected(points, surface_atoms(points, probe_radius, sized))
     return keep_selected(points, within_surface(points, surface_distance, probe_radius, sized))
@@ -54,7 +55,7 @@ def extract_dataset(
     ``extractor`` mode adds the count-based target; ``training`` mode adds ``num_points``.
     """
     points = stage(scan.atoms().select("snapshot_id", "atom_id", "x", "y", "z"), "points")
-    surface = stage(select_surface(points, scan.boxes(), probe_radius, surface_distance, periodic), "surface")
+    surface = stage(select_surface(points, scan.cells(), probe_radius, surface_distance, periodic), "surface")
     features = snapshot_features(surface, mode, a0, families)
     if mode == "extractor":
         dataset = feature_dataset(features.drop("num_points"), vacancy_target(points, total_atoms))

@@ -290,18 +290,37 @@ class DumpScan:
             tilted = tilted & F.array_contains(words, w)
         return self._small(BOUNDS_MARK).filter(tilted).select("file").distinct()
 
+    def cells(self) -> DataFrame:
+        """Cell bounds and tilts ``xy, xz, yz`` (0 in a straight box), atom count and boundary flags of the snapshots with
+        three bounds. Tilted bounds are written around the whole cell; the overhang is taken off here."""
+        tilt = self._bounds(self._small(BOUNDS_MARK), third=True)
+        tilted = self._tilted().withColumnRenamed("file", "snapshot_id").withColumn("_tilted", F.lit(True))
+        zero = F.lit(0.0)
+        t = {n: F.when(F.col("_tilted").isNotNull(), F.coalesce(n, zero)).otherwise(zero) for n in TILT_WORDS}
+        cells = tilt.join(tilted, "snapshot_id", "left").withColumns(t).drop("_tilted")
+        x_ends = [zero, F.col("xy"), F.col("xz"), F.col("xy") + F.col("xz")]
+        return cells.withColumns({
+            "xlo": F.col("xlo") - F.least(*x_ends), "xhi": F.col("xhi") - F.greatest(*x_ends),
+            "ylo": F.col("ylo") - F.least(zero, F.col("yz")), "yhi": F.col("yhi") - F.greatest(zero, F.col("yz"))})
+
     def boxes(self) -> DataFrame:
         """Orthogonal bounds, atom count and boundary flags of the snapshots with three of them; ``boxed_status`` names
         the others. A tilted box has no orthogonal bounds."""
-        bounds = self._small(BOUNDS_MARK).filter("row < 3").join(self._tilted(), "file", "left_anti").withColumn("parts", _tokens(F.col("value")))
-        values = {}
-        for row, axis in enumerate("xyz"):
-            for position, end in ((1, "lo"), (2, "hi")):
-                number = _number(F.col("parts"), F.lit(position))
-                values[f"{axis}{end}"] = F.max(F.when(F.col("row") == row, number))
+        return self._bounds(self._small(BOUNDS_MARK).join(self._tilted(), "file", "left_anti"))
+
+    def _bounds(self, lines: DataFrame, third: bool = False) -> DataFrame:
+        """One row per snapshot from its three lines of bounds; the third number of each is a tilt."""
+        bounds = lines.filter("row < 3").withColumn("parts", _tokens(F.col("value")))
+
+        def number(row: int, position: int) -> Column:
+            return F.max(F.when(F.col("row") == row, _number(F.col("parts"), F.lit(position))))
+
+        values = {f"{axis}{end}": number(row, position) for row, axis in enumerate("xyz")
+                  for position, end in ((1, "lo"), (2, "hi"))}
+        tilts = {name: number(row, 3) for row, name in enumerate(TILT_WORDS)} if third else {}
         flags = F.slice(_tokens(F.col("header")), -3, 3)
         per_file = bounds.groupBy("file").agg(
-            *[c.alias(n) for n, c in values.items()], F.first(flags).alias("boundary"))
+            *[c.alias(n) for n, c in {**values, **tilts}.items()], F.first(flags).alias("boundary"))
         counts = self._small(COUNT_MARK).filter("row = 0").select(
             "file", _stripped(F.col("value")).try_cast("long").alias("declared_atoms"))
         complete = " and ".join(f"{n} is not null" for n in values)
