@@ -47,6 +47,12 @@ def test_language_of_odd_rows(spark, documents):
     assert langid.predict(documents.filter("false"), model).count() == 0
 
 
+def test_numerals_are_no_letters(spark, documents):
+    model = langid.learn(documents.limit(200))
+    rows = spark.createDataFrame([(1, "½"), (2, "²³ ½"), (3, "Ⅷ ①"), (4, "½ und ein Wort")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.predict(rows, model).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_kernel_is_the_cosine_of_presence_sets():
     sets = [langid.presence(t) for t in ("abcab", "abcab abcab", "zzz", "")]
     x = langid.matrix(sets).astype(float)

@@ -8,12 +8,12 @@ vectors, ``(X M') A`` is computed as ``X (M' A)``: texts are scored by one matri
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ RIDGE = 1e-2
 UNKNOWN = "und"
 BATCH = 32
 _PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # numerals such as a half or a small two are no letters
 #: Every ASCII byte that is no letter becomes a space.
 _FOLDED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
