@@ -5,15 +5,21 @@ from __future__ import annotations
 from checks.oracle_defects import BOXES, NEAR, OCCUPIED, ORDERED, SITES, SURFACE, WRAPPED, assigned
 from checks.oracle_features import CLOUD, GRID_COLUMNS, feature_parts, feature_set, rounded, with_
 from voidscope.operators.catalog import CATEGORIES, FEATURES
-from voidscope.operators.evaluation import (
-    CATEGORY_LABELS,
-    CENTRAL,
-    FAR,
-    MIDDLE,
-    OTHER_CATEGORY,
-    OTHER_VERDICT,
-    VERDICTS,
-)
+from voidscope.operators.evaluation import CENTRAL, FAR, MIDDLE
+
+# Fixed values, written out here so that the texts do not depend on the package they check.
+CATEGORY_LABELS = [
+    (("occupancy", "grid", "fragment"), "📊 Grid3D"),
+    (("hull",), "🔷 ConvexHull"),
+    (("moi",), "⚖️ Momentos"),
+    (("rdf",), "📍 Radial"),
+    (("entropy",), "🌀 Entropía"),
+    (("bandwidth",), "🔍 Bandwidth"),
+    (("energy",), "⚡ Energía"),
+]
+OTHER_CATEGORY = "❓ Otro"
+VERDICTS = ((5.0, "excellent"), (15.0, "good"))
+OTHER_VERDICT = "significant difference"
 
 COUNTED = """
 feature_set AS (SELECT snapshot_id AS file, CAST(700 - count(*) AS DOUBLE) AS n_vacancies
