@@ -140,3 +140,30 @@ def test_nearest_other_crowded(spark, rng, monkeypatch):
     monkeypatch.setattr(nb, "CROWDED", 4)
     monkeypatch.setattr(nb, "LEAF", 2)
     test_nearest_other(spark, rng)
+
+
+@pytest.mark.parametrize("affine", [False, True])
+def test_far_points_of_a_small_reference_are_matched_where_they_are_read(spark, rng, monkeypatch, affine):
+    """Boxes much wider than the reference: no join and no tree, same answers; a repeated point has one."""
+    monkeypatch.setattr(nb, "_tree_descent", lambda *a: pytest.fail("the tree was used"))
+    lattice = rng.random((200, 3)) * [5, 6, 7]
+    edges = {0: (40.0, 60.0, 50.0), 1: (5.5, 6.0, 7.0)}
+    clouds = {s: rng.random((80, 3)) * edge for s, edge in edges.items()}
+    table = points(spark, clouds)
+    found = nb.nearest_site(table.unionByName(table.filter("atom_id < 9")), sites(spark, lattice), boxes(spark, edges),
+                            ref_box((5.0, 6.0, 7.0)), affine=affine)
+    assert found.count() == 160
+    wrapped = {s: image(c - np.array(edges[s]) / 2, np.array(edges[s])) for s, c in clouds.items()}
+    base = image(lattice - np.array([2.5, 3.0, 3.5]), np.array([5.0, 6.0, 7.0]))
+    stretch = {s: np.array(e) / [5, 6, 7] if affine else 1.0 for s, e in edges.items()}
+    _check(found, wrapped, {s: base * stretch[s] for s in edges}, edges)
+
+
+def test_search_of_places_without_a_number(spark):
+    """A place that is not a number has the lowest site and no distance, one without a coordinate no answer."""
+    lattice = np.array([[1.0, 1, 1], [2.0, 2, 2], [1.0, 1, 1]])
+    rows = [(0, 0, 900.0, 0.0, 0.0), (0, 1, float("nan"), 0.0, 0.0), (0, 2, None, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "snapshot_id long, atom_id long, x double, y double, z double")
+    found = {r["atom_id"]: r for r in nb.nearest_site(table, sites(spark, lattice), periodic=False).collect()}
+    assert set(found) == {0, 1} and found[0]["site_id"] == 1
+    assert found[1]["site_id"] == 0 and np.isnan(found[1]["distance"])

@@ -10,13 +10,18 @@ any layout:
 * a neighbor found within the reach is certified, because every site that close was a candidate;
 * points without certificate repeat with twice the reach;
 * what is left, and points next to crowded cells, descend a tree of bounding boxes level by level and
-  keep only boxes that can still hold the nearest site.
+  keep only boxes that can still hold the nearest site;
+* a shared reference of at most ``TASK_SITES`` sites is small enough for the tasks that read the points: those far from
+  it, and those without certificate, are pruned against its boxes there, without a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +38,8 @@ SITE_BYTES = 64  # of one site in a broadcast table
 CROWDED = 256  # sites per cell beyond which its surroundings go down the tree
 LEAF = 32
 MAX_DEPTH = 30
+TASK_SITES = 1 << 13  # sites of a shared reference up to which far points are matched in the task that reads them
+_TASK_CELLS = 1 << 15  # points times boxes looked at together there
 CHUNKED_DEPTH = 3
 SLACK = 1e-9
 CELL_ROWS = 4096  # rows of one side in one cell of the radius join beyond which the cell is dealt to several tasks
@@ -302,6 +309,30 @@ def _reach_round(queries: DataFrame, sites: DataFrame, setting: Setting, factor:
         *POINT, "best.site_id", "best.d2", F.col("best").isNotNull().alias("certified")), beside
 
 
+def _image_cells(setting: Setting, grid: Row, a: str) -> Column:
+    """Cells of one axis, of edge ``g_reach``, that hold the point or an image of it near the sites."""
+    reach = float(grid["g_reach"])
+    far = reach * (1 + SLACK)
+    own, period = setting.own(a), setting.period(a)
+    if period is None:
+        return F.array(F.floor(own / reach))
+    low, high = grid[f"g_lo{a}"] - far, grid[f"g_hi{a}"] + far
+    shifts = _steps(F.ceil((low - own) / period), F.floor((high - own) / period))
+    return F.array_distinct(F.transform(shifts, lambda n: F.floor((own + n * period) / reach)))
+
+
+def _in_sight(setting: Setting, grid: Row) -> Column:
+    """Whether the point or an image of it lies within the starting reach of the extent of the sites."""
+    far = float(grid["g_reach"]) * (1 + SLACK)
+    seen = F.lit(True)
+    for a in AXES:
+        own, period = setting.own(a), setting.period(a)
+        low, high = F.lit(grid[f"g_lo{a}"] - far), F.lit(grid[f"g_hi{a}"] + far)
+        seen = seen & (own.between(low, high) if period is None
+                       else F.ceil((low - own) / period) <= F.floor((high - own) / period))
+    return F.coalesce(seen, F.lit(False))
+
+
 def _lookup_round(queries: DataFrame, sites: DataFrame, setting: Setting, grid: Row) -> DataFrame:
     """(point, best site or NULL, certified) for shared sites: every cell holds the sites that serve it, so a point
     joins with the cell it lies in and, within reach of a face of its box, with those of its images.
@@ -320,15 +351,7 @@ def _lookup_round(queries: DataFrame, sites: DataFrame, setting: Setting, grid:
     if entries * SITE_BYTES <= broadcast_bytes(sites.sparkSession):
         served = F.broadcast(served)
 
-    def cells(a: str) -> Column:
-        own, period = setting.own(a), setting.period(a)
-        if period is None:
-            return F.array(F.floor(own / reach))
-        low, high = grid[f"g_lo{a}"] - far, grid[f"g_hi{a}"] + far
-        shifts = _steps(F.ceil((low - own) / period), F.floor((high - own) / period))
-        return F.array_distinct(F.transform(shifts, lambda n: F.floor((own + n * period) / reach)))
-
-    pairs = _into_cells(queries, {a: cells(a) for a in AXES}).join(served, CELL)
+    pairs = _into_cells(queries, {a: _image_cells(setting, grid, a) for a in AXES}).join(served, CELL)
     sure = F.lit(reach) * setting.least_stretch()
     squared = F.when(F.col("site_id").isNull(), F.lit(-1.0)).otherwise(_squared(setting, "o"))
     close = pairs.select(*POINT, F.struct(squared.alias("d2"), "site_id").alias("best"),
@@ -338,6 +361,95 @@ def _lookup_round(queries: DataFrame, sites: DataFrame, setting: Setting, grid:
         *POINT, "best.site_id", "best.d2", F.col("best.site_id").isNotNull().alias("certified"))
 
 
+def _leaf_boxes(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the places in which runs of at most ``LEAF`` lie close together, and the starts of the runs."""
+    order, starts, waiting = [], [0], [np.arange(len(places))]
+    while waiting:
+        part = waiting.pop()
+        if len(part) <= LEAF:
+            order.append(part)
+            starts.append(starts[-1] + len(part))
+            continue
+        along = places[part, np.ptp(places[part], axis=0).argmax()]
+        part = part[np.argsort(along, kind="stable")]
+        waiting += [part[:len(part) // 2], part[len(part) // 2:]]
+    return np.concatenate(order), np.array(starts[:-1])
+
+
+def _search(places: np.ndarray, ids: np.ndarray, periodic: bool):
+    """Function (points, lengths, stretches) -> (site ids, squared distances) over the given sites, exact."""
+    order, starts = _leaf_boxes(places)
+    places, ids = places[order], ids[order]
+    sizes = np.diff(np.r_[starts, len(places)])
+    low, high = (f.reduceat(places, starts, axis=0) for f in (np.minimum, np.maximum))
+    middle, half = (high + low) / 2, (high - low) / 2
+    slack = (places.max(axis=0) - places.min(axis=0)).max() * SLACK
+    step = max(1, _TASK_CELLS // len(starts))
+
+    def image(delta, length):
+        return delta - length * np.rint(delta / length) if periodic else delta
+
+    def some(x, l, s):
+        near, far = np.zeros((len(x), len(starts))), np.zeros((len(x), len(starts)))
+        for a in range(3):
+            length, stretch = l[:, a, None], s[:, a, None]
+            apart, wide = np.abs(image(middle[:, a] * stretch - x[:, a, None], length)), half[:, a] * stretch
+            least, most = np.maximum(0.0, apart - wide), apart + wide
+            if periodic:
+                most = np.minimum(most, length / 2)
+            near += least * least
+            far += most * most
+        bound = np.sqrt(far.min(axis=1))
+        bound = bound + (bound + slack * s.min(axis=1)) * SLACK + slack * s.min(axis=1)
+        kept = ~(np.sqrt(near) > bound[:, None])  # also where the distance is not a number
+        point, leaf = np.nonzero(kept)
+        count = sizes[leaf]
+        ends = np.cumsum(count)
+        site = np.arange(ends[-1]) - np.repeat(ends - count - starts[leaf], count)
+        point = np.repeat(point, count)
+        squared = 0.0
+        for a in range(3):
+            delta = image(places[site, a] * s[point, a] - x[point, a], l[point, a])
+            squared = squared + delta * delta
+        squared = np.where(np.isnan(squared), np.inf, squared)
+        first = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])
+        best = np.minimum.reduceat(squared, first)
+        last = np.iinfo(ids.dtype).max
+        return np.minimum.reduceat(np.where(squared == best[point], ids[site], last), first), best
+
+    def run(x, l, s):
+        with np.errstate(invalid="ignore"):
+            parts = [some(x[i:i + step], l[i:i + step], s[i:i + step]) for i in range(0, len(x), step)]
+        found, squared = (np.concatenate(p) for p in zip(*parts))
+        return found, np.where(np.isinf(squared), np.where(np.isinf(x).any(axis=1) & (not periodic), np.inf, np.nan), squared)
+
+    return run
+
+
+def _in_task(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
+    """``site_id, d2`` of each query among at most ``TASK_SITES`` shared sites, in the task that reads the query."""
+    rows = sites.select("site_id", *AXES).filter(
+        " and ".join(f"{c} is not null and not isnan({c})" for c in AXES) + " and site_id is not null").collect()
+    search = _search(np.array([[r[a] for a in AXES] for r in rows], float), np.array([r["site_id"] for r in rows]), setting.periodic)
+    columns = setting.query_columns()
+    groups = [[f"{p}{a}" for a in AXES] for p in ("", "l", "s")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, l, s = (
+                np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in group], axis=1)
+                if group[0] in columns else np.ones((batch.num_rows, 3)) for group in groups)
+            found, squared = search(x, l, s)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in POINT), pa.array(found), pa.array(squared)], [*POINT, "site_id", "d2"])
+
+    known = queries.select(*columns).filter(" and ".join(f"{c} is not null" for c in columns[len(POINT):]))
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *sites.schema]}
+    return known.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in [*POINT, "site_id"]) + ", d2 double")
+
+
 def _tree_descent(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
     """Exact nearest site for the given points by pruning bounding boxes from the root down."""
     by = setting.by
@@ -420,11 +532,15 @@ def nearest(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame
         setting = replace(setting, few_sites=row["_n"] * SITE_BYTES <= broadcast_bytes(sites.sparkSession))
     queries = _with_grid(queries.select(*setting.query_columns()), grid, row, "atom_id")
     sites = _with_grid(sites.select(*setting.by, "site_id", *AXES), grid, row, "site_id")
-    answers, descending, remaining = [], [], queries
+    in_task = row is not None and row["_n"] <= TASK_SITES and setting.few_sites and not setting.exclude_self
+    answers, descending, remaining, far = [], [], queries, None
+    if in_task:
+        seen = _in_sight(setting, row)
+        remaining, far = queries.filter(seen), queries.filter(~seen)
     for turn in range(REACH_ROUNDS):
         beside = None
         if turn == 0 and not setting.by:
-            best = _lookup_round(queries, sites, setting, row)
+            best = _lookup_round(remaining, sites, setting, row)
         else:
             best, beside = _reach_round(remaining, sites, setting, 2.0**turn)
         best = stage(best, "nearest")
@@ -435,18 +551,23 @@ def nearest(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame
         if unsure.isEmpty():
             break
         remaining = queries.join(unsure, POINT, "left_semi")
+        if in_task:
+            break
         if turn == REACH_ROUNDS - 1:
             descending.append(unsure)
     found = [a.select(*POINT, "site_id", "d2") for a in answers]
-    if descending:
-        rest = descending[0]
-        for more in descending[1:]:
-            rest = rest.unionByName(more)
+    rest = None
+    for more in descending:
+        rest = more if rest is None else rest.unionByName(more)
+    if in_task:
+        found.append(_in_task(far if unsure.isEmpty() else far.unionByName(remaining), sites, setting))
+    elif rest is not None:
         found.append(_tree_descent(queries.join(rest, POINT, "left_semi"), sites, setting))
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)
-    return result
+    # a repeated point has one answer, wherever its rows were matched
+    return _best(result) if in_task else result
 
 
 def nearest_site(
