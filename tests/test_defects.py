@@ -165,3 +165,18 @@ def test_within_surface(spark):
     assert got.keys() == set(np.flatnonzero(gap < 2.6))
     assert all(got[i] == pytest.approx(gap[i], abs=1e-9) for i in got)
     assert surface.keep_selected(table, surface.surface_atoms(table, 2.0, box)).count() == 12
+
+
+def test_surface_atoms_are_not_matched_with_themselves(spark, monkeypatch):
+    """Their distance is 0, so only the other atoms go through the nearest join."""
+    rng = np.random.default_rng(5)
+    cloud = rng.random((250, 3)) * 6
+    asked = []
+    nearest = surface.nearest
+    monkeypatch.setattr(surface, "nearest", lambda q, *a: asked.append(q.count()) or nearest(q, *a))
+    table = points(spark, {0: cloud})
+    exposed = {r["atom_id"] for r in surface.surface_atoms(table, 1.2).collect()}
+    rows = {r["atom_id"]: r["surface_distance"] for r in surface.within_surface(table, 1.0, 1.2).collect()}
+    gaps = np.linalg.norm(cloud[:, None] - cloud[sorted(exposed)][None], axis=2).min(axis=1)
+    assert rows.keys() == set(np.flatnonzero(gaps < 1.0)) and 0 < len(exposed) < 250
+    assert all(abs(rows[i] - gaps[i]) < 1e-12 for i in rows) and asked == [250 - len(exposed)]

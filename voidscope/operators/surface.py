@@ -276,6 +276,9 @@ def within_surface(
     home = folded(points, boxes)
     chosen = stage(keep_selected(home, surface_atoms(points, probe_radius, boxes)), "surface")
     sites = _image_sites(with_images(chosen, distance))
-    found = nearest(home.drop(*LENGTHS), sites, Setting(["snapshot_id"], periodic=False, stretched=False))
-    return found.select(*POINT, F.sqrt("d2").alias("surface_distance")).filter(
+    # a surface atom is its own nearest one, so only the others are matched; a place that is no number has no distance
+    own = chosen.filter(" and ".join(f"{a} - {a} = 0" for a in AXES)).select(*POINT).distinct().withColumn("d2", F.lit(0.0))
+    others = home.drop(*LENGTHS).join(own.select(*POINT), POINT, "left_anti")
+    found = nearest(others, sites, Setting(["snapshot_id"], periodic=False, stretched=False)).select(*POINT, "d2")
+    return found.unionByName(own).select(*POINT, F.sqrt("d2").alias("surface_distance")).filter(
         F.col("surface_distance") < distance)
