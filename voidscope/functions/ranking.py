@@ -27,7 +27,8 @@ def number_rows(df: DataFrame, by: list[str], order_by: list[str], name: str) ->
         F.min("_pos").alias("_first"), F.count("*").alias("_len")
     )
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_len").over(earlier), F.lit(0))).drop("_len")
+    # staged, so that its size is known before the join: below the threshold the rows are not shuffled again
+    runs = stage(runs.withColumn("_before", F.coalesce(F.sum("_len").over(earlier), F.lit(0))).drop("_len"), "runs")
     return (
         placed.join(runs, ["_part", *by])
         .withColumn(name, F.col("_pos") - F.col("_first") + F.col("_before"))
