@@ -160,10 +160,20 @@ def test_far_points_of_a_small_reference_are_matched_where_they_are_read(spark,
 
 
 def test_search_of_places_without_a_number(spark):
-    """A place that is not a number has the lowest site and no distance, one without a coordinate no answer."""
+    """A place that is not a number has the lowest site and no distance."""
     lattice = np.array([[1.0, 1, 1], [2.0, 2, 2], [1.0, 1, 1]])
-    rows = [(0, 0, 900.0, 0.0, 0.0), (0, 1, float("nan"), 0.0, 0.0), (0, 2, None, 0.0, 0.0)]
+    rows = [(0, 0, 900.0, 0.0, 0.0), (0, 1, float("nan"), 0.0, 0.0)]
     table = spark.createDataFrame(rows, "snapshot_id long, atom_id long, x double, y double, z double")
     found = {r["atom_id"]: r for r in nb.nearest_site(table, sites(spark, lattice), periodic=False).collect()}
     assert set(found) == {0, 1} and found[0]["site_id"] == 1
     assert found[1]["site_id"] == 0 and np.isnan(found[1]["distance"])
+
+
+def test_points_without_a_coordinate_in_a_box(spark, rng):
+    """A point that lacks a coordinate has a site without a distance in a periodic box, one that is no number has none."""
+    lattice = rng.random((50, 3)) * 4
+    rows = [(0, 0, 1.0, 1.0, 1.0), (0, 1, float("nan"), 1.0, 1.0), (0, 2, None, 1.0, 1.0), (0, 3, 30.0, 30.0, 30.0)]
+    table = spark.createDataFrame(rows, "snapshot_id long, atom_id long, x double, y double, z double")
+    found = {r["atom_id"]: r for r in nb.nearest_site(
+        table, sites(spark, lattice), boxes(spark, {0: (60.0,) * 3}), ref_box((4.0,) * 3)).collect()}
+    assert set(found) == {0, 2, 3} and found[2]["distance"] is None and found[3]["distance"] is not None

@@ -321,8 +321,16 @@ def _image_cells(setting: Setting, grid: Row, a: str) -> Column:
     return F.array_distinct(F.transform(shifts, lambda n: F.floor((own + n * period) / reach)))
 
 
+def _lacking(setting: Setting) -> Column:
+    """Whether a query lacks a coordinate, a length or a stretch."""
+    lacking = F.lit(False)
+    for c in setting.query_columns()[len(POINT):]:
+        lacking = lacking | F.col(c).isNull()
+    return lacking
+
+
 def _in_sight(setting: Setting, grid: Row) -> Column:
-    """Whether the point or an image of it lies within the starting reach of the extent of the sites."""
+    """Whether the point or an image of it lies within the starting reach of the extent of the sites, or lacks a value."""
     far = float(grid["g_reach"]) * (1 + SLACK)
     seen = F.lit(True)
     for a in AXES:
@@ -330,7 +338,7 @@ def _in_sight(setting: Setting, grid: Row) -> Column:
         low, high = F.lit(grid[f"g_lo{a}"] - far), F.lit(grid[f"g_hi{a}"] + far)
         seen = seen & (own.between(low, high) if period is None
                        else F.ceil((low - own) / period) <= F.floor((high - own) / period))
-    return F.coalesce(seen, F.lit(False))
+    return _lacking(setting) | seen
 
 
 def _lookup_round(queries: DataFrame, sites: DataFrame, setting: Setting, grid: Row) -> DataFrame:
@@ -421,7 +429,7 @@ def _search(places: np.ndarray, ids: np.ndarray, periodic: bool):
         with np.errstate(invalid="ignore"):
             parts = [some(x[i:i + step], l[i:i + step], s[i:i + step]) for i in range(0, len(x), step)]
         found, squared = (np.concatenate(p) for p in zip(*parts))
-        return found, np.where(np.isinf(squared), np.where(np.isinf(x).any(axis=1) & (not periodic), np.inf, np.nan), squared)
+        return found, np.where(np.isnan(x).any(axis=1), np.nan, squared)
 
     return run
 
@@ -441,11 +449,17 @@ def _in_task(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFram
             x, l, s = (
                 np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in group], axis=1)
                 if group[0] in columns else np.ones((batch.num_rows, 3)) for group in groups)
+            if setting.periodic:  # a place that is no number cannot be folded and has no site
+                real = np.isfinite(x).all(axis=1)
+                if not real.all():
+                    batch, x, l, s = batch.filter(pa.array(real)), x[real], l[real], s[real]
+                    if not len(x):
+                        continue
             found, squared = search(x, l, s)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in POINT), pa.array(found), pa.array(squared)], [*POINT, "site_id", "d2"])
 
-    known = queries.select(*columns).filter(" and ".join(f"{c} is not null" for c in columns[len(POINT):]))
+    known = queries.select(*columns).filter(~_lacking(setting))
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *sites.schema]}
     return known.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in [*POINT, "site_id"]) + ", d2 double")
 
@@ -561,6 +575,9 @@ def nearest(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame
         rest = more if rest is None else rest.unionByName(more)
     if in_task:
         found.append(_in_task(far if unsure.isEmpty() else far.unionByName(remaining), sites, setting))
+        lacking = remaining.filter(_lacking(setting))
+        if not unsure.isEmpty() and not lacking.isEmpty():
+            found.append(_tree_descent(lacking, sites, setting))
     elif rest is not None:
         found.append(_tree_descent(queries.join(rest, POINT, "left_semi"), sites, setting))
     result = found[0]
