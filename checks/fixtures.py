@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,6 +169,49 @@ def importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("feature", F.round(F.col("weight") / total, 9).alias("importance"))
 
 
+def _write_folders(lines: DataFrame, keys: list[str], path: str) -> None:
+    """Write ``value`` of ``lines(keys, value)``, sorted by ``keys`` inside its partitions, as one text file per key, in
+    the folders of ``partitionBy(keys)``.
+
+    Spark's writer makes every folder and file in several calls of its file system, on a local one with a process for each
+    permission; with a file per snapshot that takes longer than the rows. Stores that Arrow does not know keep it.
+    """
+    try:
+        system, root = pa.fs.FileSystem.from_uri(re.sub(r"^file:/*", "/", path))
+    except pa.ArrowException:
+        lines.write.partitionBy(*keys).text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, out, written = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [batch.column(k).to_pylist() for k in keys]
+            differs = np.zeros(batch.num_rows, bool)
+            differs[0] = True
+            for column in names:
+                differs[1:] |= np.array([a != b for a, b in zip(column, column[1:])], bool)
+            starts = np.flatnonzero(differs)
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                key = tuple(column[start] for column in names)
+                if key != current:
+                    if out is not None:
+                        out.close()
+                    folder = "/".join([root, *[
+                        f"{k}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for k, v in zip(keys, key)]])
+                    system.create_dir(folder, recursive=True)
+                    current, out, written = key, system.open_output_stream(f"{folder}/part-00000.txt"), written + 1
+                text = "\n".join(batch.column("value").slice(start, end - start).to_pylist())
+                out.write(f"{text}\n".encode())
+        if out is not None:
+            out.close()
+        yield pa.record_batch({"files": pa.array([written], pa.int64())})
+
+    system.create_dir(root, recursive=True)
+    lines.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 DUMP_NAME = r"snapshot_id=(\d+/piece=\d+)/"
 
 
@@ -192,8 +241,8 @@ def dump_text(spark: SparkSession, sf_dir: str) -> str:
             "snapshot_id", "piece", (F.col("at") - len(lines)).cast("long").alias("place"), "value"
         ).filter(F.col("value").isNotNull())
         path = staging_path(spark, "dumps")
-        heads.unionByName(body).repartition("snapshot_id", "piece").sortWithinPartitions(
-            "snapshot_id", "piece", "place").drop("place").write.partitionBy("snapshot_id", "piece").text(path)
+        lines = heads.unionByName(body).repartition("snapshot_id", "piece").sortWithinPartitions("snapshot_id", "piece", "place")
+        _write_folders(lines.drop("place"), ["snapshot_id", "piece"], path)
         _paths[key] = path
     return _paths[key]
 

@@ -2,9 +2,11 @@
 
 import pytest
 
+from checks import fixtures
 from tests.helpers import POINTS
 from voidscope.operators.catalog import FEATURES
 from voidscope.operators.dataset import feature_dataset
+from voidscope.sources import dumps
 from voidscope.sources.datasets import (
     feature_schema,
     read_features_csv,
@@ -255,3 +257,35 @@ def test_ordered_files(spark, tmp_path):
         lines = part.read_text().splitlines()
         read += [line.split(",")[0] for line in lines[1:]]
     assert read == sorted(r[0] for r in rows)
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"run={i}").mkdir()
+        (tmp_path / f"run={i}" / "dump.0").write_text(GOOD)
+    before = spark.conf.get(dumps.LISTING)
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    try:
+        scan = dumps.scan_dumps(spark, str(tmp_path))
+        assert len(scan._text.inputFiles()) == 100
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= dumps.LISTING_WAVES * context.defaultParallelism < 100
+    assert spark.conf.get(dumps.LISTING) == before
+
+
+def test_text_of_the_dump_folders(spark, tmp_path):
+    rows = [(s, p, i, f"line {i}") for s in (1, 2, None) for p in (0, 1) for i in range(5)] + [(3, 0, 0, "größer")]
+    lines = spark.createDataFrame(rows, "snapshot_id long, piece long, place long, value string")
+    lines = lines.repartition(2, "snapshot_id", "piece").sortWithinPartitions("snapshot_id", "piece", "place").drop("place")
+    fixtures._write_folders(lines, ["snapshot_id", "piece"], f"{tmp_path}/ours")
+    lines.write.partitionBy("snapshot_id", "piece").text(f"{tmp_path}/theirs")
+    found = {}
+    for name in ("ours", "theirs"):
+        files = list((tmp_path / name).glob("*/*/*.txt"))
+        found[name] = {(f.parent.parent.name, f.parent.name): f.read_text() for f in files}
+        assert len(files) == len(found[name]) == 7
+    assert found["ours"] == found["theirs"]

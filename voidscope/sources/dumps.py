@@ -34,6 +34,8 @@ FALLBACK_COLUMNS = {"x": 2, "y": 3, "z": 4}
 OK, NO_ATOMS, NO_COORDINATES, BAD_VALUE = "ok", "no atoms section", "missing x, y or z", "bad value"
 NO_BOUNDS, FEWER_ROWS, TILTED = "no box bounds", "fewer rows than declared", "tilted box"
 TILT_WORDS = ("xy", "xz", "yz")
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_WAVES = 8  # tasks per core that list folders
 CHUNK = 10  # bits of the line number inside one chunk of section starts
 FAILED_NAMES = 10
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
@@ -84,7 +86,13 @@ class DumpScan:
 
     @cached_property
     def _text(self) -> DataFrame:
-        return self.spark.read.text(self.path)  # lists the folder once
+        """Lists the folder once. With a folder per file, one task per folder would cost more than its listing."""
+        allowed = self.spark.conf.get(LISTING)
+        self.spark.conf.set(LISTING, min(int(allowed), LISTING_WAVES * self.spark.sparkContext.defaultParallelism))
+        try:
+            return self.spark.read.text(self.path)
+        finally:
+            self.spark.conf.set(LISTING, allowed)
 
     @cached_property
     def files(self) -> DataFrame:
@@ -100,10 +108,10 @@ class DumpScan:
         return files
 
     def _lines(self) -> DataFrame:
-        """Lines as they are read. ``pos`` grows within a block; the file listing is fixed, so a second reading
-        gives the same positions."""
+        """Lines as they are read, with the path as Spark writes it: it is decoded once per block, not per line. ``pos``
+        grows within a block; the file listing is fixed, so a second reading gives the same positions."""
         return self._text.select(
-            _decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("pos"), "value")
 
     @cached_property
@@ -113,10 +121,11 @@ class DumpScan:
         value = F.col("value")
         blank = F.length(_stripped(value)) == 0
         mark = F.when(value.startswith(MARK), F.struct("pos", _stripped(value).alias("header")))
-        found = self._lines().groupBy("path", "block").agg(
+        found = self._lines().groupBy("source", "block").agg(
             F.min("pos").alias("first"), F.count("*").alias("n"),
             F.sort_array(F.collect_list(mark)).alias("marks"),
-            F.sort_array(F.collect_list(F.when(blank, F.col("pos")))).alias("blanks"))
+            F.sort_array(F.collect_list(F.when(blank, F.col("pos")))).alias("blanks")
+        ).withColumn("path", _decoded(F.col("source")))
         earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         found = found.withColumns({
             "shift": F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first"),
@@ -193,10 +202,11 @@ class DumpScan:
         base = F.shiftright("start", CHUNK)
         chunks = F.sequence(base, F.shiftright(F.col("start") + F.col("n"), CHUNK) + 1)
         starts = F.transform(chunks, lambda c: F.size(F.filter("sections", lambda s: s["line"] < F.shiftleft(c, CHUNK))))
-        blocks = self._blocks.select("path", "block", "shift", "start", "n", "blanks", "before").join(
+        blocks = self._blocks.select("source", "path", "block", "shift", "start", "n", "blanks", "before").join(
             self._sections, ["path", "block"]).join(self.files, "path")
-        blocks = stage(blocks.withColumn("starts", starts).withColumn("base", base).drop("start", "n"), "placed")
-        lines = self._lines().join(blocks, ["path", "block"]).withColumn("line", F.col("pos") + F.col("shift"))
+        blocks = blocks.withColumns({
+            "starts": starts, "base": base, "sections": F.transform("sections", self._read_as)}).drop("path", "start", "n")
+        lines = self._lines().join(stage(blocks, "placed"), ["source", "block"]).withColumn("line", F.col("pos") + F.col("shift"))
         line = F.col("line")
         chunk = (F.shiftright("line", CHUNK) - F.col("base")).cast("int")
         low, high = F.get("starts", chunk), F.get("starts", chunk + 1)
@@ -206,9 +216,21 @@ class DumpScan:
             F.col("section").isNotNull() & (F.length(_stripped(F.col("value"))) > 0))
         blanks = F.col("before") + F.size(F.filter("blanks", lambda b: b < line)) - F.col("section.skipped")
         return lines.withColumn("frame", F.col("section.frame")).select(
-            self._snapshot().alias("file"), F.col("section.header").alias("header"),
+            self._snapshot().alias("file"), F.col("section.header").alias("header"), F.col("section.read").alias("read"),
             (line - F.col("section.line") - 1 - blanks).alias("row"), "value")
 
+    def _read_as(self, section: Column) -> Column:
+        """A section with ``read``, which its atom rows share: the 1-based positions of ``x, y, z``, of the other columns
+        and of the boxed reader's coordinates, NULL where there is none."""
+        columns = _columns(section["header"])
+        names = self._names(columns)
+        at = _coordinate_positions(columns)
+        read = F.struct(
+            *[_at(a, columns).alias(a) for a in "xyz"],
+            F.transform(names, lambda c: F.array_position(columns, c)).alias("numbers"),
+            *[at[a].cast("long").alias(f"b{a}") for a in "xyz"])
+        return section.withField("read", F.when(section["header"].startswith(ATOMS_MARK), read))
+
     @cached_property
     def _rows(self) -> DataFrame:
         """Every row parsed once for both readers and written: numbers for atoms, the line for other sections.
@@ -217,26 +239,21 @@ class DumpScan:
         ``short`` (fewer columns than wanted) and ``bad_box`` the boxed reader's.
         """
         atoms = F.col("header").startswith(ATOMS_MARK)
-        rows = self._placed().withColumns({
-            "atoms": atoms, "parts": F.when(atoms, _tokens(F.col("value"))), "columns": _columns()})
-        rows = rows.withColumn("names", self._names())
-        at = _coordinate_positions()
-        numbers = F.transform("names", lambda c: _number(F.col("parts"), F.array_position("columns", c)))
+        rows = self._placed().withColumns({"atoms": atoms, "parts": F.when(atoms, _tokens(F.col("value")))})
+        read = F.col("read")
         rows = rows.withColumns({
-            **{a: F.when(F.array_contains("columns", a), _number(F.col("parts"), F.array_position("columns", F.lit(a))))
-               for a in "xyz"},
-            "numbers": numbers,
-            **{f"b{a}": _number(F.col("parts"), at[a]) for a in "xyz"},
-            "short": F.size("parts") < F.greatest(*at.values()),
+            **{a: _number(F.col("parts"), read[a]) for a in [*"xyz", "bx", "by", "bz"]},
+            "numbers": F.transform(read["numbers"], lambda p: _number(F.col("parts"), p)),
+            "short": F.size("parts") < F.greatest(*[read[f"b{a}"] for a in "xyz"]),
         })
         bad, bad_box = F.exists("numbers", lambda v: v.isNull()), F.lit(False)
         for a in "xyz":
             bad, bad_box = bad | F.col(a).isNull(), bad_box | F.col(f"b{a}").isNull()
         rows = rows.withColumns({"bad": bad, "bad_box": ~F.col("short") & bad_box})
-        return stage(rows.withColumn("value", F.when(~F.col("atoms"), F.col("value"))).drop("parts", "columns", "names"), "rows")
+        return stage(rows.withColumn("value", F.when(~F.col("atoms"), F.col("value"))).drop("parts", "read"), "rows")
 
-    def _names(self) -> Column:
-        named = F.array_distinct(F.filter("columns", lambda c: ~c.isin("x", "y", "z")))
+    def _names(self, columns: Column) -> Column:
+        named = F.array_distinct(F.filter(columns, lambda c: ~c.isin("x", "y", "z")))
         return F.slice(named, 1, self.max_extra)
 
     @cached_property
@@ -251,7 +268,7 @@ class DumpScan:
     @cached_property
     def status(self) -> DataFrame:
         """One row per snapshot: ``ok`` or why it was set aside."""
-        heads = self._heads.withColumn("columns", _columns()).withColumn(
+        heads = self._heads.withColumn("columns", _columns(F.col("header"))).withColumn(
             "complete", F.forall(F.array(*map(F.lit, "xyz")), lambda a: F.array_contains("columns", a))).drop("header")
         rows = self._rows.filter("atoms").groupBy("file").agg(
             F.count("*").alias("num_atoms"), F.max("bad").alias("any_bad"))
@@ -278,9 +295,9 @@ class DumpScan:
     def atoms(self) -> DataFrame:
         """``snapshot_id, atom_id, x, y, z, extra`` of the good files."""
         good = self._rows.filter("atoms").join(self.quarantine().select("file"), "file", "left_anti")
-        return good.withColumn("columns", _columns()).select(
+        return good.withColumn("columns", _columns(F.col("header"))).select(
             F.col("file").alias("snapshot_id"), F.col("row").alias("atom_id"), "x", "y", "z",
-            F.map_from_arrays(self._names(), "numbers").alias("extra"))
+            F.map_from_arrays(self._names(F.col("columns")), "numbers").alias("extra"))
 
     def _tilted(self) -> DataFrame:
         """Snapshots whose bounds are those of a tilted box."""
@@ -343,9 +360,10 @@ class DumpScan:
         coordinate are set aside. ``fewer rows than declared`` is a note: short lines are left out, the rest of
         such a file is used.
         """
-        heads = self._heads.withColumn("columns", _columns()).select(
-            "file", F.greatest(*_coordinate_positions().values()).alias("last"),
-            F.forall(F.array(*_coordinate_positions().values()), lambda p: p.isNotNull()).alias("complete"))
+        at = _coordinate_positions(F.col("columns"))
+        heads = self._heads.withColumn("columns", _columns(F.col("header"))).select(
+            "file", F.greatest(*at.values()).alias("last"),
+            F.forall(F.array(*at.values()), lambda p: p.isNotNull()).alias("complete"))
         boxes = self.boxes().select(F.col("snapshot_id").alias("file"), "declared_atoms", F.lit(True).alias("boxed"))
         rows = self._boxed_rows().groupBy(F.col("snapshot_id").alias("file")).agg(
             F.count("*").alias("n"), F.max("bad_box").alias("any_bad"))
@@ -379,25 +397,25 @@ class DumpScan:
         return rows.withColumns(out).select("snapshot_id", "atom_id", "x", "y", "z")
 
 
-def _columns() -> Column:
+def _columns(header: Column) -> Column:
     """Column names of an atoms header."""
-    return F.slice(_tokens(F.col("header")), 3, 1 << 20)
+    return F.slice(_tokens(header), 3, 1 << 20)
 
 
-def _at(name: str) -> Column:
-    return F.nullif(F.array_position("columns", F.lit(name)), F.lit(0))
+def _at(name: str, columns: Column) -> Column:
+    return F.nullif(F.array_position(columns, F.lit(name)), F.lit(0))
 
 
-def _coordinate_positions() -> dict[str, Column]:
-    """1-based columns of the boxed reader, from ``columns``; NULL where an axis is missing."""
-    unnamed = F.coalesce(_at("x"), _at("xu"), _at("xs")).isNull()
-    return {a: F.when(unnamed, F.lit(position + 1)).otherwise(F.coalesce(_at(a), _at(f"{a}u"), _at(f"{a}s")))
+def _coordinate_positions(columns: Column) -> dict[str, Column]:
+    """1-based columns of the boxed reader; NULL where an axis is missing."""
+    unnamed = F.coalesce(*[_at(a, columns) for a in ("x", "xu", "xs")]).isNull()
+    return {a: F.when(unnamed, F.lit(position + 1)).otherwise(F.coalesce(*[_at(f"{a}{kind}", columns) for kind in ("", "u", "s")]))
             for a, position in FALLBACK_COLUMNS.items()}
 
 
 def _scaled() -> Column:
     """Whether the header gives box fractions only."""
-    columns = _columns()
+    columns = _columns(F.col("header"))
     return F.array_contains(columns, "xs") & ~F.array_contains(columns, "x") & ~F.array_contains(columns, "xu")
 
 
