@@ -202,7 +202,7 @@ def _write_folders(lines: DataFrame, keys: list[str], path: str) -> None:
                         f"{k}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for k, v in zip(keys, key)]])
                     system.create_dir(folder, recursive=True)
                     current, out, written = key, system.open_output_stream(f"{folder}/part-00000.txt"), written + 1
-                text = "\n".join(batch.column("value").slice(start, end - start).to_pylist())
+                text = "\n".join(batch.column("value").slice(start, end - start).fill_null("").to_pylist())  # as Spark writes NULL
                 out.write(f"{text}\n".encode())
         if out is not None:
             out.close()

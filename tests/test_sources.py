@@ -278,7 +278,7 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
 
 
 def test_text_of_the_dump_folders(spark, tmp_path):
-    rows = [(s, p, i, f"line {i}") for s in (1, 2, None) for p in (0, 1) for i in range(5)] + [(3, 0, 0, "größer")]
+    rows = [(s, p, i, f"line {i}") for s in (1, 2, None) for p in (0, 1) for i in range(5)] + [(3, 0, 0, "größer"), (3, 0, 1, None)]
     lines = spark.createDataFrame(rows, "snapshot_id long, piece long, place long, value string")
     lines = lines.repartition(2, "snapshot_id", "piece").sortWithinPartitions("snapshot_id", "piece", "place").drop("place")
     fixtures._write_folders(lines, ["snapshot_id", "piece"], f"{tmp_path}/ours")
