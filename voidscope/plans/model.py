@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +21,10 @@ from voidscope.operators.dataset import (
     training_frame,
 )
 from voidscope.operators.evaluation import feature_category, regression_metrics
+from voidscope.operators.forest import Trees, fit_trees, importances, load_trees, predict, save_trees
 from voidscope.session import stage
 
-# Forest size; the deepest tree Spark grows.
+# Forest size; the deepest tree.
 NUM_TREES = 200
 MAX_DEPTH = 30
 MAX_BINS = 256
@@ -32,9 +33,10 @@ MODEL_TYPE = "RandomForest_Complete"
 
 @dataclass(frozen=True)
 class Forest:
-    """A fitted pipeline with what is needed to score, explain and store it."""
+    """Fitted preparation and trees with what is needed to score, explain and store them."""
 
     pipeline: PipelineModel
+    trees: Trees
     feature_names: list[str]
     seed: int
     mode: str | None = None
@@ -64,11 +66,12 @@ def fit_forest(
     names = [c for c in names if c in medians]
     prepare = _prepare(names, medians, scaling)
     assemble = VectorAssembler(inputCols=[f"scaled_{c}" for c in names], outputCol="features")
-    forest = RandomForestRegressor(
-        featuresCol="features", labelCol=TARGET, predictionCol="prediction", numTrees=num_trees,
-        maxDepth=max_depth, maxBins=max_bins, featureSubsetStrategy="sqrt", minInstancesPerNode=1,
-        bootstrap=True, seed=seed)
-    return Forest(Pipeline(stages=[prepare, assemble, forest]).fit(train), names, seed, mode)
+    pipeline = Pipeline(stages=[prepare, assemble]).fit(train)
+    # a row is drawn by its name and content, wherever it is stored
+    rows = pipeline.transform(train).select(
+        F.xxhash64(F.col("file").cast("string") if "file" in train.columns else F.lit(0), F.col(TARGET), *names).alias("key"),
+        F.col(TARGET).alias("label"), vector_to_array("features").alias("values"))
+    return Forest(pipeline, fit_trees(rows, len(names), num_trees, max_depth, max_bins, seed), names, seed, mode)
 
 
 def score(forest: Forest, features: DataFrame, mode: str | None = None) -> DataFrame:
@@ -76,13 +79,16 @@ def score(forest: Forest, features: DataFrame, mode: str | None = None) -> DataF
     if mode and forest.mode and mode != forest.mode:
         raise ValueError(f"the model was trained on {forest.mode} features, not {mode}")
     kept = [c for c in features.columns if c not in forest.feature_names]
-    return forest.pipeline.transform(features).select(*kept, "prediction")
+    # the number is unique in the written table, which both uses of it read
+    rows = stage(forest.pipeline.transform(features).select(
+        *kept, F.monotonically_increasing_id().alias("_row"), vector_to_array("features").alias("_values")), "to-score")
+    found = predict(forest.trees, rows.select(F.col("_row").alias("key"), F.col("_values").alias("values")))
+    return rows.join(found.withColumnRenamed("key", "_row"), "_row").select(*kept, "prediction")
 
 
 def importance(forest: Forest, spark: SparkSession) -> DataFrame:
     """Importance per feature, names in assembler order."""
-    values = forest.pipeline.stages[-1].featureImportances.toArray()
-    rows = [(name, float(v)) for name, v in zip(forest.feature_names, values)]
+    rows = list(zip(forest.feature_names, importances(forest.trees)))
     return feature_category(spark.createDataFrame(rows, "feature string, importance double"))
 
 
@@ -131,10 +137,9 @@ def oof_r2(predictions: DataFrame) -> DataFrame:
 
 def model_info(forest: Forest, spark: SparkSession, metrics: DataFrame | None = None) -> DataFrame:
     """One metadata row."""
-    model = forest.pipeline.stages[-1]
     rows = [] if metrics is None else [r.asDict() for r in metrics.collect()]  # one row per split
     return spark.createDataFrame(
-        [(MODEL_TYPE, model.getNumTrees, len(forest.feature_names), forest.feature_names, FORBIDDEN,
+        [(MODEL_TYPE, forest.trees.count, len(forest.feature_names), forest.feature_names, FORBIDDEN,
           forest.seed, forest.mode, forest.oof_r2, json.dumps(rows, sort_keys=True))],
         "model_type string, n_estimators int, n_features int, feature_names array<string>, "
         "forbidden_features array<string>, random_state int, mode string, oof_r2 double, metrics string")
@@ -146,8 +151,9 @@ def write_importance(ranked: DataFrame, path: str) -> None:
 
 
 def save_model(forest: Forest, path: str, spark: SparkSession, metrics: DataFrame | None = None) -> None:
-    """Store the pipeline, its metadata, importances and feature names below ``path``."""
+    """Store the pipeline, the trees, their metadata, importances and feature names below ``path``."""
     forest.pipeline.write().overwrite().save(f"{path}/pipeline")
+    save_trees(forest.trees, f"{path}/trees", spark)
     model_info(forest, spark, metrics).write.mode("overwrite").json(f"{path}/metadata")
     write_importance(importance(forest, spark), path)
     names = spark.createDataFrame([(n,) for n in forest.feature_names], "value string").coalesce(1)
@@ -157,5 +163,5 @@ def save_model(forest: Forest, path: str, spark: SparkSession, metrics: DataFram
 def load_model(path: str, spark: SparkSession) -> Forest:
     schema = ("n_features int, feature_names array<string>, random_state int, mode string, oof_r2 double")
     info = spark.read.schema(schema).json(f"{path}/metadata").first()
-    return Forest(PipelineModel.load(f"{path}/pipeline"), list(info["feature_names"]), info["random_state"],
+    return Forest(PipelineModel.load(f"{path}/pipeline"), load_trees(f"{path}/trees", spark), list(info["feature_names"]), info["random_state"],
                   info["mode"], info["oof_r2"])
