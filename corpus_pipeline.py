@@ -18,6 +18,18 @@ from voidscope.llm.registry import PIECE_MODEL, toxicity_model
 from voidscope.session import stage
 
 
+#: Rows of whole texts in one Arrow batch; a task holds a batch in the JVM and again in Python.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most ``BATCH_ROWS`` rows from here on in this session."""
+    rows = int(spark.conf.get(_BATCH))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
@@ -48,6 +60,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
+    _small_batches(spark)
     model = toxicity_model(_texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return _without(docs, toxicity.score(_named(docs), model).filter("predicted = 1"))
 
@@ -55,6 +68,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies (80 % of the 5-word shingles) the document with the smallest id stays (without an
     id only where the group has none); of repeated rows, one."""
+    _small_batches(spark)
     found = stage(nearcopies.classes(_texts(docs)), "near-copies")
     name = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "key1", "key2").alias("row")
     counted = stage(found.groupBy(name).agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "near-rows")
@@ -71,11 +85,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    _small_batches(spark)
     return _without(docs, decontam.contaminated(_named(docs), table(spark, sf_dir, "benchmark")))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a marker; ``n_chars`` follows where the text changed."""
+    _small_batches(spark)
     own = _own(docs, "_spans")
     found = docs.withColumn(own, secrets.spans_of(F.col("text"), secrets.learn(_texts(docs))))
     base, added = F.col(own)["base"], F.col(own)["added"]
@@ -90,6 +106,7 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, restored`` of every document."""
+    _small_batches(spark)
     return spm.round_trip(_texts(docs), PIECE_MODEL)
 
 

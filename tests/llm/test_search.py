@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from importlib.util import find_spec
 from urllib.parse import quote
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +175,23 @@ def test_url_model_learns_the_rules(spark):
     assert len(both) > 100 and (both.verdict == both.guess).mean() > 0.9
 
 
+def test_leaks_of_a_batch_in_bounded_memory():
+    """Hashing takes about fifty times the bytes hashed at a time, whatever the batch."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(3000)])
+    item = " ".join(words[:20])
+    rows = [" ".join(rng.choice(words, 1000)) for _ in range(700)]
+    rows[3] = rows[650] = item
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), pa.array(rows)], ["doc_id", "text"])
+    items = decontam.index_items([7], [item])
+    tracemalloc.start()
+    found = [r for b in decontam.batch_leaks(batch, items) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in found] == [(3, 7, 0), (650, 7, 0)]
+    assert batch.nbytes > 3_000_000 and peak < 60_000_000
+
+
 def test_urls_without_a_model(spark):
     pages = spark.createDataFrame([(1, "http://x.org/")], "page_id long, url string")
     assert urls.learn(urls.labelled_urls(pages)) is None

@@ -30,6 +30,7 @@ MIN_WORDS = 5  # shorter items are no evidence and match nothing
 WALKS, BANDS, SAMPLED = 12, 6, 2
 SHIFTS = (0, 1, -1, 2, -2, 3, -3)
 ITEM_BLOCK = 20_000  # mean number of items sent to the executors at once
+PIECE_BYTES = 1 << 19  # text hashed at a time, which takes about fifty times its bytes
 _BITMAP = 20
 _PAD = np.uint64(0)
 _WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -231,6 +232,20 @@ def leaks(rows: list[str], items: Items) -> list[tuple[int, int, int, int]]:
     return [(t, i, d, n) for (t, i), (d, n) in out.items()]
 
 
+def batch_leaks(batch: pa.RecordBatch, items: Items) -> Iterator[pa.RecordBatch]:
+    """Leaks of the rows ``doc_id, text`` of a batch, a piece of it at a time."""
+    for part in slices(batch, limit=PIECE_BYTES):
+        hits = leaks(texts(part.column("text")), items)
+        if hits:
+            doc = part.column("doc_id").to_pylist()
+            yield pa.RecordBatch.from_arrays([
+                pa.array([doc[t] for t, _, _, _ in hits], pa.int64()),
+                pa.array([items.ids[i] for _, i, _, _ in hits], pa.int64()),
+                pa.array([d for _, _, d, _ in hits], pa.int32()),
+                pa.array([n for _, _, _, n in hits], pa.int32())],
+                ["doc_id", "item_id", "distance", "item_words"])
+
+
 SCHEMA = "doc_id long, item_id long, distance int, item_words int"
 
 
@@ -256,16 +271,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
-                    hits = leaks(texts(part.column("text")), shared.value)
-                    if hits:
-                        doc = part.column("doc_id").to_pylist()
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([doc[t] for t, _, _, _ in hits], pa.int64()),
-                            pa.array([shared.value.ids[i] for _, i, _, _ in hits], pa.int64()),
-                            pa.array([d for _, _, d, _ in hits], pa.int32()),
-                            pa.array([n for _, _, _, n in hits], pa.int32())],
-                            ["doc_id", "item_id", "distance", "item_words"])
+                yield from batch_leaks(batch, shared.value)
 
         part = rows.mapInArrow(run, SCHEMA)
         found = part if found is None else found.union(part)
