@@ -58,6 +58,22 @@ def test_subtree_by_brute_force():
     assert len(shallow[0]) <= 7 and (forest.grow(0, 1, bins, labels * 0, weight, 30, 5)[0] == -1).all()
 
 
+def test_draws():
+    """Weights are Poisson and independent over trees; subsets are uniform; the first of equal features is split."""
+    keys = np.arange(20_000)
+    weight = np.array([forest._weights(keys, t, 42) for t in range(8)], float)
+    assert weight.mean(axis=1) == pytest.approx(np.ones(8), abs=0.04) and weight.var(axis=1) == pytest.approx(np.ones(8), abs=0.06)
+    assert np.abs(np.corrcoef(weight) - np.eye(8)).max() < 0.04
+    roots = np.concatenate([forest._subsets(t, np.array([1]), 42, 19) for t in range(4000)])
+    nodes = forest._subsets(3, np.arange(1, 4001), 42, 19)
+    for drawn in (roots, nodes):
+        assert drawn.shape == (4000, 5) and (np.diff(drawn, axis=1) > 0).all()
+        assert np.bincount(drawn.ravel(), minlength=19) == pytest.approx(np.full(19, 4000 * 5 / 19), rel=0.12)
+    bins = np.tile(np.arange(40, dtype=np.uint8)[:, None], (1, 4))
+    feature = forest.grow(0, 1, bins, np.arange(40.0) ** 2, np.ones(40, np.uint8), 1, 9)[0]
+    assert feature[0] == forest._subsets(0, np.array([1]), 9, 4)[0].min()
+
+
 def test_cuts(spark):
     """Few values: every middle; many: quantiles. Values on a cut lie to its right."""
     rows = spark.createDataFrame([(i, 0.0, [float(i % 4), float(i), 7.0]) for i in range(2000)],

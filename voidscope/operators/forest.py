@@ -60,11 +60,11 @@ def _weights(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
 
 
 def _subsets(tree: int, nodes: np.ndarray, seed: int, features: int) -> np.ndarray:
-    """Features that each node may split, a square root of all."""
+    """Features that each node may split, a square root of all, in order: of equal cuts the first feature's is taken."""
     start = _mixed(np.array([(seed & 0xFFFFFFFF) << 32 | tree + 1], np.uint64)) ^ np.uint64(0x5851F42D4C957F2D)
     each = np.arange(1, features + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     order = _mixed(_mixed(nodes.astype(np.uint64) + start)[:, None] ^ each[None, :])
-    return np.argsort(order, axis=1, kind="stable")[:, :math.ceil(math.sqrt(features))]
+    return np.sort(np.argsort(order, axis=1, kind="stable")[:, :math.ceil(math.sqrt(features))], axis=1)
 
 
 def fit_cuts(rows: DataFrame, features: int, max_bins: int) -> list[list[float]]:
