@@ -29,6 +29,7 @@ PART_ROWS = 1 << 14  # rows of a node whose subtree one task grows
 SCORED_ROWS = 1 << 17  # rows that meet one part in a group
 TREE_BLOCKS = 32  # trees are dealt to so many tasks per chunk of rows
 CHUNK_ROWS = 1 << 18
+SAME = 1e-9  # relative difference below which gains count as equal
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 _BINNED = "key long, label double, bins binary"
 _PART = ("tree int, part long, feature array<int>, bin array<int>, child array<int>, value array<double>, "
@@ -245,9 +246,9 @@ def grow(tree: int, root: int, bins: np.ndarray, labels: np.ndarray, weight: np.
                 last = np.r_[node[1:] != node[:-1], True]
                 gain = np.where(last, -1.0, ls * ls / lw + rs * rs / np.where(last, 1, rw) - (sums * sums / total)[node])
                 top = np.maximum.reduceat(gain, first)
-                hit = np.flatnonzero(gain == top[of])
+                hit = np.flatnonzero(gain >= top[of] - SAME * np.abs(top[of]))
                 hit = hit[_runs(of[hit])]  # the lowest bin of the best
-                better = gain[hit] > best[node[hit]] + 1e-12 * np.abs((sums * sums / total)[node[hit]])
+                better = gain[hit] > best[node[hit]] * (1 + SAME) + 1e-12 * np.abs((sums * sums / total)[node[hit]])
                 hit = hit[better]
                 best[node[hit]], at_bin[node[hit]] = gain[hit], cells[hit] & 0xFFFF
                 at_feature[node[hit]] = chosen[node[hit], slot]
