@@ -66,7 +66,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (80 % of the 5-word shingles) the document with the smallest id stays (without an
+    """Of every group of near copies (80 % of the 5-word shingles; candidates by SimHash) the document with the smallest id stays (without an
     id only where the group has none); of repeated rows, one."""
     _small_batches(spark)
     found = stage(nearcopies.classes(_texts(docs)), "near-copies")

@@ -161,3 +161,74 @@ def test_stages_judge_each_row_by_its_own_text(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "toxicity_model", lambda docs, labels: None)
     monkeypatch.setattr(toxicity, "score", lambda docs, model: docs.selectExpr("doc_id", "cast(text like 'a%' as int) as predicted"))
     assert sorted(r["_key"] for r in corpus_pipeline.drop_toxic(spark, docs, "").collect()) == [3, 4, 4, 5, 6, 7]
+
+
+def test_fingerprint_is_a_simhash():
+    """A bit is 1 if set in over half of the scrambled hashes; the share of differing bits follows the angle of the sets."""
+    rng = np.random.default_rng(9)
+    size = nearcopies._BYTES
+    mask = (1 << 64) - 1
+
+    def slow(hashes):
+        out = []
+        for scramble in nearcopies._SCRAMBLE[:size // 8].tolist():
+            ones = [0] * 64
+            for h in hashes.tolist():
+                z = h + scramble & mask
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+                z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+                z ^= z >> 31
+                ones = [n + (z >> i & 1) for i, n in enumerate(ones)]
+            out.append(sum(1 << i for i, n in enumerate(ones) if 2 * n > len(hashes)).to_bytes(8, "little"))
+        return b"".join(out)
+
+    for n in (1, 2, 7, 255, 256, 600):
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert nearcopies.sketch(hashes) == slow(hashes)
+        assert nearcopies.sketch(hashes, nearcopies.LONG)[:size] == nearcopies.sketch(hashes)
+    for common, apart in ((160, 20), (100, 100), (1, 200)):
+        left, right = (rng.integers(0, 1 << 63, apart, dtype=np.uint64) for _ in range(2))
+        both = rng.integers(0, 1 << 63, common, dtype=np.uint64)
+        a, b = (np.unpackbits(np.frombuffer(nearcopies.sketch(np.r_[both, x]), np.uint8)) for x in (left, right))
+        angle = np.arccos(common / (common + apart)) / np.pi
+        assert abs((a != b).mean() - angle) < 0.04
+
+
+def test_recall_of_short_texts():
+    """Sets of four and five shingles at the least similarity: index, heads and count together."""
+    rng = np.random.default_rng(15)
+    hit = 0
+    for _ in range(1000):
+        five = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+        a, b = (np.frombuffer(nearcopies.sketch(x), np.uint8) for x in (five[:4], five))
+        same = (a == b).reshape(nearcopies.BANDS, nearcopies.WIDTH)
+        bits = np.bitwise_count(a ^ b)
+        near = bits[:nearcopies.HEAD].sum() <= nearcopies.HEAD_BITS and bits.sum() <= nearcopies.MAX_BITS
+        hit += near and same.all(axis=1).any() and same.sum() >= nearcopies.MIN_SHARED
+    assert hit >= 985
+
+
+@pytest.mark.parametrize("small", [64, 5])
+def test_near_heads_of_lists(monkeypatch, small):
+    monkeypatch.setattr(nearcopies, "LONG_LIST", 150)
+    monkeypatch.setattr(nearcopies, "_OPEN_PAIRS", 50)
+    rng = np.random.default_rng(12)
+    keys = np.sort(np.r_[rng.integers(0, 60, 400), np.full(200, 70)]) | 3 << 32
+    heads = rng.integers(0, 256, (40, nearcopies.HEAD), dtype=np.uint8)[rng.integers(0, 40, 600)]
+    heads ^= np.packbits(rng.random((600, nearcopies.HEAD * 8)) < 0.12, axis=1)
+    heads[keys == 70 | 3 << 32] = heads[-1]
+    bits = np.unpackbits(heads, axis=1).astype(int)
+    near = (keys[:, None] == keys[None]) & ((bits[:, None] != bits[None]).sum(axis=2) <= nearcopies.HEAD_BITS)
+    label = np.arange(600)
+    for _ in range(600):
+        label = np.where(near, label[None], 600).min(axis=1)
+    size = np.bincount(label, minlength=600)[label]
+    long = keys == 70 | 3 << 32
+    same = (heads[:, None] == heads[None]).reshape(600, 600, -1, nearcopies.WIDTH).all(axis=3)
+    own = ~same.any(axis=2) | (same.argmax(axis=2) == 3)
+    expected = {(a, b) for a, b in zip(*np.nonzero(near & own)) if a < b and size[a] <= small and not long[a]}
+    i, j, large = nearcopies.near_heads(keys, heads, small)
+    pairs = list(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected and expected
+    groups = {tuple(np.flatnonzero(label == x).tolist()) for x in set(label[(size > small) & ~long].tolist())}
+    assert {tuple(g.tolist()) for g in large} == groups | {tuple(np.flatnonzero(long).tolist())}

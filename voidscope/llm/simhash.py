@@ -89,7 +89,7 @@ def _verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return passed[np.bitwise_count(a[passed] ^ b[passed]) <= MAX_BITS]
 
 
-def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest label over the links i-j, to the fixed point."""
     while True:
         a, b = labels[i], labels[j]
@@ -117,7 +117,7 @@ def link_list(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             i, j = np.meshgrid(np.arange(start, min(k, start + rows)), np.arange(k), indexing="ij")
             i, j = i[i < j], j[i < j]
             linked = _verified(members[i], members[j])
-            labels = _merge(labels, i[linked], j[linked])
+            labels = merge(labels, i[linked], j[linked])
     else:
         differing = np.bitwise_or.reduce(members ^ members[0])
         free = [np.uint64(1 << b) for b in range(64) if int(differing) >> b & 1]
@@ -126,7 +126,7 @@ def link_list(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 wanted = members ^ np.bitwise_or.reduce(np.array(flips, np.uint64))
                 at = np.minimum(np.searchsorted(members, wanted), k - 1)
                 hit = np.flatnonzero(members[at] == wanted)
-                labels = _merge(labels, hit, at[hit])
+                labels = merge(labels, hit, at[hit])
     other = np.flatnonzero(labels != np.arange(k))
     return members[labels[other]], members[other]
 
