@@ -180,3 +180,33 @@ def test_surface_atoms_are_not_matched_with_themselves(spark, monkeypatch):
     gaps = np.linalg.norm(cloud[:, None] - cloud[sorted(exposed)][None], axis=2).min(axis=1)
     assert rows.keys() == set(np.flatnonzero(gaps < 1.0)) and 0 < len(exposed) < 250
     assert all(abs(rows[i] - gaps[i]) < 1e-12 for i in rows) and asked == [250 - len(exposed)]
+
+
+def test_small_snapshots_are_judged_in_one_task(spark, monkeypatch):
+    """Without neighbor lists, and as with them: images, repeated and missing keys, coordinates that are no numbers."""
+    rng = np.random.default_rng(21)
+    rows = [(s, i, *p) for s, n in ((1, 150), (2, 300), (3, 1)) for i, p in enumerate(rng.uniform(0, 9, (n, 3)).tolist())]
+    rows += [(1, 3, 4.5, 4.5, 4.5), (1, 4, *rows[4][2:]), (2, 7, None, 1.0, 1.0), (2, 8, float("nan"), 1.0, 1.0),
+             (2, 9, float("inf"), 1.0, 1.0), (2, 900, 1e300, 0.0, 0.0), (2, None, 4.0, 4.0, 4.0), (None, 5, 4.0, 4.0, 4.0)]
+    cloud = spark.createDataFrame(rows, "snapshot_id long, atom_id long, x double, y double, z double")
+    box = boxes(spark, {1: (9.0,) * 3, 2: (9.0,) * 3})
+
+    def selected(where):
+        return sorted(map(str, surface.surface_atoms(cloud, 2.0, where).collect()))
+
+    listed = surface._listed
+    monkeypatch.setattr(surface, "WHOLE", -1)
+    expected = [selected(None), selected(box)]
+    assert 0 < len(expected[1]) < len(expected[0]) < len(rows)
+
+    def refuse(*_):
+        raise AssertionError("neighbor lists were built")
+
+    monkeypatch.setattr(surface, "WHOLE", 1 << 14)
+    monkeypatch.setattr(surface, "_listed", refuse)
+    for chunk in (1 << 13, 40):
+        monkeypatch.setattr(surface, "_CHUNK", chunk)
+        assert [selected(None), selected(box)] == expected
+    monkeypatch.setattr(surface, "_listed", listed)
+    monkeypatch.setattr(surface, "WHOLE", 200)  # one snapshot from lists, the others in tasks
+    assert [selected(None), selected(box)] == expected

@@ -7,14 +7,18 @@ two such circles, is uncovered; so checking those finitely many centers decides
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 from voidscope.operators.images import LENGTHS, SHIFT, folded, offsets_within, with_images
-from voidscope.operators.neighbors import AXES, CELL, POINT, Setting, near_cells, nearest, own_cells
+from voidscope.operators.neighbors import AXES, CELL, POINT, SLACK, Setting, near_cells, nearest, own_cells
 from voidscope.session import stage
 
 PROBE_RADIUS = 2.0
@@ -22,6 +26,12 @@ SURFACE_DISTANCE = 2.0
 TOLERANCE = 1e-7
 CROWDED = 256  # atoms per cell of edge 4R beyond which neighbors are not listed but found on demand
 FIRST_NEIGHBORS = 16
+WHOLE = 1 << 14  # points and images of a snapshot up to which it is judged in one task
+QUERY, OTHER, IMAGE = 1, 2, 4  # what a row of such a snapshot is
+_CHUNK = 1 << 13  # rows of whole snapshots looked at together
+_PAIRS = 1 << 18  # candidate pairs
+_ROWS = 4000  # neighbor rows
+_DEPTH = 7  # halvings of the cells of directions
 WITNESSES = 63  # uncovered centers tried per atom and round
 
 
@@ -70,41 +80,31 @@ def _geometry(radius: float):
     return centers, uncovered, nearest_gap, offsets
 
 
-def _direction_tests(radius: float):
-    """Vectorized shortcuts that settle most atoms from a fixed set of directions."""
-
-    def directions(cells):
-        """Cell centers of a cube's faces, as unit vectors, and a bound on the angle to the nearest one."""
-        steps = (np.arange(cells) + 0.5) / cells * 2 - 1
-        p, q = (g.ravel() for g in np.meshgrid(steps, steps))
-        faces = []
-        for axis in range(3):
-            for sign in (-1.0, 1.0):
-                face = np.empty((len(p), 3))
-                face[:, axis], face[:, (axis + 1) % 3], face[:, (axis + 2) % 3] = sign, p, q
-                faces.append(face)
-        grid = np.concatenate(faces)
-        # projecting the cube onto the sphere shortens chords, so half a cell diagonal bounds them
-        return grid / np.linalg.norm(grid, axis=1)[:, None], 2 * np.arcsin(2**0.5 / cells / 2)
+def _exposure(radius: float):
+    """Function (neighbor offsets, starts of the runs of each atom, none empty) -> exposed, for many atoms at once."""
+    centers, uncovered, nearest_gap, _ = _geometry(radius)
+    steps = (np.arange(3) + 0.5) / 3 * 2 - 1
+    p, q = (g.ravel() for g in np.meshgrid(steps, steps))
+    face, sign = np.repeat(np.arange(3), 18), np.tile(np.repeat([-1.0, 1.0], 9), 3)
+    p, q = np.tile(p, 6), np.tile(q, 6)
 
-    def settle(near, starts, cells):
-        """(exposed, interior) per atom: some direction touched by no neighbor's cap, or every direction
-        inside a cap with room for the spacing of the directions."""
-        grid, spacing = directions(cells)
-        norm = np.sqrt(np.einsum("ij,ij->i", near, near))
-        cap = np.arccos(np.minimum(norm / (2 * radius), 1.0))
-        along = (near / norm[:, None]) @ grid.T
-        touched = np.logical_or.reduceat(along > np.cos(cap)[:, None], starts, axis=0)
-        safe = np.where(cap > spacing, np.cos(cap - spacing), 2.0)
-        inside = np.logical_or.reduceat(along >= safe[:, None], starts, axis=0)
-        return ~touched.all(axis=1), inside.all(axis=1)
+    def directions(face, sign, p, q):
+        """Unit vectors to places on the faces of a cube."""
+        out = np.empty((len(p), 3))
+        row = np.arange(len(p))
+        out[row, face], out[row, (face + 1) % 3], out[row, (face + 2) % 3] = sign, p, q
+        return out / np.sqrt(1 + p * p + q * q)[:, None]
 
-    return settle
+    def spacing(half):
+        # projecting the cube onto the sphere shortens chords, so half a cell diagonal bounds them
+        return 2 * np.arcsin(2**0.5 * half / 2) + 1e-6
 
+    grid = directions(face, sign, p, q)
 
-def _is_exposed(radius: float) -> Column:
-    centers, uncovered, nearest_gap, offsets = _geometry(radius)
-    settle = _direction_tests(radius)
+    def runs(counts):
+        """Starts of runs of these lengths, and the position of each element in its run."""
+        starts = np.cumsum(counts) - counts
+        return starts, np.arange(counts.sum()) - np.repeat(starts, counts)
 
     def exactly(near):
         near = near[np.argsort(np.einsum("ij,ij->i", near, near), kind="stable")]
@@ -118,39 +118,187 @@ def _is_exposed(radius: float) -> Column:
                 return True
             chosen = np.union1d(chosen, gaps.argmin(axis=1))
 
+    def some(near, starts):
+        norm = np.sqrt(np.einsum("ij,ij->i", near, near))
+        edge, unit = np.minimum(norm / (2 * radius), 1.0), near / norm[:, None]
+        rise = np.sqrt(1 - edge * edge)
+        sizes = np.diff(np.r_[starts, len(near)])
+
+        def bounds(half):
+            """Cosines below which a direction's whole cell lies in a cap, and above which it misses the cap."""
+            wide = spacing(half)
+            level, turn = edge * np.cos(wide), rise * np.sin(wide)
+            return np.where(edge < np.cos(wide), level + turn, 2.0), level - turn  # caps are at most a right angle
+
+        # a direction in no cap proves the atom exposed, a cell of directions inside one cap is done with
+        half = 1 / 3
+        safe, out = bounds(half)
+        along = unit @ grid.T
+        inside = np.logical_or.reduceat(along >= safe[:, None], starts, axis=0)
+        exposed = ~np.logical_or.reduceat(along > edge[:, None], starts, axis=0).all(axis=1)
+        open_cells = ~inside & ~exposed[:, None]
+        atom, cell = np.nonzero(open_cells)
+        f, g, u, v = face[cell], sign[cell], p[cell], q[cell]
+        counts = sizes[atom]
+        _, at = runs(counts)
+        of = np.repeat(np.arange(len(atom)), counts)
+        cap_of = at + np.repeat(starts[atom], counts)
+        kept = along[cap_of, cell[of]] > out[cap_of]  # caps that do not meet a cell do not meet its parts
+        of, cap_of = of[kept], cap_of[kept]
+        for _ in range(_DEPTH):
+            if not len(atom):
+                break
+            half /= 2
+            safe, out = bounds(half)
+            counts = np.repeat(np.bincount(of, minlength=len(atom)), 4)
+            begins = np.repeat(np.searchsorted(of, np.arange(len(atom))), 4)
+            atom, f, g = (np.repeat(x, 4) for x in (atom, f, g))
+            u = np.repeat(u, 4) + np.tile([-half, -half, half, half], len(u))
+            v = np.repeat(v, 4) + np.tile([-half, half, -half, half], len(v))
+            first, at = runs(counts)
+            of = np.repeat(np.arange(len(atom)), counts)
+            cap_of = cap_of[at + np.repeat(begins, counts)]
+            along = np.einsum("ij,ij->i", unit[cap_of], directions(f, g, u, v)[of])
+            touched = np.logical_or.reduceat(along > edge[cap_of], first)
+            inside = np.logical_or.reduceat(along >= safe[cap_of], first)
+            exposed[atom[~touched]] = True
+            live = ~inside & ~exposed[atom]
+            number = np.cumsum(live) - 1
+            kept = live[of] & (along > out[cap_of])
+            of, cap_of = number[of[kept]], cap_of[kept]
+            atom, f, g, u, v = (x[live] for x in (atom, f, g, u, v))
+        for i in np.unique(atom):
+            exposed[i] = exactly(near[starts[i]:starts[i] + sizes[i]])
+        return exposed
+
+    def run(near, starts):
+        """Slices of atoms with a bounded number of neighbor rows."""
+        ends = np.r_[starts[1:], len(near)]
+        answers, begin = [], 0
+        while begin < len(starts):
+            end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + _ROWS, side="right")))
+            answers.append(some(near[starts[begin]:ends[end - 1]], starts[begin:end] - starts[begin]))
+            begin = end
+        return np.concatenate(answers) if answers else np.zeros(0, bool)
+
+    return run
+
+
+def _is_exposed(radius: float) -> Column:
+    offsets, decide = _geometry(radius)[3], _exposure(radius)
+
     def exposed(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.Series:
-        answer = np.zeros(len(xs), dtype=bool)
-        pending = []
-        for at, (x, y, z) in enumerate(zip(xs, ys, zs)):
-            near = offsets(x, y, z)
-            if len(near):
-                pending.append((at, near))
-            else:
-                answer[at] = True
-        for cells in (3, 10):
-            unsettled, begin = [], 0
-            while begin < len(pending):
-                end, rows = begin, 0  # a slice of atoms with a bounded number of neighbor rows
-                while end < len(pending) and (rows == 0 or rows + len(pending[end][1]) <= 2000):
-                    rows += len(pending[end][1])
-                    end += 1
-                part = pending[begin:end]
-                sizes = np.array([len(n) for _, n in part])
-                free, inside = settle(
-                    np.concatenate([n for _, n in part]), np.concatenate([[0], np.cumsum(sizes)[:-1]]), cells)
-                for (at, near), out, done in zip(part, free, free | inside):
-                    answer[at] = out
-                    if not done:
-                        unsettled.append((at, near))
-                begin = end
-            pending = unsettled
-        for at, near in pending:
-            answer[at] = exactly(near)
+        near = [offsets(x, y, z) for x, y, z in zip(xs, ys, zs)]
+        sizes = np.array([len(n) for n in near], int)
+        answer = sizes == 0
+        if not answer.all():
+            some = sizes[~answer]
+            answer[~answer] = decide(np.concatenate([n for n in near if len(n)]), np.cumsum(some) - some)
         return pd.Series(answer)
 
     return F.pandas_udf(exposed, BooleanType())("_dx", "_dy", "_dz")
 
 
+def _cell_keys(group: np.ndarray, places: np.ndarray, edge: float) -> tuple[np.ndarray, int, int] | None:
+    """A number for the cell of each place that grows by 1 along z, and the steps along x and y. None if it is too large."""
+    columns, spans = [], []
+    for a in range(3):
+        values, at = np.unique(np.clip(np.floor(places[:, a] / edge), -(2.0**62), 2.0**62).astype(np.int64), return_inverse=True)
+        packed = np.r_[1, 1 + np.cumsum(np.minimum(np.diff(values), 2))]  # wide gaps are narrowed, neighbors stay neighbors
+        columns.append(packed[at])
+        spans.append(int(packed[-1]) + 2)
+    if (int(group.max()) + 1) * spans[0] * spans[1] * spans[2] >= 1 << 62:
+        return None
+    along_y, along_x = spans[2], spans[1] * spans[2]
+    return ((group * spans[0] + columns[0]) * spans[1] + columns[1]) * spans[2] + columns[2], along_x, along_y
+
+
+def _uncovered_rows(group: np.ndarray, ids: np.ndarray, places: np.ndarray, kind: np.ndarray, reach: float, decide) -> np.ndarray:
+    """Which rows are query rows of exposed atoms, by their neighbors in the same group (numbers from 0, ascending)."""
+    answer = (kind & QUERY) > 0
+    real = np.isfinite(places).all(axis=1)
+    asked = np.flatnonzero(answer)
+    there = np.flatnonzero(real & ((kind & OTHER) > 0))
+    if not len(asked) or not len(there):
+        return answer
+    asked = asked[np.lexsort((ids[asked], group[asked]))]
+    both = np.r_[asked, there]
+    found = _cell_keys(group[both], np.where(real[both, None], places[both], 0.0), reach * (1 + SLACK))
+    if found is None:
+        for g in np.unique(group[asked]):
+            part = np.flatnonzero(group == g)
+            answer[part] = _uncovered_rows(np.zeros(len(part), int), ids[part], places[part], kind[part], reach, decide)
+        return answer
+    keys, along_x, along_y = found
+    mine, theirs = keys[:len(asked)], keys[len(asked):]
+    order = np.argsort(theirs, kind="stable")
+    theirs, there = theirs[order], there[order]
+    columns = mine[:, None] + np.array([x * along_x + y * along_y for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    low, high = np.searchsorted(theirs, columns - 1), np.searchsorted(theirs, columns + 1, side="right")
+    counts = np.where(real[asked, None], high - low, 0)
+    # rows of one key are judged together
+    new = np.r_[True, (group[asked[1:]] != group[asked[:-1]]) | (ids[asked[1:]] != ids[asked[:-1]])]
+    heads = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    total = np.cumsum(np.add.reduceat(counts.sum(axis=1), heads))
+    exposed, begin = np.ones(len(heads), bool), 0
+    while begin < len(heads):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + _PAIRS, side="right")))
+        rows = np.arange(heads[begin], heads[end] if end < len(heads) else len(asked))
+        some = counts[rows].ravel()
+        at = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some - low[rows].ravel(), some)
+        query = np.repeat(rows, counts[rows].sum(axis=1))
+        offset = places[there[at]] - places[asked[query]]
+        squared = offset[:, 0] * offset[:, 0] + offset[:, 1] * offset[:, 1] + offset[:, 2] * offset[:, 2]
+        # an atom at the same place covers nothing more
+        near = np.flatnonzero((squared < reach**2) & (offset != 0).any(axis=1))
+        other, query = there[at[near]], query[near]
+        apart = (ids[other] != ids[asked[query]]) | ((kind[other] & IMAGE) > 0)
+        near, of = near[apart], number[query[apart]]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+        exposed[of[starts]] = decide(offset[near], starts)
+        begin = end
+    answer[asked] = exposed[number]
+    return answer
+
+
+def _in_task(rows: DataFrame, radius: float) -> DataFrame:
+    """Keys of the exposed atoms of ``rows(snapshot_id, atom_id, x, y, z, kind)``, every snapshot in one task."""
+    decide, reach = _exposure(radius), 2 * radius
+
+    def judged(table: pa.Table) -> pa.RecordBatch:
+        names = table.column("snapshot_id").combine_chunks()
+        group = np.cumsum(np.r_[False, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)])
+        ids, kind = table.column("atom_id").to_numpy(), table.column("kind").to_numpy()
+        places = np.stack([table.column(a).to_numpy().astype(float) for a in AXES], axis=1)
+        with np.errstate(invalid="ignore", over="ignore"):
+            kept = _uncovered_rows(group, ids, places, kind, reach, decide)
+        return table.select(POINT).filter(pa.array(kept)).combine_chunks().to_batches(max_chunksize=None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting < _CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            last = table.column("snapshot_id")[-1]
+            cut = pc.index(table.column("snapshot_id"), last).as_py()  # the last snapshot may go on in the next batch
+            if cut:
+                yield from judged(table.slice(0, cut))
+            held, waiting = table.slice(cut).to_batches(), 0 if cut else -_CHUNK // 2
+        if held:
+            yield from judged(pa.Table.from_batches(held))
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    dealt = rows.repartition("snapshot_id").sortWithinPartitions("snapshot_id")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in POINT))
+
+
 def _free_centers(radius: float) -> Column:
     """Up to WITNESSES uncovered centers given the neighbors known so far; eight corners without any."""
     centers, uncovered, _, offsets = _geometry(radius)
@@ -179,21 +327,49 @@ def surface_atoms(
     home = folded(points, boxes)
     others = with_images(home, reach)
     home = home.drop(*LENGTHS)
-    crowded = stage(
-        own_cells(others, reach).groupBy("snapshot_id", *CELL).count()
-        .filter(F.col("count") > CROWDED).drop("count"), "crowded")
+    counts = stage(own_cells(others, reach).groupBy("snapshot_id", *CELL).count(), "cells")
+    crowded = stage(counts.filter(F.col("count") > CROWDED).drop("count"), "crowded")
+    large = stage(
+        counts.groupBy("snapshot_id").agg(F.sum("count").alias("_n")).filter(F.col("_n") > WHOLE).select("snapshot_id"), "large")
     if crowded.isEmpty():
-        return _listed(home, others, probe_radius)
+        return _sparse(home, others, probe_radius, large, boxes is None)
     beside = stage(
         near_cells(home, reach, False).join(crowded, ["snapshot_id", *CELL], "left_semi")
         .select(*POINT).distinct(), "beside")
     # nothing in a crowded cell is within reach of the points away from them
     roomy = own_cells(others, reach).join(crowded, ["snapshot_id", *CELL], "left_anti").drop(*CELL)
-    sparse = _listed(home.join(beside, POINT, "left_anti"), roomy, probe_radius)
+    sparse = _sparse(home.join(beside, POINT, "left_anti"), roomy, probe_radius, large, False)
     dense = _on_demand(home.join(beside, POINT, "left_semi"), others, probe_radius)
     return sparse.unionByName(dense)
 
 
+def _sparse(queries: DataFrame, others: DataFrame, radius: float, large: DataFrame, alike: bool) -> DataFrame:
+    """Decide atoms away from crowded cells: snapshots in ``large`` from neighbor lists, the rest in one task each.
+    ``alike`` says that the others are the queries."""
+    found = []
+    if not large.isEmpty():
+        found.append(_listed(*(d.join(large, "snapshot_id", "left_semi") for d in (queries, others)), radius))
+        queries, others = (d.join(large, "snapshot_id", "left_anti") for d in (queries, others))
+    keyless = F.col("snapshot_id").isNull() | F.col("atom_id").isNull()  # such rows meet no other
+    found.append(queries.filter(keyless).select(*POINT))
+    places = [F.coalesce(F.col(a).cast("double"), F.lit(float("nan"))).alias(a) for a in AXES]
+    own = queries.filter(~keyless).select(*POINT, *places)
+    if alike:
+        rows = own.withColumn("kind", F.lit(QUERY + OTHER))
+    else:
+        away = F.lit(False)
+        for i in SHIFT:
+            away = away | (F.col(i) != 0)
+        near = others.withColumn("kind", F.when(away, F.lit(OTHER + IMAGE)).otherwise(F.lit(OTHER))).filter(
+            F.col("snapshot_id").isNotNull() & (F.col("atom_id").isNotNull() | away))
+        number = F.coalesce("atom_id", F.lit(0).cast(queries.schema["atom_id"].dataType)).alias("atom_id")
+        rows = own.withColumn("kind", F.lit(QUERY)).unionByName(near.select("snapshot_id", number, *places, "kind"))
+    result = _in_task(rows, float(radius))
+    for part in found:
+        result = result.unionByName(part)
+    return result
+
+
 def _listed(queries: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """Decide atoms from their full neighbor list, at most eight uncrowded cells long."""
     lists = offsets_within(queries, others, 2 * float(radius), crowded=False).groupBy(*POINT).agg(
