@@ -210,3 +210,37 @@ def test_small_snapshots_are_judged_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(surface, "_listed", listed)
     monkeypatch.setattr(surface, "WHOLE", 200)  # one snapshot from lists, the others in tasks
     assert [selected(None), selected(box)] == expected
+
+
+def test_exposure_of_many_atoms_agrees_with_all_crossings():
+    """Lattices whose holes are just touched or just closed, flat and dense clouds; few centers are looked at together."""
+    rng = np.random.default_rng(8)
+    grid = np.stack(np.meshgrid(*[np.arange(5.0)] * 3), axis=-1).reshape(-1, 3)
+    hole = 3**0.5 / 2
+    clouds = [(grid, r) for r in (1.0, hole, hole - 1e-6, hole + 1e-6)]
+    clouds += [(fcc(3), 1.9), (fcc(3), 2.1), (rng.random((150, 3)) * 6, 1.5), (rng.random((150, 3)) * [6, 6, 0], 1.0),
+               (np.concatenate([rng.random((80, 3)) * 6, 3 + rng.random((60, 3)) * 0.3]), 1.5)]
+    for cloud, radius in clouds:
+        centers, uncovered, offsets = surface._geometry(radius)
+        near, expected = [], []
+        for p in cloud:
+            around = offsets(*(cloud - p).T)
+            around = around[(around**2).sum(axis=1) < 4 * radius**2]
+            near.append(around)
+            expected.append(len(around) == 0 or len(uncovered(centers(around), around)) > 0)
+        sizes = np.array([len(n) for n in near])
+        listed = np.flatnonzero(sizes)
+        got = surface._exposure(radius)(np.concatenate([near[i] for i in listed]).T, np.cumsum(sizes[listed]) - sizes[listed])
+        assert (got == np.array(expected)[listed]).all()
+
+
+def test_exposed_atoms_are_proved_by_few_centers(monkeypatch):
+    """Most exposed atoms need one direction, and covered ones the crossings of a few neighbors, not of all."""
+    rng = np.random.default_rng(4)
+    cloud = rng.random((400, 3)) * 8
+    crossings = []
+    pairs = np.triu_indices
+    monkeypatch.setattr(surface.np, "triu_indices", lambda n, k: crossings.append(n) or pairs(n, k))
+    kept = surface._uncovered_rows(
+        np.zeros(400, int), np.arange(400), cloud, np.full(400, surface.QUERY + surface.OTHER), 5.0, surface._exposure(2.5))
+    assert 0 < kept.sum() < 400 and 0 < max(crossings) < 30

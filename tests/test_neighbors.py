@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import voidscope.operators.neighbors as nb
 from tests.helpers import boxes, brute_nearest, image, points, ref_box, sites
@@ -177,3 +178,31 @@ def test_points_without_a_coordinate_in_a_box(spark, rng):
     found = {r["atom_id"]: r for r in nb.nearest_site(
         table, sites(spark, lattice), boxes(spark, {0: (60.0,) * 3}), ref_box((4.0,) * 3)).collect()}
     assert set(found) == {0, 2, 3} and found[2]["distance"] is None and found[3]["distance"] is not None
+
+
+def test_own_sites_of_small_snapshots_are_matched_in_one_task(spark, rng, monkeypatch):
+    """Without joins on cells, and as with them: ties, repeated keys, missing sites, values that are no numbers."""
+    asked = [(s, i, *p) for s, n in ((1, 200), (2, 40), (3, 5), (4, 30)) for i, p in enumerate((rng.random((n, 3)) * 9).tolist())]
+    asked += [(1, 7, 50.0, 50.0, 50.0), (2, 3, 0.5, 0.5, 0.5), (None, 1, 1.0, 1.0, 1.0), (2, None, 1.0, 1.0, 1.0),
+              (5, 0, float("nan"), 1.0, 1.0), (5, 1, 2.0, 1.0, 1.0), (6, 0, float("inf"), 0.0, 0.0), (6, 2, 1.0, 0.0, 0.0)]
+    offered = [(s, 3 * i + 1, *p) for s, n in ((1, 150), (2, 20), (3, 1), (5, 9), (6, 4)) for i, p in enumerate((rng.random((n, 3)) * 9).tolist())]
+    offered += [(1, 0, *offered[5][2:]), (1, 999, *offered[6][2:]), (2, 2, 1.0, 1.0, 1.0), (2, 0, 1.0, 1.0, 1.0)]
+    queries = spark.createDataFrame(asked, "snapshot_id long, atom_id long, x double, y double, z double")
+    sites = spark.createDataFrame(offered, "snapshot_id long, site_id long, x double, y double, z double")
+    shifted = sites.withColumn("site_id", F.struct(F.col("site_id").alias("atom_id"), F.lit(0).alias("ix")))
+    own = nb.Setting(["snapshot_id"], periodic=False, stretched=False)
+
+    def matched():
+        rows = nb.nearest(queries, shifted, own).collect()
+        return sorted((r.snapshot_id, r.atom_id, r.site_id.atom_id, str(r.d2)) for r in rows)
+
+    monkeypatch.setattr(nb, "TASK_ROWS", -1)
+    expected = matched()
+    monkeypatch.setattr(nb, "TASK_ROWS", 100)  # one snapshot by joins, the others in tasks
+    monkeypatch.setattr(nb, "_CHUNK", 30)
+    assert matched() == expected
+    monkeypatch.setattr(nb, "_nearest_joined", lambda *a: pytest.fail("the joins were used"))
+    monkeypatch.setattr(nb, "TASK_ROWS", 1 << 14)
+    numbers = nb.nearest(queries.filter("snapshot_id < 5"), sites, own).collect()
+    assert len(numbers) == 200 + 40 + 5
+    assert sorted((r.snapshot_id, r.atom_id, r.site_id, str(r.d2)) for r in numbers) == [r for r in expected if r[0] < 5]

@@ -11,17 +11,19 @@ any layout:
 * points without certificate repeat with twice the reach;
 * what is left, and points next to crowded cells, descend a tree of bounding boxes level by level and
   keep only boxes that can still hold the nearest site;
+* sites per snapshot meet their points in one task where both fit ``TASK_ROWS``, pruned against boxes there;
 * a shared reference of at most ``TASK_SITES`` sites is small enough for the tasks that read the points: those far from
   it, and those without certificate, are pruned against its boxes there, without a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,6 +42,8 @@ LEAF = 32
 MAX_DEPTH = 30
 TASK_SITES = 1 << 13  # sites of a shared reference up to which far points are matched in the task that reads them
 _TASK_CELLS = 1 << 15  # points times boxes looked at together there
+TASK_ROWS = 1 << 14  # points and own sites of a snapshot up to which they are matched in one task
+_CHUNK = 1 << 13  # rows of whole snapshots looked at together
 CHUNKED_DEPTH = 3
 SLACK = 1e-9
 CELL_ROWS = 4096  # rows of one side in one cell of the radius join beyond which the cell is dealt to several tasks
@@ -532,8 +536,146 @@ def _tree_descent(queries: DataFrame, sites: DataFrame, setting: Setting) -> Dat
     return _best(pairs.withColumn("d2", _squared(setting, "o")))
 
 
+def whole_snapshots(
+    rows: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str, chunk_rows: int
+) -> DataFrame:
+    """``answer`` of tables of whole snapshots, each in one task, of about ``chunk_rows`` rows or one larger snapshot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting < chunk_rows:
+                continue
+            table = pa.Table.from_batches(held)
+            last = table.column("snapshot_id")[-1]
+            cut = pc.index(table.column("snapshot_id"), last).as_py()  # the last snapshot may go on in the next batch
+            if cut:
+                yield from answer(table.slice(0, cut)).combine_chunks().to_batches()
+            held, waiting = table.slice(cut).to_batches(), 0 if cut else -chunk_rows // 2
+        if held:
+            yield from answer(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    spark = rows.sparkSession
+    # a fixed number, since the work of a task is not told by its bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "snapshot_id").sortWithinPartitions("snapshot_id").mapInArrow(run, schema)
+
+
+def numbered_groups(table: pa.Table) -> np.ndarray:
+    """Numbers from 0 of the snapshots of a table in which each is one run of rows."""
+    names = table.column("snapshot_id").combine_chunks()
+    return np.cumsum(np.r_[False, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)])
+
+
+def _ranks(ids: pa.ChunkedArray) -> np.ndarray:
+    """Places of the ids in their order; ids may be structs."""
+    ids = ids.combine_chunks()
+    fields = ids.flatten() if pa.types.is_struct(ids.type) else [ids]
+    names = [str(i) for i in range(len(fields))]
+    order = pc.sort_indices(pa.table(fields, names), sort_keys=[(n, "ascending") for n in names])
+    ranks = np.empty(len(ids), int)
+    ranks[order.to_numpy()] = np.arange(len(ids))
+    return ranks
+
+
+def _among_few(x, l, s, places, ranks, first, count, periodic: bool):
+    """(rank of the nearest site, squared distance) of each point among the run of sites of its snapshot."""
+    ends = np.cumsum(count)
+    found, best, begin = np.empty(len(x), int), np.empty(len(x)), 0
+    while begin < len(x):
+        before = ends[begin] - count[begin]
+        end = max(begin + 1, int(np.searchsorted(ends, before + _TASK_CELLS, side="right")))
+        size = count[begin:end]
+        starts = np.cumsum(size) - size
+        site = np.arange(size.sum()) - np.repeat(starts - first[begin:end], size)
+        point = np.repeat(np.arange(begin, end), size)
+        squared = 0.0
+        for a in range(3):
+            delta = places[site, a] * s[point, a] - x[point, a]
+            if periodic:
+                delta = delta - l[point, a] * np.rint(delta / l[point, a])
+            squared = squared + delta * delta
+        best[begin:end] = np.minimum.reduceat(squared, starts)
+        tied = np.where(squared == best[point], ranks[site], np.iinfo(int).max)
+        found[begin:end] = np.minimum.reduceat(tied, starts)
+        begin = end
+    return found, best
+
+
+def _with_own_sites(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
+    """``site_id, d2`` of each query among the sites of its snapshot, every snapshot in one task; all values are numbers."""
+    columns = setting.query_columns()
+    groups = [[f"{p}{a}" for a in AXES] for p in ("", "l", "s")]
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in [*queries.schema, *sites.schema]}
+    rows = queries.filter(F.col("atom_id").isNotNull()).select(*columns, empty["site_id"], F.lit(False).alias("_site")).unionByName(
+        sites.select("snapshot_id", "site_id", *[F.col(a).cast(queries.schema[a].dataType).alias(a) for a in AXES],
+                     *[empty[c] for c in columns if c not in ("snapshot_id", *AXES)], F.lit(True).alias("_site")))
+
+    def matched(table: pa.Table) -> pa.Table:
+        group, at_site = numbered_groups(table), table.column("_site").to_numpy()
+        asked, offered = table.filter(pa.array(~at_site)), table.filter(pa.array(at_site))
+        places = np.stack([offered.column(a).to_numpy().astype(float) for a in AXES], axis=1)
+        x, l, s = (np.stack([asked.column(c).to_numpy().astype(float) for c in part], axis=1)
+                   if part[0] in columns else np.ones((len(asked), 3)) for part in groups)
+        mine, theirs, ranks = group[~at_site], group[at_site], _ranks(offered.column("site_id"))
+        first, end = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, side="right")
+        count = end - first
+        found, best = np.full(len(asked), -1), np.full(len(asked), np.inf)
+        few = np.flatnonzero((count > 0) & (count <= 2 * LEAF))
+        with np.errstate(over="ignore"):
+            if len(few):
+                found[few], best[few] = _among_few(
+                    x[few], l[few], s[few], places, ranks, first[few], count[few], setting.periodic)
+            many = np.flatnonzero(count > 2 * LEAF)
+            for part in np.split(many, np.flatnonzero(np.diff(mine[many])) + 1) if len(many) else []:
+                own = slice(first[part[0]], end[part[0]])
+                found[part], best[part] = _search(places[own], ranks[own], setting.periodic)(x[part], l[part], s[part])
+        # a repeated point has one answer
+        number = asked.column("atom_id").to_numpy()
+        order = np.lexsort((found, best, number, mine))
+        new = np.r_[True, (np.diff(number[order]) != 0) | (np.diff(mine[order]) != 0)][:len(order)]
+        kept = order[new & (count[order] > 0)]
+        site = offered.column("site_id").take(pa.array(np.argsort(ranks)[found[kept]]))
+        return asked.select(POINT).take(pa.array(kept)).append_column("site_id", site).append_column("d2", pa.array(best[kept]))
+
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *sites.schema]}
+    schema = ", ".join(f"{c} {types[c]}" for c in [*POINT, "site_id"]) + ", d2 double"
+    return whole_snapshots(rows, matched, schema, _CHUNK)
+
+
 def nearest(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
-    """Exact nearest site of every query point: ``site_id`` and squared distance ``d2``."""
+    """Exact nearest site of every query point: ``site_id`` and squared distance ``d2``.
+
+    Sites per snapshot are matched in one task per snapshot where both sides are small and all their values numbers.
+    """
+    if not setting.by or setting.exclude_self:
+        return _nearest_joined(queries, sites, setting)
+    sites = sites.select(*setting.by, "site_id", *AXES)
+
+    def odd(columns) -> Column:
+        known = F.lit(True)
+        for c in columns:
+            known = known & F.coalesce(F.col(c) - F.col(c) == 0, F.lit(False))
+        return F.max(~known)
+
+    values = setting.query_columns()[len(POINT):]
+    asked = queries.groupBy(*setting.by).agg(F.count("*").alias("_q"), odd(values).alias("_odd"))
+    offered = sites.groupBy(*setting.by).agg(
+        F.count("*").alias("_s"), (odd(AXES) | F.max(F.col("site_id").isNull())).alias("_strange"))
+    large = stage(asked.join(offered, setting.by).filter(
+        (F.col("_q") + F.col("_s") > TASK_ROWS) | F.col("_odd") | F.col("_strange")).select(*setting.by), "large")
+    if large.isEmpty():
+        return _with_own_sites(queries, sites, setting)
+    few, rest = ([d.join(large, setting.by, how) for d in (queries, sites)] for how in ("left_anti", "left_semi"))
+    return _with_own_sites(*few, setting).unionByName(_nearest_joined(*rest, setting))
+
+
+def _nearest_joined(queries: DataFrame, sites: DataFrame, setting: Setting) -> DataFrame:
+    """:func:`nearest` by joins on cells and a tree of boxes."""
     row = None
     if setting.by:
         grid = stage(_site_grid(sites, setting.by).drop("_n"), "grid")

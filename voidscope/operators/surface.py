@@ -7,31 +7,41 @@ two such circles, is uncovered; so checking those finitely many centers decides
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 from voidscope.operators.images import LENGTHS, SHIFT, folded, offsets_within, with_images
-from voidscope.operators.neighbors import AXES, CELL, POINT, SLACK, Setting, near_cells, nearest, own_cells
+from voidscope.operators.neighbors import (
+    AXES,
+    CELL,
+    POINT,
+    SLACK,
+    Setting,
+    near_cells,
+    nearest,
+    numbered_groups,
+    own_cells,
+    whole_snapshots,
+)
 from voidscope.session import stage
 
 PROBE_RADIUS = 2.0
 SURFACE_DISTANCE = 2.0
 TOLERANCE = 1e-7
 CROWDED = 256  # atoms per cell of edge 4R beyond which neighbors are not listed but found on demand
-FIRST_NEIGHBORS = 16
+FIRST_NEIGHBORS = 8
 WHOLE = 1 << 14  # points and images of a snapshot up to which it is judged in one task
 QUERY, OTHER, IMAGE = 1, 2, 4  # what a row of such a snapshot is
 _CHUNK = 1 << 13  # rows of whole snapshots looked at together
 _PAIRS = 1 << 18  # candidate pairs
-_ROWS = 4000  # neighbor rows
-_DEPTH = 7  # halvings of the cells of directions
+_ROWS = 1 << 16  # neighbor rows
+_TURNS = 12  # directions tried per atom
+_WORK = 1 << 18  # centers times neighbors looked at together
+_TRIED = 8  # open centers per atom and round compared with all its neighbors
 WITNESSES = 63  # uncovered centers tried per atom and round
 
 
@@ -66,126 +76,193 @@ def _geometry(radius: float):
         foot, rise = foot[:, real], w[:, real] * np.sqrt(left[real] / ww[real])
         return np.concatenate([near / 2 + side, foot + rise, foot - rise], axis=1).T
 
-    def nearest_gap(candidates, near):
-        """Squared distance of every center to every neighbor; centers lie at distance R."""
-        return radius**2 + (near * near).sum(axis=1) - 2 * candidates @ near.T
-
     def uncovered(candidates, near):
-        return candidates[nearest_gap(candidates, near).min(axis=1) >= (radius - TOLERANCE) ** 2]
+        """Centers, all at distance R, that no neighbor holds."""
+        gaps = radius**2 + (near * near).sum(axis=1) - 2 * candidates @ near.T
+        return candidates[gaps.min(axis=1) >= (radius - TOLERANCE) ** 2]
 
     def offsets(x, y, z):
         near = np.stack([x, y, z], axis=1)
-        return near[np.any(near != 0, axis=1)]  # an atom at the same place covers nothing more
+        return near[(near * near).sum(axis=1) > 0]  # an atom at the same place covers nothing more
 
-    return centers, uncovered, nearest_gap, offsets
+    return centers, uncovered, offsets
 
 
 def _exposure(radius: float):
-    """Function (neighbor offsets, starts of the runs of each atom, none empty) -> exposed, for many atoms at once."""
-    centers, uncovered, nearest_gap, _ = _geometry(radius)
-    steps = (np.arange(3) + 0.5) / 3 * 2 - 1
-    p, q = (g.ravel() for g in np.meshgrid(steps, steps))
-    face, sign = np.repeat(np.arange(3), 18), np.tile(np.repeat([-1.0, 1.0], 9), 3)
-    p, q = np.tile(p, 6), np.tile(q, 6)
-
-    def directions(face, sign, p, q):
-        """Unit vectors to places on the faces of a cube."""
-        out = np.empty((len(p), 3))
-        row = np.arange(len(p))
-        out[row, face], out[row, (face + 1) % 3], out[row, (face + 2) % 3] = sign, p, q
-        return out / np.sqrt(1 + p * p + q * q)[:, None]
-
-    def spacing(half):
-        # projecting the cube onto the sphere shortens chords, so half a cell diagonal bounds them
-        return 2 * np.arcsin(2**0.5 * half / 2) + 1e-6
-
-    grid = directions(face, sign, p, q)
-
-    def runs(counts):
-        """Starts of runs of these lengths, and the position of each element in its run."""
-        starts = np.cumsum(counts) - counts
-        return starts, np.arange(counts.sum()) - np.repeat(starts, counts)
-
-    def exactly(near):
-        near = near[np.argsort(np.einsum("ij,ij->i", near, near), kind="stable")]
-        chosen = np.arange(min(FIRST_NEIGHBORS, len(near)))
-        while True:
-            free = uncovered(centers(near[chosen]), near[chosen])
-            if not len(free):
-                return False  # a subset already covers the sphere
-            gaps = nearest_gap(free, near)
-            if len(chosen) == len(near) or np.any(gaps.min(axis=1) >= (radius - TOLERANCE) ** 2):
-                return True
-            chosen = np.union1d(chosen, gaps.argmin(axis=1))
+    """Function (neighbor offsets by axis, starts of the runs of each atom, none empty) -> exposed, for many atoms at once."""
+    # of a center at distance R from the atom and a neighbor at n: its squared distance to the neighbor less R^2 is n.n - 2 n.c
+    least = (radius - TOLERANCE) ** 2 - radius**2
+    corners = {}
 
-    def some(near, starts):
-        norm = np.sqrt(np.einsum("ij,ij->i", near, near))
-        edge, unit = np.minimum(norm / (2 * radius), 1.0), near / norm[:, None]
-        rise = np.sqrt(1 - edge * edge)
-        sizes = np.diff(np.r_[starts, len(near)])
-
-        def bounds(half):
-            """Cosines below which a direction's whole cell lies in a cap, and above which it misses the cap."""
-            wide = spacing(half)
-            level, turn = edge * np.cos(wide), rise * np.sin(wide)
-            return np.where(edge < np.cos(wide), level + turn, 2.0), level - turn  # caps are at most a right angle
-
-        # a direction in no cap proves the atom exposed, a cell of directions inside one cap is done with
-        half = 1 / 3
-        safe, out = bounds(half)
-        along = unit @ grid.T
-        inside = np.logical_or.reduceat(along >= safe[:, None], starts, axis=0)
-        exposed = ~np.logical_or.reduceat(along > edge[:, None], starts, axis=0).all(axis=1)
-        open_cells = ~inside & ~exposed[:, None]
-        atom, cell = np.nonzero(open_cells)
-        f, g, u, v = face[cell], sign[cell], p[cell], q[cell]
-        counts = sizes[atom]
-        _, at = runs(counts)
-        of = np.repeat(np.arange(len(atom)), counts)
-        cap_of = at + np.repeat(starts[atom], counts)
-        kept = along[cap_of, cell[of]] > out[cap_of]  # caps that do not meet a cell do not meet its parts
-        of, cap_of = of[kept], cap_of[kept]
-        for _ in range(_DEPTH):
-            if not len(atom):
+    def pairs(count):
+        if count not in corners:
+            corners[count] = np.triu_indices(count, 1)
+        return corners[count]
+
+    def cross(u, v):
+        out = np.empty(u.shape)
+        for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+            np.multiply(u[b], v[c], out=out[a])
+            out[a] -= u[c] * v[b]
+        return out
+
+    def heads(of):
+        """Starts of the runs of equal values."""
+        return np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+
+    def probed(near, squared, starts, sizes):
+        """Atoms proved exposed by a direction in no cap, and the caps in the way of the directions tried.
+
+        The first direction points away from the neighbors; each next one is moved out of the deepest cap.
+        """
+        exposed, deepest = np.zeros(len(starts), bool), np.zeros(near.shape[1], bool)
+        norm = np.sqrt(squared)
+        edge, unit = np.minimum(norm / (2 * radius), 1.0), near / norm
+        along = -np.add.reduceat(unit * (1 - edge), starts, axis=1)
+        row, atom = np.arange(near.shape[1]), np.arange(len(starts))
+        for turn in range(_TURNS):
+            length = np.sqrt((along * along).sum(axis=0))
+            along[:, length < 1e-9] = [[1.0], [0.0], [0.0]]
+            along /= np.where(length < 1e-9, 1.0, length)
+            depth = -edge
+            for a in range(3):
+                depth += unit[a] * np.repeat(along[a], sizes)
+            begins = np.cumsum(sizes) - sizes
+            most = np.maximum.reduceat(depth, begins)
+            free = most <= 0
+            exposed[atom[free]] = True
+            if free.all() or turn == _TURNS - 1:
                 break
-            half /= 2
-            safe, out = bounds(half)
-            counts = np.repeat(np.bincount(of, minlength=len(atom)), 4)
-            begins = np.repeat(np.searchsorted(of, np.arange(len(atom))), 4)
-            atom, f, g = (np.repeat(x, 4) for x in (atom, f, g))
-            u = np.repeat(u, 4) + np.tile([-half, -half, half, half], len(u))
-            v = np.repeat(v, 4) + np.tile([-half, half, -half, half], len(v))
-            first, at = runs(counts)
-            of = np.repeat(np.arange(len(atom)), counts)
-            cap_of = cap_of[at + np.repeat(begins, counts)]
-            along = np.einsum("ij,ij->i", unit[cap_of], directions(f, g, u, v)[of])
-            touched = np.logical_or.reduceat(along > edge[cap_of], first)
-            inside = np.logical_or.reduceat(along >= safe[cap_of], first)
-            exposed[atom[~touched]] = True
-            live = ~inside & ~exposed[atom]
-            number = np.cumsum(live) - 1
-            kept = live[of] & (along > out[cap_of])
-            of, cap_of = number[of[kept]], cap_of[kept]
-            atom, f, g, u, v = (x[live] for x in (atom, f, g, u, v))
-        for i in np.unique(atom):
-            exposed[i] = exactly(near[starts[i]:starts[i] + sizes[i]])
+            hit = np.flatnonzero(depth == np.repeat(np.where(free, np.inf, most), sizes))
+            of = np.searchsorted(begins, hit, side="right") - 1
+            first = heads(of)
+            hit, of = hit[first], of[first]
+            deepest[row[hit]] = True
+            along[:, of] -= (most[of] * 1.3 + 0.02) * unit[:, hit]
+            kept = ~free
+            rows = np.repeat(kept, sizes)
+            along, atom, sizes = along[:, kept], atom[kept], sizes[kept]
+            unit, edge, row = unit[:, rows], edge[rows], row[rows]
+        return exposed, deepest
+
+    def open_centers(near, squared):
+        """Centers on every neighbor's circle and on every crossing of two that no neighbor of the same atom holds, by
+        rows of equally many neighbors: numbers of the rows, ascending, and the centers."""
+        _, rows, count = near.shape
+        away = np.eye(3)[:, np.argmin(np.abs(near), axis=0)]
+        side = cross(near, away)
+        side *= np.sqrt(np.maximum(radius**2 - squared / 4, 0) / (side * side).sum(axis=0))
+        side += near / 2
+
+        def kept(centers, real):
+            gaps = np.matmul(near.transpose(1, 2, 0), centers.transpose(1, 0, 2))
+            gaps *= -2
+            gaps += squared[:, :, None]
+            row, at = np.nonzero((gaps.min(axis=1) >= least) & real)
+            return row, centers[:, row, at]
+
+        found = [kept(side, True)]
+        first, second = pairs(count)
+        step = max(1, _WORK // (2 * rows * count))
+        for i, j in ((first[s:s + step], second[s:s + step]) for s in range(0, len(first), step)):
+            u, v, uu, vv = near[:, :, i], near[:, :, j], squared[:, i], squared[:, j]
+            w = cross(u, v)
+            ww = (w * w).sum(axis=0)
+            foot, more = cross(w, u), cross(v, w)
+            foot *= vv / (2 * ww)
+            more *= uu / (2 * ww)
+            foot += more
+            left = radius**2 - (foot * foot).sum(axis=0)
+            real = (ww > 1e-12 * uu * vv) & (left >= 0)
+            w *= np.sqrt(left / ww)
+            found.append(kept(np.concatenate([foot + w, foot - w], axis=2), np.concatenate([real, real], axis=1)))
+        row, centers = (np.concatenate(f, axis=-1) for f in zip(*found))
+        order = np.argsort(row, kind="stable")
+        return row[order], centers[:, order]
+
+    def spread_out(of):
+        """A few places of each run of equal values."""
+        first = heads(of)
+        counts = np.diff(np.r_[first, len(of)])
+        at = np.arange(len(of)) - np.repeat(first, counts)
+        counts = np.repeat(counts, counts)
+        return (at == 0) | (at * _TRIED // counts != (at - 1) * _TRIED // counts)
+
+    def settle(near, squared, starts, sizes, chosen):
+        """Exactly, by the crossings of the circles of the ``chosen`` neighbors: if these leave no center, they cover the
+        sphere; a center they leave proves the atom exposed or names a neighbor to choose."""
+        exposed, todo = np.zeros(len(starts), bool), np.arange(len(starts))
+        while len(todo):
+            counts = np.add.reduceat(chosen, starts)
+            todo = todo[np.argsort(counts[todo], kind="stable")]
+            listed, again, begin = np.flatnonzero(chosen), [], 0
+            begins = np.cumsum(counts) - counts
+            while begin < len(todo):
+                # rows of about as many neighbors; shorter ones repeat their last neighbor, which changes nothing
+                wanted = counts[todo[begin:]]
+                end = int(np.searchsorted(wanted, wanted[0] + max(2, wanted[0] // 8), side="right"))
+                end = max(1, min(end, int(_WORK // int(wanted[end - 1]) ** 3)))
+                some, width = todo[begin:begin + end], wanted[end - 1]
+                begin += end
+                rows = listed[begins[some, None] + np.minimum(np.arange(width), counts[some, None] - 1)]
+                row, centers = open_centers(near[:, rows], squared[rows])
+                if not len(row):
+                    continue
+                tried = spread_out(row)
+                atom, centers = some[row[tried]], centers[:, tried]
+                size = sizes[atom]
+                first = np.cumsum(size) - size
+                at = np.arange(size.sum()) - np.repeat(first - starts[atom], size)
+                gaps = squared[at]
+                for a in range(3):
+                    gaps -= near[a, at] * np.repeat(2 * centers[a], size)
+                lowest = np.minimum.reduceat(gaps, first)
+                hit = np.flatnonzero(gaps == np.repeat(lowest, size))
+                of = np.searchsorted(first, hit, side="right") - 1
+                clear = lowest >= least
+                clear[of[chosen[at[hit]]]] = True  # a chosen one holds it by rounding alone
+                exposed[atom[clear]] = True
+                held = ~exposed[atom]
+                chosen[at[hit[held[of]]]] = True
+                again.append(atom[held][heads(atom[held])])
+            todo = np.concatenate(again) if again else todo[:0]
+        return exposed
+
+    def some(near, starts):
+        sizes = np.diff(np.r_[starts, near.shape[1]])
+        squared = near[0] * near[0] + near[1] * near[1] + near[2] * near[2]
+        exposed, deepest = probed(near, squared, starts, sizes)
+        if exposed.all():
+            return exposed
+        rows = np.repeat(~exposed, sizes)
+        sizes = sizes[~exposed]
+        near, squared, deepest = near[:, rows], squared[rows], deepest[rows]
+        starts = np.cumsum(sizes) - sizes
+        left = squared.copy()
+        for _ in range(FIRST_NEIGHBORS):
+            hit = np.flatnonzero(left == np.repeat(np.minimum.reduceat(left, starts), sizes))
+            hit = hit[heads(np.searchsorted(starts, hit, side="right"))]
+            left[hit] = np.inf
+            deepest[hit] = True
+        exposed[~exposed] = settle(near, squared, starts, sizes, deepest)
         return exposed
 
     def run(near, starts):
         """Slices of atoms with a bounded number of neighbor rows."""
-        ends = np.r_[starts[1:], len(near)]
+        ends = np.r_[starts[1:], near.shape[1]]
         answers, begin = [], 0
-        while begin < len(starts):
-            end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + _ROWS, side="right")))
-            answers.append(some(near[starts[begin]:ends[end - 1]], starts[begin:end] - starts[begin]))
-            begin = end
+        with np.errstate(divide="ignore", invalid="ignore"):
+            while begin < len(starts):
+                end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + _ROWS, side="right")))
+                answers.append(some(near[:, starts[begin]:ends[end - 1]], starts[begin:end] - starts[begin]))
+                begin = end
         return np.concatenate(answers) if answers else np.zeros(0, bool)
 
     return run
 
 
 def _is_exposed(radius: float) -> Column:
-    offsets, decide = _geometry(radius)[3], _exposure(radius)
+    offsets, decide = _geometry(radius)[2], _exposure(radius)
 
     def exposed(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.Series:
         near = [offsets(x, y, z) for x, y, z in zip(xs, ys, zs)]
@@ -193,7 +270,7 @@ def _is_exposed(radius: float) -> Column:
         answer = sizes == 0
         if not answer.all():
             some = sizes[~answer]
-            answer[~answer] = decide(np.concatenate([n for n in near if len(n)]), np.cumsum(some) - some)
+            answer[~answer] = decide(np.concatenate([n for n in near if len(n)]).T, np.cumsum(some) - some)
         return pd.Series(answer)
 
     return F.pandas_udf(exposed, BooleanType())("_dx", "_dy", "_dz")
@@ -233,6 +310,7 @@ def _uncovered_rows(group: np.ndarray, ids: np.ndarray, places: np.ndarray, kind
     mine, theirs = keys[:len(asked)], keys[len(asked):]
     order = np.argsort(theirs, kind="stable")
     theirs, there = theirs[order], there[order]
+    own, beside = (np.ascontiguousarray(places[r].T) for r in (asked, there))
     columns = mine[:, None] + np.array([x * along_x + y * along_y for x in (-1, 0, 1) for y in (-1, 0, 1)])
     low, high = np.searchsorted(theirs, columns - 1), np.searchsorted(theirs, columns + 1, side="right")
     counts = np.where(real[asked, None], high - low, 0)
@@ -248,16 +326,16 @@ def _uncovered_rows(group: np.ndarray, ids: np.ndarray, places: np.ndarray, kind
         rows = np.arange(heads[begin], heads[end] if end < len(heads) else len(asked))
         some = counts[rows].ravel()
         at = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some - low[rows].ravel(), some)
-        query = np.repeat(rows, counts[rows].sum(axis=1))
-        offset = places[there[at]] - places[asked[query]]
-        squared = offset[:, 0] * offset[:, 0] + offset[:, 1] * offset[:, 1] + offset[:, 2] * offset[:, 2]
+        each = counts[rows].sum(axis=1)
+        offset = [beside[a][at] - np.repeat(own[a][rows], each) for a in range(3)]
+        squared = offset[0] * offset[0] + offset[1] * offset[1] + offset[2] * offset[2]
         # an atom at the same place covers nothing more
-        near = np.flatnonzero((squared < reach**2) & (offset != 0).any(axis=1))
-        other, query = there[at[near]], query[near]
+        near = np.flatnonzero((squared < reach**2) & (squared > 0))
+        other, query = there[at[near]], np.repeat(rows, each)[near]
         apart = (ids[other] != ids[asked[query]]) | ((kind[other] & IMAGE) > 0)
         near, of = near[apart], number[query[apart]]
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
-        exposed[of[starts]] = decide(offset[near], starts)
+        exposed[of[starts]] = decide(np.stack([o[near] for o in offset]), starts)
         begin = end
     answer[asked] = exposed[number]
     return answer
@@ -267,41 +345,20 @@ def _in_task(rows: DataFrame, radius: float) -> DataFrame:
     """Keys of the exposed atoms of ``rows(snapshot_id, atom_id, x, y, z, kind)``, every snapshot in one task."""
     decide, reach = _exposure(radius), 2 * radius
 
-    def judged(table: pa.Table) -> pa.RecordBatch:
-        names = table.column("snapshot_id").combine_chunks()
-        group = np.cumsum(np.r_[False, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)])
+    def judged(table: pa.Table) -> pa.Table:
         ids, kind = table.column("atom_id").to_numpy(), table.column("kind").to_numpy()
         places = np.stack([table.column(a).to_numpy().astype(float) for a in AXES], axis=1)
         with np.errstate(invalid="ignore", over="ignore"):
-            kept = _uncovered_rows(group, ids, places, kind, reach, decide)
-        return table.select(POINT).filter(pa.array(kept)).combine_chunks().to_batches(max_chunksize=None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            waiting += batch.num_rows
-            if waiting < _CHUNK:
-                continue
-            table = pa.Table.from_batches(held)
-            last = table.column("snapshot_id")[-1]
-            cut = pc.index(table.column("snapshot_id"), last).as_py()  # the last snapshot may go on in the next batch
-            if cut:
-                yield from judged(table.slice(0, cut))
-            held, waiting = table.slice(cut).to_batches(), 0 if cut else -_CHUNK // 2
-        if held:
-            yield from judged(pa.Table.from_batches(held))
+            kept = _uncovered_rows(numbered_groups(table), ids, places, kind, reach, decide)
+        return table.select(POINT).filter(pa.array(kept))
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    dealt = rows.repartition("snapshot_id").sortWithinPartitions("snapshot_id")
-    return dealt.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in POINT))
+    return whole_snapshots(rows, judged, ", ".join(f"{c} {types[c]}" for c in POINT), _CHUNK)
 
 
 def _free_centers(radius: float) -> Column:
     """Up to WITNESSES uncovered centers given the neighbors known so far; eight corners without any."""
-    centers, uncovered, _, offsets = _geometry(radius)
+    centers, uncovered, offsets = _geometry(radius)
 
     def free(xs: pd.Series, ys: pd.Series, zs: pd.Series) -> pd.Series:
         corners = np.array([[a, b, c] for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)]) * radius / 3**0.5
@@ -451,10 +508,10 @@ def within_surface(
     """Atoms nearer than ``distance`` to a surface atom or an image of one, with that ``surface_distance``."""
     home = folded(points, boxes)
     chosen = stage(keep_selected(home, surface_atoms(points, probe_radius, boxes)), "surface")
-    sites = _image_sites(with_images(chosen, distance))
+    sites = with_images(chosen, distance).select("snapshot_id", *AXES, F.struct("atom_id", *SHIFT).alias("site_id"))
     # a surface atom is its own nearest one, so only the others are matched; a place that is no number has no distance
     own = chosen.filter(" and ".join(f"{a} - {a} = 0" for a in AXES)).select(*POINT).distinct().withColumn("d2", F.lit(0.0))
-    others = home.drop(*LENGTHS).join(own.select(*POINT), POINT, "left_anti")
+    others = stage(home.drop(*LENGTHS).join(own.select(*POINT), POINT, "left_anti"), "others")
     found = nearest(others, sites, Setting(["snapshot_id"], periodic=False, stretched=False)).select(*POINT, "d2")
     return found.unionByName(own).select(*POINT, F.sqrt("d2").alias("surface_distance")).filter(
         F.col("surface_distance") < distance)
