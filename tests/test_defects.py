@@ -244,3 +244,11 @@ def test_exposed_atoms_are_proved_by_few_centers(monkeypatch):
     kept = surface._uncovered_rows(
         np.zeros(400, int), np.arange(400), cloud, np.full(400, surface.QUERY + surface.OTHER), 5.0, surface._exposure(2.5))
     assert 0 < kept.sum() < 400 and 0 < max(crossings) < 30
+
+
+def test_small_snapshots_are_dealt_to_all_cores(spark):
+    """A table of few bytes may be much work, so its tasks are not merged."""
+    rng = np.random.default_rng(2)
+    clouds = {s: rng.random((20, 3)) * 4 for s in range(40)}
+    exposed = surface.surface_atoms(points(spark, clouds), 1.0)
+    assert exposed.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
